@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from geopressure.llm import near_dedup
+from geopressure.llm import decontaminate, near_dedup, secrets
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -18,9 +18,23 @@ def op1_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_duplicates(_table(spark, sf_dir, "documents"))
 
 
+def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents that overlap benchmark items."""
+    return decontaminate.contaminated(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
+def op9_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Secrets of all documents."""
+    return secrets.per_document(secrets.scan(_table(spark, sf_dir, "documents")))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     """Name to query."""
-    return {"op1_near_dedup": op1_near_dedup}
+    return {
+        "op1_near_dedup": op1_near_dedup,
+        "op6_decontaminate": op6_decontaminate,
+        "op9_secrets": op9_secrets,
+    }
 
 
 def oracle_sql() -> dict[str, str]:
