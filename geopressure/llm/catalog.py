@@ -4,9 +4,28 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from geopressure.llm import decontaminate, near_dedup, secrets
+from geopressure.llm import byte_bpe, decontaminate, near_dedup, secrets, token_count, top_k
+
+
+TOP_K = """
+WITH v AS (
+  SELECT vec_id, list_transform(embedding, x -> floor(256 * CAST(x AS DOUBLE))) AS w
+  FROM embeddings
+  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL
+    AND len(list_filter(embedding, x -> x IS NULL OR NOT isfinite(x))) = 0
+), q AS (SELECT DISTINCT ON (vec_id) * FROM v WHERE vec_id % 50 = 0),
+s AS (
+  SELECT q.vec_id AS query_id, v.vec_id AS vec_id, CAST(list_dot_product(q.w, v.w) AS BIGINT) AS score
+  FROM q JOIN v ON q.vec_id <> v.vec_id AND len(q.w) = len(v.w)
+), r AS (
+  SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rk FROM s
+)
+SELECT query_id, CAST(rk AS INTEGER) AS rank, vec_id, score FROM r WHERE rk <= 5
+"""
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -18,11 +37,36 @@ def op1_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_duplicates(_table(spark, sf_dir, "documents"))
 
 
+def op2_token_counts(spark: SparkSession, sf_dir: str, vocabulary: str = "piece_bpe_32k.model") -> DataFrame:
+    """Piece counts of all documents."""
+    pieces = token_count.load_pieces(public_tokenizers.path(vocabulary))
+    return token_count.token_counts(_table(spark, sf_dir, "documents"), pieces)
+
+
 def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents that overlap benchmark items."""
     return decontaminate.contaminated(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
 
+def op7_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The five best vectors of every fiftieth."""
+    vectors = _table(spark, sf_dir, "embeddings")
+    found = top_k.top_k(vectors, vectors.where(F.col("vec_id") % 50 == 0), 5)
+    return found.withColumn("rank", F.col("rank").cast("int"))
+
+
+def op8_byte_bpe(spark: SparkSession, sf_dir: str, ranks: str = "byte_bpe_multi_50k.tiktoken") -> DataFrame:
+    """Token counts and digests of the ids and of the decoded bytes of all documents."""
+    data = byte_bpe.load_ranks(public_tokenizers.path(ranks))
+    encoded = byte_bpe.encode(_table(spark, sf_dir, "documents"), data, public_tokenizers.PATTERN)
+    return byte_bpe.decode(encoded, data).select(
+        "doc_id",
+        F.size("ids").cast("long").alias("n_tokens"),
+        F.sha2(F.concat_ws(",", F.col("ids").cast("array<string>")), 256).alias("ids_sha256"),
+        F.sha2("decoded", 256).alias("decoded_sha256"),
+    )
+
+
 def op9_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Secrets of all documents."""
     return secrets.per_document(secrets.scan(_table(spark, sf_dir, "documents")))
@@ -32,11 +76,14 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     """Name to query."""
     return {
         "op1_near_dedup": op1_near_dedup,
+        "op2_token_counts": op2_token_counts,
         "op6_decontaminate": op6_decontaminate,
+        "op7_top_k": op7_top_k,
+        "op8_byte_bpe": op8_byte_bpe,
         "op9_secrets": op9_secrets,
     }
 
 
 def oracle_sql() -> dict[str, str]:
     """Name to DuckDB statement, for those that SQL can express."""
-    return {}
+    return {"op7_top_k": TOP_K}
