@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from geopressure.llm import byte_bpe, decontaminate, near_dedup, secrets, token_count, top_k
+from geopressure.llm import byte_bpe, decontaminate, near_dedup, secret_scan, token_count, top_k
 
 
 TOP_K = """
@@ -69,7 +69,7 @@ def op8_byte_bpe(spark: SparkSession, sf_dir: str, ranks: str = "byte_bpe_multi_
 
 def op9_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Secrets of all documents."""
-    return secrets.per_document(secrets.scan(_table(spark, sf_dir, "documents")))
+    return secret_scan.per_document(secret_scan.scan(_table(spark, sf_dir, "documents")))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

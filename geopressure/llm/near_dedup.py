@@ -9,14 +9,14 @@ The join is a recursion over nodes, run for all trees at once, level by level:
 * a class enters, in each of ``trees`` independent trees, the nodes named by the minwise values
   (tokens) at the coordinates chosen for the root;
 * a node whose members are all known to be connected has nothing left to compare and is dropped;
-* a node with at most ``leaf`` members, or at most ``leaf`` members outside its largest component,
-  is compared exhaustively, which costs at most ``leaf`` pairs for each member;
+* a node with at most ``leaf`` members outside its largest component is compared exhaustively, which
+  costs at most ``leaf`` pairs for each member; the bound doubles with the depth up to ``MAX_LEAF``;
 * the members of a larger node are compared with a few pivots of the node, then branch into children
   by the minwise tokens at coordinates that the node chooses.
 
-Candidate pairs pass a sketch filter and are confirmed on full shingle sets; confirmed links are
-merged into components after each level, which is what empties the nodes of a large group of near
-copies without listing its pairs. Nodes still mixed at ``max_depth`` are compared exhaustively.
+Candidate pairs pass a sketch filter and are confirmed on full shingle sets, at the depths in
+``CONFIRM_AT`` and at the end; confirmed links are merged into components, which is what empties the
+nodes of a large group of near copies without listing its pairs. Nodes still mixed at ``max_depth`` are compared exhaustively.
 
 A pair of similarity ``s`` shares a chosen token with probability ``s`` at each of two branches, so
 it survives any depth of one tree with probability at least ``(2s - 1) / s**2`` (0.94 at 0.8) and
@@ -31,7 +31,6 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -39,37 +38,81 @@ from geopressure.llm.store import Scratch
 
 COORDS = 64
 BRANCHES = 2
+MAX_LEAF = 256
+CONFIRM_AT = (0, 2, 5, 8)
 #: Slots of the id filter that is broadcast: a proven bound on its rows, whatever the corpus.
 FILTER_SLOTS = 1 << 20
-#: Words kept in a task's hash table before it is emptied.
-WORD_CACHE = 400_000
-#: Shingles hashed at once when minwise values are taken.
-CHUNK = 4096
+#: Bytes of a text that are hashed at once, and shingles of which minwise values are taken at once.
+SEGMENT = 1 << 20
+CHUNK = 1024
 
 
 
-class _WordHash(dict):
-    def __missing__(self, word: bytes) -> int:
-        if len(self) > WORD_CACHE:
-            self.clear()
-        value = self[word] = xxhash.xxh3_64_intdigest(word)
-        return value
+#: Odd base of the words' polynomial hash, and its inverse modulo 2**64.
+BASE = 0x9E3779B97F4A7C15
+INVERSE = pow(BASE, -1, 1 << 64)
 
 
-def shingle_set(text: str | None, words_hash: dict, width: int) -> np.ndarray:
+class WordHash:
+    """64-bit hashes of the words of a text, for whole arrays of bytes at a time.
+
+    A word is hashed as a polynomial in ``BASE`` over its lower-cased bytes, taken as a difference of
+    running sums, so no word is looked at on its own.
+    """
+
+    def __init__(self) -> None:
+        self.lower = np.arange(256, dtype=np.uint64)
+        self.lower[65:91] += np.uint64(32)
+        self.lower += np.uint64(1)
+        self.space = np.zeros(256, bool)
+        self.space[[9, 10, 11, 12, 13, 32]] = True
+        self.up = self.down = np.ones(1, np.uint64)
+
+    def _grow(self, n: int) -> None:
+        if len(self.up) < n:
+            n = 1 << (n - 1).bit_length()
+            powers = np.full((2, n), 1, np.uint64)
+            powers[0, 1:], powers[1, 1:] = BASE, INVERSE
+            self.up, self.down = np.multiply.accumulate(powers, axis=1)
+
+    def _words(self, raw: np.ndarray) -> np.ndarray:
+        gap = np.ones(len(raw) + 2, bool)
+        gap[1:-1] = self.space[raw]
+        edges = np.flatnonzero(gap[1:] != gap[:-1])
+        starts, ends = edges[0::2], edges[1::2]
+        self._grow(len(raw) + 1)
+        sums = np.zeros(len(raw) + 1, np.uint64)
+        np.cumsum(self.lower[raw] * self.up[: len(raw)], out=sums[1:])
+        return (sums[ends] - sums[starts]) * self.down[starts] + (ends - starts).astype(np.uint64)
+
+    def __call__(self, text: str | None) -> np.ndarray:
+        raw = np.frombuffer((text or "").encode("utf-8", "surrogatepass"), np.uint8)
+        parts, at = [], 0
+        while len(raw) - at > SEGMENT:
+            stop = at + SEGMENT
+            while stop < len(raw) and not self.space[raw[stop]]:
+                stop += 1
+            parts.append(self._words(raw[at:stop]))
+            at = stop
+        parts.append(self._words(raw[at:]))
+        return np.concatenate(parts) if len(parts) > 1 else parts[0]
+
+
+def shingle_set(text: str | None, words: WordHash, width: int) -> np.ndarray:
     """Sorted distinct 64-bit hashes of the word shingles of a whole text; empty without words."""
-    words = (text or "").encode("utf-8", "surrogatepass").lower().split()
-    if not words:
+    h = words(text)
+    if not len(h):
         return np.empty(0, np.uint64)
-    h = np.fromiter(map(words_hash.__getitem__, words), np.uint64, len(words))
     n = max(1, len(h) - width + 1)
     x = np.full(n, min(len(h), width), np.uint64)
+    # With fewer words than a shingle has, the whole sequence is the one shingle.
     for k in range(min(width, len(h))):
         x = (x ^ h[k : k + n]) * np.uint64(0x9E3779B97F4A7C15)
         x ^= x >> np.uint64(29)
         x *= np.uint64(0xBF58476D1CE4E5B9)
         x ^= x >> np.uint64(32)
-    return np.unique(x)
+    x.sort()
+    return x[np.concatenate(([True], x[1:] != x[:-1]))]
 
 
 def _coefficients() -> tuple[np.ndarray, np.ndarray]:
@@ -85,15 +128,16 @@ def minwise(grams: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     low = np.full(COORDS, 0xFFFFFFFF, np.uint32)
     folded = (grams >> np.uint64(32)).astype(np.uint32) ^ grams.astype(np.uint32)
     for at in range(0, len(folded), CHUNK):
-        v = folded[at : at + CHUNK, None] * a + b
+        v = a[:, None] * folded[at : at + CHUNK]
+        v += b[:, None]
         v ^= v >> np.uint32(15)
         v *= np.uint32(0x2C1B3C6D)
-        np.minimum(low, v.min(axis=0), out=low)
+        np.minimum(low, v.min(axis=1), out=low)
     return low
 
 
 def _features(batches: Iterator[pa.RecordBatch], width: int, with_sets: bool) -> Iterator[pa.RecordBatch]:
-    cache = _WordHash()
+    words = WordHash()
     a, b = _coefficients()
     powers = np.uint64(1) << np.arange(COORDS, dtype=np.uint64)
     for batch in batches:
@@ -101,7 +145,7 @@ def _features(batches: Iterator[pa.RecordBatch], width: int, with_sets: bool) ->
             part = batch.slice(at, 512)
             n, cls, sketch, sigs, sets = [], [], [], [], []
             for text in part.column("text").to_pylist():
-                grams = shingle_set(text, cache, width)
+                grams = shingle_set(text, words, width)
                 n.append(len(grams))
                 cls.append(hashlib.blake2b(grams.tobytes(), digest_size=16).digest())
                 if with_sets:
@@ -110,14 +154,18 @@ def _features(batches: Iterator[pa.RecordBatch], width: int, with_sets: bool) ->
                 low = minwise(grams, a, b)
                 bits = (low * np.uint32(0x85EBCA6B) >> np.uint32(31)).astype(np.uint64)
                 sketch.append(int((bits * powers).sum(dtype=np.uint64).astype(np.int64)))
-                sigs.append(low.view(np.int32))
+                sigs.append(low)
             cols = [part.column("doc_id").cast(pa.int64()), pa.array(n, pa.int64()), pa.array(cls, pa.binary())]
             names = ["doc_id", "n_shingles", "cls"]
             if with_sets:
-                cols.append(pa.array(sets, pa.list_(pa.int64())))
+                flat = pa.array(np.concatenate(sets)) if sets else pa.array([], pa.int64())
+                steps = pa.array(np.cumsum([0, *n]).astype(np.int32))
+                cols.append(pa.ListArray.from_arrays(steps, flat))
                 names.append("grams")
             else:
-                cols += [pa.array(sketch, pa.int64()), pa.array(sigs, pa.list_(pa.int32()))]
+                flat = pa.array(np.concatenate(sigs).view(np.int32)) if sigs else pa.array([], pa.int32())
+                steps = pa.array(np.arange(len(sigs) + 1, dtype=np.int32) * COORDS)
+                cols += [pa.array(sketch, pa.int64()), pa.ListArray.from_arrays(steps, flat)]
                 names += ["sketch", "sig"]
             yield pa.RecordBatch.from_arrays(cols, names)
 
@@ -148,24 +196,25 @@ def merge_components(links: DataFrame, scratch: Scratch) -> DataFrame:
     Alternates large-star and small-star steps until the edges no longer change; the number of
     rounds grows with the logarithm of the longest chain.
     """
-    edges = scratch.save(
-        links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u > v").distinct()
-    )
+    edges = links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u > v").distinct()
+    edges, seen = scratch.save(edges), None
+    mark = [F.count("*"), F.sum(F.xxhash64("u", "v") % 1_000_003), F.sum(F.xxhash64("v", "u") % 998_244_353)]
     while True:
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
         large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        large = scratch.save(large.where("u > v").distinct())
+        large = large.where("u > v").distinct()
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = (
             large.join(least, "u")
             .select(F.explode(F.array(F.struct("v", "m"), F.struct(F.col("u").alias("v"), "m"))).alias("e"))
             .select(F.col("e.v").alias("u"), F.col("e.m").alias("v"))
         )
-        new = scratch.save(small.where("u > v").distinct())
-        if new.exceptAll(edges).isEmpty() and edges.exceptAll(new).isEmpty():
+        edges = scratch.save(small.where("u > v").distinct())
+        now = tuple(edges.agg(*mark).first())
+        if now == seen:
             break
-        edges = new
+        seen = now
     roots = edges.select(F.col("v").alias("cls"), F.col("v").alias("comp")).distinct()
     return scratch.save(edges.select(F.col("u").alias("cls"), F.col("v").alias("comp")).unionByName(roots))
 
@@ -220,7 +269,7 @@ def near_duplicates(
     nodes = classes.select("cls", "sketch", F.explode(F.array(*keys)).alias("node"))
     many = nodes.groupBy("node").count().where("count > 1").select("node")
     nodes = scratch.save(nodes.join(many, "node"))
-    links = comps = None
+    links = comps = pending = tested = None
     for depth in range(max_depth + 1):
         rows = nodes
         if comps is None:
@@ -246,7 +295,7 @@ def near_duplicates(
             .where("others > 0")
         )
         rows = scratch.save(rows.join(stats, "node"))
-        bounded = (F.col("others") <= leaf) | F.lit(depth == max_depth)
+        bounded = (F.col("others") <= min(MAX_LEAF, leaf << depth)) | F.lit(depth == max_depth)
         one = rows.where(bounded & (F.col("comp") != F.col("top"))).select(
             "node", F.col("cls").alias("a"), F.col("sketch").alias("sa"), F.col("comp").alias("ca")
         )
@@ -259,18 +308,22 @@ def near_duplicates(
             F.col("cls").alias("b"), F.col("sketch").alias("sb"), F.col("comp").alias("cb"), F.explode("pivots").alias("p")
         ).select("b", "sb", "cb", F.col("p.cls").alias("a"), F.col("p.sketch").alias("sa"), F.col("p.comp").alias("ca"))
         pivoted = pivots.where((F.col("ca") != F.col("cb")) & _near("sa", "sb", reach))
-        pairs = scratch.save(
+        pairs = (
             exhaustive.select("a", "b")
             .unionByName(pivoted.select("a", "b"))
             .select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
             .distinct()
         )
-        if not pairs.isEmpty():
-            found = scratch.save(_confirm(docs, classes, pairs, width, num, den))
-            links = found if links is None else links.unionByName(found)
+        pairs = scratch.save(pairs if tested is None else pairs.join(tested, ["a", "b"], "left_anti"))
+        pending = pairs if pending is None else pending.unionByName(pairs)
+        tested = pairs if tested is None else tested.unionByName(pairs)
+        last = depth == max_depth or big.isEmpty()
+        if (last or depth in CONFIRM_AT) and not pending.isEmpty():
+            found = scratch.save(_confirm(docs, classes, pending, width, num, den))
+            links, pending = found if links is None else links.unionByName(found), None
             if not found.isEmpty():
                 comps = merge_components(links, scratch)
-        if depth == max_depth or big.isEmpty():
+        if last:
             break
         sig = classes.select("cls", "sig")
         child = [
