@@ -8,7 +8,18 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from geopressure.llm import byte_bpe, decontaminate, near_dedup, secret_scan, token_count, top_k
+from geopressure.llm import (
+    byte_bpe,
+    decontaminate,
+    html_text,
+    near_dedup,
+    personal_data,
+    quality,
+    secret_scan,
+    token_count,
+    top_k,
+    toxicity,
+)
 
 
 TOP_K = """
@@ -43,6 +54,35 @@ def op2_token_counts(spark: SparkSession, sf_dir: str, vocabulary: str = "piece_
     return token_count.token_counts(_table(spark, sf_dir, "documents"), pieces)
 
 
+def op3_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Main texts of all pages."""
+    found = html_text.main_texts(_table(spark, sf_dir, "pages"))
+    return found.withColumn("n_chars", F.length("text").cast("long"))
+
+
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity of all documents, learned from labels that are not held out."""
+    docs = _table(spark, sf_dir, "documents")
+    return toxicity.score(docs, toxicity.fit(docs, _table(spark, sf_dir, "labels")))
+
+
+def op5_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Personal data of all documents."""
+    docs = _table(spark, sf_dir, "documents")
+    found = personal_data.find(docs, personal_data.fit(docs))
+    base = F.filter("spans", lambda x: x["base"])
+    line = lambda s: F.concat_ws(",", F.transform(s, lambda x: F.concat_ws(":", x["kind"], x["start"], x["end"])))
+    return found.select(
+        "doc_id",
+        *[
+            F.size(F.filter("spans", lambda x, k=k: x["base"] & (x["kind"] == k))).cast("long").alias(f"n_{k}")
+            for k in personal_data.KINDS
+        ],
+        F.sha2(line(base), 256).alias("base_sha256"),
+        line(F.col("spans")).alias("spans"),
+    )
+
+
 def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents that overlap benchmark items."""
     return decontaminate.contaminated(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
@@ -72,15 +112,25 @@ def op9_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.per_document(secret_scan.scan(_table(spark, sf_dir, "documents")))
 
 
+def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality of all documents, learned from labels that are not held out."""
+    docs = _table(spark, sf_dir, "documents")
+    return quality.score(docs, quality.fit(docs, _table(spark, sf_dir, "labels")))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     """Name to query."""
     return {
         "op1_near_dedup": op1_near_dedup,
         "op2_token_counts": op2_token_counts,
+        "op3_html_text": op3_html_text,
+        "op4_toxicity": op4_toxicity,
+        "op5_personal_data": op5_personal_data,
         "op6_decontaminate": op6_decontaminate,
         "op7_top_k": op7_top_k,
         "op8_byte_bpe": op8_byte_bpe,
         "op9_secrets": op9_secrets,
+        "op10_quality": op10_quality,
     }
 
 

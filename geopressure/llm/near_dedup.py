@@ -34,6 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from geopressure.llm.keys import only_keys, without_keys
 from geopressure.llm.store import Scratch
 
 COORDS = 64
@@ -359,10 +360,14 @@ def _labelled(feats: DataFrame, classes: DataFrame, comps: DataFrame | None) ->
 
 
 def keep_one(docs: DataFrame, found: DataFrame) -> DataFrame:
-    """The rows of ``docs`` that are kept: one row of each component.
+    """The rows of ``docs`` without those that ``found`` does not keep: one of each component stays.
 
-    Rows with an empty text are each their own component and stay.
+    Rows with an empty text are each their own component and stay. Of rows that repeat with id and
+    text, one stays.
     """
-    kept = found.where("kept").select("doc_id").distinct()
-    kept_docs = docs.join(kept, docs["doc_id"].eqNullSafe(kept["doc_id"]), "left_semi")
-    return kept_docs.dropDuplicates(["doc_id", "text"])
+    scratch = Scratch(docs.sparkSession, "keep-one")
+    ids = found.groupBy("doc_id").agg(F.max("kept").alias("kept"), F.count("*").alias("n"))
+    ids = scratch.save(ids.where("not kept or n > 1"))
+    rest = without_keys(docs, ids.select("doc_id"), "doc_id")
+    twice = only_keys(docs, ids.where("kept").select("doc_id"), "doc_id")
+    return rest.unionByName(twice.dropDuplicates(["doc_id", "text"]))
