@@ -1,13 +1,825 @@
-"""The registered queries and their SQL oracles."""
+"""The registered queries and their SQL oracles.
+
+Every operator runs on the driver's star schema as a stand-in: suppliers, customers and nations are
+entities, order lines and orders their readings, transactions and events.
+"""
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from geopressure.functions import exprs as X
+from geopressure.operators import allocate as A
+from geopressure.operators import attach, checks
+from geopressure.operators import calibrate as C
+from geopressure.operators import geometry as G
+from geopressure.operators import panel as P
+from geopressure.operators import transactions as TX
+from geopressure.plans import marts, serve
+from geopressure.sources import io
+from geopressure.streaming import stream
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+SQL: dict[str, str] = {}
+
+SERVED = "1998-01-01"
+MIN_YEARS = 5
+
+
+def query(sql: str | None = None):
+    """Register a function under its name, with its statement."""
+
+    def register(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            SQL[f.__name__] = sql
+        return f
+
+    return register
+
+
+def rounded(df: DataFrame, digits: int = 6, **own: int) -> DataFrame:
+    """Doubles rounded, for comparison across summation orders."""
+    return df.select(*[F.round(c, own.get(c, digits)).alias(c) if kind == "double" else F.col(c) for c, kind in df.dtypes])
+
+
+def _panel(spark: SparkSession, d: str, value: str = "l_extendedprice") -> DataFrame:
+    return P.monthly(io.read_table(spark, d, "lineitem"), "l_suppkey", "l_shipdate", value)
+
+
+def _anomaly(spark: SparkSession, d: str, value: str = "l_extendedprice") -> DataFrame:
+    return P.seasonal_anomaly(_panel(spark, d, value), "l_suppkey", "month", "value", SERVED)
+
+
+def _exposure(spark: SparkSession, d: str) -> DataFrame:
+    s = io.read_table(spark, d, "supplier")
+    vulnerable = F.when(F.col("s_suppkey") % 7 != 0, (F.col("s_suppkey") % 10) / 10)
+    return s.select(F.col("s_suppkey").alias("l_suppkey"), X.exposure(F.col("s_acctbal") / 10000, vulnerable).alias("e"))
+
+
+def _groundwater(spark: SparkSession, d: str) -> DataFrame:
+    score = P.normal_score(_panel(spark, d, "l_quantity"), "l_suppkey", "month", "value", MIN_YEARS, SERVED)
+    known = F.when(F.col("l_suppkey") % 3 != 0, F.lit(0.5))
+    return score.select("l_suppkey", "month", F.col("z").alias("z_b"), "nqt", known.alias("confidence"))
+
+
+def _mart(spark: SparkSession, d: str) -> DataFrame:
+    z = _anomaly(spark, d).where("z is not null")
+    return marts.monthly_mart(z, _exposure(spark, d), "l_suppkey", "month", _groundwater(spark, d))
+
+
+# SQL of the shared parts -----------------------------------------------------------------------
+
+_PANEL = """SELECT l_suppkey, CAST(date_trunc('month', l_shipdate) AS DATE) AS month, avg({v}) AS value, count(*) AS n
+  FROM lineitem WHERE {v} IS NOT NULL GROUP BY 1, 2"""
+_Z = """SELECT l_suppkey, month, value, n_, CASE WHEN sd >= 1e-9 THEN (value - mean) / sd END AS z FROM (
+  SELECT *, avg(value) OVER w AS mean, stddev_samp(value) OVER w AS sd, count(value) OVER w AS n_ FROM {p}
+  WINDOW w AS (PARTITION BY l_suppkey, month(month)))"""
+_EXPOSURE = """SELECT s_suppkey AS l_suppkey, CASE WHEN coalesce(s_acctbal / 10000, 0) <= 0 THEN 0.0
+    WHEN s_suppkey % 7 = 0 THEN least(greatest(s_acctbal / 10000, 0), 1)
+    ELSE least(greatest(0.6 * s_acctbal / 10000 + 0.4 * ((s_suppkey % 10) / 10), 0), 1) END AS e FROM supplier"""
+
+
+def _poly(x: str, coefficients) -> str:
+    out = repr(coefficients[0])
+    for k in coefficients[1:]:
+        out = f"({out}) * {x} + ({k!r})"
+    return f"({out})"
+
+
+def _probit_sql(p: str) -> str:
+    p = f"least(greatest({p}, 1e-9), 1.0 - 1e-9)"
+    tail = lambda q: f"{_poly(q, X.ACKLAM_C)} / {_poly(q, (*X.ACKLAM_D, 1.0))}"
+    low, high, q = f"sqrt(-2.0 * ln({p}))", f"sqrt(-2.0 * ln(1.0 - {p}))", f"({p} - 0.5)"
+    r = f"({q} * {q})"
+    return (
+        f"CASE WHEN {p} < 0.02425 THEN {tail(low)} WHEN {p} > 1.0 - 0.02425 THEN -({tail(high)}) "
+        f"ELSE {_poly(r, X.ACKLAM_A)} * {q} / {_poly(r, (*X.ACKLAM_B, 1.0))} END"
+    )
+
+
+_CLASS = (
+    "CASE WHEN {c} IS NULL THEN NULL WHEN {c} <= -1.282 THEN 0 WHEN {c} <= -0.842 THEN 1 WHEN {c} <= -0.253 THEN 2 "
+    "WHEN {c} <= 0.253 THEN 3 WHEN {c} <= 0.842 THEN 4 WHEN {c} <= 1.282 THEN 5 ELSE 6 END"
+)
+_NORMAL = f"""SELECT l_suppkey, month, value, n_, CASE WHEN n_ >= {MIN_YEARS} AND sd >= 1e-9 THEN (value - mean) / sd END AS z,
+    CASE WHEN n_ >= {MIN_YEARS} THEN {_probit_sql("(CAST(r AS DOUBLE) / (n_ + 1))")} END AS nqt FROM (
+  SELECT *, avg(value) OVER w AS mean, stddev_samp(value) OVER w AS sd, count(value) OVER w AS n_,
+    rank() OVER (PARTITION BY l_suppkey, month(month) ORDER BY value) AS r FROM {{p}}
+  WINDOW w AS (PARTITION BY l_suppkey, month(month)))"""
+
+_MART = f"""
+WITH panel AS ({_PANEL.format(v="l_extendedprice")}), quantity AS ({_PANEL.format(v="l_quantity")}),
+a AS (SELECT * FROM ({_Z.format(p="panel")}) WHERE month >= DATE '{SERVED}' AND z IS NOT NULL),
+g AS (SELECT * FROM ({_NORMAL.format(p="quantity")}) WHERE month >= DATE '{SERVED}'),
+e AS ({_EXPOSURE}),
+j AS (SELECT a.l_suppkey, a.month, e.e, a.z, g.nqt, 1 / (1 + exp(a.z)) AS dry, 1 / (1 + exp(g.z)) AS dry_b,
+    CASE WHEN g.z IS NULL THEN 0 ELSE 0.5 * coalesce(CASE WHEN a.l_suppkey % 3 <> 0 THEN 0.5 END, 0) END AS w_b
+  FROM a JOIN e USING (l_suppkey) LEFT JOIN g ON g.l_suppkey = a.l_suppkey AND g.month = a.month),
+t AS (SELECT *, CASE WHEN dry_b IS NULL OR w_b <= 0 THEN dry ELSE (dry + w_b * dry_b) / (1 + w_b) END AS t FROM j),
+s AS (SELECT *, CAST(least(greatest(floor(100.0 * e * pow(t, 0.8) + 0.5), 0), 100) AS INTEGER) AS score FROM t),
+q AS (SELECT coalesce(round_even(quantile_cont(score, 0.2), 0), 20) AS q1, coalesce(round_even(quantile_cont(score, 0.4), 0), 40) AS q2,
+    coalesce(round_even(quantile_cont(score, 0.6), 0), 60) AS q3, coalesce(round_even(quantile_cont(score, 0.8), 0), 80) AS q4
+  FROM s WHERE e > 0),
+m AS (SELECT s.*, CASE WHEN NOT e > 0 THEN NULL WHEN score <= q1 THEN 1 WHEN score <= q2 THEN 2 WHEN score <= q3 THEN 3
+    WHEN score <= q4 THEN 4 ELSE 5 END AS level_code FROM s, q)
+"""
+
+
+# Panels ------------------------------------------------------------------------------------------
+
+
+@query(f"""WITH panel AS ({_PANEL.format(v="l_extendedprice")})
+SELECT l_suppkey, CAST(month(month) AS INTEGER) AS calendar_month, round(avg(value), 4) AS mean, round(stddev_samp(value), 4) AS sd,
+  count(value) AS n FROM panel GROUP BY 1, 2""")
+def climatology(spark: SparkSession, d: str) -> DataFrame:
+    return rounded(P.climatology(_panel(spark, d), "l_suppkey", "month", "value"), 4)
+
+
+@query(f"""WITH panel AS ({_PANEL.format(v="l_extendedprice")})
+SELECT l_suppkey, month, round(value, 2) AS value, round(z, 6) AS z, n_ AS n FROM ({_Z.format(p="panel")})
+WHERE month >= DATE '{SERVED}'""")
+def seasonal_anomaly(spark: SparkSession, d: str) -> DataFrame:
+    return rounded(_anomaly(spark, d), value=2)
+
+
+@query("""SELECT l_suppkey, CAST(date_trunc('month', l_shipdate) AS DATE) AS month, round(median(l_quantity), 4) AS value,
+  count(*) AS n FROM lineitem WHERE l_quantity IS NOT NULL GROUP BY 1, 2""")
+def monthly_median(spark: SparkSession, d: str) -> DataFrame:
+    return rounded(P.monthly_median(io.read_table(spark, d, "lineitem"), "l_suppkey", "l_shipdate", "l_quantity"), 4)
+
+
+@query(f"""WITH panel AS ({_PANEL.format(v="l_quantity")})
+SELECT l_suppkey, month, round(value, 6) AS value, n_ AS n, round(z, 6) AS z, round(nqt, 6) AS nqt,
+  CAST({_CLASS.format(c="nqt")} AS INTEGER) AS index_class
+FROM ({_NORMAL.format(p="panel")}) WHERE month >= DATE '{SERVED}'""")
+def normal_score_class(spark: SparkSession, d: str) -> DataFrame:
+    out = P.normal_score(_panel(spark, d, "l_quantity"), "l_suppkey", "month", "value", MIN_YEARS, SERVED)
+    return rounded(out).withColumn("index_class", F.col("index_class").cast("int"))
+
+
+@query("""SELECT o_custkey, first, last, round(years, 6) AS years,
+  round(CASE WHEN years < 2 THEN 0 WHEN years >= 6 THEN 1 ELSE 0.4 + 0.6 * (years - 2) / 4 END * 0.9, 6) AS confidence
+FROM (SELECT o_custkey, CAST(min(o_orderdate) AS DATE) AS first, CAST(max(o_orderdate) AS DATE) AS last,
+  date_diff('day', CAST(min(o_orderdate) AS DATE), CAST(max(o_orderdate) AS DATE)) / 365.25 AS years FROM orders GROUP BY 1)
+WHERE years >= 1 AND last >= DATE '2000-01-01'""")
+def series_confidence(spark: SparkSession, d: str) -> DataFrame:
+    rows = P.eligible_series(io.read_table(spark, d, "orders"), "o_custkey", "o_orderdate", 1, "2000-01-01")
+    return rounded(rows.withColumn("confidence", X.confidence("years", aquifer=0.9, min_years=2.0, full_years=6.0)))
+
+
+@query("""SELECT l_suppkey, count(*) AS n, min(d) AS first FROM (
+  SELECT l_suppkey, CAST(l_shipdate AS DATE) AS d, max(CAST(l_shipdate AS DATE)) OVER (PARTITION BY l_suppkey) AS last FROM lineitem)
+WHERE d >= last - 1096 GROUP BY 1""")
+def history_cap(spark: SparkSession, d: str) -> DataFrame:
+    kept = P.cap_history(io.read_table(spark, d, "lineitem"), "l_suppkey", "l_shipdate", 3)
+    return kept.groupBy("l_suppkey").agg(F.count("*").alias("n"), F.min(F.col("l_shipdate").cast("date")).alias("first"))
+
+
+@query("""SELECT c.o_orderkey, c.o_custkey FROM orders c LEFT JOIN (
+  SELECT o_custkey, CAST(max(o_orderdate) AS DATE) AS covered_to FROM orders WHERE o_orderdate < TIMESTAMP '2000-01-01' AND o_custkey % 4 <> 0
+  GROUP BY 1) k USING (o_custkey) WHERE k.covered_to IS NULL OR CAST(c.o_orderdate AS DATE) > k.covered_to""")
+def append_new(spark: SparkSession, d: str) -> DataFrame:
+    orders = io.read_table(spark, d, "orders").withColumn("o_orderdate", F.col("o_orderdate").cast("date"))
+    stored = orders.where("o_orderdate < date '2000-01-01' and o_custkey % 4 <> 0")
+    covered = stored.groupBy("o_custkey").agg(F.max("o_orderdate").alias("covered_to"))
+    return P.append_new(orders, covered, "o_custkey", "o_orderdate").select("o_orderkey", "o_custkey")
+
+
+@query(f"""WITH panel AS ({_PANEL.format(v="l_extendedprice")}), z AS ({_Z.format(p="panel")})
+SELECT s.s_nationkey, z.month, round(sum(z.z * greatest(s.s_acctbal, 0)) / sum(greatest(s.s_acctbal, 0)), 6) AS value, count(*) AS n
+FROM z JOIN supplier s ON s.s_suppkey = z.l_suppkey WHERE z.z IS NOT NULL AND s.s_acctbal > 0 AND z.month >= DATE '{SERVED}' GROUP BY 1, 2""")
+def weighted_mean_bridge(spark: SparkSession, d: str) -> DataFrame:
+    bridge = io.read_table(spark, d, "supplier").select(
+        F.col("s_suppkey").alias("l_suppkey"), "s_nationkey", F.greatest("s_acctbal", F.lit(0.0)).alias("weight")
+    )
+    return rounded(P.weighted_mean(_anomaly(spark, d).join(bridge, "l_suppkey"), ["s_nationkey", "month"], "z", "weight"))
+
+
+@query(_MART + "SELECT l_suppkey, month, round(z, 6) AS z, round(t, 6) AS t, round(w_b / (1 + w_b), 6) AS confidence_t FROM m")
+def tension_blend(spark: SparkSession, d: str) -> DataFrame:
+    return rounded(_mart(spark, d).select("l_suppkey", "month", "z", "t", "confidence_t"))
+
+
+@query(_MART + "SELECT l_suppkey, month, round(e, 6) AS e, score FROM m")
+def pressure_score(spark: SparkSession, d: str) -> DataFrame:
+    return rounded(_mart(spark, d).select("l_suppkey", "month", "e", "score"))
+
+
+@query(
+    _MART
+    + """SELECT l_suppkey, month, score, CAST(level_code AS INTEGER) AS level_code, ['very low', 'low', 'moderate', 'high', 'very high'][level_code] AS level
+FROM m"""
+)
+def pressure_levels(spark: SparkSession, d: str) -> DataFrame:
+    """The flagship: monthly scores of every supplier and their level by pooled quantiles."""
+    out = _mart(spark, d).select("l_suppkey", "month", "score", "level_code", "level")
+    return out.withColumn("level_code", F.col("level_code").cast("int"))
+
+
+@query(
+    _MART
+    + f"""SELECT l_suppkey, month, round(e, 6) AS e, round(z, 6) AS z, round(t, 6) AS t, score, CAST(level_code AS INTEGER) AS level_code,
+  CAST({_CLASS.format(c="nqt")} AS INTEGER) AS groundwater_class FROM m"""
+)
+def monthly_mart(spark: SparkSession, d: str) -> DataFrame:
+    out = _mart(spark, d).select("l_suppkey", "month", "e", "z", "t", "score", "level_code", "groundwater_class")
+    return rounded(out).withColumns({c: F.col(c).cast("int") for c in ("level_code", "groundwater_class")})
+
+
+@query(_MART + """SELECT month, count(*) FILTER (level_code = 1) AS l1, count(*) FILTER (level_code = 2) AS l2,
+  count(*) FILTER (level_code = 3) AS l3, count(*) FILTER (level_code = 4) AS l4, count(*) FILTER (level_code = 5) AS l5 FROM m GROUP BY 1""")
+def level_histogram(spark: SparkSession, d: str) -> DataFrame:
+    return P.level_histogram(_mart(spark, d), "month", "level_code")
+
+
+@query(_MART + "SELECT month, count(*) FILTER (level_code >= 4) AS n_high FROM m GROUP BY 1")
+def count_high(spark: SparkSession, d: str) -> DataFrame:
+    return serve.count_high(_mart(spark, d), "month")
+
+
+_MONTHS = ["199801", "199802", "199803", "199807", "200001"]
+
+
+@query(
+    _MART
+    + "SELECT l_suppkey, "
+    + ", ".join(
+        f"max(CASE WHEN strftime(month, '%Y%m') = '{m}' THEN CAST(level_code AS INTEGER) END) AS n_{m}, "
+        f"max(CASE WHEN strftime(month, '%Y%m') = '{m}' THEN score END) AS s_{m}"
+        for m in _MONTHS
+    )
+    + " FROM m GROUP BY 1"
+)
+def month_pivot(spark: SparkSession, d: str) -> DataFrame:
+    rows = _mart(spark, d).withColumn("level_code", F.col("level_code").cast("int"))
+    return P.pivot_months(rows, "l_suppkey", "month", {"n": "level_code", "s": "score"}, _MONTHS)
+
+
+@query(_MART + """, spine AS (SELECT CAST(unnest(generate_series((SELECT min(month) FROM m), (SELECT max(month) FROM m), INTERVAL 1 MONTH)) AS DATE) AS month),
+ids AS (SELECT l_suppkey, max(e) > 0 AS exposed FROM m GROUP BY 1)
+SELECT l_suppkey, exposed, string_agg(CAST(least(greatest(coalesce(m.score, 0), 0), 255) AS VARCHAR), ',' ORDER BY month) AS scores
+FROM ids CROSS JOIN spine LEFT JOIN m USING (l_suppkey, month) GROUP BY 1, 2""")
+def dense_matrix(spark: SparkSession, d: str) -> DataFrame:
+    out = P.score_matrix(_mart(spark, d), "l_suppkey", "month", "score", "e")
+    return out.withColumn("scores", F.concat_ws(",", F.col("scores").cast("array<string>")))
+
+
+@query(
+    _MART
+    + "SELECT l_suppkey, CAST(year(month) AS INTEGER) AS year, "
+    + ", ".join(f"max(CASE WHEN month(month) = {i} THEN score END) AS m{i}" for i in range(1, 13))
+    + " FROM m GROUP BY 1, 2"
+)
+def calendar_matrix(spark: SparkSession, d: str) -> DataFrame:
+    return P.calendar_matrix(_mart(spark, d), "l_suppkey", "month", "score")
+
+
+@query(
+    _MART
+    + "SELECT month, "
+    + ", ".join(f"max(CASE WHEN l_suppkey = {i} THEN score END) AS e{i}" for i in (1, 2, 3, 4))
+    + " FROM m WHERE l_suppkey IN (1, 2, 3, 4) GROUP BY 1"
+)
+def compare_series(spark: SparkSession, d: str) -> DataFrame:
+    return P.compare(_mart(spark, d), "l_suppkey", "month", "score", [1, 2, 3, 4])
+
+
+@query(f"""WITH panel AS ({_PANEL.format(v="l_extendedprice")}), z AS ({_Z.format(p="panel")})
+SELECT l_suppkey, round(arg_max(z, month), 6) AS z, max(month) AS month FROM z WHERE z IS NOT NULL AND month >= DATE '{SERVED}' GROUP BY 1""")
+def latest_value(spark: SparkSession, d: str) -> DataFrame:
+    return rounded(P.latest_value(_anomaly(spark, d), "l_suppkey", "month", "z"))
+
+
+@query(_MART + "SELECT l_suppkey, month, score FROM m WHERE month = (SELECT max(month) FROM m)")
+def latest_period(spark: SparkSession, d: str) -> DataFrame:
+    return P.latest_period(_mart(spark, d).select("l_suppkey", "month", "score"), "month")
+
+
+@query(_MART + """SELECT s.s_suppkey AS l_suppkey, s.s_name, r.month, r.score, CAST(r.level_code AS INTEGER) AS level_code FROM supplier s LEFT JOIN (
+  SELECT *, row_number() OVER (PARTITION BY l_suppkey ORDER BY month DESC) AS r FROM m) r ON r.l_suppkey = s.s_suppkey AND r.r = 1""")
+def entity_card(spark: SparkSession, d: str) -> DataFrame:
+    static = io.read_table(spark, d, "supplier").select(F.col("s_suppkey").alias("l_suppkey"), "s_name")
+    panel = _mart(spark, d).select("l_suppkey", "month", "score", F.col("level_code").cast("int").alias("level_code"))
+    return serve.entity_card(static, panel, "l_suppkey", "month")
+
+
+@query(_MART + "SELECT l_suppkey, month, score FROM m WHERE l_suppkey IN (3, 5, 8)")
+def entity_series(spark: SparkSession, d: str) -> DataFrame:
+    return serve.entity_series(_mart(spark, d).select("l_suppkey", "month", "score"), "l_suppkey", "month", [3, 5, 8])
+
+
+@query(_MART + "SELECT l_suppkey, month, score FROM m WHERE month = DATE '2000-06-01'")
+def at_month(spark: SparkSession, d: str) -> DataFrame:
+    return serve.at_month(_mart(spark, d).select("l_suppkey", "month", "score"), "month", "2000-06-01")
+
+
+# Events --------------------------------------------------------------------------------------------
+
+
+def _orders(spark: SparkSession, d: str) -> DataFrame:
+    o = io.read_table(spark, d, "orders").where("o_orderstatus = 'F'")
+    start = F.col("o_orderdate").cast("date")
+    return o.select("o_custkey", F.col("o_orderkey").alias("order_id"), start.alias("start"), F.add_months(start, 3).alias("end"))
+
+
+def _nation_z(spark: SparkSession, d: str) -> DataFrame:
+    s = io.read_table(spark, d, "supplier").select(F.col("s_suppkey").alias("l_suppkey"), F.col("s_nationkey").alias("nation"))
+    lines = io.read_table(spark, d, "lineitem").join(s, "l_suppkey")
+    return P.seasonal_anomaly(P.monthly(lines, "nation", "l_shipdate", "l_extendedprice"), "nation", "month", "value")
+
+
+def _severities(spark: SparkSession, d: str) -> DataFrame:
+    nation = io.read_table(spark, d, "customer").select(F.col("c_custkey").alias("o_custkey"), F.col("c_nationkey").alias("nation"))
+    events = _orders(spark, d).join(nation, "o_custkey").select("nation", "order_id", "start", "end")
+    return C.peak_severity(events, _nation_z(spark, d), "nation", "month", "z", 2)
+
+
+_SEVERITY = """
+WITH panel AS (SELECT s_nationkey AS nation, CAST(date_trunc('month', l_shipdate) AS DATE) AS month, avg(l_extendedprice) AS value
+  FROM lineitem JOIN supplier ON s_suppkey = l_suppkey GROUP BY 1, 2),
+z AS (SELECT nation, month, CASE WHEN sd >= 1e-9 THEN (value - mean) / sd END AS z FROM (
+  SELECT *, avg(value) OVER w AS mean, stddev_samp(value) OVER w AS sd FROM panel WINDOW w AS (PARTITION BY nation, month(month)))),
+ev AS (SELECT c_nationkey AS nation, o_orderkey AS order_id, CAST(o_orderdate AS DATE) AS s, CAST(CAST(o_orderdate AS DATE) + INTERVAL 3 MONTH AS DATE) AS f
+  FROM orders JOIN customer ON c_custkey = o_custkey WHERE o_orderstatus = 'F'),
+sev AS (SELECT ev.nation, order_id, max(-z.z) AS severity FROM ev JOIN z ON z.nation = ev.nation AND z.z IS NOT NULL
+  AND z.month <= date_trunc('month', f) AND z.month >= greatest(date_trunc('month', s), date_trunc('month', f) - INTERVAL 2 MONTH) GROUP BY 1, 2)
+"""
+
+
+@query("""SELECT o_custkey, count(*) AS freq, min(d) AS first, max(d) AS last,
+  array_to_string(list_sort(list_distinct(list(CAST(year(d) AS INTEGER)))), ',') AS years, count(*) AS n_events
+FROM (SELECT o_custkey, o_orderkey, CAST(min(o_orderdate) AS DATE) AS d FROM orders WHERE o_orderstatus = 'F' GROUP BY 1, 2) GROUP BY 1""")
+def order_profile(spark: SparkSession, d: str) -> DataFrame:
+    rows = _orders(spark, d)
+    twice = rows.unionByName(rows.where("order_id % 5 = 0").withColumn("end", F.add_months("end", 1)))
+    out = C.order_profile(twice, "o_custkey", "order_id", "start", "end")
+    years = F.concat_ws(",", F.col("years").cast("array<string>"))
+    return out.select("o_custkey", "freq", "first", "last", years.alias("years"), F.size("events").cast("long").alias("n_events"))
+
+
+@query(_SEVERITY + "SELECT nation, order_id, round(severity, 6) AS severity FROM sev")
+def event_window_peak(spark: SparkSession, d: str) -> DataFrame:
+    return rounded(_severities(spark, d))
+
+
+@query(_SEVERITY + """, size AS (SELECT nation, count(*) AS n FROM sev GROUP BY 1 HAVING count(*) >= 200),
+pool AS (SELECT CAST(nation AS VARCHAR) AS pool, severity FROM sev SEMI JOIN size USING (nation) UNION ALL SELECT 'NAT', severity FROM sev),
+pt AS (SELECT z.nation, z.month, round(-z.z, 9) AS s, coalesce(CAST(size.nation AS VARCHAR), 'NAT') AS pool_level FROM z LEFT JOIN size USING (nation) WHERE z.z IS NOT NULL)
+SELECT nation, month, pool_level, round(count(*) FILTER (round(pool.severity, 9) <= pt.s) / count(*), 6) AS h, count(*) AS n_events
+FROM pt JOIN pool ON pool.pool = pt.pool_level GROUP BY 1, 2, 3""")
+def pooled_ecdf(spark: SparkSession, d: str) -> DataFrame:
+    events = _severities(spark, d).select(F.col("nation").cast("string").alias("pool"), F.round("severity", 9).alias("severity"))
+    points = _nation_z(spark, d).select("nation", "month", F.col("nation").cast("string").alias("pool"), F.round(-F.col("z"), 9).alias("s"))
+    out = C.pooled_ecdf(points, events, "pool", 200)
+    return rounded(out.select("nation", "month", "pool_level", "h", "n_events"))
+
+
+# Allocation and transactions ---------------------------------------------------------------------
+
+
+@query("""SELECT c_custkey, round(CASE WHEN sum(w) OVER p > 0 THEN t * w / sum(w) OVER p WHEN t IS NOT NULL THEN 0 END, 6) AS part FROM (
+  SELECT c_custkey, c_nationkey, greatest(c_acctbal, 0) AS w, CASE WHEN c_nationkey % 5 <> 0 THEN 1000.0 * c_nationkey END AS t FROM customer)
+WINDOW p AS (PARTITION BY c_nationkey)""")
+def proportional_allocation(spark: SparkSession, d: str) -> DataFrame:
+    c = io.read_table(spark, d, "customer").withColumn("t", F.when(F.col("c_nationkey") % 5 != 0, F.col("c_nationkey") * 1000.0))
+    return rounded(c.select("c_custkey", A.allocate(c, "c_nationkey", "t", F.greatest("c_acctbal", F.lit(0.0))).alias("part")))
+
+
+@query("""SELECT c_nationkey, round(sum(o_totalprice) FILTER (o_orderpriority IN ('1-URGENT', '2-HIGH')) / sum(o_totalprice), 6) AS share
+FROM orders JOIN customer ON c_custkey = o_custkey GROUP BY 1""")
+def filtered_share(spark: SparkSession, d: str) -> DataFrame:
+    rows = io.read_table(spark, d, "orders").join(io.read_table(spark, d, "customer"), F.col("o_custkey") == F.col("c_custkey"))
+    return rounded(A.share_of(rows, "c_nationkey", F.col("o_orderpriority").isin("1-URGENT", "2-HIGH"), "o_totalprice"))
+
+
+@query("""WITH p AS (SELECT c_nationkey, sum(o_totalprice) FILTER (o_orderpriority IN ('1-URGENT', '2-HIGH')) / sum(o_totalprice) AS v
+  FROM orders JOIN customer ON c_custkey = o_custkey GROUP BY 1)
+SELECT c.c_custkey, c.c_nationkey, round(CASE WHEN sum(w) OVER g > 0 THEN e * w / sum(w) OVER g WHEN e IS NOT NULL THEN 0 END, 6) AS n_exposed,
+  round(p.v, 6) AS vulnerable_share, coalesce(c.c_nationkey % 3 = 0, false) AND c.c_nationkey < 20 AS suppressed
+FROM (SELECT *, greatest(c_acctbal, 0) * (c_custkey % 5) / 5 AS w, CASE WHEN c_nationkey < 20 THEN 100.0 + c_nationkey END AS e FROM customer) c
+LEFT JOIN p USING (c_nationkey) WINDOW g AS (PARTITION BY c.c_nationkey)""")
+def downscale(spark: SparkSession, d: str) -> DataFrame:
+    customer = io.read_table(spark, d, "customer")
+    members = customer.select("c_custkey", "c_nationkey", F.greatest("c_acctbal", F.lit(0.0)).alias("houses"), ((F.col("c_custkey") % 5) / 5).alias("share"))
+    n = F.col("n_nationkey")
+    groups = io.read_table(spark, d, "nation").where("n_nationkey < 20")
+    groups = groups.select(n.alias("c_nationkey"), (n + 100.0).alias("exposed"), (n % 3 == 0).alias("suppressed"))
+    orders = io.read_table(spark, d, "orders").join(customer, F.col("o_custkey") == F.col("c_custkey"))
+    periods = orders.select("c_nationkey", F.col("o_orderpriority").alias("period"), F.col("o_totalprice").alias("houses"))
+    return rounded(A.downscale(members, groups, periods, "c_custkey", "c_nationkey", ("1-URGENT", "2-HIGH")))
+
+
+@query("""WITH t AS (SELECT l_orderkey, max(o_totalprice) AS value, CAST(max(o_orderdate) AS DATE) AS d, max(c_nationkey) AS nation,
+    count(*) FILTER (l_returnflag = 'R') AS nw, count(*) FILTER (l_returnflag = 'A') AS no, sum(l_quantity) FILTER (l_returnflag = 'R') AS q
+  FROM lineitem JOIN orders ON o_orderkey = l_orderkey JOIN customer ON c_custkey = o_custkey GROUP BY 1),
+i AS (SELECT *, value / q AS unit FROM t WHERE nw = 1 AND no = 0 AND q > 0 AND value / q BETWEEN 200 AND 15000)
+SELECT nation, round(median(unit), 4) AS median_price, round(median(q), 4) AS median_surface, count(*) AS n,
+  count(*) FILTER (d >= (SELECT max(d) FROM i) - INTERVAL 12 MONTH) AS n_recent, CAST(min(year(d)) AS INTEGER) AS first_year,
+  CAST(max(year(d)) AS INTEGER) AS last_year, max(d) AS last_date FROM i GROUP BY 1""")
+def single_item_median(spark: SparkSession, d: str) -> DataFrame:
+    lines = (
+        io.read_table(spark, d, "lineitem")
+        .join(io.read_table(spark, d, "orders"), F.col("l_orderkey") == F.col("o_orderkey"))
+        .join(io.read_table(spark, d, "customer").select(F.col("c_custkey").alias("o_custkey"), F.col("c_nationkey").alias("nation")), "o_custkey")
+    )
+    flag = F.col("l_returnflag")
+    out = TX.price_profile(lines, ["nation", "l_orderkey"], "nation", "o_totalprice", "o_orderdate", flag == "R", flag == "A", "l_quantity")
+    return rounded(out, 4)
+
+
+@query("""SELECT c_nationkey, count(*) FILTER (CAST(o_orderdate AS DATE) >= (SELECT max(CAST(o_orderdate AS DATE)) FROM orders) - INTERVAL 12 MONTH) AS n
+FROM orders JOIN customer ON c_custkey = o_custkey GROUP BY 1""")
+def trailing_count(spark: SparkSession, d: str) -> DataFrame:
+    rows = io.read_table(spark, d, "orders").join(io.read_table(spark, d, "customer"), F.col("o_custkey") == F.col("c_custkey"))
+    return TX.trailing_count(rows, "c_nationkey", "o_orderdate")
+
+
+@query("""SELECT o_custkey, bool_or(p = '5-LOW') AS has_suppressed, TRY_CAST(max(v) FILTER (p = '1-URGENT') AS BIGINT) AS urgent,
+  TRY_CAST(max(v) FILTER (p = '2-HIGH') AS DOUBLE) AS high FROM (
+  SELECT o_custkey, o_orderpriority AS p, CAST(max(CAST(round(o_totalprice) AS BIGINT)) AS VARCHAR) AS v FROM orders GROUP BY 1, 2) GROUP BY 1""")
+def attribute_pivot(spark: SparkSession, d: str) -> DataFrame:
+    text = F.max(F.round("o_totalprice").cast("long")).cast("string")
+    rows = io.read_table(spark, d, "orders").groupBy("o_custkey", "o_orderpriority").agg(text.alias("v"))
+    rows = rows.withColumn("v", F.when(F.col("o_orderpriority") == "5-LOW", "secret").otherwise(F.col("v")))
+    spec = {"1-URGENT": ("urgent", "long"), "2-HIGH": ("high", "double")}
+    return P.pivot_attributes(rows, "o_custkey", "o_orderpriority", "v", spec, "secret")
+
+
+# Marts ----------------------------------------------------------------------------------------------
+
+_STATIC = """
+WITH base AS (SELECT c_custkey, c_nationkey, c_acctbal / 10000 AS share FROM customer),
+o AS (SELECT o_custkey AS c_custkey, count(DISTINCT o_orderkey) AS freq, CAST(max(o_orderdate) AS DATE) AS last FROM orders WHERE o_orderstatus = 'F' GROUP BY 1),
+st AS (SELECT c_custkey, CASE WHEN c_custkey % 2 = 0 THEN (c_custkey % 10) / 10 END AS v, CAST(c_custkey % 50 AS DOUBLE) AS n, c_custkey % 11 = 0 AS sup
+  FROM customer WHERE c_custkey % 4 <> 3),
+m AS (SELECT b.*, coalesce(o.freq, 0) AS freq, o.last, st.n, coalesce(st.sup, false) AS suppressed,
+    CASE WHEN coalesce(share, 0) <= 0 THEN 0.0 WHEN st.v IS NULL THEN least(greatest(share, 0), 1)
+    ELSE least(greatest(0.6 * share + 0.4 * st.v, 0), 1) END AS e, st.n * 90.0 * 2000.0 AS ev, coalesce(b.c_custkey % 13 = 0, false) AS re
+  FROM base b LEFT JOIN o USING (c_custkey) LEFT JOIN st USING (c_custkey))
+"""
+
+
+def _static(spark: SparkSession, d: str) -> DataFrame:
+    c = io.read_table(spark, d, "customer")
+    k = F.col("c_custkey")
+    stock = c.where(k % 4 != 3).select(
+        "c_custkey", F.when(k % 2 == 0, (k % 10) / 10).alias("vulnerable_share"), (k % 50).cast("double").alias("n_exposed"), (k % 11 == 0).alias("suppressed")
+    )
+    prices = c.select("c_custkey", F.lit(2000.0).alias("median_price"), F.lit(90.0).alias("median_surface"))
+    changed = c.where(k % 13 == 0).select("c_custkey", F.lit("low").alias("class_before"), F.lit("high").alias("class_after"), F.lit(True).alias("reclassified"))
+    orders = C.order_profile(_orders(spark, d).withColumnRenamed("o_custkey", "c_custkey"), "c_custkey", "order_id", "start", "end")
+    shares = c.select("c_custkey", (F.col("c_acctbal") / 10000).alias("share"))
+    return marts.static_mart(c.select("c_custkey", "c_nationkey"), shares, stock, prices, changed, orders, None, "c_custkey", "month")
+
+
+@query(_STATIC + "SELECT c_custkey, c_nationkey, round(e, 6) AS e, round(ev, 2) AS exposed_value, re AS reclassified, suppressed, freq, last FROM m")
+def static_mart(spark: SparkSession, d: str) -> DataFrame:
+    out = _static(spark, d).select("c_custkey", "c_nationkey", "e", "exposed_value", "reclassified", "suppressed", "freq", "last")
+    return rounded(out, exposed_value=2)
+
+
+@query(_STATIC + """SELECT count(*) AS n_entities, count(*) FILTER (e > 0) AS n_exposed, round(sum(ev), 2) AS total_value,
+  count(*) FILTER (re) AS n_reclassified, (SELECT CAST(date_trunc('month', min(l_shipdate)) AS DATE) FROM lineitem) AS first,
+  (SELECT CAST(date_trunc('month', max(l_shipdate)) AS DATE) FROM lineitem) AS last,
+  (SELECT count(DISTINCT date_trunc('month', l_shipdate)) FROM lineitem) AS n_months FROM m""")
+def summary_meta(spark: SparkSession, d: str) -> DataFrame:
+    return rounded(serve.summary(_static(spark, d), _panel(spark, d), "c_custkey", "month"), 2)
+
+
+@query("""SELECT p_partkey, CASE WHEN p_partkey % 9 = 0 THEN p_brand END AS class_before, CASE WHEN p_partkey % 9 = 0 THEN p_type END AS class_after,
+  CASE WHEN p_partkey % 9 = 0 THEN 'up' END AS kind, p_partkey % 9 = 0 AS reclassified FROM part""")
+def reclassified(spark: SparkSession, d: str) -> DataFrame:
+    part = io.read_table(spark, d, "part")
+    changes = part.where("p_partkey % 9 = 0").select(
+        "p_partkey", F.col("p_brand").alias("class_before"), F.col("p_type").alias("class_after"), F.lit("up").alias("kind")
+    )
+    return marts.reclassified(part.select("p_partkey"), changes, "p_partkey")
+
+
+@query(
+    _MART
+    + """SELECT l_suppkey, month, CAST(CASE WHEN eb > 0 AND tb > 0 THEN (eb - 1) * 3 + tb ELSE 0 END AS INTEGER) AS bivariate FROM (
+  SELECT *, CASE WHEN e <= 0 THEN 0 WHEN e < 0.25 THEN 1 WHEN e < 0.6 THEN 2 ELSE 3 END AS eb, CASE WHEN t < 0.4 THEN 1 WHEN t < 0.7 THEN 2 ELSE 3 END AS tb FROM m)"""
+)
+def bivariate_bins(spark: SparkSession, d: str) -> DataFrame:
+    return _mart(spark, d).select("l_suppkey", "month", X.bivariate(X.exposure_bin("e"), X.tension_bin("t")).cast("int").alias("bivariate"))
+
+
+@query(
+    _MART
+    + "SELECT s.s_suppkey AS l_suppkey, round(x.e, 4) AS e, "
+    + ", ".join(f"max(CASE WHEN strftime(m.month, '%Y%m') = '{mm}' THEN m.score END) AS s_{mm}" for mm in _MONTHS)
+    + " FROM supplier s JOIN e x ON x.l_suppkey = s.s_suppkey LEFT JOIN m ON m.l_suppkey = s.s_suppkey GROUP BY 1, 2"
+)
+def feature_table(spark: SparkSession, d: str) -> DataFrame:
+    mart = _exposure(spark, d).withColumn("exposed_value", F.lit(0.0))
+    out = marts.feature_table(mart, _mart(spark, d), "l_suppkey", "month", _MONTHS)
+    return out.select("l_suppkey", "e", *[f"s_{m}" for m in _MONTHS])
+
+
+# Codes, search, checks -------------------------------------------------------------------------------
+
+_CODE = "CASE WHEN c_custkey % 3 = 0 THEN '751' WHEN c_custkey % 3 = 1 THEN '693' ELSE '974' END || lpad(CAST(c_custkey % 100 AS VARCHAR), 2, '0')"
+
+
+def _coded(spark: SparkSession, d: str) -> DataFrame:
+    k = F.col("c_custkey")
+    head = F.when(k % 3 == 0, "751").when(k % 3 == 1, "693").otherwise("974")
+    return io.read_table(spark, d, "customer").select("c_custkey", F.concat(head, F.lpad((k % 100).cast("string"), 2, "0")).alias("code"))
+
+
+@query(f"""SELECT c_custkey, code, CASE WHEN code BETWEEN '75101' AND '75120' THEN '75056' WHEN code BETWEEN '69381' AND '69389' THEN '69123'
+    WHEN code BETWEEN '13201' AND '13216' THEN '13055' ELSE code END AS parent,
+  CASE WHEN substr(code, 1, 2) IN ('97', '98') THEN substr(code, 1, 3) ELSE substr(code, 1, 2) END AS dept
+FROM (SELECT c_custkey, {_CODE} AS code FROM customer)""")
+def code_rollup(spark: SparkSession, d: str) -> DataFrame:
+    return _coded(spark, d).select("c_custkey", "code", X.rollup_code("code").alias("parent"), X.dept_of("code").alias("dept"))
+
+
+@query(f"""SELECT c_custkey, code FROM (SELECT c_custkey, {_CODE} AS code FROM customer)
+WHERE code NOT BETWEEN '75101' AND '75120' AND code NOT BETWEEN '69381' AND '69389' AND code NOT BETWEEN '13201' AND '13216'""")
+def code_exclusion(spark: SparkSession, d: str) -> DataFrame:
+    return _coded(spark, d).where(~X.in_ranges("code"))
+
+
+@query("SELECT p_partkey FROM part WHERE lower(p_type) = 'economy'")
+def fold_match(spark: SparkSession, d: str) -> DataFrame:
+    return io.read_table(spark, d, "part").where(X.eq_fold("p_type", "Éçonomy")).select("p_partkey")
+
+
+_QUERIES = ["small ri", "red", "blue widgit", "42", "gren"]
+_ASKED = ", ".join(f"('{q}')" for q in _QUERIES)
+
+
+@query(f"""WITH ix AS (SELECT p_partkey, lower(p_name) AS f FROM part), q AS (SELECT * FROM (VALUES {_ASKED}) AS t(query)),
+k AS (SELECT query, p_partkey, f, 1 AS r FROM q JOIN ix ON CAST(p_partkey AS VARCHAR) = query),
+w AS (SELECT p_partkey, f, unnest(string_split(f, ' ')) AS w FROM ix),
+e AS (SELECT query, string_split(query, ' ')[-1] AS l FROM q),
+n AS (SELECT query, p_partkey, f, CASE WHEN starts_with(w, l) THEN 3 ELSE 4 END AS r FROM e JOIN w ON substr(w, 1, 2) = substr(l, 1, 2)
+  WHERE length(l) >= 2 AND length(w) >= 2 AND (starts_with(w, l) OR levenshtein(w, l) <= floor(0.2 * length(l)))),
+b AS (SELECT query, p_partkey, min(r) AS rank, min(f) AS f FROM (SELECT * FROM k UNION ALL SELECT * FROM n) GROUP BY 1, 2)
+SELECT query, p_partkey, CAST(rank AS INTEGER) AS rank, CAST(place AS INTEGER) AS place FROM (
+  SELECT *, row_number() OVER (PARTITION BY query ORDER BY rank, f, p_partkey) AS place FROM b) WHERE place <= 8""")
+def entity_search(spark: SparkSession, d: str) -> DataFrame:
+    index = serve.search_index(io.read_table(spark, d, "part").select("p_partkey", "p_name"), "p_partkey", "p_name", None, None, "month")
+    asked = spark.createDataFrame([(q,) for q in _QUERIES], "query string")
+    return serve.search(index, asked, "p_partkey")
+
+
+@query(f"""WITH z AS (SELECT DISTINCT code AS raw, CASE WHEN code BETWEEN '75101' AND '75120' THEN '75056' WHEN code BETWEEN '69381' AND '69389' THEN '69123'
+    ELSE code END AS code, CAST(c_custkey % 7 AS VARCHAR) AS p FROM (SELECT c_custkey, {_CODE} AS code FROM customer)),
+a AS (SELECT code, string_agg(DISTINCT p, ',' ORDER BY p) AS postcodes FROM z GROUP BY 1)
+SELECT DISTINCT z.raw AS code, lower(z.raw) AS folded, coalesce(a.postcodes, '') AS postcodes FROM z LEFT JOIN a ON a.code = z.raw""")
+def search_index(spark: SparkSession, d: str) -> DataFrame:
+    codes = _coded(spark, d).withColumn("postcode", (F.col("c_custkey") % 7).cast("string"))
+    entities = codes.select("code").distinct().withColumn("name", F.col("code"))
+    out = serve.search_index(entities, "code", "name", codes.select("code", "postcode"), None, "month")
+    return out.select("code", "folded", F.concat_ws(",", "postcodes").alias("postcodes"))
+
+
+@query("SELECT c_custkey, c_name FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_orderstatus = 'F' AND o_custkey IS NOT NULL)")
+def orphans(spark: SparkSession, d: str) -> DataFrame:
+    late = io.read_table(spark, d, "orders").where("o_orderstatus = 'F'")
+    return checks.orphans(io.read_table(spark, d, "customer").select("c_custkey", "c_name"), late, "c_custkey", "o_custkey")
+
+
+@query("""SELECT 'customer' AS "table", 'negative_balance' AS "check", count(*) FILTER (c_acctbal < 0) AS n_bad, count(*) AS n_rows FROM customer
+UNION ALL SELECT 'customer', 'outside_box', count(*) FILTER (NOT (c_acctbal BETWEEN 0 AND 9000 AND c_nationkey BETWEEN 0 AND 20)), count(*) FROM customer
+UNION ALL SELECT 'orders', 'unknown_customer', count(*) FILTER (c_custkey IS NULL), count(*) FROM orders LEFT JOIN (SELECT c_custkey FROM customer WHERE c_custkey % 10 <> 0) ON c_custkey = o_custkey""")
+def expectations(spark: SparkSession, d: str) -> DataFrame:
+    customer = io.read_table(spark, d, "customer")
+    outside = X.outside_bbox("c_acctbal", "c_nationkey", (0, 0, 9000, 20))
+    first = checks.expect(customer, "customer", negative_balance=F.col("c_acctbal") < 0, outside_box=outside)
+    known = customer.where("c_custkey % 10 <> 0")
+    return first.unionByName(checks.expect_no_orphans(io.read_table(spark, d, "orders"), known, "o_custkey", "orders", "unknown_customer", "c_custkey"))
+
+
+@query(f"""WITH panel AS ({_PANEL.format(v="l_extendedprice")}), z AS ({_Z.format(p="panel")})
+SELECT count(*) AS n_rows, count(DISTINCT l_suppkey) AS distinct_l_suppkey, min(month) AS first, max(month) AS last,
+  count(*) FILTER (z IS NULL) AS null_z, round(avg(z), 6) + 0.0 AS mean_z, round(stddev_samp(z), 6) AS sd_z FROM z WHERE month >= DATE '{SERVED}'""")
+def profile(spark: SparkSession, d: str) -> DataFrame:
+    return rounded(checks.profile(_anomaly(spark, d), ["l_suppkey"], "month", ["z"]))
+
+
+@query("""SELECT o_custkey, o_orderkey FROM (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC, o_orderkey DESC) AS r
+  FROM orders WHERE o_orderpriority IN ('1-URGENT', '2-HIGH')) WHERE r = 1""")
+def latest_edition(spark: SparkSession, d: str) -> DataFrame:
+    bound = io.bound_to(io.read_table(spark, d, "orders"), "o_orderpriority", io.domain_codes(" 1-urgent,2-high, 2-HIGH"))
+    return io.latest_edition(bound, ["o_custkey"], ["o_orderdate", "o_orderkey"]).select("o_custkey", "o_orderkey")
+
+
+# Geometry ------------------------------------------------------------------------------------------
+
+# A nation is a rectangle on a five by five layout, its sides varying with the key.
+_BOX = """SELECT n_nationkey AS nation, n_regionkey AS region, (n_nationkey % 5) * 1000e0 AS x0, (n_nationkey // 5) * 1000e0 AS y0,
+  (n_nationkey % 5) * 1000e0 + 600 + 16 * n_nationkey AS x1, (n_nationkey // 5) * 1000e0 + 500 + 20 * n_nationkey AS y1 FROM nation"""
+_TILE = 800.0
+
+
+def _boxes(spark: SparkSession, d: str) -> DataFrame:
+    n = F.col("n_nationkey")
+    x0, y0 = (n % 5) * 1000.0, F.floor(n / 5) * 1000.0
+    return io.read_table(spark, d, "nation").select(
+        n.alias("nation"),
+        F.col("n_regionkey").alias("region"),
+        x0.alias("x0"),
+        y0.alias("y0"),
+        (x0 + 600 + 16 * n).alias("x1"),
+        (y0 + 500 + 20 * n).alias("y1"),
+    )
+
+
+def _polygons(spark: SparkSession, d: str, *more: str) -> DataFrame:
+    return G.rectangles_to_edges(_boxes(spark, d), ["nation", *more], "x0", "y0", "x1", "y1")
+
+
+def _points(spark: SparkSession, d: str) -> DataFrame:
+    at = lambda i: (F.element_at("embedding", i).cast("double") + 0.5) * 5000
+    return io.read_table(spark, d, "embeddings").select("vec_id", F.round(at(1), 3).alias("x"), F.round(at(2), 3).alias("y"))
+
+
+_POINTS = """SELECT vec_id, round((CAST(embedding[1] AS DOUBLE) + 0.5) * 5000, 3) AS x, round((CAST(embedding[2] AS DOUBLE) + 0.5) * 5000, 3) AS y FROM embeddings"""
+
+
+@query(f"SELECT nation, round((x1 - x0) * (y1 - y0), 4) AS area, round((x0 + x1) / 2, 4) AS cx, round((y0 + y1) / 2, 4) AS cy FROM ({_BOX})")
+def polygon_area_centroid(spark: SparkSession, d: str) -> DataFrame:
+    return rounded(G.polygon_centroid(_polygons(spark, d), ["nation"]), 4)
+
+
+@query(f"SELECT region, min(x0) AS xmin, min(y0) AS ymin, CAST(max(x1) AS DOUBLE) AS xmax, CAST(max(y1) AS DOUBLE) AS ymax FROM ({_BOX}) GROUP BY 1")
+def extent(spark: SparkSession, d: str) -> DataFrame:
+    return G.extent(_polygons(spark, d, "region"), ["region"])
+
+
+@query(f"""WITH b AS ({_BOX}), c AS (SELECT a.range AS i, b.range AS j, a.range * 10 + b.range AS cell FROM range(8) a, range(8) b)
+SELECT nation, cell, round((least(x1, i * 800 + 800.0) - greatest(x0, i * 800)) * (least(y1, j * 800 + 800.0) - greatest(y0, j * 800)), 2) AS weight
+FROM b JOIN c ON x0 < i * 800 + 800 AND x1 > i * 800 AND y0 < j * 800 + 800 AND y1 > j * 800""")
+def cell_overlap_weights(spark: SparkSession, d: str) -> DataFrame:
+    n = io.read_table(spark, d, "nation").where("n_nationkey < 8")
+    i, j = F.col("i"), F.col("j")
+    grid = n.select(F.col("n_nationkey").cast("long").alias("i")).crossJoin(n.select(F.col("n_nationkey").cast("long").alias("j")))
+    grid = grid.select((i * 10 + j).alias("cell"), (i * 800.0 + 400).alias("x"), (j * 800.0 + 400).alias("y"))
+    return rounded(G.cell_weights(_polygons(spark, d), grid, "nation", "cell", 400.0), 2)
+
+
+@query(f"""WITH b AS ({_BOX}), z AS (SELECT nation AS zone, region, nation % 3 + 1 AS level, x0 + 100 AS a0, y0 + 100 AS b0, x1 + 100 AS a1, y1 - 50 AS b1 FROM b WHERE region <> 4),
+o AS (SELECT b.nation, level, sum(greatest(0, least(x1, a1) - greatest(x0, a0)) * greatest(0, least(y1, b1) - greatest(y0, b0))) AS area
+  FROM b JOIN z USING (region) GROUP BY 1, 2),
+s AS (SELECT nation, region, (x1 - x0) * (y1 - y0) AS w, coalesce(sum(area) FILTER (level = 1), 0) AS c1, coalesce(sum(area) FILTER (level = 2), 0) AS c2,
+    coalesce(sum(area) FILTER (level = 3), 0) AS c3 FROM b LEFT JOIN o USING (nation) GROUP BY 1, 2, 3)
+SELECT nation, region, region <> 4 AS covered, round(least(c2 / w, 1), 6) AS share_medium, round(least(c3 / w, 1), 6) AS share_high,
+  round(least((c2 + c3) / w, 1), 6) AS share_medium_high, CASE WHEN region = 4 THEN NULL WHEN c1 + c2 + c3 <= 0 THEN 'none'
+    WHEN c3 >= c2 AND c3 >= c1 THEN 'high' WHEN c2 >= c1 THEN 'medium' ELSE 'low' END AS dominant, c1 + c2 + c3 > w * 1.01 AS overflow FROM s""")
+def zone_shares(spark: SparkSession, d: str) -> DataFrame:
+    zones = _boxes(spark, d).where("region <> 4").select(
+        F.col("nation").alias("zone"), "region", (F.col("nation") % 3 + 1).alias("level"),
+        (F.col("x0") + 100).alias("x0"), (F.col("y0") + 100).alias("y0"), (F.col("x1") + 100).alias("x1"), (F.col("y1") - 50).alias("y1"),
+    )
+    edges = G.rectangles_to_edges(zones, ["zone", "region", "level"], "x0", "y0", "x1", "y1")
+    return rounded(G.zone_shares(_polygons(spark, d, "region"), edges, "nation", "zone", "level", "region", _TILE))
+
+
+@query(f"WITH b AS ({_BOX}), p AS ({_POINTS}) SELECT vec_id, min(nation) AS nation FROM p JOIN b ON x > x0 AND x < x1 AND y > y0 AND y < y1 GROUP BY 1")
+def point_in_polygon(spark: SparkSession, d: str) -> DataFrame:
+    return G.points_in_polygons(_points(spark, d), _polygons(spark, d), "vec_id", "nation", _TILE)
+
+
+@query(f"""WITH p AS ({_POINTS}), c AS (SELECT n_nationkey AS nation, (n_nationkey % 5) * 1000.0 + 300 AS cx, (n_nationkey // 5) * 1000.0 + 250 AS cy FROM nation)
+SELECT nation, vec_id, round(dist, 4) AS distance FROM (SELECT nation, vec_id, sqrt(pow(x - cx, 2) + pow(y - cy, 2)) AS dist,
+  row_number() OVER (PARTITION BY nation ORDER BY pow(x - cx, 2) + pow(y - cy, 2), vec_id) AS r FROM c, p) WHERE r = 1""")
+def nearest_cell(spark: SparkSession, d: str) -> DataFrame:
+    centres = _boxes(spark, d).select("nation", (F.col("x0") + 300).alias("x"), (F.col("y0") + 250).alias("y"))
+    return rounded(G.nearest(centres, _points(spark, d), "nation", "vec_id"), 4)
+
+
+@query(f"""WITH p AS ({_POINTS}), c AS (SELECT n_nationkey AS nation, (n_nationkey % 5) * 1000.0 + 300 AS cx, (n_nationkey // 5) * 1000.0 + 250 AS cy FROM nation)
+SELECT vec_id, nation, round(dist, 4) AS distance, round(1 - dist / 400, 6) AS factor FROM (SELECT vec_id, nation, sqrt(pow(x - cx, 2) + pow(y - cy, 2)) AS dist,
+  row_number() OVER (PARTITION BY vec_id ORDER BY sqrt(pow(x - cx, 2) + pow(y - cy, 2)), nation) AS r FROM p, c) WHERE r = 1 AND dist <= 400""")
+def nearest_within_radius(spark: SparkSession, d: str) -> DataFrame:
+    centres = _boxes(spark, d).select("nation", (F.col("x0") + 300).alias("x"), (F.col("y0") + 250).alias("y"))
+    return rounded(G.nearest_within(_points(spark, d), centres, "vec_id", "nation", 400.0), distance=4)
+
+
+@query(f"""WITH b AS ({_BOX}), p AS (SELECT *, vec_id % 40 AS hint FROM ({_POINTS})),
+i AS (SELECT vec_id, min(nation) AS nation, 1.0 AS factor, 'inside' AS method FROM p JOIN b ON x > x0 AND x < x1 AND y > y0 AND y < y1
+  WHERE nation % 4 = 0 GROUP BY 1),
+k AS (SELECT vec_id, nation, 1.0, 'key' FROM p JOIN b ON b.nation = p.hint AND nation % 3 = 0 WHERE vec_id NOT IN (SELECT vec_id FROM i)),
+h AS (SELECT * FROM i UNION ALL SELECT * FROM k),
+e AS (SELECT nation, (x0 + x1) / 2 AS cx, (y0 + y1) / 2 AS cy FROM b WHERE nation NOT IN (SELECT nation FROM h)),
+r AS (SELECT vec_id, nation, 1 - dist / 500 AS factor, 'radius' AS method FROM (SELECT vec_id, nation, sqrt(pow(x - cx, 2) + pow(y - cy, 2)) AS dist,
+  row_number() OVER (PARTITION BY nation ORDER BY sqrt(pow(x - cx, 2) + pow(y - cy, 2)), vec_id) AS r FROM e, p) WHERE r = 1 AND dist <= 500)
+SELECT vec_id, nation, round(factor, 6) AS factor, method FROM (SELECT * FROM h UNION ALL SELECT * FROM r)""")
+def attach_cascade(spark: SparkSession, d: str) -> DataFrame:
+    boxes = _boxes(spark, d)
+    polygons = _polygons(spark, d).where("nation % 4 = 0")
+    third = F.when(F.col("vec_id") % 40 % 3 == 0, (F.col("vec_id") % 40).cast("int"))
+    stations = _points(spark, d).withColumn("key_hint", third)
+    entities = boxes.select("nation", ((F.col("x0") + F.col("x1")) / 2).alias("x"), ((F.col("y0") + F.col("y1")) / 2).alias("y"))
+    return rounded(attach.attach_cascade(stations, polygons, entities, "vec_id", "nation", 500.0, _TILE))
+
+
+@query(f"""WITH panel AS ({_PANEL.format(v="l_quantity")}), z AS (SELECT * FROM ({_NORMAL.format(p="panel")}) WHERE month >= DATE '{SERVED}'),
+a AS (SELECT s_suppkey AS l_suppkey, s_nationkey AS nation, 0.4 + (s_suppkey % 6) / 10 AS factor, CAST(s_suppkey % 40 AS DOUBLE) AS years FROM supplier),
+r AS (SELECT nation, month, z, nqt, l_suppkey, CASE WHEN years < 15 THEN 0 WHEN years >= 30 THEN 1 ELSE 0.4 + 0.6 * (years - 15) / 15 END * factor AS c
+  FROM z JOIN a USING (l_suppkey))
+SELECT nation, month, round(sum(z * c) FILTER (z IS NOT NULL AND c > 0) / sum(c) FILTER (z IS NOT NULL AND c > 0), 6) AS z,
+  round(sum(nqt * c) FILTER (nqt IS NOT NULL AND c > 0) / sum(c) FILTER (nqt IS NOT NULL AND c > 0), 6) AS nqt,
+  round(max(c) FILTER (z IS NOT NULL AND c > 0), 6) AS confidence, count(DISTINCT l_suppkey) FILTER (z IS NOT NULL AND c > 0) AS n_stations
+FROM r GROUP BY 1, 2 HAVING count(*) FILTER (z IS NOT NULL AND c > 0) > 0""")
+def entity_index(spark: SparkSession, d: str) -> DataFrame:
+    panel = P.normal_score(_panel(spark, d, "l_quantity"), "l_suppkey", "month", "value", MIN_YEARS, SERVED)
+    s = io.read_table(spark, d, "supplier")
+    k = F.col("s_suppkey")
+    attached = s.select(k.alias("l_suppkey"), F.col("s_nationkey").alias("nation"), (0.4 + (k % 6) / 10).alias("factor"))
+    years = s.select(k.alias("l_suppkey"), (k % 40).cast("double").alias("years"))
+    return rounded(attach.entity_index(panel, attached, "l_suppkey", "nation", "month", years))
+
+
+@query(f"""WITH p AS ({_POINTS}), g AS (SELECT vec_id, x / 500 - 4.0 AS lon, 42 + y / 700 AS lat FROM p)
+SELECT vec_id, round(lon, 6) AS lon, round(lat, 6) AS lat, round({X.L93_X} + r * sin(theta), 3) AS x, round({X.L93_Y} - r * cos(theta), 3) AS y FROM (
+  SELECT *, {X.L93_C} * exp(-{X.L93_N} * (ln(tan(pi() / 4 + radians(lat) / 2)) + ({X.L93_E} / 2) * ln((1 - {X.L93_E} * sin(radians(lat))) / (1 + {X.L93_E} * sin(radians(lat)))))) AS r,
+    {X.L93_N} * (radians(lon) - radians({X.L93_LON})) AS theta FROM g)""")
+def reproject_roundtrip(spark: SparkSession, d: str) -> DataFrame:
+    g = _points(spark, d).select("vec_id", (F.col("x") / 500 - 4.0).alias("lon0"), (42 + F.col("y") / 700).alias("lat0"))
+    x, y = X.to_lambert93("lon0", "lat0")
+    g = g.withColumns({"x": x, "y": y})
+    lon, lat = X.from_lambert93("x", "y")
+    return g.select("vec_id", F.round(lon, 6).alias("lon"), F.round(lat, 6).alias("lat"), F.round("x", 3).alias("x"), F.round("y", 3).alias("y"))
+
+
+# Streams and files -----------------------------------------------------------------------------------
+
+
+def _shared(spark: SparkSession) -> str:
+    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-")
+    return f"{base.rstrip('/')}/stream-{uuid.uuid4().hex}"
+
+
+def _landed_events(spark: SparkSession, d: str) -> DataFrame:
+    """The events as a stream of files; the pattern takes one file or a folder of them."""
+    events = io.read_table(spark, d, "events")
+    return stream.read_stream(spark, f"{d}/events.[p]arquet", events.schema)
+
+
+@query("""SELECT user_id, CAST(date_trunc('day', ts) AS DATE) AS day, round(median(value), 6) AS median, count(*) AS n FROM events GROUP BY 1, 2""")
+def stream_daily_median(spark: SparkSession, d: str) -> DataFrame:
+    out = stream.stream_median(_landed_events(spark, d), "user_id", "ts", "value", "1 day", "60 days")
+    out = out.select("user_id", F.col("start").cast("date").alias("day"), "median", "n")
+    base, last = _shared(spark), {}
+
+    def keep(batch: DataFrame, epoch: int) -> None:
+        path = f"{base}/out/{epoch}"
+        batch.write.mode("overwrite").parquet(path)
+        last["path"] = path
+
+    run = out.writeStream.outputMode("complete").foreachBatch(keep).option("checkpointLocation", f"{base}/checkpoint")
+    run.trigger(availableNow=True).start().awaitTermination()
+    return rounded(spark.read.parquet(last["path"]))
+
+
+@query("SELECT DISTINCT user_id, event_type FROM events")
+def stream_dedup(spark: SparkSession, d: str) -> DataFrame:
+    once = stream.stream_dedup(_landed_events(spark, d), ["user_id", "event_type"], "ts", "400 days").select("user_id", "event_type")
+    base = _shared(spark)
+    stream.run_available(once, f"{base}/out", f"{base}/checkpoint")
+    return spark.read.parquet(f"{base}/out")
+
+
+@query(f"""WITH panel AS ({_PANEL.format(v="l_extendedprice")}), k AS (SELECT l_suppkey, month(month) AS cm, avg(value) AS mean, stddev_samp(value) AS sd
+  FROM panel WHERE month < DATE '{SERVED}' GROUP BY 1, 2)
+SELECT panel.l_suppkey, month, round(value, 2) AS value, round(CASE WHEN sd >= 1e-9 THEN (value - mean) / sd END, 6) AS z
+FROM panel JOIN k ON k.l_suppkey = panel.l_suppkey AND k.cm = month(month) WHERE month >= DATE '{SERVED}'""")
+def anomaly_against_reference(spark: SparkSession, d: str) -> DataFrame:
+    panel = _panel(spark, d)
+    before = P.climatology(panel.where(F.col("month") < SERVED), "l_suppkey", "month", "value")
+    return rounded(P.anomaly_against(P.served(panel, "month", SERVED), before, "l_suppkey", "month", "value"), value=2)
+
+
+@query("SELECT c_custkey, c_name, round(c_acctbal, 2) AS c_acctbal, c_mktsegment FROM customer")
+def io_roundtrip(spark: SparkSession, d: str) -> DataFrame:
+    """Customers written as delimited text of two column orders, gzip, and read back by name."""
+    base = _shared(spark)
+    rows = io.read_table(spark, d, "customer").select("c_custkey", "c_name", "c_acctbal", "c_mktsegment")
+    even, odd = rows.where("c_custkey % 2 = 0"), rows.where("c_custkey % 2 = 1").select("c_mktsegment", "c_acctbal", "c_custkey", "c_name")
+    for name, part in (("even", even), ("odd", odd)):
+        part.write.csv(f"{base}/{name}", sep=";", header=True, compression="gzip")
+    back = io.read_union_by_name(spark, [f"{base}/even", f"{base}/odd"], ";")
+    return back.select(
+        X.safe_cast("c_custkey", "long").alias("c_custkey"), "c_name", F.round(X.safe_cast("c_acctbal", "double"), 2).alias("c_acctbal"), "c_mktsegment"
+    )
+
 
-def queries() -> dict:
+def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     """Name to ``(spark, sf_dir) -> DataFrame``."""
-    return {}
+    return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
     """Name to the DuckDB statement with the same rows."""
-    return {}
+    return dict(SQL)
