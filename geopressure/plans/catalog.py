@@ -142,10 +142,10 @@ def climatology(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(f"""WITH panel AS ({_PANEL.format(v="l_extendedprice")})
-SELECT l_suppkey, month, round(value, 2) AS value, round(z, 6) AS z, n_ AS n FROM ({_Z.format(p="panel")})
+SELECT l_suppkey, month, round(value, 6) AS value, round(z, 6) AS z, n_ AS n FROM ({_Z.format(p="panel")})
 WHERE month >= DATE '{SERVED}'""")
 def seasonal_anomaly(spark: SparkSession, d: str) -> DataFrame:
-    return rounded(_anomaly(spark, d), value=2)
+    return rounded(_anomaly(spark, d))
 
 
 @query("""SELECT l_suppkey, CAST(date_trunc('month', l_shipdate) AS DATE) AS month, round(median(l_quantity), 4) AS value,
@@ -793,12 +793,12 @@ def stream_dedup(spark: SparkSession, d: str) -> DataFrame:
 
 @query(f"""WITH panel AS ({_PANEL.format(v="l_extendedprice")}), k AS (SELECT l_suppkey, month(month) AS cm, avg(value) AS mean, stddev_samp(value) AS sd
   FROM panel WHERE month < DATE '{SERVED}' GROUP BY 1, 2)
-SELECT panel.l_suppkey, month, round(value, 2) AS value, round(CASE WHEN sd >= 1e-9 THEN (value - mean) / sd END, 6) AS z
+SELECT panel.l_suppkey, month, round(value, 6) AS value, round(CASE WHEN sd >= 1e-9 THEN (value - mean) / sd END, 6) AS z
 FROM panel JOIN k ON k.l_suppkey = panel.l_suppkey AND k.cm = month(month) WHERE month >= DATE '{SERVED}'""")
 def anomaly_against_reference(spark: SparkSession, d: str) -> DataFrame:
     panel = _panel(spark, d)
     before = P.climatology(panel.where(F.col("month") < SERVED), "l_suppkey", "month", "value")
-    return rounded(P.anomaly_against(P.served(panel, "month", SERVED), before, "l_suppkey", "month", "value"), value=2)
+    return rounded(P.anomaly_against(P.served(panel, "month", SERVED), before, "l_suppkey", "month", "value"))
 
 
 @query("SELECT c_custkey, c_name, round(c_acctbal, 2) AS c_acctbal, c_mktsegment FROM customer")
