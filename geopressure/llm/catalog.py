@@ -13,6 +13,7 @@ from geopressure.llm import (
     decontaminate,
     html_text,
     near_dedup,
+    oracles,
     personal_data,
     quality,
     secret_scan,
@@ -22,23 +23,6 @@ from geopressure.llm import (
 )
 
 
-TOP_K = """
-WITH v AS (
-  SELECT vec_id, list_transform(embedding, x -> floor(256 * CAST(x AS DOUBLE))) AS w
-  FROM embeddings
-  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL
-    AND len(list_filter(embedding, x -> x IS NULL OR NOT isfinite(x))) = 0
-), q AS (SELECT DISTINCT ON (vec_id) * FROM v WHERE vec_id % 50 = 0),
-s AS (
-  SELECT q.vec_id AS query_id, v.vec_id AS vec_id, CAST(list_dot_product(q.w, v.w) AS BIGINT) AS score
-  FROM q JOIN v ON q.vec_id <> v.vec_id AND len(q.w) = len(v.w)
-), r AS (
-  SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rk FROM s
-)
-SELECT query_id, CAST(rk AS INTEGER) AS rank, vec_id, score FROM r WHERE rk <= 5
-"""
-
-
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -136,4 +120,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 def oracle_sql() -> dict[str, str]:
     """Name to DuckDB statement, for those that SQL can express."""
-    return {"op7_top_k": TOP_K}
+    return {
+        "op1_near_dedup": oracles.NEAR_DEDUP,
+        "op6_decontaminate": oracles.decontaminate_sql(),
+        "op7_top_k": oracles.TOP_K,
+        "op9_secrets": oracles.secrets_sql(),
+    }

@@ -3,8 +3,9 @@
 The content view looks at a text's characters, words and lines; the metadata view at what is known
 of it besides (language, source, length and how it is laid out in lines). Each view trains its own
 classifier on the labelled sample. In every round each classifier labels the unlabelled rows that it
-is surest of, in the balance of the labelled ones, and hands them to the other. At the end both views
-are calibrated on labelled rows that neither saw, and combined there by a regression on their logits.
+is surest of, in the balance of the labelled ones, and hands them to the other. The views are calibrated
+and combined by a regression on their logits of labelled rows, each row's logits taken from
+classifiers that did not see it.
 """
 
 from __future__ import annotations
@@ -24,13 +25,13 @@ from geopressure.llm.toxicity import held_out
 
 #: Bounds of what is learned from: labelled rows and unlabelled rows, those of least hash.
 MAX_LABELLED, MAX_UNLABELLED = 12_000, 6_000
-ROUNDS = 4
+ROUNDS, FOLDS, PENALTY = 4, 4, 0.05
 #: Pseudo-labels handed over by each view in each round, and how sure it must be.
 HANDED, SURE = 400, 0.97
 #: Slots for languages and sources in the metadata view.
 SLOTS = 16
 
-N_CONTENT = 20
+N_CONTENT = 23
 
 
 def content_view(text: str) -> list[float]:
@@ -49,6 +50,7 @@ def content_view(text: str) -> list[float]:
     stops = c[46] + c[63]
     same = sum(a == b for a, b in zip(words, words[1:], strict=False))
     distinct = len(set(words))
+    fresh = len(set(zip(words, words[1:], strict=False))) / max(1, len(words) - 1) if len(words) > 1 else 1.0
     letters = max(1, int(upper + lower))
     lengths = np.fromiter(map(len, words), np.int64, len(words)) if words else np.zeros(1)
     return [
@@ -72,6 +74,9 @@ def content_view(text: str) -> list[float]:
         (c[128:].sum()) / n,
         max(0.0, 0.4 - distinct / m),
         float(upper / letters > 0.5),
+        float(same > 0.08 * m),
+        fresh,
+        float(fresh < 0.6),
     ]
 
 
@@ -110,21 +115,25 @@ class Model(NamedTuple):
 def co_train(content: np.ndarray, meta: np.ndarray, labels: np.ndarray) -> Model:
     """Train on rows of both views; ``labels`` are 0, 1 or -1 (unlabelled)."""
     known = np.flatnonzero(labels >= 0)
-    fold = np.arange(len(known)) % 4 == 0
-    train, tune = known[~fold], known[fold]
-    own = [dict(zip(train.tolist(), labels[train].tolist(), strict=True)) for _ in range(2)]
     views = (content, meta)
+    truth = labels[known].astype(float)
+    unseen = np.zeros((len(known), 2))
+    for fold in range(FOLDS):
+        out = np.arange(len(known)) % FOLDS == fold
+        for k in (0, 1):
+            unseen[out, k] = Logistic(views[k][known[~out]], truth[~out], PENALTY).logit(views[k][known[out]])
+    own = [dict(zip(known.tolist(), labels[known].tolist(), strict=True)) for _ in range(2)]
     pool = set(np.flatnonzero(labels < 0).tolist())
-    share = labels[train].mean() if len(train) else 0.5
+    share = truth.mean() if len(known) else 0.5
 
     def classifier(k: int) -> Logistic:
         at = np.fromiter(own[k], np.int64, len(own[k]))
-        return Logistic(views[k][at], np.fromiter(own[k].values(), float, len(at)))
+        return Logistic(views[k][at], np.fromiter(own[k].values(), float, len(at)), PENALTY)
 
     models = [classifier(0), classifier(1)]
     for _ in range(ROUNDS):
         rest = np.array(sorted(pool), np.int64)
-        if not len(rest) or not len(train):
+        if not len(rest) or not len(known):
             break
         handed = 0
         for k in (0, 1):
@@ -138,8 +147,7 @@ def co_train(content: np.ndarray, meta: np.ndarray, labels: np.ndarray) -> Model
         if not handed:
             break
         models = [classifier(0), classifier(1)]
-    logits = np.stack([m.logit(v[tune]) for m, v in zip(models, views, strict=True)], 1).reshape(-1, 2)
-    return Model(models[0], models[1], Logistic(logits, labels[tune].astype(float), penalty=0.1))
+    return Model(models[0], models[1], Logistic(unseen, truth, penalty=0.1))
 
 
 def fit(docs: DataFrame, labels: DataFrame) -> Model:
