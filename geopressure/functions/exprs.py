@@ -260,8 +260,7 @@ L93_X, L93_Y, L93_LON = 700000.0, 12655612.0499, 3.0
 def to_lambert93(lon: Column | str, lat: Column | str) -> tuple[Column, Column]:
     """Metres east and north of degrees of longitude and latitude."""
     phi, lam = F.radians(col(lat)), F.radians(col(lon))
-    s = L93_E * F.sin(phi)
-    iso = F.log(F.tan(math.pi / 4 + phi / 2)) + (L93_E / 2) * F.log((1 - s) / (1 + s))
+    iso = F.log(F.tan(math.pi / 4 + phi / 2)) - L93_E * F.atanh(L93_E * F.sin(phi))
     r, theta = L93_C * F.exp(-L93_N * iso), L93_N * (lam - math.radians(L93_LON))
     return L93_X + r * F.sin(theta), L93_Y - r * F.cos(theta)
 
@@ -274,6 +273,6 @@ def from_lambert93(x: Column | str, y: Column | str, steps: int = 6) -> tuple[Co
     half = lambda u: 2 * F.atan(F.exp(u)) - math.pi / 2
     phi = half(iso)
     for _ in range(steps):
-        s = L93_E * F.sin(phi)
-        phi = half(iso + (L93_E / 2) * F.log((1 + s) / (1 - s)))
+        # Each step names the last one once, so the expression grows in proportion to the steps.
+        phi = half(iso + L93_E * F.atanh(L93_E * F.sin(phi)))
     return lon, F.degrees(phi)

@@ -661,11 +661,7 @@ def extent(spark: SparkSession, d: str) -> DataFrame:
 SELECT nation, cell, round((least(x1, i * 800 + 800.0) - greatest(x0, i * 800)) * (least(y1, j * 800 + 800.0) - greatest(y0, j * 800)), 2) AS weight
 FROM b JOIN c ON x0 < i * 800 + 800 AND x1 > i * 800 AND y0 < j * 800 + 800 AND y1 > j * 800""")
 def cell_overlap_weights(spark: SparkSession, d: str) -> DataFrame:
-    n = io.read_table(spark, d, "nation").where("n_nationkey < 8")
-    i, j = F.col("i"), F.col("j")
-    grid = n.select(F.col("n_nationkey").cast("long").alias("i")).crossJoin(n.select(F.col("n_nationkey").cast("long").alias("j")))
-    grid = grid.select((i * 10 + j).alias("cell"), (i * 800.0 + 400).alias("x"), (j * 800.0 + 400).alias("y"))
-    return rounded(G.cell_weights(_polygons(spark, d), grid, "nation", "cell", 400.0), 2)
+    return rounded(G.cell_weights(_polygons(spark, d), _grid(spark, d), "nation", "cell", 400.0), 2)
 
 
 @query(f"""WITH b AS ({_BOX}), z AS (SELECT nation AS zone, region, nation % 3 + 1 AS level, x0 + 100 AS a0, y0 + 100 AS b0, x1 + 100 AS a1, y1 - 50 AS b1 FROM b WHERE region <> 4),
@@ -753,6 +749,33 @@ def reproject_roundtrip(spark: SparkSession, d: str) -> DataFrame:
     return g.select("vec_id", F.round(lon, 6).alias("lon"), F.round(lat, 6).alias("lat"), F.round("x", 3).alias("x"), F.round("y", 3).alias("y"))
 
 
+@query(f"WITH b AS ({_BOX}), p AS ({_POINTS}) SELECT vec_id, min(nation) AS nation FROM p JOIN b ON x > x0 AND x < x1 AND y > y0 AND y < y1 GROUP BY 1")
+def locate(spark: SparkSession, d: str) -> DataFrame:
+    """The same points given in degrees, on a layout moved into the projection's zone."""
+    moved = {c: F.col(c) + by for c, by in (("x1", 600000.0), ("x2", 600000.0), ("y1", 6600000.0), ("y2", 6600000.0))}
+    lon, lat = X.from_lambert93(F.col("x") + 600000.0, F.col("y") + 6600000.0)
+    points = _points(spark, d).select("vec_id", lon.alias("lon"), lat.alias("lat"))
+    return serve.locate(points, _polygons(spark, d).withColumns(moved), "vec_id", "nation", _TILE)
+
+
+def _grid(spark: SparkSession, d: str) -> DataFrame:
+    n = io.read_table(spark, d, "nation").where("n_nationkey < 8")
+    i, j = F.col("i"), F.col("j")
+    grid = n.select(F.col("n_nationkey").cast("long").alias("i")).crossJoin(n.select(F.col("n_nationkey").cast("long").alias("j")))
+    return grid.select((i * 10 + j).alias("cell"), (i * 800.0 + 400).alias("x"), (j * 800.0 + 400).alias("y"))
+
+
+@query(f"""WITH panel AS ({_PANEL.format(v="l_extendedprice")}), z AS (SELECT * FROM ({_Z.format(p="panel")}) WHERE month >= DATE '{SERVED}' AND z IS NOT NULL),
+b AS ({_BOX}), c AS (SELECT a.range AS i, b.range AS j, a.range * 10 + b.range AS cell FROM range(8) a, range(8) b),
+w AS (SELECT nation, cell, (least(x1, i * 800 + 800.0) - greatest(x0, i * 800)) * (least(y1, j * 800 + 800.0) - greatest(y0, j * 800)) AS w
+  FROM b JOIN c ON x0 < i * 800 + 800 AND x1 > i * 800 AND y0 < j * 800 + 800 AND y1 > j * 800)
+SELECT nation, month, round(sum(z * w) / sum(w), 6) AS z, count(*) AS n FROM z JOIN w ON w.cell = z.l_suppkey GROUP BY 1, 2""")
+def areal_mean(spark: SparkSession, d: str) -> DataFrame:
+    weights = G.cell_weights(_polygons(spark, d), _grid(spark, d), "nation", "cell", 400.0)
+    cells = _anomaly(spark, d).select(F.col("l_suppkey").alias("cell"), "month", "z")
+    return rounded(attach.areal_mean(cells, weights, "cell", "nation", "month", "z"))
+
+
 # Streams and files -----------------------------------------------------------------------------------
 
 
