@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from geopressure.llm.keys import only_keys, without_keys
+from geopressure.llm.store import Scratch
 
 #: Selected positions of each mask; every mask spans SPAN words and selects eight of them.
 MASKS = ((0, 1, 2, 4, 5, 8, 10, 11), (0, 2, 3, 5, 6, 7, 9, 11), (0, 1, 3, 6, 7, 8, 9, 11))
@@ -40,8 +41,12 @@ def _seeds(h: str, pos: str, lengths: list[int]) -> Column:
 
 
 def _positions(df: DataFrame, ident: str, lengths: list[int]) -> DataFrame:
-    return df.select(ident, "h", F.posexplode("h").alias("pos", "w")).select(
-        ident, "h", "pos", F.explode(_seeds("h", "pos", lengths)).alias("seed")
+    """One narrow row for each position and mask; the words stay inside one generated loop.
+
+    The outer form keeps the optimiser from adding a filter that would cut every text twice.
+    """
+    return df.select(ident, "h", F.posexplode_outer("h").alias("pos", "w")).select(
+        ident, "pos", F.explode(_seeds("h", "pos", lengths)).alias("seed")
     )
 
 
@@ -59,37 +64,34 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, min_share: float = 0.6,
     items = benchmark.select("item_id", words(F.col("text")).alias("h")).where(F.size("h") >= MIN_WORDS)
     size = items.agg(F.sum(F.size("h") * len(MASKS)), F.collect_set(F.when(F.size("h") < SPAN, F.size("h")))).first()
     lengths = sorted(size[1])
-    seeds = (
-        _positions(items, "item_id", lengths)
-        .where("seed is not null")
-        .where((F.size("h") >= SPAN) | (F.col("pos") == 0))
-        .select("seed", "item_id", F.col("pos").alias("bpos"), F.col("h").alias("bh"))
-    )
+    numbered = items.withColumn("__item", F.xxhash64("item_id", "h"))
+    seeds = _positions(numbered.where(F.size("h") >= SPAN), "__item", []).where("seed is not null")
+    if lengths:
+        short = _positions(numbered.where(F.size("h") < SPAN), "__item", lengths).where("seed is not null and pos = 0")
+        seeds = seeds.unionByName(short)
+    seeds = seeds.select("seed", "__item", F.col("pos").alias("bpos"))
     found = _positions(docs.select("doc_id", words(F.col("text")).alias("h")), "doc_id", lengths)
-    if (size[0] or 0) <= MAX_BROADCAST_SEEDS:
-        hits = found.join(F.broadcast(seeds), "seed")
-    else:
-        narrow = found.select("doc_id", "pos", "seed").join(seeds.select("seed", "item_id", "bpos"), "seed")
-        named = only_keys(docs.select("doc_id", "text"), narrow.select("doc_id"), "doc_id")
-        full = named.select(F.col("doc_id").alias("__id"), words(F.col("text")).alias("h"))
-        hits = narrow.join(full, F.col("doc_id").eqNullSafe(F.col("__id"))).join(
-            items.withColumnRenamed("h", "bh"), "item_id"
-        )
-    offset = F.col("pos") - F.col("bpos")
-    begin = F.greatest(F.col("bpos") - reach, F.lit(0), -offset)
-    end = F.least(F.col("bpos") + SPAN + reach, F.size("bh"), F.size("h") - offset)
-    aligned = hits.withColumn("offset", offset).withColumn("begin", begin).withColumn("width", end - begin)
+    near = found.join(F.broadcast(seeds) if (size[0] or 0) <= MAX_BROADCAST_SEEDS else seeds, "seed")
+    scratch = Scratch(docs.sparkSession, "decontaminate")
+    diagonal = near.groupBy("doc_id", "__item", (F.col("pos") - F.col("bpos")).alias("offset"), "bpos").count()
+    hits = scratch.save(diagonal)
+    named = only_keys(docs.select("doc_id", "text"), hits.select("doc_id"), "doc_id")
+    full = named.select(F.col("doc_id").alias("__id"), words(F.col("text")).alias("h"))
+    hits = hits.join(numbered.distinct().withColumnRenamed("h", "bh"), "__item").join(full, F.col("doc_id").eqNullSafe(F.col("__id")))
+    begin = F.greatest(F.col("bpos") - reach, F.lit(0), -F.col("offset"))
+    end = F.least(F.col("bpos") + SPAN + reach, F.size("bh"), F.size("h") - F.col("offset"))
+    aligned = hits.withColumn("begin", begin).withColumn("width", end - begin)
     same = F.zip_with(
         F.slice("bh", F.col("begin") + 1, F.col("width")),
         F.slice("h", F.col("begin") + F.col("offset") + 1, F.col("width")),
         lambda x, y: x == y,
     )
     return (
-        aligned.select("doc_id", "item_id", "offset", "width", F.size(F.filter(same, lambda x: x)).alias("m"))
+        aligned.select("doc_id", "item_id", "count", "offset", "width", F.size(F.filter(same, lambda x: x)).alias("m"))
         .where(F.col("m") >= F.ceil(F.lit(min_share) * F.col("width")))
         .groupBy("doc_id", "item_id")
         .agg(
-            F.count("*").alias("n_hits"),
+            F.sum("count").alias("n_hits"),
             F.min("offset").cast("long").alias("first_word"),
             F.max("m").cast("long").alias("matched"),
         )
