@@ -5,6 +5,9 @@ run over a segment tree on byte positions: a leaf holds the merge rank of the li
 there with its right neighbour, an inner node the leftmost least rank below it. The root names the
 next merge, and a merge updates at most three leaves, each in logarithmic time, so a match of ``n``
 bytes costs ``O(n log n)`` however long it is.
+
+The trees of a batch's new matches stand side by side in one array per width, and a step merges once
+in every tree that is not done; a match longer than the widest array has a tree of its own.
 """
 
 from __future__ import annotations
@@ -18,9 +21,12 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-#: Encoded chunks and matches that a task keeps before it starts anew.
-CACHE = 200_000
+#: Encoded words and matches that a task keeps: so many new ones, and as many older ones.
+CACHE = 250_000
 NONE = 1 << 62
+#: Widths of the trees that stand side by side.
+WIDTHS = (8, 16, 32, 64)
+BATCH = 512
 
 
 def load_ranks(path: str) -> bytes:
@@ -86,55 +92,159 @@ def merge(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
     return out
 
 
+class Forest:
+    """Merges many matches at once, one segment tree each, by steps over whole arrays."""
+
+    def __init__(self, ranks: dict[bytes, int]) -> None:
+        self.ranks = ranks
+        self.first = np.array([ranks.get(bytes([b]), -1) for b in range(256)], np.int64)
+        pairs = {}
+        for token, rank in ranks.items():
+            for k in range(1, len(token)):
+                left, right = ranks.get(token[:k]), ranks.get(token[k:])
+                if left is not None and right is not None:
+                    pairs[left << 32 | right] = rank
+        keys = np.fromiter(pairs, np.int64, len(pairs))
+        order = np.argsort(keys)
+        self.keys = np.append(keys[order], NONE)
+        self.merged = np.append(np.fromiter(pairs.values(), np.int64, len(pairs))[order], 0)
+
+    def _leaf(self, left: np.ndarray, right: np.ndarray, at: np.ndarray) -> np.ndarray:
+        """Leaf values of pairs of symbols at positions; NONE where a symbol is missing or no merge is."""
+        key = left << 32 | right
+        found = np.searchsorted(self.keys, key)
+        hit = (self.keys[found] == key) & (left >= 0) & (right >= 0)
+        return np.where(hit, self.merged[found] << 8 | at, NONE)
+
+    def merge(self, pieces: list[bytes]) -> list[bytes]:
+        """Packed 32-bit ids of every piece."""
+        out: list[bytes] = [b""] * len(pieces)
+        groups: dict[int, list[int]] = {w: [] for w in WIDTHS}
+        for i, piece in enumerate(pieces):
+            if (whole := self.ranks.get(piece)) is not None:
+                out[i] = whole.to_bytes(4, "little")
+            elif len(piece) > WIDTHS[-1]:
+                out[i] = np.array(merge(piece, self.ranks), np.int32).tobytes()
+            else:
+                groups[next(w for w in WIDTHS if len(piece) <= w)].append(i)
+        for width, members in groups.items():
+            if members:
+                for i, ids in zip(members, self._side_by_side([pieces[i] for i in members], width), strict=True):
+                    out[i] = ids
+        return out
+
+    def _side_by_side(self, pieces: list[bytes], width: int) -> list[bytes]:
+        count, span = len(pieces), 2 * width
+        raw = np.frombuffer(b"".join(p.ljust(width, b"\0") for p in pieces), np.uint8).reshape(count, width)
+        size = np.fromiter(map(len, pieces), np.int64, count)
+        place = np.arange(width)
+        # One column more stands for what lies before the first and after the last symbol.
+        symbol = np.full((count, width + 1), -1, np.int64)
+        symbol[:, :width] = np.where(place < size[:, None], self.first[raw], -1)
+        after = np.minimum(np.tile(np.arange(1, width + 2), (count, 1)), size[:, None])
+        after[after == size[:, None]] = width
+        before = np.tile(np.arange(-1, width), (count, 1))
+        before[:, 0] = width
+        tree = np.full((count, span), NONE, np.int64)
+        right = np.take_along_axis(symbol, after[:, :width], 1)
+        tree[:, width:] = self._leaf(symbol[:, :width], right, place)
+        level = width
+        while level > 1:
+            level //= 2
+            tree[:, level : 2 * level] = np.minimum(tree[:, 2 * level : 4 * level : 2], tree[:, 2 * level + 1 : 4 * level : 2])
+        symbols, afters, befores, nodes = symbol.ravel(), after.ravel(), before.ravel(), tree.ravel()
+        alive = np.flatnonzero(tree[:, 1] < NONE)
+        while len(alive):
+            row, base = alive * (width + 1), alive * span
+            root = nodes[base + 1]
+            i, made = root & 0xFF, root >> 8
+            gone = afters[row + i]
+            follows = afters[row + gone]
+            leads = befores[row + i]
+            symbols[row + i], symbols[row + gone] = made, -1
+            afters[row + i] = follows
+            befores[row + follows] = i
+            nodes[base + width + i] = self._leaf(made, symbols[row + follows], i)
+            nodes[base + width + gone] = NONE
+            # Before the first symbol stands the spare column, whose leaf would be out of the tree: rewrite i's.
+            has = leads < width
+            lead_leaf = self._leaf(symbols[row + leads], made, leads)
+            nodes[(base + width + leads)[has]] = lead_leaf[has]
+            paths = [(width + x) >> 1 for x in (i, gone, np.where(has, leads, i))]
+            while paths[0][0]:
+                for node in paths:
+                    at = base + 2 * node
+                    nodes[base + node] = np.minimum(nodes[at], nodes[at + 1])
+                paths = [node >> 1 for node in paths]
+            alive = alive[nodes[base + 1] < NONE]
+        kept = symbol[:, :width] >= 0
+        flat = symbol[:, :width][kept].astype(np.int32).tobytes()
+        ends = 4 * np.cumsum(kept.sum(axis=1))
+        return [flat[a:b] for a, b in zip([0, *ends[:-1].tolist()], ends.tolist(), strict=True)]
+
+
+class Recent:
+    """A mapping of bounded size: the newest entries, and the generation before them."""
+
+    def __init__(self) -> None:
+        self.new: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
+
+    def missing(self, keys: set[str]) -> set[str]:
+        """The keys that are not known; those of the older generation are taken over."""
+        if len(self.new) >= CACHE:
+            self.old, self.new = self.new, {}
+        rest = keys - self.new.keys()
+        for key in rest & self.old.keys():
+            self.new[key] = self.old[key]
+        return rest - self.old.keys()
+
+
 class Encoder:
     """Encodes whole texts into packed 32-bit ids; remembers what it has encoded lately."""
 
     def __init__(self, data: bytes, pattern: str) -> None:
-        self.ranks = parse_ranks(data)
+        self.forest = Forest(parse_ranks(data))
         # The pattern's \s is Unicode's White_Space; Python's has four control characters more.
         spaces = pattern.replace(r"\s", r"\p{White_Space}").replace(r"\S", r"\P{White_Space}")
         self.cut = regex.compile(spaces).findall
         # A text may be cut before each blank unless a blank lies inside or at the end of white space.
         self.tangled = regex.compile(r"\p{White_Space} (?=\p{White_Space})|\p{White_Space} $").search
-        self.matches: dict[str, bytes] = {}
-        self.chunks: dict[str, bytes] = {}
-
-    def _match(self, piece: str) -> bytes:
-        got = self.matches.get(piece)
-        if got is None:
-            got = np.array(merge(piece.encode(), self.ranks), np.int32).tobytes()
-            if len(piece) <= 64:
-                if len(self.matches) >= CACHE:
-                    self.matches.clear()
-                self.matches[piece] = got
-        return got
-
-    def _chunk(self, chunk: str) -> bytes:
-        got = b"".join(map(self._match, self.cut(chunk)))
-        if len(chunk) <= 64:
-            if len(self.chunks) >= CACHE:
-                self.chunks.clear()
-            self.chunks[chunk] = got
-        return got
-
-    def encode(self, text: str) -> bytes:
-        if self.tangled(text):
-            return b"".join(map(self._match, self.cut(text)))
-        parts = text.split(" ")
-        known, make = self.chunks.get, self._chunk
-        out = [make(parts[0])] if parts[0] else []
-        for part in parts[1:]:
-            chunk = " " + part
-            out.append(known(chunk) or make(chunk))
-        return b"".join(out)
+        self.letters = r" ?\p{L}+" in pattern
+        self.matches, self.words = Recent(), Recent()
+
+    def _learn(self, matches: set[str]) -> None:
+        new = list(self.matches.missing(matches))
+        self.matches.new.update(zip(new, self.forest.merge([m.encode() for m in new]), strict=True))
+
+    def encode(self, texts: list[str]) -> list[bytes]:
+        """Packed ids of every text."""
+        parts = [None if self.tangled(text) else text.split(" ") for text in texts]
+        known: set[str] = set()
+        for some in parts:
+            if some:
+                known.update(some[1:])
+        new = self.words.missing(known)
+        # Letters after a blank are one match under the pattern's first general branch.
+        plain = self.letters
+        cuts = {word: [" " + word] if plain and word.isalpha() else self.cut(" " + word) for word in new}
+        heads = [self.cut(text if some is None else some[0]) for text, some in zip(texts, parts, strict=True)]
+        self._learn({m for cut in cuts.values() for m in cut}.union(*heads))
+        match = self.matches.new.__getitem__
+        for word, cut in cuts.items():
+            self.words.new[word] = b"".join(map(match, cut))
+        word = self.words.new.__getitem__
+        return [
+            b"".join([*map(match, head), *(map(word, some[1:]) if some else ())]) for head, some in zip(heads, parts, strict=True)
+        ]
 
 
 def _encode(batches: Iterator[pa.RecordBatch], data, pattern: str) -> Iterator[pa.RecordBatch]:
     encoder = Encoder(data.value, pattern)
     for batch in batches:
-        for at in range(0, batch.num_rows, 512):
-            part = batch.slice(at, 512)
-            packed = [encoder.encode(text or "") for text in part.column("text").to_pylist()]
+        for at in range(0, batch.num_rows, BATCH):
+            part = batch.slice(at, BATCH)
+            packed = encoder.encode([text or "" for text in part.column("text").to_pylist()])
             offsets = np.cumsum([0, *(len(x) // 4 for x in packed)]).astype(np.int32)
             ids = np.frombuffer(b"".join(packed), np.int32)
             arrays = [part.column("doc_id").cast(pa.int64()), pa.ListArray.from_arrays(pa.array(offsets), pa.array(ids))]
