@@ -177,7 +177,7 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model:
     return co_train(columns[1], columns[2], columns[0].astype(int))
 
 
-def _scored(batches: Iterator[pa.RecordBatch], model: Model) -> Iterator[pa.RecordBatch]:
+def _scored(batches: Iterator[pa.RecordBatch], model: Model, kept: list[str]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         rows = batch.select(["text", "lang", "source"]).to_pylist()
         content = np.array([content_view(r["text"] or "") for r in rows]).reshape(-1, N_CONTENT)
@@ -187,8 +187,7 @@ def _scored(batches: Iterator[pa.RecordBatch], model: Model) -> Iterator[pa.Reco
         else:
             scores = [pa.array([], pa.float64())] * 3
         yield pa.RecordBatch.from_arrays(
-            [*batch.columns[: batch.num_columns], *scores],
-            [*batch.schema.names, "content_score", "metadata_score", "score"],
+            [*batch.select(kept).columns, *scores], [*kept, "content_score", "metadata_score", "score"]
         )
 
 
@@ -200,9 +199,10 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
     besides doc_id, text, lang and source are ignored.
     """
     rows = docs.select("doc_id", "text", "lang", "source")
-    schema = "doc_id long, text string, lang string, source string, content_score double, metadata_score double, score double"
-    scored = rows.withColumn("doc_id", F.col("doc_id").cast("long")).mapInArrow(functools.partial(_scored, model=model), schema)
-    return scored.select("doc_id", "content_score", "metadata_score", "score", (F.col("score") >= 0.5).alias("keep"))
+    schema = "doc_id long, content_score double, metadata_score double, score double"
+    run = functools.partial(_scored, model=model, kept=["doc_id"])
+    scored = rows.withColumn("doc_id", F.col("doc_id").cast("long")).mapInArrow(run, schema)
+    return scored.withColumn("keep", F.col("score") >= 0.5)
 
 
 def keep_good(docs: DataFrame, model: Model) -> DataFrame:
@@ -211,5 +211,5 @@ def keep_good(docs: DataFrame, model: Model) -> DataFrame:
     rows = docs.withColumn("doc_id", F.col("doc_id").cast("long"))
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields)
     schema += ", content_score double, metadata_score double, score double"
-    scored = rows.mapInArrow(functools.partial(_scored, model=model), schema)
+    scored = rows.mapInArrow(functools.partial(_scored, model=model, kept=names), schema)
     return scored.where("score >= 0.5").select(*[f"`{n}`" for n in names])

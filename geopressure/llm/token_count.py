@@ -54,7 +54,9 @@ class Counter:
         self.single = {piece for piece, _ in pieces if len(piece) == 1}
         self.unknown = min((score for _, score in pieces), default=0.0) - UNKNOWN
         self.bytes = byte_fallback
+        # Counts of words by recency: the newest CACHE, and the generation before them.
         self.known: dict[str, int] = {}
+        self.older: dict[str, int] = {}
         self.words = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+").findall
 
     def viterbi(self, text: str) -> int:
@@ -79,10 +81,12 @@ class Counter:
         return count[n]
 
     def _word(self, word: str) -> int:
-        got = self.viterbi(word)
+        got = self.older.get(word)
+        if got is None:
+            got = self.viterbi(word)
         if len(word) <= 64:
             if len(self.known) >= CACHE:
-                self.known.clear()
+                self.older, self.known = self.known, {}
             self.known[word] = got
         return got
 
