@@ -55,13 +55,11 @@ def op5_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
     found = personal_data.find(docs, personal_data.fit(docs))
     base = F.filter("spans", lambda x: x["base"])
+    of_kind = lambda k: F.size(F.filter(base, lambda x: x["kind"] == k))
     line = lambda s: F.concat_ws(",", F.transform(s, lambda x: F.concat_ws(":", x["kind"], x["start"], x["end"])))
     return found.select(
         "doc_id",
-        *[
-            F.size(F.filter("spans", lambda x, k=k: x["base"] & (x["kind"] == k))).cast("long").alias(f"n_{k}")
-            for k in personal_data.KINDS
-        ],
+        *[of_kind(k).cast("long").alias(f"n_{k}") for k in personal_data.KINDS],
         F.sha2(line(base), 256).alias("base_sha256"),
         line(F.col("spans")).alias("spans"),
     )
