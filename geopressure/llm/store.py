@@ -12,12 +12,17 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 
+#: The folder used where the session names none: made once, on first use.
+_OWN: list[str] = []
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder named by ``spark.checkpoint.dir``; one of our own only where it is unset."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
-        base = tempfile.mkdtemp(prefix="spark-")
-        spark.conf.set("spark.checkpoint.dir", base)
+        if not _OWN:
+            _OWN.append(tempfile.mkdtemp(prefix="spark-"))
+        base = _OWN[0]
     return base.rstrip("/")
 
 
@@ -28,10 +33,20 @@ class Scratch:
         self.spark = spark
         self.base = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
         self.made = 0
+        self.held: dict[int, tuple[DataFrame, str]] = {}
 
     def save(self, df: DataFrame) -> DataFrame:
         """Write ``df`` as a table and return the frame that reads it."""
         self.made += 1
         path = f"{self.base}/{self.made}"
         df.write.parquet(path)
-        return self.spark.read.schema(df.schema).parquet(path)
+        out = self.spark.read.schema(df.schema).parquet(path)
+        self.held[id(out)] = (out, path)
+        return out
+
+    def drop(self, *tables: DataFrame | None) -> None:
+        """Delete tables that no later step reads."""
+        for table in tables:
+            if table is not None and (found := self.held.pop(id(table), None)) is not None:
+                path = self.spark._jvm.org.apache.hadoop.fs.Path(found[1])
+                path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
