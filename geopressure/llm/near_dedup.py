@@ -2,25 +2,28 @@
 
 Every document becomes the set of its distinct word shingles. Equal sets are collapsed into one
 class first, so exact copies never meet as pairs. Each class carries minwise values under ``COORDS``
-hash functions and one bit of each value as a sketch.
+hash functions and two bits of each value as a sketch.
 
 The join is a recursion over nodes, run for all trees at once, level by level:
 
-* a class enters, in each of ``trees`` independent trees, the nodes named by the minwise values
+* a class enters, in each of ``trees`` independent trees, the two nodes named by its minwise values
   (tokens) at the coordinates chosen for the root;
 * a node whose members are all known to be connected has nothing left to compare and is dropped;
 * a node with at most ``leaf`` members outside its largest component is compared exhaustively, which
-  costs at most ``leaf`` pairs for each member; the bound doubles with the depth up to ``MAX_LEAF``;
-* the members of a larger node are compared with a few pivots of the node, then branch into children
-  by the minwise tokens at coordinates that the node chooses.
+  costs at most ``leaf`` pairs for each member; the bound grows fourfold with the depth up to ``MAX_LEAF``;
+* the members of a larger node are compared with a few pivots of the node (below the root that nearest
+  the bitwise majority of its sketches, and at any depth some by hash), then branch into children by the minwise tokens at the
+  one or two coordinates that the node chooses.
 
 Candidate pairs pass a sketch filter and are confirmed on full shingle sets, at the depths in
 ``CONFIRM_AT`` and at the end; confirmed links are merged into components, which is what empties the
-nodes of a large group of near copies without listing its pairs. Nodes still mixed at ``max_depth`` are compared exhaustively.
+nodes of a large group of near copies without listing its pairs. Nodes still mixed at ``max_depth``
+are compared exhaustively.
 
-A pair of similarity ``s`` shares a chosen token with probability ``s`` at each of two branches, so
-it survives any depth of one tree with probability at least ``(2s - 1) / s**2`` (0.94 at 0.8) and
-is missed by all eight trees about once in 4e9; the sketch filter misses about one in 1e5 at 0.8.
+With 1.5 children a node on average, pairs of similarity 0.8 survive any depth of one tree with
+probability 0.75 or more and are missed by all six about twice in 10,000, pairs of 0.9 far less often;
+pairs below 2/3 die out, which keeps the rows of a large group of loosely similar texts from growing.
+The sketch filter misses under one in 1000 at 0.8 and practically none above 0.82.
 """
 
 from __future__ import annotations
@@ -31,16 +34,19 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from geopressure.llm.keys import only_keys, without_keys
 from geopressure.llm.store import Scratch
 
-COORDS = 64
+COORDS = 128
 BRANCHES = 2
-MAX_LEAF = 256
-CONFIRM_AT = (0, 2, 5, 8)
+MAX_LEAF = 128
+CONFIRM_AT = (0, 1, 3, 6)
+RANDOM_PIVOTS = 3
+#: Words of the sketch: the first bit of all values in two, then the second bit.
+SKETCH = ("s1", "s2", "s3", "s4")
 #: Slots of the id filter that is broadcast: a proven bound on its rows, whatever the corpus.
 FILTER_SLOTS = 1 << 20
 #: Bytes of a text that are hashed at once, and shingles of which minwise values are taken at once.
@@ -137,58 +143,63 @@ def minwise(grams: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return low
 
 
-def _features(batches: Iterator[pa.RecordBatch], width: int, with_sets: bool) -> Iterator[pa.RecordBatch]:
+def _features(batches: Iterator[pa.RecordBatch], width: int, trees: int, with_sets: bool) -> Iterator[pa.RecordBatch]:
     words = WordHash()
     a, b = _coefficients()
-    powers = np.uint64(1) << np.arange(COORDS, dtype=np.uint64)
     for batch in batches:
         for at in range(0, batch.num_rows, 512):
             part = batch.slice(at, 512)
-            n, cls, sketch, sigs, sets = [], [], [], [], []
+            n, cls, lows, sets = [], [], [], []
             for text in part.column("text").to_pylist():
                 grams = shingle_set(text, words, width)
                 n.append(len(grams))
                 cls.append(hashlib.blake2b(grams.tobytes(), digest_size=16).digest())
                 if with_sets:
                     sets.append(grams.view(np.int64))
-                    continue
-                low = minwise(grams, a, b)
-                bits = (low * np.uint32(0x85EBCA6B) >> np.uint32(31)).astype(np.uint64)
-                sketch.append(int((bits * powers).sum(dtype=np.uint64).astype(np.int64)))
-                sigs.append(low)
+                else:
+                    lows.append(minwise(grams, a, b))
             cols = [part.column("doc_id").cast(pa.int64()), pa.array(n, pa.int64()), pa.array(cls, pa.binary())]
             names = ["doc_id", "n_shingles", "cls"]
             if with_sets:
                 flat = pa.array(np.concatenate(sets)) if sets else pa.array([], pa.int64())
-                steps = pa.array(np.cumsum([0, *n]).astype(np.int32))
-                cols.append(pa.ListArray.from_arrays(steps, flat))
+                cols.append(pa.ListArray.from_arrays(pa.array(np.cumsum([0, *n]).astype(np.int32)), flat))
                 names.append("grams")
             else:
-                flat = pa.array(np.concatenate(sigs).view(np.int32)) if sigs else pa.array([], pa.int32())
-                steps = pa.array(np.arange(len(sigs) + 1, dtype=np.int32) * COORDS)
-                cols += [pa.array(sketch, pa.int64()), pa.ListArray.from_arrays(steps, flat)]
-                names += ["sketch", "sig"]
+                low = np.array(lows, np.uint32).reshape(-1, COORDS)
+                mixed = low * np.uint32(0x85EBCA6B)
+                for bit in (31, 30):
+                    words_of = np.packbits(mixed >> np.uint32(bit) & np.uint32(1), axis=1, bitorder="little").view(np.int64)
+                    cols += [pa.array(words_of[:, 0]), pa.array(words_of[:, 1])]
+                cols.append(pa.array([r.tobytes() for r in low[:, : trees * BRANCHES]], pa.binary()))
+                cols.append(pa.array([r.tobytes() for r in (low >> np.uint32(16)).astype(np.uint16)], pa.binary()))
+                names += [*SKETCH, "roots", "sig"]
             yield pa.RecordBatch.from_arrays(cols, names)
 
 
-def features(docs: DataFrame, width: int, with_sets: bool = False) -> DataFrame:
-    """Per document its set size, class key and either signature or full set."""
+def features(docs: DataFrame, width: int, trees: int, with_sets: bool = False) -> DataFrame:
+    """Per document its set size and class key, and either its full set or its minwise values.
+
+    ``roots`` holds the first values in full (they name the root's children); ``sig`` holds half of
+    every value, enough to tell apart the members of a node.
+    """
     schema = "doc_id long, n_shingles long, cls binary, " + (
-        "grams array<long>" if with_sets else "sketch long, sig array<int>"
+        "grams array<long>" if with_sets else "s1 long, s2 long, s3 long, s4 long, roots binary, sig binary"
     )
     return docs.select("doc_id", "text").mapInArrow(
-        functools.partial(_features, width=width, with_sets=with_sets), schema
+        functools.partial(_features, width=width, trees=trees, with_sets=with_sets), schema
     )
 
 
-def _near(a: str, b: str, reach: int):
-    return F.bit_count(F.col(a).bitwiseXOR(F.col(b))) <= reach
+def _apart(a: str, b: str) -> Column:
+    """Sketch positions that differ between two sides, named by the suffix of their columns."""
+    other = lambda k: F.col(f"s{k}{a}").bitwiseXOR(F.col(f"s{k}{b}"))
+    return F.bit_count(other(1).bitwiseOR(other(3))) + F.bit_count(other(2).bitwiseOR(other(4)))
 
 
 def sketch_reach(threshold: float) -> int:
-    """Differing sketch bits up to which a pair is a candidate: mean plus 4.8 deviations."""
-    p = (1 - threshold) / 2
-    return int(COORDS * p + 4.8 * (COORDS * p * (1 - p)) ** 0.5 + 0.999)
+    """Differing sketch positions up to which a pair is a candidate: mean plus 3.5 deviations."""
+    p = (1 - threshold) * 0.75
+    return int(COORDS * p + 3.5 * (COORDS * p * (1 - p)) ** 0.5 + 0.999)
 
 
 def merge_components(links: DataFrame, scratch: Scratch) -> DataFrame:
@@ -211,13 +222,16 @@ def merge_components(links: DataFrame, scratch: Scratch) -> DataFrame:
             .select(F.explode(F.array(F.struct("v", "m"), F.struct(F.col("u").alias("v"), "m"))).alias("e"))
             .select(F.col("e.v").alias("u"), F.col("e.m").alias("v"))
         )
-        edges = scratch.save(small.where("u > v").distinct())
+        before, edges = edges, scratch.save(small.where("u > v").distinct())
+        scratch.drop(before)
         now = tuple(edges.agg(*mark).first())
         if now == seen:
             break
         seen = now
     roots = edges.select(F.col("v").alias("cls"), F.col("v").alias("comp")).distinct()
-    return scratch.save(edges.select(F.col("u").alias("cls"), F.col("v").alias("comp")).unionByName(roots))
+    out = scratch.save(edges.select(F.col("u").alias("cls"), F.col("v").alias("comp")).unionByName(roots))
+    scratch.drop(edges)
+    return out
 
 
 def _confirm(docs: DataFrame, classes: DataFrame, pairs: DataFrame, width: int, num: int, den: int) -> DataFrame:
@@ -226,7 +240,7 @@ def _confirm(docs: DataFrame, classes: DataFrame, pairs: DataFrame, width: int,
     slot = F.pmod(F.xxhash64("doc_id"), F.lit(FILTER_SLOTS))
     slots = classes.join(wanted, "cls", "left_semi").select(slot.alias("slot")).distinct()
     few = docs.select("doc_id", "text").withColumn("slot", slot).join(F.broadcast(slots), "slot", "left_semi")
-    sets = features(few, width, with_sets=True).dropDuplicates(["cls"]).select("cls", "grams")
+    sets = features(few, width, 0, with_sets=True).dropDuplicates(["cls"]).select("cls", "grams")
     left = sets.select(F.col("cls").alias("a"), F.col("grams").alias("ga"))
     right = sets.select(F.col("cls").alias("b"), F.col("grams").alias("gb"))
     inter = F.size(F.array_intersect("ga", "gb"))
@@ -234,13 +248,37 @@ def _confirm(docs: DataFrame, classes: DataFrame, pairs: DataFrame, width: int,
     return pairs.join(left, "a").join(right, "b").where(inter * den >= union * num).select("a", "b")
 
 
+def _pivots(big: DataFrame, depth: int) -> DataFrame:
+    """A few members of every node: some by hash, and below the root that nearest the majority of sketch bits."""
+    member = F.struct("cls", *SKETCH, "comp", "top")
+    chosen = [F.min_by(member, F.xxhash64(F.lit(depth), F.lit(i), "cls")) for i in range(RANDOM_PIVOTS)]
+    if depth == 0:
+        ones = big.groupBy("node").agg(
+            F.count("*").alias("n"), *[F.sum(F.getbit(f"s{k}", F.lit(i))).alias(f"b{k}_{i}") for k in (1, 2) for i in range(64)]
+        )
+        bit = lambda k, i: F.when(F.col(f"b{k}_{i}") * 2 > F.col("n"), F.shiftleft(F.lit(1).cast("long"), i)).otherwise(F.lit(0).cast("long"))
+        word = lambda k: functools.reduce(lambda x, y: x.bitwiseOR(y), [bit(k, i) for i in range(64)])
+        big = big.join(ones.select("node", word(1).alias("s1m"), word(2).alias("s2m")), "node")
+        off = sum((F.bit_count(F.col(f"s{k}").bitwiseXOR(F.col(f"s{k}m"))) for k in (1, 2)), F.lit(0))
+        chosen.append(F.min_by(member, F.struct(off, "cls")))
+    found = big.groupBy("node").agg(F.array_distinct(F.array(*chosen)).alias("p"))
+    return _side(found.select("node", F.explode("p").alias("p")).select("node", "p.*"), "a")
+
+
+def _side(rows: DataFrame, tag: str) -> DataFrame:
+    """Members of nodes as one side of pairs: class, sketch and component with a suffix."""
+    return rows.select(
+        "node", F.col("cls").alias(tag), *[F.col(c).alias(c + tag) for c in (*SKETCH, "top")], F.col("comp").alias(f"c{tag}")
+    )
+
+
 def near_duplicates(
     docs: DataFrame,
     threshold: float = 0.8,
     width: int = 2,
-    trees: int = 8,
+    trees: int = 6,
     leaf: int = 16,
-    max_depth: int = 12,
+    max_depth: int = 16,
 ) -> DataFrame:
     """Near-duplicate component of each row of ``docs(doc_id, text, ...)``.
 
@@ -256,86 +294,61 @@ def near_duplicates(
     scratch = Scratch(spark, "near-dedup")
     num, den = round(threshold * 100), 100
     reach = sketch_reach(threshold)
-    feats = scratch.save(features(docs, width))
+    wide = scratch.save(features(docs, width, trees))
     classes = scratch.save(
-        feats.where("n_shingles > 0")
+        wide.where("n_shingles > 0")
         .groupBy("cls")
-        .agg(F.min("doc_id").alias("doc_id"), F.first("sketch").alias("sketch"), F.first("sig").alias("sig"))
+        .agg(F.min("doc_id").alias("doc_id"), *[F.first(c).alias(c) for c in (*SKETCH, "roots", "sig")])
     )
-    keys = [
-        F.xxhash64(F.lit(t), F.lit(c), F.col("sig")[c])
-        for t in range(trees)
-        for c in ((t * BRANCHES + j) * 29 % COORDS for j in range(BRANCHES))
-    ]
-    nodes = classes.select("cls", "sketch", F.explode(F.array(*keys)).alias("node"))
-    many = nodes.groupBy("node").count().where("count > 1").select("node")
-    nodes = scratch.save(nodes.join(many, "node"))
-    links = comps = pending = tested = None
+    feats = scratch.save(wide.select("doc_id", "n_shingles", "cls"))
+    scratch.drop(wide)
+    keys = [F.xxhash64(F.lit(c), F.substring("roots", 4 * c + 1, 4)) for c in range(trees * BRANCHES)]
+    grown = classes.select("cls", *SKETCH, F.explode(F.array(*keys)).alias("node"))
+    comps = pending = tested = links = None
     for depth in range(max_depth + 1):
-        rows = nodes
+        rows = grown
         if comps is None:
             rows = rows.withColumn("comp", F.col("cls"))
         else:
             rows = rows.join(comps, "cls", "left").withColumn("comp", F.coalesce("comp", "cls"))
-        parts = rows.groupBy("node", "comp").agg(
-            F.count("*").alias("k"),
-            *[
-                f(F.struct(F.xxhash64(F.lit(depth * 2 + s), "cls").alias("h"), "cls", "sketch", "comp")).alias(f"p{s}{w}")
-                for s in (0, 1)
-                for w, f in (("a", F.min), ("b", F.max))
-            ],
-        )
-        stats = (
-            parts.groupBy("node")
-            .agg(
-                F.sum("k").alias("n"),
-                (F.sum("k") - F.max("k")).alias("others"),
-                F.max(F.struct("k", "comp")).getField("comp").alias("top"),
-                F.array_distinct(F.array(F.min("p0a"), F.max("p0b"), F.min("p1a"), F.max("p1b"))).alias("pivots"),
-            )
-            .where("others > 0")
-        )
-        rows = scratch.save(rows.join(stats, "node"))
-        bounded = (F.col("others") <= min(MAX_LEAF, leaf << depth)) | F.lit(depth == max_depth)
-        one = rows.where(bounded & (F.col("comp") != F.col("top"))).select(
-            "node", F.col("cls").alias("a"), F.col("sketch").alias("sa"), F.col("comp").alias("ca")
-        )
-        other = rows.where(bounded).select(
-            "node", F.col("cls").alias("b"), F.col("sketch").alias("sb"), F.col("comp").alias("cb")
-        )
-        exhaustive = other.join(one, "node").where((F.col("ca") != F.col("cb")) & _near("sa", "sb", reach))
-        big = rows.where(~bounded)
-        pivots = big.select(
-            F.col("cls").alias("b"), F.col("sketch").alias("sb"), F.col("comp").alias("cb"), F.explode("pivots").alias("p")
-        ).select("b", "sb", "cb", F.col("p.cls").alias("a"), F.col("p.sketch").alias("sa"), F.col("p.comp").alias("ca"))
-        pivoted = pivots.where((F.col("ca") != F.col("cb")) & _near("sa", "sb", reach))
-        pairs = (
-            exhaustive.select("a", "b")
-            .unionByName(pivoted.select("a", "b"))
-            .select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-            .distinct()
-        )
-        pairs = scratch.save(pairs if tested is None else pairs.join(tested, ["a", "b"], "left_anti"))
-        pending = pairs if pending is None else pending.unionByName(pairs)
-        tested = pairs if tested is None else tested.unionByName(pairs)
+        parts = rows.groupBy("node", "comp").agg(F.count("*").alias("k"))
+        most = F.max(F.struct("k", "comp"))
+        stats = parts.groupBy("node").agg((F.sum("k") - most.getField("k")).alias("others"), most.getField("comp").alias("top"))
+        rows = rows.join(stats.where("others > 0"), "node")
+        bounded = (F.col("others") <= min(MAX_LEAF, leaf << 2 * depth)) | F.lit(depth == max_depth)
+        rows = rows.select("node", "cls", *SKETCH, "comp", (F.col("comp") == F.col("top")).alias("top"), bounded.alias("bounded"))
+        rows = scratch.save(rows)
+        scratch.drop(grown)
+        small, big = rows.where("bounded"), rows.where("not bounded")
+        near = (F.col("ca") != F.col("cb")) & (_apart("a", "b") <= reach)
+        once = F.col("topb") | (F.col("a") < F.col("b"))
+        pairs = _side(small, "b").join(_side(small.where("not top"), "a"), "node").where(near & once).select("a", "b")
         last = depth == max_depth or big.isEmpty()
-        if (last or depth in CONFIRM_AT) and not pending.isEmpty():
-            found = scratch.save(_confirm(docs, classes, pending, width, num, den))
-            links, pending = found if links is None else links.unionByName(found), None
+        if not last:
+            pivoted = _side(big, "b").join(_pivots(big, depth), "node").where(near)
+            pairs = pairs.unionByName(pivoted.select("a", "b"))
+        pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+        pairs = scratch.save(pairs)
+        pending = pairs if pending is None else pending.unionByName(pairs)
+        if last or depth in CONFIRM_AT:
+            asked = pending if pending is pairs else pending.distinct()
+            asked = asked if tested is None else asked.join(tested, ["a", "b"], "left_anti")
+            found = scratch.save(_confirm(docs, classes, scratch.save(asked), width, num, den))
+            links = found if links is None else links.unionByName(found)
+            tested, pending = pending if tested is None else tested.unionByName(pending), None
             if not found.isEmpty():
-                comps = merge_components(links, scratch)
+                before, comps = comps, merge_components(links, scratch)
+                scratch.drop(before)
         if last:
             break
-        sig = classes.select("cls", "sig")
-        child = [
-            F.xxhash64("node", F.lit(j), F.col("sig")[F.pmod(F.xxhash64("node", F.lit(depth * BRANCHES + j)), F.lit(COORDS)).cast("int")])
-            for j in range(BRANCHES)
-        ]
-        grown = big.select("node", "cls", "sketch").join(sig, "cls").select(
-            "cls", "sketch", F.explode(F.array(*child)).alias("node")
-        )
-        many = grown.groupBy("node").count().where("count > 1").select("node")
-        nodes = scratch.save(grown.join(many, "node"))
+        # A node chooses one or two of the coordinates, evenly.
+        at = lambda j: F.pmod(F.xxhash64("node", F.lit(j)), F.lit(COORDS)).cast("int")
+        token = lambda j: F.xxhash64("node", F.lit(j), F.substring(F.col("sig"), at(j) * 2 + 1, F.lit(2)))
+        both = F.xxhash64("node", F.lit("branches")) % 2 == 0
+        child = F.when(both, F.array(token(1), token(2))).otherwise(F.array(token(1)))
+        branched = big.select("node", "cls", *SKETCH).join(classes.select("cls", "sig"), "cls")
+        grown = scratch.save(branched.select("cls", *SKETCH, F.explode(child).alias("node")))
+        scratch.drop(rows)
     return _labelled(feats, classes, comps)
 
 
