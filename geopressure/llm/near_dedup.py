@@ -1,8 +1,8 @@
 """MinHash near-duplicate detection by a chosen-path similarity join.
 
 Every document becomes the set of its distinct word shingles. Equal sets are collapsed into one
-class first, so exact copies never meet as pairs. Each class carries minwise values under ``COORDS``
-hash functions and two bits of each value as a sketch.
+class first, so exact copies never meet as pairs. Each class carries ``TREE_COORDS`` minwise values
+for each tree, under hash functions of that tree alone, and two bits of ``COORDS`` values as a sketch.
 
 The join is a recursion over nodes, run for all trees at once, level by level:
 
@@ -13,17 +13,16 @@ The join is a recursion over nodes, run for all trees at once, level by level:
   costs at most ``leaf`` pairs for each member; the bound grows fourfold with the depth up to ``MAX_LEAF``;
 * the members of a larger node are compared with a few pivots of the node (below the root that nearest
   the bitwise majority of its sketches, and at any depth some by hash), then branch into children by the minwise tokens at the
-  one or two coordinates that the node chooses.
+  two coordinates that the node chooses among those of its tree.
 
 Candidate pairs pass a sketch filter and are confirmed on full shingle sets, at the depths in
 ``CONFIRM_AT`` and at the end; confirmed links are merged into components, which is what empties the
 nodes of a large group of near copies without listing its pairs. Nodes still mixed at ``max_depth``
 are compared exhaustively.
 
-With 1.5 children a node on average, pairs of similarity 0.8 survive any depth of one tree with
-probability 0.75 or more and are missed by all six about twice in 10,000, pairs of 0.9 far less often;
-pairs below 2/3 die out, which keeps the rows of a large group of loosely similar texts from growing.
-The sketch filter misses under one in 1000 at 0.8 and practically none above 0.82.
+With two children a node and values of their own, the trees miss a pair independently of one another:
+counting that a pair may agree on few of a tree's 32 values, all eight miss one of similarity 0.8 about
+twice in a thousand million at depth 6 to 16. The sketch filter misses about four in a million at 0.8.
 """
 
 from __future__ import annotations
@@ -41,6 +40,8 @@ from geopressure.llm.keys import only_keys, without_keys
 from geopressure.llm.store import Scratch
 
 COORDS = 128
+#: Minwise values of each tree, drawn for it alone.
+TREE_COORDS = 32
 BRANCHES = 2
 MAX_LEAF = 128
 CONFIRM_AT = (0, 1, 3, 6)
@@ -122,17 +123,17 @@ def shingle_set(text: str | None, words: WordHash, width: int) -> np.ndarray:
     return x[np.concatenate(([True], x[1:] != x[:-1]))]
 
 
-def _coefficients() -> tuple[np.ndarray, np.ndarray]:
+def _coefficients(n: int) -> tuple[np.ndarray, np.ndarray]:
     rng = np.random.default_rng(20)
     return (
-        rng.integers(0, 1 << 32, COORDS, np.uint32) | np.uint32(1),
-        rng.integers(0, 1 << 32, COORDS, np.uint32),
+        rng.integers(0, 1 << 32, n, np.uint32) | np.uint32(1),
+        rng.integers(0, 1 << 32, n, np.uint32),
     )
 
 
 def minwise(grams: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """The minwise values of a set under all hash functions."""
-    low = np.full(COORDS, 0xFFFFFFFF, np.uint32)
+    low = np.full(len(a), 0xFFFFFFFF, np.uint32)
     folded = (grams >> np.uint64(32)).astype(np.uint32) ^ grams.astype(np.uint32)
     for at in range(0, len(folded), CHUNK):
         v = a[:, None] * folded[at : at + CHUNK]
@@ -145,7 +146,8 @@ def minwise(grams: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 def _features(batches: Iterator[pa.RecordBatch], width: int, trees: int, with_sets: bool) -> Iterator[pa.RecordBatch]:
     words = WordHash()
-    a, b = _coefficients()
+    first = [t * TREE_COORDS + j for t in range(trees) for j in range(BRANCHES)]
+    a, b = _coefficients(max(COORDS, trees * TREE_COORDS))
     for batch in batches:
         for at in range(0, batch.num_rows, 512):
             part = batch.slice(at, 512)
@@ -165,13 +167,13 @@ def _features(batches: Iterator[pa.RecordBatch], width: int, trees: int, with_se
                 cols.append(pa.ListArray.from_arrays(pa.array(np.cumsum([0, *n]).astype(np.int32)), flat))
                 names.append("grams")
             else:
-                low = np.array(lows, np.uint32).reshape(-1, COORDS)
-                mixed = low * np.uint32(0x85EBCA6B)
+                low = np.array(lows, np.uint32).reshape(-1, len(a))
+                mixed = low[:, :COORDS] * np.uint32(0x85EBCA6B)
                 for bit in (31, 30):
                     words_of = np.packbits(mixed >> np.uint32(bit) & np.uint32(1), axis=1, bitorder="little").view(np.int64)
                     cols += [pa.array(words_of[:, 0]), pa.array(words_of[:, 1])]
-                cols.append(pa.array([r.tobytes() for r in low[:, : trees * BRANCHES]], pa.binary()))
-                cols.append(pa.array([r.tobytes() for r in (low >> np.uint32(16)).astype(np.uint16)], pa.binary()))
+                cols.append(pa.array([r.tobytes() for r in low[:, first]], pa.binary()))
+                cols.append(pa.array([r.tobytes() for r in (low[:, : trees * TREE_COORDS] >> np.uint32(16)).astype(np.uint16)], pa.binary()))
                 names += [*SKETCH, "roots", "sig"]
             yield pa.RecordBatch.from_arrays(cols, names)
 
@@ -179,8 +181,8 @@ def _features(batches: Iterator[pa.RecordBatch], width: int, trees: int, with_se
 def features(docs: DataFrame, width: int, trees: int, with_sets: bool = False) -> DataFrame:
     """Per document its set size and class key, and either its full set or its minwise values.
 
-    ``roots`` holds the first values in full (they name the root's children); ``sig`` holds half of
-    every value, enough to tell apart the members of a node.
+    ``roots`` holds each tree's first values in full (they name the root's children); ``sig`` holds half
+    of every value of every tree, enough to tell apart the members of a node.
     """
     schema = "doc_id long, n_shingles long, cls binary, " + (
         "grams array<long>" if with_sets else "s1 long, s2 long, s3 long, s4 long, roots binary, sig binary"
@@ -197,9 +199,9 @@ def _apart(a: str, b: str) -> Column:
 
 
 def sketch_reach(threshold: float) -> int:
-    """Differing sketch positions up to which a pair is a candidate: mean plus 3.5 deviations."""
+    """Differing sketch positions up to which a pair is a candidate: mean plus 4.8 deviations."""
     p = (1 - threshold) * 0.75
-    return int(COORDS * p + 3.5 * (COORDS * p * (1 - p)) ** 0.5 + 0.999)
+    return int(COORDS * p + 4.8 * (COORDS * p * (1 - p)) ** 0.5 + 0.999)
 
 
 def merge_components(links: DataFrame, scratch: Scratch) -> DataFrame:
@@ -276,7 +278,7 @@ def near_duplicates(
     docs: DataFrame,
     threshold: float = 0.8,
     width: int = 2,
-    trees: int = 6,
+    trees: int = 8,
     leaf: int = 16,
     max_depth: int = 16,
 ) -> DataFrame:
@@ -302,8 +304,11 @@ def near_duplicates(
     )
     feats = scratch.save(wide.select("doc_id", "n_shingles", "cls"))
     scratch.drop(wide)
-    keys = [F.xxhash64(F.lit(c), F.substring("roots", 4 * c + 1, 4)) for c in range(trees * BRANCHES)]
-    grown = classes.select("cls", *SKETCH, F.explode(F.array(*keys)).alias("node"))
+    keys = [
+        F.struct(F.xxhash64(F.lit(c), F.substring("roots", 4 * c + 1, 4)).alias("node"), F.lit(c // BRANCHES).cast("byte").alias("tree"))
+        for c in range(trees * BRANCHES)
+    ]
+    grown = classes.select("cls", *SKETCH, F.explode(F.array(*keys)).alias("root")).select("cls", *SKETCH, "root.*")
     comps = pending = tested = links = None
     for depth in range(max_depth + 1):
         rows = grown
@@ -316,7 +321,7 @@ def near_duplicates(
         stats = parts.groupBy("node").agg((F.sum("k") - most.getField("k")).alias("others"), most.getField("comp").alias("top"))
         rows = rows.join(stats.where("others > 0"), "node")
         bounded = (F.col("others") <= min(MAX_LEAF, leaf << 2 * depth)) | F.lit(depth == max_depth)
-        rows = rows.select("node", "cls", *SKETCH, "comp", (F.col("comp") == F.col("top")).alias("top"), bounded.alias("bounded"))
+        rows = rows.select("node", "tree", "cls", *SKETCH, "comp", (F.col("comp") == F.col("top")).alias("top"), bounded.alias("bounded"))
         rows = scratch.save(rows)
         scratch.drop(grown)
         small, big = rows.where("bounded"), rows.where("not bounded")
@@ -341,13 +346,12 @@ def near_duplicates(
                 scratch.drop(before)
         if last:
             break
-        # A node chooses one or two of the coordinates, evenly.
-        at = lambda j: F.pmod(F.xxhash64("node", F.lit(j)), F.lit(COORDS)).cast("int")
+        # A node chooses two of its tree's coordinates.
+        at = lambda j: F.col("tree") * TREE_COORDS + F.pmod(F.xxhash64("node", F.lit(j)), F.lit(TREE_COORDS)).cast("int")
         token = lambda j: F.xxhash64("node", F.lit(j), F.substring(F.col("sig"), at(j) * 2 + 1, F.lit(2)))
-        both = F.xxhash64("node", F.lit("branches")) % 2 == 0
-        child = F.when(both, F.array(token(1), token(2))).otherwise(F.array(token(1)))
-        branched = big.select("node", "cls", *SKETCH).join(classes.select("cls", "sig"), "cls")
-        grown = scratch.save(branched.select("cls", *SKETCH, F.explode(child).alias("node")))
+        branched = big.select("node", "tree", "cls", *SKETCH).join(classes.select("cls", "sig"), "cls")
+        child = F.array(*[token(j) for j in range(1, BRANCHES + 1)])
+        grown = scratch.save(branched.select("cls", *SKETCH, "tree", F.explode(child).alias("node")))
         scratch.drop(rows)
     return _labelled(feats, classes, comps)
 
