@@ -27,11 +27,9 @@ from geopressure.llm.logistic import Logistic
 MAX_TOXIC, MAX_CLEAN = 2500, 5000
 #: Lengths of word beginnings that may become terms, and the most terms.
 STEMS = range(3, 9)
-MAX_TERMS = 64
+MAX_TERMS = 256
 #: Words and word beginnings at least this long are also found with one error.
-FUZZY, FUZZY_STEM = 5, 6
-#: The strongest terms, those that are also found misspelled.
-FUZZY_TERMS = 16
+FUZZY = 5
 #: Words on either side that make a match's context.
 WINDOW = 8
 CACHE = 300_000
@@ -47,20 +45,20 @@ class Lexicon:
 
     def __init__(self, terms: dict[str, float]) -> None:
         self.root: dict = {}
-        self.strong: dict = {}
-        for rank, (term, weight) in enumerate(terms.items()):
-            for root in (self.root, self.strong)[: 1 + (rank < FUZZY_TERMS)]:
-                node = root
-                for ch in term.rstrip("$"):
-                    node = node.setdefault(ch, {})
-                node["whole" if term.endswith("$") else "stem"] = (term, weight)
+        for term, weight in terms.items():
+            node = self.root
+            for ch in term.rstrip("$"):
+                node = node.setdefault(ch, {})
+            node["whole" if term.endswith("$") else "stem"] = (term, weight)
         # One error leaves the first or the last two letters of a term as they are, and its length within one.
         self.heads: dict[str, set[int]] = {}
         self.tails: dict[str, set[int]] = {}
+        # A stem keeps its first two letters, or its next two within one place of where they stand.
         self.stems: set[str] = set()
-        for term in list(terms)[:FUZZY_TERMS]:
+        self.inner: set[str] = set()
+        for term in terms:
             plain = term.rstrip("$")
-            if len(plain) < (FUZZY if term.endswith("$") else FUZZY_STEM):
+            if len(plain) < FUZZY:
                 continue
             if term.endswith("$"):
                 near = {len(plain) - 1, len(plain), len(plain) + 1}
@@ -68,6 +66,7 @@ class Lexicon:
                 self.tails.setdefault(plain[-2:], set()).update(near)
             else:
                 self.stems.add(plain[:2])
+                self.inner.add(plain[2:4])
         # Words that match, and tokens that hold none: the newest CACHE of these and the generation before.
         self.hits: dict[str, tuple[str, float, int]] = {}
         self.clean: set[str] = set()
@@ -99,7 +98,8 @@ class Lexicon:
         got = self._exact(word)
         if got is None and len(word) >= FUZZY - 1:
             n, head = len(word), word[:2]
-            if head in self.stems or n in self.heads.get(head, ()) or n in self.tails.get(word[-2:], ()):
+            stem = head in self.stems or any(word[i : i + 2] in self.inner for i in (1, 2, 3))
+            if stem or n in self.heads.get(head, ()) or n in self.tails.get(word[-2:], ()):
                 got = self._fuzzy(word)
         return got
 
@@ -122,15 +122,13 @@ class Lexicon:
             at[ch] = at.get(ch, 0) | 1 << i
         end, best = 1 << n, None
         # zero and one hold, as bits, how much of the word is read with no and with one error.
-        stack = [(self.strong, 1, 3, 0)]
+        stack = [(self.root, 1, 3, 0)]
         while stack:
             node, zero, one, depth = stack.pop()
             if depth >= FUZZY:
                 if "whole" in node and (zero | one) & end and (best is None or node["whole"][1] > best[1]):
                     best = (*node["whole"], 1)
-                # A stem's error must lie after its first two letters: those begin the word as they are.
-                deep = depth >= FUZZY_STEM and "stem" in node and node["stem"][0][:2] == word[:2]
-                if deep and (best is None or node["stem"][1] > best[1]):
+                if "stem" in node and (best is None or node["stem"][1] > best[1]):
                     best = (*node["stem"], 1)
             for ch, child in node.items():
                 if len(ch) != 1:
@@ -219,8 +217,8 @@ def learn_lexicon(sample: DataFrame, n_toxic: int, n_clean: int) -> dict[str, fl
     counts = sample.mapInArrow(_terms, "term string, toxic long, clean long").groupBy("term")
     counts = counts.agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
     odds = F.log(((F.col("toxic") + 0.5) / (n_toxic + 1)) / ((F.col("clean") + 0.5) / (n_clean + 1)))
-    # Words that a few copies of one text share are no terms: one in a hundred toxic texts must hold a term.
-    floor = max(3, n_toxic // 100)
+    # Words that a few copies of one text share are no terms: one in 400 toxic texts must hold a term.
+    floor = max(3, n_toxic // 400)
     ranked = counts.where(F.col("toxic") >= floor).withColumn("odds", odds).where(F.col("odds") >= math.log(12.0))
     rows = ranked.orderBy(F.desc(F.col("odds") * F.col("toxic")), F.desc(F.length("term")), "term").limit(40 * MAX_TERMS).collect()
     kept: dict[str, float] = {}
