@@ -22,7 +22,7 @@ are compared exhaustively.
 
 With two children a node and values of their own, the trees miss a pair independently of one another:
 counting that a pair may agree on few of a tree's 32 values, all eight miss one of similarity 0.8 about
-twice in a thousand million at depth 6 to 16. The sketch filter misses about four in a million at 0.8.
+twice in a thousand million at depth 6 to 16. The sketch filter misses about three in a million at 0.8.
 """
 
 from __future__ import annotations
