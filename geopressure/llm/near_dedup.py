@@ -4,25 +4,28 @@ Every document becomes the set of its distinct word shingles. Equal sets are col
 class first, so exact copies never meet as pairs. Each class carries ``TREE_COORDS`` minwise values
 for each tree, under hash functions of that tree alone, and two bits of ``COORDS`` values as a sketch.
 
-The join is a recursion over nodes, run for all trees at once, level by level:
-
-* a class enters, in each of ``trees`` independent trees, the two nodes named by its minwise values
-  (tokens) at the coordinates chosen for the root;
-* a node whose members are all known to be connected has nothing left to compare and is dropped;
-* a node with at most ``leaf`` members outside its largest component is compared exhaustively, which
-  costs at most ``leaf`` pairs for each member; the bound grows fourfold with the depth up to ``MAX_LEAF``;
-* the members of a larger node are compared with a few pivots of the node (below the root that nearest
-  the bitwise majority of its sketches, and at any depth some by hash), then branch into children by the minwise tokens at the
-  two coordinates that the node chooses among those of its tree.
-
-Candidate pairs pass a sketch filter and are confirmed on full shingle sets, at the depths in
-``CONFIRM_AT`` and at the end; confirmed links are merged into components, which is what empties the
-nodes of a large group of near copies without listing its pairs. Nodes still mixed at ``max_depth``
-are compared exhaustively.
-
-With two children a node and values of their own, the trees miss a pair independently of one another:
-counting that a pair may agree on few of a tree's 32 values, all eight miss one of similarity 0.8 about
-twice in a thousand million at depth 6 to 16. The sketch filter misses about three in a million at 0.8.
+* A class enters, in each of ``trees`` independent trees, the two nodes named by its minwise values
+  (tokens) at the coordinates of the root. One shuffle brings the members of a node together.
+* A node of at most ``local`` members is finished inside its task: it branches further, by the minwise
+  tokens at two coordinates that the node chooses, as long as that saves comparisons; small nodes are
+  compared exhaustively on sketches and set sizes.
+* A larger node never meets in one task. Its members are dealt over chunks, each with the node's few
+  pivots, so that a large group of near copies becomes one component through its pivots. Once all but a
+  few members are known to be connected, those few are compared with every chunk of the rest; until
+  then the members branch into child nodes by their tokens and the next round handles these. At
+  ``max_depth`` what is left is compared chunk by chunk with every other chunk of its node: texts that
+  so many tokens did not tell apart are so alike that more branches cost more than comparing.
+
+What a node hands on is not pairs but lists: the members that near sketches join, one row for each
+list, and equal lists of different nodes and trees once. The full shingle sets of a list meet in one
+task, bounded by ``ELEMENTS`` shingles (longer lists are dealt as pairs of blocks), where links are
+confirmed exactly on the full sets. A list gives at most one edge for each member, whatever its number
+of links, so nothing grows with the square of a group but arithmetic on a bounded block. The edges are
+merged into components.
+
+A tree loses a pair of similarity 0.8 at the root with probability 0.04, all eight together about seven
+times in 1e12; each level that a node branches inside its tree keeps a pair with probability 0.96 or
+more. The sketch filter misses about three in a million at 0.8. ``tests/llm`` measures recall.
 """
 
 from __future__ import annotations
@@ -33,7 +36,8 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from geopressure.llm.keys import only_keys, without_keys
@@ -43,9 +47,11 @@ COORDS = 128
 #: Minwise values of each tree, drawn for it alone.
 TREE_COORDS = 32
 BRANCHES = 2
-MAX_LEAF = 128
-CONFIRM_AT = (0, 1, 3, 6)
-RANDOM_PIVOTS = 3
+#: Members of a node that one task compares, and members up to which it does not branch.
+LOCAL, LEAF = 2048, 64
+PIVOTS = 4
+#: Shingles of a list that one task holds to confirm its links.
+ELEMENTS = 1 << 20
 #: Words of the sketch: the first bit of all values in two, then the second bit.
 SKETCH = ("s1", "s2", "s3", "s4")
 #: Slots of the id filter that is broadcast: a proven bound on its rows, whatever the corpus.
@@ -54,8 +60,6 @@ FILTER_SLOTS = 1 << 20
 SEGMENT = 1 << 20
 CHUNK = 1024
 
-
-
 #: Odd base of the words' polynomial hash, and its inverse modulo 2**64.
 BASE = 0x9E3779B97F4A7C15
 INVERSE = pow(BASE, -1, 1 << 64)
@@ -192,12 +196,6 @@ def features(docs: DataFrame, width: int, trees: int, with_sets: bool = False) -
     )
 
 
-def _apart(a: str, b: str) -> Column:
-    """Sketch positions that differ between two sides, named by the suffix of their columns."""
-    other = lambda k: F.col(f"s{k}{a}").bitwiseXOR(F.col(f"s{k}{b}"))
-    return F.bit_count(other(1).bitwiseOR(other(3))) + F.bit_count(other(2).bitwiseOR(other(4)))
-
-
 def sketch_reach(threshold: float) -> int:
     """Differing sketch positions up to which a pair is a candidate: mean plus 4.8 deviations."""
     p = (1 - threshold) * 0.75
@@ -207,13 +205,17 @@ def sketch_reach(threshold: float) -> int:
 def merge_components(links: DataFrame, scratch: Scratch) -> DataFrame:
     """``(cls, comp)`` of every class in ``links(a, b)``, comp the least class key it reaches.
 
-    Alternates large-star and small-star steps until the edges no longer change; the number of
-    rounds grows with the logarithm of the longest chain.
+    Alternates large-star and small-star steps until every edge leads straight to a root; the number
+    of rounds grows with the logarithm of the longest chain. Hot roots are left to the skew handling
+    of adaptive joins.
     """
     edges = links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u > v").distinct()
-    edges, seen = scratch.save(edges), None
-    mark = [F.count("*"), F.sum(F.xxhash64("u", "v") % 1_000_003), F.sum(F.xxhash64("v", "u") % 998_244_353)]
+    edges = scratch.save(edges)
     while True:
+        ends = F.explode(F.array(F.struct(F.col("u").alias("x"), F.lit(1).alias("up")), F.struct(F.col("v").alias("x"), F.lit(0).alias("up"))))
+        seen = edges.select(ends.alias("e")).groupBy("e.x").agg(F.sum("e.up").alias("ups"), F.min("e.up").alias("low"))
+        if seen.where("ups > 1 or (ups = 1 and low = 0)").isEmpty():
+            break
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
         large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
@@ -226,52 +228,251 @@ def merge_components(links: DataFrame, scratch: Scratch) -> DataFrame:
         )
         before, edges = edges, scratch.save(small.where("u > v").distinct())
         scratch.drop(before)
-        now = tuple(edges.agg(*mark).first())
-        if now == seen:
-            break
-        seen = now
     roots = edges.select(F.col("v").alias("cls"), F.col("v").alias("comp")).distinct()
     out = scratch.save(edges.select(F.col("u").alias("cls"), F.col("v").alias("comp")).unionByName(roots))
     scratch.drop(edges)
     return out
 
 
-def _confirm(docs: DataFrame, classes: DataFrame, pairs: DataFrame, width: int, num: int, den: int) -> DataFrame:
-    """The pairs ``(a, b)`` whose full sets have den * intersection >= num * union."""
-    wanted = pairs.select(F.col("a").alias("cls")).union(pairs.select("b")).distinct()
+def _runs(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[pa.RecordBatch]:
+    """Batches sorted by ``key``, cut so that no value of it is split between two."""
+    kept: list[pa.RecordBatch] = []
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        column = batch.column(key)
+        last = column[-1]
+        same = pc.equal(column, last).to_numpy(zero_copy_only=False)
+        cut = int(np.argmax(same))
+        if cut == 0 and (not kept or kept[0].column(key)[-1] == last):
+            kept.append(batch)
+            continue
+        # What was kept is one value of the key; it goes on into this batch, or ended before it.
+        yield pa.Table.from_batches([*kept, batch.slice(0, cut)]).combine_chunks().to_batches()[0]
+        kept = [batch.slice(cut)]
+    if kept:
+        yield pa.Table.from_batches(kept).combine_chunks().to_batches()[0]
+
+
+class Groups:
+    """Disjoint sets of the positions 0 to n - 1, each named by its least member."""
+
+    def __init__(self, n: int) -> None:
+        self.label = np.arange(n)
+
+    def join(self, members: np.ndarray) -> None:
+        names = np.unique(self.label[members])
+        if len(names) > 1:
+            self.label[np.isin(self.label, names)] = names[0]
+
+    def sets(self) -> list[np.ndarray]:
+        """Sets of two or more."""
+        order = np.argsort(self.label, kind="stable")
+        starts = np.flatnonzero(np.diff(self.label[order], prepend=-1))
+        return [part for part in np.split(order, starts[1:]) if len(part) > 1]
+
+
+class Members:
+    """Members of nodes as arrays: sketches, set sizes, whether they are of the known top component, and tokens."""
+
+    def __init__(self, batch: pa.RecordBatch, reach: int, num: int, den: int) -> None:
+        self.sketch = np.stack([batch.column(c).to_numpy().view(np.uint64) for c in SKETCH], axis=1)
+        self.size = batch.column("n").to_numpy()
+        self.top = batch.column("top").to_numpy(zero_copy_only=False)
+        self.batch, self.reach, self.num, self.den = batch, reach, num, den
+
+    def tokens(self, lo: int, hi: int) -> np.ndarray:
+        raw = b"".join(self.batch.column("sig").slice(lo, hi - lo).to_pylist())
+        return np.frombuffer(raw, np.uint16).reshape(hi - lo, -1)
+
+    def near(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """Whether positions may be linked: sketches within reach, sizes that allow it, not both of the top."""
+        x, y = self.sketch[a], self.sketch[b]
+        off = np.bitwise_count((x[..., 0] ^ y[..., 0]) | (x[..., 2] ^ y[..., 2])).astype(np.int16)
+        off += np.bitwise_count((x[..., 1] ^ y[..., 1]) | (x[..., 3] ^ y[..., 3]))
+        small, large = np.minimum(self.size[a], self.size[b]), np.maximum(self.size[a], self.size[b])
+        return (off <= self.reach) & (small * self.den >= large * self.num) & ~(self.top[a] & self.top[b])
+
+
+def _branch(members: Members, at: np.ndarray, tokens: np.ndarray, salt: int, groups: Groups) -> None:
+    """Join the near members ``at`` of one node: by its children where these are cheaper, else exhaustively."""
+    m = len(at)
+    if m > LEAF:
+        children = []
+        for j in range(BRANCHES):
+            values = tokens[at, (salt * (j + 1) + 7 * j) % TREE_COORDS]
+            order = np.argsort(values, kind="stable")
+            children += np.split(at[order], np.flatnonzero(np.diff(values[order])) + 1)
+        if sum(len(c) ** 2 for c in children) * 2 < m * m:
+            for k, child in enumerate(children):
+                if len(child) > 1:
+                    _branch(members, child, tokens, (salt * 0x9E3779B1 + k + 1) % (1 << 61), groups)
+            return
+    for lo in range(0, m - 1, 256):
+        rows = at[lo : lo + 256]
+        rest = at[lo:]
+        found = members.near(rows[:, None], rest[None, :])
+        for i, row in enumerate(found):
+            row[: i + 1] = False
+            if row.any():
+                groups.join(np.append(rest[row], rows[i]))
+
+
+def _lists(batches: Iterator[pa.RecordBatch], reach: int, num: int, den: int) -> Iterator[pa.RecordBatch]:
+    """Lists of classes that near sketches join inside a node: ``gid`` (a digest of the list), ``members``."""
+    for batch in _runs(batches, "node"):
+        members = Members(batch, reach, num, den)
+        node = batch.column("node").to_numpy()
+        starts = np.flatnonzero(np.concatenate(([True], node[1:] != node[:-1])))
+        lens = np.diff(np.append(starts, len(node)))
+        groups = Groups(len(node))
+        sets: list[np.ndarray] = []
+        # Nodes of equal small size are compared together, larger ones each on their own.
+        for m in np.unique(lens[(lens > 1) & (lens <= LEAF)]):
+            i, j = np.triu_indices(m, 1)
+            of_size = starts[lens == m]
+            for lo in range(0, len(of_size), max(1, 500_000 // len(i))):
+                base = of_size[lo : lo + max(1, 500_000 // len(i)), None]
+                a, b = (base + i).ravel(), (base + j).ravel()
+                found = members.near(a, b)
+                near: dict[int, list[tuple[int, int]]] = {}
+                heads = np.repeat(base[:, 0], len(i))[found]
+                for head, x, y in zip(heads.tolist(), a[found].tolist(), b[found].tolist(), strict=True):
+                    near.setdefault(head, []).append((x - head, y - head))
+                for head, pairs in near.items():
+                    part = Groups(int(m))
+                    for pair in pairs:
+                        part.join(np.array(pair))
+                    sets += [head + s for s in part.sets()]
+        for start, m in zip(starts[lens > LEAF].tolist(), lens[lens > LEAF].tolist(), strict=True):
+            part = Groups(m)
+            tokens = members.tokens(start, start + m)
+            one = Members(batch.slice(start, m), reach, num, den)
+            _branch(one, np.arange(m), tokens, int(node[start]) % (1 << 61), part)
+            sets += [start + s for s in part.sets()]
+        gids, lists = [], []
+        for found in sets:
+            # A list of more shingles than a task holds is dealt as all pairs of its blocks.
+            block = (np.cumsum(members.size[found]) - 1) // (ELEMENTS // 2)
+            parts = [found[block == k] for k in np.unique(block)]
+            if len(parts) > 1:
+                parts = [np.append(x, y) for k, x in enumerate(parts) for y in parts[:k]]
+            for part in parts:
+                keys = sorted(batch.column("cls").take(pa.array(part)).to_pylist())
+                gids.append(hashlib.blake2b(b"".join(keys), digest_size=16).digest())
+                lists.append(keys)
+        if gids:
+            yield pa.RecordBatch.from_arrays([pa.array(gids, pa.binary()), pa.array(lists, pa.list_(pa.binary()))], ["gid", "members"])
+
+
+def link_sets(sets: list[np.ndarray], num: int, den: int) -> Groups:
+    """The sets of a list joined by den * intersection >= num * union, exactly.
+
+    The sets that hold the most common shingles are compared with all others first; after that only
+    those outside the largest component are, in blocks of rows. Intersections with shingles that many
+    sets hold are a matrix product, with the others a count of postings.
+    """
+    m = len(sets)
+    groups = Groups(m)
+    size = np.array([len(s) for s in sets], np.int64)
+    if m == 2:
+        inter = len(np.intersect1d(*sets, assume_unique=True))
+        if inter * den >= (size.sum() - inter) * num:
+            groups.join(np.arange(2))
+        return groups
+    flat, owner = np.concatenate(sets), np.repeat(np.arange(m), size)
+    order = np.argsort(flat, kind="stable")
+    flat, owner = flat[order], owner[order]
+    starts = np.flatnonzero(np.concatenate(([True], flat[1:] != flat[:-1])))
+    held = np.diff(np.append(starts, len(flat)))
+    column, count = np.repeat(np.arange(len(starts)), held), np.repeat(held, held)
+    common = count > max(8, m // 8)
+    wide = np.flatnonzero(held > max(8, m // 8))
+    dense = np.zeros((m, len(wide)), np.float32)
+    dense[owner[common], np.searchsorted(wide, column[common])] = 1
+    rare = np.flatnonzero((count > 1) & ~common)
+    rare = rare[np.argsort(owner[rare], kind="stable")]
+    first = np.searchsorted(owner[rare], np.arange(m + 1))
+
+    def absorb(rows: np.ndarray) -> None:
+        inter = (dense[rows] @ dense.T).astype(np.int64)
+        for i, row in enumerate(rows):
+            of = rare[first[row] : first[row + 1]]
+            if len(of):
+                n = count[of]
+                skip = np.repeat(starts[column[of]] - np.cumsum(n) + n, n)
+                inter[i] += np.bincount(owner[skip + np.arange(n.sum())], minlength=m)
+        linked = inter * den >= (size[rows][:, None] + size[None, :] - inter) * num
+        for i, row in enumerate(rows):
+            linked[i, row] = True
+            groups.join(np.flatnonzero(linked[i]))
+
+    shared = np.bincount(owner, weights=count, minlength=m)
+    lead = np.argsort(-shared, kind="stable")[:32]
+    absorb(lead)
+    top = np.bincount(groups.label).argmax()
+    rest = np.setdiff1d(np.flatnonzero(groups.label != top), lead)
+    for lo in range(0, len(rest), 128):
+        absorb(rest[lo : lo + 128])
+    return groups
+
+
+def _linked(batches: Iterator[pa.RecordBatch], num: int, den: int) -> Iterator[pa.RecordBatch]:
+    """Edges ``(a, b)`` from every member of a list to the least class that it is connected with there."""
+    for batch in _runs(batches, "gid"):
+        gids = batch.column("gid").to_pylist()
+        keys = batch.column("cls").to_pylist()
+        grams = batch.column("grams")
+        edges, at = [], 0
+        while at < len(gids):
+            end = at + 1
+            while end < len(gids) and gids[end] == gids[at]:
+                end += 1
+            if end - at > 1:
+                sets = [grams[i].values.to_numpy().view(np.uint64) for i in range(at, end)]
+                for found in link_sets(sets, num, den).sets():
+                    names = sorted(keys[at + i] for i in found)
+                    edges += [(name, names[0]) for name in names[1:]]
+            at = end
+        if edges:
+            yield pa.RecordBatch.from_arrays([pa.array([e[k] for e in edges], pa.binary()) for k in (0, 1)], ["a", "b"])
+
+
+def _confirm(docs: DataFrame, classes: DataFrame, lists: DataFrame, width: int, num: int, den: int) -> DataFrame:
+    """Edges ``(a, b)`` between the classes of each list that are linked on their full sets."""
+    asked = lists.select("gid", F.explode("members").alias("cls"))
     slot = F.pmod(F.xxhash64("doc_id"), F.lit(FILTER_SLOTS))
-    slots = classes.join(wanted, "cls", "left_semi").select(slot.alias("slot")).distinct()
+    slots = classes.select("cls", "doc_id").join(asked.select("cls").distinct(), "cls", "left_semi")
+    slots = slots.select(slot.alias("slot")).distinct()
     few = docs.select("doc_id", "text").withColumn("slot", slot).join(F.broadcast(slots), "slot", "left_semi")
     sets = features(few, width, 0, with_sets=True).dropDuplicates(["cls"]).select("cls", "grams")
-    left = sets.select(F.col("cls").alias("a"), F.col("grams").alias("ga"))
-    right = sets.select(F.col("cls").alias("b"), F.col("grams").alias("gb"))
-    inter = F.size(F.array_intersect("ga", "gb"))
-    union = F.size("ga") + F.size("gb") - inter
-    return pairs.join(left, "a").join(right, "b").where(inter * den >= union * num).select("a", "b")
-
-
-def _pivots(big: DataFrame, depth: int) -> DataFrame:
-    """A few members of every node: some by hash, and below the root that nearest the majority of sketch bits."""
-    member = F.struct("cls", *SKETCH, "comp", "top")
-    chosen = [F.min_by(member, F.xxhash64(F.lit(depth), F.lit(i), "cls")) for i in range(RANDOM_PIVOTS)]
-    if depth == 0:
-        ones = big.groupBy("node").agg(
-            F.count("*").alias("n"), *[F.sum(F.getbit(f"s{k}", F.lit(i))).alias(f"b{k}_{i}") for k in (1, 2) for i in range(64)]
-        )
-        bit = lambda k, i: F.when(F.col(f"b{k}_{i}") * 2 > F.col("n"), F.shiftleft(F.lit(1).cast("long"), i)).otherwise(F.lit(0).cast("long"))
-        word = lambda k: functools.reduce(lambda x, y: x.bitwiseOR(y), [bit(k, i) for i in range(64)])
-        big = big.join(ones.select("node", word(1).alias("s1m"), word(2).alias("s2m")), "node")
-        off = sum((F.bit_count(F.col(f"s{k}").bitwiseXOR(F.col(f"s{k}m"))) for k in (1, 2)), F.lit(0))
-        chosen.append(F.min_by(member, F.struct(off, "cls")))
-    found = big.groupBy("node").agg(F.array_distinct(F.array(*chosen)).alias("p"))
-    return _side(found.select("node", F.explode("p").alias("p")).select("node", "p.*"), "a")
-
-
-def _side(rows: DataFrame, tag: str) -> DataFrame:
-    """Members of nodes as one side of pairs: class, sketch and component with a suffix."""
-    return rows.select(
-        "node", F.col("cls").alias(tag), *[F.col(c).alias(c + tag) for c in (*SKETCH, "top")], F.col("comp").alias(f"c{tag}")
+    met = asked.join(sets, "cls").repartition("gid").sortWithinPartitions("gid")
+    return met.mapInArrow(functools.partial(_linked, num=num, den=den), "a binary, b binary")
+
+
+def _deal(large: DataFrame, local: int, last: bool) -> DataFrame:
+    """Members of nodes too large for one task, dealt over chunks that are.
+
+    ``large`` has the node's size ``size``, its number ``others`` of members outside the component
+    ``lead``, and its ``pivots``.
+    """
+    half = local // 2
+    place = lambda k: F.pmod(F.xxhash64("cls"), k).cast("int")
+    count = lambda n: F.greatest(F.ceil(n / half), F.lit(1)).cast("int")
+    everywhere = lambda k: F.sequence(F.lit(0), k - 1)
+    few = F.col("others") <= half
+    tops = count(F.col("size") - F.col("others"))
+    all_of = count(F.col("size"))
+    mine = place(all_of)
+    pairs = F.transform(everywhere(all_of), lambda j: F.least(j, mine) * all_of + F.greatest(j, mine))
+    spread = F.when(F.array_contains("pivots", F.col("cls")), everywhere(all_of)).otherwise(F.array(mine))
+    chunks = (
+        F.when(few & F.col("top"), F.array(place(tops)))
+        .when(few, everywhere(tops))
+        .otherwise(pairs if last else spread)
     )
+    dealt = large.withColumn("top", few & F.col("top")).select("node", "cls", "n", *SKETCH, "sig", "top", F.explode(chunks).alias("chunk"))
+    return dealt.withColumn("node", F.xxhash64("node", "chunk")).drop("chunk")
 
 
 def near_duplicates(
@@ -279,8 +480,8 @@ def near_duplicates(
     threshold: float = 0.8,
     width: int = 2,
     trees: int = 8,
-    leaf: int = 16,
-    max_depth: int = 16,
+    local: int = LOCAL,
+    max_depth: int = 6,
 ) -> DataFrame:
     """Near-duplicate component of each row of ``docs(doc_id, text, ...)``.
 
@@ -290,7 +491,7 @@ def near_duplicates(
     names. A null or empty text has an empty set and is linked with nothing, not even another empty
     one. Repeated rows stay rows; rows of one doc_id and different texts are separate documents. A
     row without doc_id takes part in links and is kept only if nothing with an id is in its
-    component. An empty table gives no rows.
+    component. Texts of any length are hashed whole, a mebibyte at a time. An empty table gives no rows.
     """
     spark = docs.sparkSession
     scratch = Scratch(spark, "near-dedup")
@@ -300,75 +501,65 @@ def near_duplicates(
     classes = scratch.save(
         wide.where("n_shingles > 0")
         .groupBy("cls")
-        .agg(F.min("doc_id").alias("doc_id"), *[F.first(c).alias(c) for c in (*SKETCH, "roots", "sig")])
+        .agg(F.min("doc_id").alias("doc_id"), F.min("n_shingles").alias("n"), *[F.first(c).alias(c) for c in (*SKETCH, "roots", "sig")])
     )
     feats = scratch.save(wide.select("doc_id", "n_shingles", "cls"))
     scratch.drop(wide)
     keys = [
-        F.struct(F.xxhash64(F.lit(c), F.substring("roots", 4 * c + 1, 4)).alias("node"), F.lit(c // BRANCHES).cast("byte").alias("tree"))
+        F.struct(F.xxhash64(F.lit(c), F.substring("roots", 4 * c + 1, 4)).alias("node"), F.lit(c // BRANCHES).alias("tree"))
         for c in range(trees * BRANCHES)
     ]
-    grown = classes.select("cls", *SKETCH, F.explode(F.array(*keys)).alias("root")).select("cls", *SKETCH, "root.*")
-    comps = pending = tested = links = None
+    held = ["cls", "n", *SKETCH]
+    rows = classes.select(*held, "sig", F.explode(F.array(*keys)).alias("root")).select(
+        "root.node", *held, F.substring(F.col("sig"), F.col("root.tree") * (2 * TREE_COORDS) + 1, F.lit(2 * TREE_COORDS)).alias("sig")
+    )
+    comps = links = None
     for depth in range(max_depth + 1):
-        rows = grown
-        if comps is None:
-            rows = rows.withColumn("comp", F.col("cls"))
-        else:
-            rows = rows.join(comps, "cls", "left").withColumn("comp", F.coalesce("comp", "cls"))
-        parts = rows.groupBy("node", "comp").agg(F.count("*").alias("k"))
-        most = F.max(F.struct("k", "comp"))
-        stats = parts.groupBy("node").agg((F.sum("k") - most.getField("k")).alias("others"), most.getField("comp").alias("top"))
-        rows = rows.join(stats.where("others > 0"), "node")
-        bounded = (F.col("others") <= min(MAX_LEAF, leaf << 2 * depth)) | F.lit(depth == max_depth)
-        rows = rows.select("node", "tree", "cls", *SKETCH, "comp", (F.col("comp") == F.col("top")).alias("top"), bounded.alias("bounded"))
-        rows = scratch.save(rows)
-        scratch.drop(grown)
-        small, big = rows.where("bounded"), rows.where("not bounded")
-        near = (F.col("ca") != F.col("cb")) & (_apart("a", "b") <= reach)
-        once = F.col("topb") | (F.col("a") < F.col("b"))
-        pairs = _side(small, "b").join(_side(small.where("not top"), "a"), "node").where(near & once).select("a", "b")
-        last = depth == max_depth or big.isEmpty()
-        if not last:
-            pivoted = _side(big, "b").join(_pivots(big, depth), "node").where(near)
-            pairs = pairs.unionByName(pivoted.select("a", "b"))
-        pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-        pairs = scratch.save(pairs)
-        pending = pairs if pending is None else pending.unionByName(pairs)
-        if last or depth in CONFIRM_AT:
-            asked = pending if pending is pairs else pending.distinct()
-            asked = asked if tested is None else asked.join(tested, ["a", "b"], "left_anti")
-            found = scratch.save(_confirm(docs, classes, scratch.save(asked), width, num, den))
-            links = found if links is None else links.unionByName(found)
-            tested, pending = pending if tested is None else tested.unionByName(pending), None
-            if not found.isEmpty():
-                before, comps = comps, merge_components(links, scratch)
-                scratch.drop(before)
-        if last:
+        sizes = scratch.save(rows.groupBy("node").agg(F.count("*").alias("size")).where(F.col("size") > local))
+        done = sizes.isEmpty()
+        asked = rows.withColumn("top", F.lit(False))
+        if not done:
+            large = rows.join(sizes, "node")
+            if comps is None:
+                large = large.withColumns({"comp": F.col("cls"), "others": F.col("size") - 1, "lead": F.lit(None).cast("binary")})
+            else:
+                large = large.join(comps, "cls", "left").withColumn("comp", F.coalesce("comp", "cls"))
+                parts = large.groupBy("node", "comp").agg(F.count("*").alias("k"))
+                most = F.max(F.struct("k", "comp"))
+                parts = parts.groupBy("node").agg((F.sum("k") - most.getField("k")).alias("others"), most.getField("comp").alias("lead"))
+                large = large.join(parts, "node").where("others > 0")
+            pivots = [F.min_by("cls", F.xxhash64(F.lit(i), "cls")) for i in range(PIVOTS)]
+            large = large.join(large.groupBy("node").agg(F.array(*pivots).alias("pivots")), "node")
+            large = scratch.save(large.withColumn("top", F.col("comp").eqNullSafe(F.col("lead"))))
+            small = asked.join(sizes, "node", "left_anti")
+            asked = small.unionByName(_deal(large, local, depth == max_depth))
+        met = asked.repartition("node").sortWithinPartitions("node")
+        lists = met.mapInArrow(functools.partial(_lists, reach=reach, num=num, den=den), "gid binary, members array<binary>")
+        lists = scratch.save(lists.dropDuplicates(["gid"]))
+        found = scratch.save(_confirm(docs, classes, lists, width, num, den))
+        scratch.drop(lists)
+        links = found if links is None else links.unionByName(found)
+        if done or depth == max_depth:
             break
-        # A node chooses two of its tree's coordinates.
-        at = lambda j: F.col("tree") * TREE_COORDS + F.pmod(F.xxhash64("node", F.lit(j)), F.lit(TREE_COORDS)).cast("int")
-        token = lambda j: F.xxhash64("node", F.lit(j), F.substring(F.col("sig"), at(j) * 2 + 1, F.lit(2)))
-        branched = big.select("node", "tree", "cls", *SKETCH).join(classes.select("cls", "sig"), "cls")
-        child = F.array(*[token(j) for j in range(1, BRANCHES + 1)])
-        grown = scratch.save(branched.select("cls", *SKETCH, "tree", F.explode(child).alias("node")))
-        scratch.drop(rows)
-    return _labelled(feats, classes, comps)
+        before, comps = comps, merge_components(links, scratch)
+        scratch.drop(before)
+        at = lambda j: F.pmod(F.xxhash64("node", F.lit(j)), F.lit(TREE_COORDS)).cast("int")
+        child = [F.xxhash64("node", F.lit(j), F.substring(F.col("sig"), at(j) * 2 + 1, F.lit(2))) for j in range(BRANCHES)]
+        before = rows
+        rows = scratch.save(
+            large.where(F.col("others") > local // 2).select(F.explode(F.array(*child)).alias("node"), *held, "sig")
+        )
+        scratch.drop(before, large, sizes)
+    return _labelled(feats, classes, merge_components(links, scratch))
 
 
-def _labelled(feats: DataFrame, classes: DataFrame, comps: DataFrame | None) -> DataFrame:
+def _labelled(feats: DataFrame, classes: DataFrame, comps: DataFrame) -> DataFrame:
     """Rows of ``feats`` with the least document id of their component."""
     roots = classes.select("cls", "doc_id")
-    if comps is None:
-        ids = roots.select("cls", F.col("doc_id").alias("component_id"))
-    else:
-        named = roots.join(comps, "cls", "left").withColumn("comp", F.coalesce("comp", "cls"))
-        least = named.where(F.col("comp") != F.col("cls")).groupBy("comp").agg(F.min("doc_id").alias("least"))
-        ids = named.join(least, "comp", "left").select(
-            "cls", F.least("doc_id", "least").alias("root_least"), "comp"
-        )
-        heads = ids.where(F.col("comp") == F.col("cls")).select("comp", F.col("root_least").alias("component_id"))
-        ids = ids.join(heads, "comp").select("cls", "component_id")
+    linked = comps.join(roots, "cls")
+    heads = linked.groupBy("comp").agg(F.min("doc_id").alias("component_id"))
+    linked = linked.select("cls", "comp").join(heads, "comp").select("cls", "component_id")
+    ids = roots.join(linked, "cls", "left").select("cls", F.coalesce("component_id", "doc_id").alias("component_id"))
     some = feats.where("n_shingles > 0").select("doc_id", "n_shingles", "cls").join(ids, "cls", "left")
     none = feats.where("n_shingles = 0").select("doc_id", "n_shingles", "cls", F.col("doc_id").alias("component_id"))
     return some.unionByName(none).select(

@@ -78,7 +78,7 @@ def near_rows():
 def test_near_duplicates_equal_brute_force(spark):
     rows = near_rows()
     want = components(rows)
-    got = near_dedup.near_duplicates(frame(spark, rows), leaf=4).collect()
+    got = near_dedup.near_duplicates(frame(spark, rows), local=32, max_depth=2).collect()
     assert {r.doc_id: (r.n_shingles, r.component_id) for r in got} == want
     assert all(r.kept == (r.doc_id == r.component_id) for r in got)
 
