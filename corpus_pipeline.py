@@ -24,8 +24,8 @@ def keep_good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each near-duplicate component, that of the smallest id."""
-    return near_dedup.keep_one(docs, near_dedup.near_duplicates(docs))
+    """One document of each near-duplicate component on five-word shingles, that of the smallest id."""
+    return near_dedup.keep_one(docs, near_dedup.near_duplicates(docs, width=5))
 
 
 def drop_benchmark_overlaps(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
