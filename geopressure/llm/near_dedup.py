@@ -37,7 +37,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from geopressure.llm.keys import only_keys, without_keys
@@ -48,8 +48,8 @@ COORDS = 128
 TREE_COORDS = 32
 BRANCHES = 2
 #: Members of a node that one task compares, and members up to which it does not branch.
-LOCAL, LEAF = 2048, 64
-PIVOTS = 4
+LOCAL, LEAF = 4096, 64
+PIVOTS = 6
 #: Shingles of a list that one task holds to confirm its links.
 ELEMENTS = 1 << 20
 #: Words of the sketch: the first bit of all values in two, then the second bit.
@@ -450,29 +450,52 @@ def _confirm(docs: DataFrame, classes: DataFrame, lists: DataFrame, width: int,
     return met.mapInArrow(functools.partial(_linked, num=num, den=den), "a binary, b binary")
 
 
+DEALT = ("node", "cls", "n", *SKETCH, "sig", "top")
+
+
+def _chunks(rows: DataFrame, chunks: Column) -> DataFrame:
+    """Members of large nodes in chunks of their node, each chunk a node of its own to be compared in."""
+    dealt = rows.select(*DEALT, F.explode(chunks).alias("chunk"))
+    return dealt.withColumn("node", F.xxhash64("node", "chunk")).drop("chunk")
+
+
+def _place(key: str, k: Column) -> Column:
+    return F.pmod(F.xxhash64(key), k).cast("int")
+
+
+def _count(n: Column, local: int) -> Column:
+    """Chunks of half of ``local`` members each: two of them, or one and as many others, meet in a task."""
+    return F.greatest(F.ceil(n / (local // 2)), F.lit(1)).cast("int")
+
+
 def _deal(large: DataFrame, local: int, last: bool) -> DataFrame:
-    """Members of nodes too large for one task, dealt over chunks that are.
+    """Every member of a node of ``size`` members in one chunk and a few pivots in all, or each two chunks together.
 
-    ``large`` has the node's size ``size``, its number ``others`` of members outside the component
-    ``lead``, and its ``pivots``.
+    Pivots are the members whose hash falls below a bound that ``PIVOTS`` of them pass on average.
     """
-    half = local // 2
-    place = lambda k: F.pmod(F.xxhash64("cls"), k).cast("int")
-    count = lambda n: F.greatest(F.ceil(n / half), F.lit(1)).cast("int")
-    everywhere = lambda k: F.sequence(F.lit(0), k - 1)
-    few = F.col("others") <= half
-    tops = count(F.col("size") - F.col("others"))
-    all_of = count(F.col("size"))
-    mine = place(all_of)
-    pairs = F.transform(everywhere(all_of), lambda j: F.least(j, mine) * all_of + F.greatest(j, mine))
-    spread = F.when(F.array_contains("pivots", F.col("cls")), everywhere(all_of)).otherwise(F.array(mine))
-    chunks = (
-        F.when(few & F.col("top"), F.array(place(tops)))
-        .when(few, everywhere(tops))
-        .otherwise(pairs if last else spread)
-    )
-    dealt = large.withColumn("top", few & F.col("top")).select("node", "cls", "n", *SKETCH, "sig", "top", F.explode(chunks).alias("chunk"))
-    return dealt.withColumn("node", F.xxhash64("node", "chunk")).drop("chunk")
+    k = _count(F.col("size"), local)
+    mine, all_of = _place("cls", k), F.sequence(F.lit(0), k - 1)
+    if last:
+        chunks = F.transform(all_of, lambda j: F.least(j, mine) * k + F.greatest(j, mine))
+    else:
+        pivot = F.pmod(F.xxhash64(F.lit(1), "cls"), F.col("size")) < PIVOTS
+        chunks = F.when(pivot, all_of).otherwise(F.array(mine))
+    return _chunks(large.withColumn("top", F.lit(False)), chunks)
+
+
+def _finish(rest: DataFrame, local: int) -> DataFrame:
+    """Nodes with at most a chunk of ``others`` outside their top component: these meet every chunk of it."""
+    k = _count(F.col("size") - F.col("others"), local)
+    return _chunks(rest, F.when(F.col("top"), F.array(_place("cls", k))).otherwise(F.sequence(F.lit(0), k - 1)))
+
+
+def _open_nodes(large: DataFrame, comps: DataFrame) -> DataFrame:
+    """Members of nodes that are not of one component, with ``others`` and whether they are of the largest one."""
+    named = large.join(comps, "cls", "left").withColumn("comp", F.coalesce("comp", "cls"))
+    parts = named.groupBy("node", "comp").agg(F.count("*").alias("k"))
+    most = F.max(F.struct("k", "comp"))
+    parts = parts.groupBy("node").agg((F.sum("k") - most.getField("k")).alias("others"), most.getField("comp").alias("lead"))
+    return named.join(parts.where("others > 0"), "node").withColumn("top", F.col("comp") == F.col("lead"))
 
 
 def near_duplicates(
@@ -513,43 +536,31 @@ def near_duplicates(
     rows = classes.select(*held, "sig", F.explode(F.array(*keys)).alias("root")).select(
         "root.node", *held, F.substring(F.col("sig"), F.col("root.tree") * (2 * TREE_COORDS) + 1, F.lit(2 * TREE_COORDS)).alias("sig")
     )
-    comps = links = None
+    finish = links = None
     for depth in range(max_depth + 1):
         sizes = scratch.save(rows.groupBy("node").agg(F.count("*").alias("size")).where(F.col("size") > local))
-        done = sizes.isEmpty()
-        asked = rows.withColumn("top", F.lit(False))
+        done, last = sizes.isEmpty(), depth == max_depth
+        asked = rows.withColumn("top", F.lit(False)).select(*DEALT)
         if not done:
-            large = rows.join(sizes, "node")
-            if comps is None:
-                large = large.withColumns({"comp": F.col("cls"), "others": F.col("size") - 1, "lead": F.lit(None).cast("binary")})
-            else:
-                large = large.join(comps, "cls", "left").withColumn("comp", F.coalesce("comp", "cls"))
-                parts = large.groupBy("node", "comp").agg(F.count("*").alias("k"))
-                most = F.max(F.struct("k", "comp"))
-                parts = parts.groupBy("node").agg((F.sum("k") - most.getField("k")).alias("others"), most.getField("comp").alias("lead"))
-                large = large.join(parts, "node").where("others > 0")
-            pivots = [F.min_by("cls", F.xxhash64(F.lit(i), "cls")) for i in range(PIVOTS)]
-            large = large.join(large.groupBy("node").agg(F.array(*pivots).alias("pivots")), "node")
-            large = scratch.save(large.withColumn("top", F.col("comp").eqNullSafe(F.col("lead"))))
-            small = asked.join(sizes, "node", "left_anti")
-            asked = small.unionByName(_deal(large, local, depth == max_depth))
+            large = scratch.save(rows.join(sizes, "node"))
+            asked = asked.join(sizes, "node", "left_anti").unionByName(_deal(large, local, last))
+        if finish is not None:
+            asked = asked.unionByName(finish)
         met = asked.repartition("node").sortWithinPartitions("node")
         lists = met.mapInArrow(functools.partial(_lists, reach=reach, num=num, den=den), "gid binary, members array<binary>")
         lists = scratch.save(lists.dropDuplicates(["gid"]))
         found = scratch.save(_confirm(docs, classes, lists, width, num, den))
         scratch.drop(lists)
         links = found if links is None else links.unionByName(found)
-        if done or depth == max_depth:
+        if done or last:
             break
-        before, comps = comps, merge_components(links, scratch)
-        scratch.drop(before)
+        comps = merge_components(links, scratch)
+        rest = scratch.save(_open_nodes(large, comps))
+        scratch.drop(comps, large, sizes)
+        finish = _finish(rest.where(F.col("others") <= local // 2), local)
         at = lambda j: F.pmod(F.xxhash64("node", F.lit(j)), F.lit(TREE_COORDS)).cast("int")
         child = [F.xxhash64("node", F.lit(j), F.substring(F.col("sig"), at(j) * 2 + 1, F.lit(2))) for j in range(BRANCHES)]
-        before = rows
-        rows = scratch.save(
-            large.where(F.col("others") > local // 2).select(F.explode(F.array(*child)).alias("node"), *held, "sig")
-        )
-        scratch.drop(before, large, sizes)
+        rows = rest.where(F.col("others") > local // 2).select(F.explode(F.array(*child)).alias("node"), *held, "sig")
     return _labelled(feats, classes, merge_components(links, scratch))
 
 
