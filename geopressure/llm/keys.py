@@ -18,20 +18,29 @@ def _slot(key: str) -> Column:
     return F.pmod(F.xxhash64(key), F.lit(SLOTS))
 
 
+def fresh(names: list[str], base: str = "own_") -> str:
+    """A prefix that no name begins with, in any case."""
+    while any(name.lower().startswith(base) for name in names):
+        base = "x" + base
+    return base
+
+
+def _split(df: DataFrame, keys: DataFrame, key: str) -> tuple[DataFrame, DataFrame, DataFrame, str]:
+    """Rows whose slot no key has, rows whose slot some key has, the distinct keys, and their name."""
+    mark = fresh(df.columns)
+    slots = F.broadcast(keys.select(_slot(key).alias(mark)).distinct())
+    named = df.withColumn(mark, _slot(key))
+    wanted = keys.select(F.col(key).alias(mark)).distinct()
+    return named.join(slots, mark, "left_anti").drop(mark), named.join(slots, mark, "left_semi").drop(mark), wanted, mark
+
+
 def without_keys(df: DataFrame, keys: DataFrame, key: str) -> DataFrame:
     """Rows of ``df`` whose ``key`` is not in ``keys`` (one column named ``key``); nulls compare equal."""
-    slots = F.broadcast(keys.select(_slot(key).alias("__slot")).distinct())
-    named = df.withColumn("__slot", _slot(key))
-    sure = named.join(slots, "__slot", "left_anti").drop("__slot")
-    asked = named.join(slots, "__slot", "left_semi").drop("__slot")
-    wanted = keys.select(F.col(key).alias("__key")).distinct()
-    rest = asked.join(wanted, asked[key].eqNullSafe(wanted["__key"]), "left_anti")
-    return sure.unionByName(rest)
+    sure, asked, wanted, mark = _split(df, keys, key)
+    return sure.unionByName(asked.join(wanted, asked[key].eqNullSafe(wanted[mark]), "left_anti"))
 
 
 def only_keys(df: DataFrame, keys: DataFrame, key: str) -> DataFrame:
     """Rows of ``df`` whose ``key`` is in ``keys``; nulls compare equal."""
-    slots = F.broadcast(keys.select(_slot(key).alias("__slot")).distinct())
-    asked = df.withColumn("__slot", _slot(key)).join(slots, "__slot", "left_semi").drop("__slot")
-    wanted = keys.select(F.col(key).alias("__key")).distinct()
-    return asked.join(wanted, asked[key].eqNullSafe(wanted["__key"]), "left_semi")
+    _, asked, wanted, mark = _split(df, keys, key)
+    return asked.join(wanted, asked[key].eqNullSafe(wanted[mark]), "left_semi")

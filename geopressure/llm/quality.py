@@ -20,6 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from geopressure.llm.keys import fresh
 from geopressure.llm.logistic import Logistic
 from geopressure.llm.toxicity import held_out
 
@@ -31,7 +32,7 @@ HANDED, SURE = 400, 0.97
 #: Slots for languages and sources in the metadata view.
 SLOTS = 16
 
-N_CONTENT = 23
+N_CONTENT = 22
 
 
 def content_view(text: str) -> list[float]:
@@ -69,8 +70,7 @@ def content_view(text: str) -> list[float]:
         float(lengths.mean()),
         float(lengths.std()),
         float(lengths.max() > 40),
-        float(m < 8),
-        np.log1p(m),
+        np.log1p(m / max(1, len(lines))),
         (c[128:].sum()) / n,
         max(0.0, 0.4 - distinct / m),
         float(upper / letters > 0.5),
@@ -81,12 +81,12 @@ def content_view(text: str) -> list[float]:
 
 
 def metadata_view(text: str, lang: str | None, source: str | None) -> list[float]:
-    """Language, source, length and line layout."""
+    """What is known of a document without reading it: language, source and length."""
     slots = [0.0] * (2 * SLOTS)
     slots[zlib.crc32((lang or "").encode()) % SLOTS] = 1.0
     slots[SLOTS + zlib.crc32((source or "").encode()) % SLOTS] = 1.0
-    n, lines = len(text), text.count("\n") + 1
-    return [*slots, np.log1p(n), np.log1p(lines), np.log1p(n / lines), float(n < 60), float(lines == 1)]
+    n = np.log1p(len(text))
+    return [*slots, n, (n - 7) ** 2, float(len(text) < 60)]
 
 
 def _viewed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -112,16 +112,17 @@ class Model(NamedTuple):
         return self.content.probability(content), self.meta.probability(meta), self.combined.probability(np.stack([a, b], 1))
 
 
-def co_train(content: np.ndarray, meta: np.ndarray, labels: np.ndarray) -> Model:
-    """Train on rows of both views; ``labels`` are 0, 1 or -1 (unlabelled)."""
-    known = np.flatnonzero(labels >= 0)
+def co_train(content: np.ndarray, meta: np.ndarray, labels: np.ndarray, handed_over: int = HANDED) -> Model:
+    """Train on rows of both views; ``labels`` are 0, 1 or -1 (unlabelled).
+
+    One labelled row in ``FOLDS`` is kept out of the exchange; the regression that combines the views
+    is fitted on the logits that the co-trained classifiers give these rows.
+    """
+    labelled = np.flatnonzero(labels >= 0)
     views = (content, meta)
+    aside = np.arange(len(labelled)) % FOLDS == 0
+    known, unseen = labelled[~aside], labelled[aside]
     truth = labels[known].astype(float)
-    unseen = np.zeros((len(known), 2))
-    for fold in range(FOLDS):
-        out = np.arange(len(known)) % FOLDS == fold
-        for k in (0, 1):
-            unseen[out, k] = Logistic(views[k][known[~out]], truth[~out], PENALTY).logit(views[k][known[out]])
     own = [dict(zip(known.tolist(), labels[known].tolist(), strict=True)) for _ in range(2)]
     pool = set(np.flatnonzero(labels < 0).tolist())
     share = truth.mean() if len(known) else 0.5
@@ -138,7 +139,7 @@ def co_train(content: np.ndarray, meta: np.ndarray, labels: np.ndarray) -> Model
         handed = 0
         for k in (0, 1):
             p = models[k].probability(views[k][rest])
-            for label, sure, most in ((1, p, round(HANDED * share)), (0, 1 - p, round(HANDED * (1 - share)))):
+            for label, sure, most in ((1, p, round(handed_over * share)), (0, 1 - p, round(handed_over * (1 - share)))):
                 for i in np.argsort(-sure, kind="stable")[:most]:
                     if sure[i] >= SURE and int(rest[i]) in pool:
                         own[1 - k][int(rest[i])] = label
@@ -147,23 +148,30 @@ def co_train(content: np.ndarray, meta: np.ndarray, labels: np.ndarray) -> Model
         if not handed:
             break
         models = [classifier(0), classifier(1)]
-    return Model(models[0], models[1], Logistic(unseen, truth, penalty=0.1))
+    logits = np.stack([models[k].logit(views[k][unseen]) for k in (0, 1)], axis=1).reshape(-1, 2)
+    return Model(models[0], models[1], Logistic(logits, labels[unseen].astype(float), penalty=0.1))
 
 
-def fit(docs: DataFrame, labels: DataFrame) -> Model:
+def fit(
+    docs: DataFrame, labels: DataFrame, labelled: int = MAX_LABELLED, unlabelled: int = MAX_UNLABELLED, handed_over: int = HANDED
+) -> Model:
     """Learn from ``docs(doc_id, text, lang, source)`` and ``labels(doc_id, quality)``.
 
-    Uses at most ``MAX_LABELLED`` labelled and ``MAX_UNLABELLED`` unlabelled rows of least hash. Rows
-    that are held out (see :func:`geopressure.llm.toxicity.held_out`) or lack an id or a text are not
-    used.
+    Uses at most ``labelled`` and ``unlabelled`` rows of least hash, and hands at most ``handed_over``
+    pseudo-labels from view to view in a round: more rows cost driver memory (60 numbers each) and
+    bring more of the corpus's variety into the exchange; every document is scored whatever they are.
+    Rows that are held out (see :func:`geopressure.llm.toxicity.held_out`) or lack an id or a text are
+    not used. A doc_id with several labels counts as bad if one of them is.
     """
     order = F.xxhash64("doc_id")
     marked = labels.select("doc_id", F.col("quality").cast("int").alias("label")).where("label in (0, 1)")
-    marked = marked.where(~held_out(F.col("doc_id"))).dropDuplicates(["doc_id"]).orderBy(order).limit(MAX_LABELLED)
+    marked = marked.where(~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.min("label").alias("label"))
+    marked = marked.orderBy(order).limit(labelled)
+    docs = docs.select("doc_id", "text", "lang", "source")
     ids = docs.select("doc_id").where("doc_id is not null and text is not null").where(~held_out(F.col("doc_id")))
-    others = ids.join(labels.select("doc_id"), "doc_id", "left_anti").distinct().orderBy(order).limit(MAX_UNLABELLED)
+    others = ids.join(labels.select("doc_id"), "doc_id", "left_anti").distinct().orderBy(order).limit(unlabelled)
     chosen = marked.unionByName(others.withColumn("label", F.lit(-1)))
-    # Bounded by MAX_LABELLED + MAX_UNLABELLED rows of two numbers.
+    # Bounded by the two parameters: rows of two numbers.
     sample = docs.where("text is not null").join(F.broadcast(chosen), "doc_id")
     rows = (
         sample.select("label", "text", "lang", "source")
@@ -174,10 +182,13 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model:
         rows = [{"label": -1, "content": content_view(""), "meta": metadata_view("", None, None)}]
     rows = sorted(((r["label"], tuple(r["content"]), tuple(r["meta"])) for r in rows), key=lambda r: zlib.crc32(repr(r).encode()))
     columns = [np.array([r[k] for r in rows], float) for k in range(3)]
-    return co_train(columns[1], columns[2], columns[0].astype(int))
+    return co_train(columns[1], columns[2], columns[0].astype(int), handed_over)
+
+
+SCORES = ("content_score", "metadata_score", "score")
 
 
-def _scored(batches: Iterator[pa.RecordBatch], model: Model, kept: list[str]) -> Iterator[pa.RecordBatch]:
+def _scored(batches: Iterator[pa.RecordBatch], model: Model, kept: list[str], prefix: str = "") -> Iterator[pa.RecordBatch]:
     for batch in batches:
         rows = batch.select(["text", "lang", "source"]).to_pylist()
         content = np.array([content_view(r["text"] or "") for r in rows]).reshape(-1, N_CONTENT)
@@ -186,16 +197,14 @@ def _scored(batches: Iterator[pa.RecordBatch], model: Model, kept: list[str]) ->
             scores = [pa.array(s, pa.float64()) for s in model.probability(content, meta)]
         else:
             scores = [pa.array([], pa.float64())] * 3
-        yield pa.RecordBatch.from_arrays(
-            [*batch.select(kept).columns, *scores], [*kept, "content_score", "metadata_score", "score"]
-        )
+        yield pa.RecordBatch.from_arrays([*batch.select(kept).columns, *scores], [*kept, *(prefix + n for n in SCORES)])
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
     """``doc_id, content_score, metadata_score, score, keep`` of every row of ``docs``.
 
     Scores are calibrated probabilities of good quality; ``keep`` is score >= 0.5. Null texts count as
-    empty, null languages and sources as empty names. Rows that repeat or lack an id stay; columns
+    empty, null languages and sources as empty names. Texts of any length are read whole. Rows that repeat or lack an id stay; columns
     besides doc_id, text, lang and source are ignored.
     """
     rows = docs.select("doc_id", "text", "lang", "source")
@@ -206,10 +215,14 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
 
 
 def keep_good(docs: DataFrame, model: Model) -> DataFrame:
-    """The rows of ``docs`` that the classifier keeps, all columns as they were."""
+    """The rows of ``docs`` that the classifier keeps, all columns as they were, whatever their names.
+
+    Null and empty texts are scored as empty ones; rows that repeat are kept or dropped alike.
+    """
     names = docs.columns
     rows = docs.withColumn("doc_id", F.col("doc_id").cast("long"))
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields)
-    schema += ", content_score double, metadata_score double, score double"
-    scored = rows.mapInArrow(functools.partial(_scored, model=model, kept=names), schema)
-    return scored.where("score >= 0.5").select(*[f"`{n}`" for n in names])
+    prefix = fresh(names)
+    schema += "".join(f", `{prefix}{n}` double" for n in SCORES)
+    scored = rows.mapInArrow(functools.partial(_scored, model=model, kept=names, prefix=prefix), schema)
+    return scored.where(F.col(f"{prefix}score") >= 0.5).select(*[f"`{n}`" for n in names])

@@ -12,14 +12,20 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 
-#: The folder used where the session names none: made once, on first use.
+#: The folder of local sessions that name none: made once, on first use.
 _OWN: list[str] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named by ``spark.checkpoint.dir``; one of our own only where it is unset."""
+    """The folder named by ``spark.checkpoint.dir``.
+
+    Where it is unset, a local session gets a temporary folder of its own; on a cluster that is an
+    error, because executors cannot read the driver's disk.
+    """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         if not _OWN:
             _OWN.append(tempfile.mkdtemp(prefix="spark-"))
         base = _OWN[0]

@@ -1,15 +1,16 @@
 """Toxicity by a lexicon trie intersected with Levenshtein automata, scored in context windows.
 
 The lexicon is learned: word beginnings and whole words that toxic training texts hold far more often
-than clean ones. It is kept as a trie. Every distinct word drives a nondeterministic Levenshtein
-automaton (one bit per position and error count) along the trie's branches at once, so misspelled
-terms are found without listing variants. Around each match a window of words tells quotation from
+than clean ones. It is kept as a trie. Every distinct word of a batch drives a nondeterministic
+Levenshtein automaton (one bit per position and error count) along the trie's branches, all words in
+step, so misspelled terms are found without listing variants. Around each match a window of words tells quotation from
 abuse: a match between quotation marks or after a word of saying counts apart from a direct one. The
 window sums of a text feed a logistic regression.
 """
 
 from __future__ import annotations
 
+import bisect
 import functools
 import math
 import re
@@ -25,17 +26,20 @@ from geopressure.llm.logistic import Logistic
 
 #: Bounds of the sample that is learned from: rows of each class, the least hashes of doc_id.
 MAX_TOXIC, MAX_CLEAN = 2500, 5000
-#: Lengths of word beginnings that may become terms, and the most terms.
+#: Lengths of word beginnings that may become terms.
 STEMS = range(3, 9)
-MAX_TERMS = 256
+#: A term is this much likelier in toxic texts, and the chance that any word is so by luck is below DOUBT.
+ODDS, DOUBT = 12.0, 0.05
 #: Words and word beginnings at least this long are also found with one error.
 FUZZY = 5
 #: Words on either side that make a match's context.
 WINDOW = 8
 CACHE = 300_000
+#: Words that drive their automata together, and the longest whole word that may be a term.
+CHUNK, LONGEST = 20_000, 40
 
 WORD = re.compile(r"[^\W\d_]+")
-QUOTES = "\"“”«»„‘"
+MARK = re.compile("[\"“”«»„‘]")
 SAYING = frozenset("said says wrote called calling quote quoted word term dijo escribió dit écrit mot sagte schrieb wort".split())
 N_FEATURES = 9
 
@@ -44,124 +48,110 @@ class Lexicon:
     """Terms with weights in a trie; a term ending in ``$`` must match a whole word."""
 
     def __init__(self, terms: dict[str, float]) -> None:
+        self.names = list(terms)
+        self.weights = np.array(list(terms.values()), float)
         self.root: dict = {}
-        for term, weight in terms.items():
+        for k, term in enumerate(self.names):
             node = self.root
             for ch in term.rstrip("$"):
                 node = node.setdefault(ch, {})
-            node["whole" if term.endswith("$") else "stem"] = (term, weight)
-        # One error leaves the first or the last two letters of a term as they are, and its length within one.
-        self.heads: dict[str, set[int]] = {}
-        self.tails: dict[str, set[int]] = {}
-        # A stem keeps its first two letters, or its next two within one place of where they stand.
-        self.stems: set[str] = set()
-        self.inner: set[str] = set()
-        for term in terms:
-            plain = term.rstrip("$")
-            if len(plain) < FUZZY:
-                continue
-            if term.endswith("$"):
-                near = {len(plain) - 1, len(plain), len(plain) + 1}
-                self.heads.setdefault(plain[:2], set()).update(near)
-                self.tails.setdefault(plain[-2:], set()).update(near)
-            else:
-                self.stems.add(plain[:2])
-                self.inner.add(plain[2:4])
+            node["whole" if term.endswith("$") else "stem"] = k
+        self.letters = sorted({ch for term in terms for ch in term.rstrip("$")})
+        #: Letters of a word that a match can touch: those of the longest term and one inserted.
+        self.reach = max((len(t.rstrip("$")) for t in terms), default=0) + 1
         # Words that match, and tokens that hold none: the newest CACHE of these and the generation before.
         self.hits: dict[str, tuple[str, float, int]] = {}
+        self.marked: set[str] = set()
         self.clean: set[str] = set()
         self.older: set[str] = set()
 
-    def find(self, word: str) -> tuple[str, float, int] | None:
-        """The best term of a word: its name, weight and errors (0 or 1)."""
-        got = self.hits.get(word)
-        if got is None and (got := self._search(word)) is not None and len(self.hits) < CACHE:
-            self.hits[word] = got
-        return got
-
-    def holds(self, text: str) -> bool:
-        """Whether a lower-cased text may hold a match: only tokens not seen lately are looked at."""
-        new = set(text.split()) - self.clean
-        if not new:
-            return False
-        found = False
-        for token in new - self.older:
-            if any(self.find(word) is not None for word in WORD.findall(token)):
-                found = True
-                new.discard(token)
+    def learn(self, texts: list[str]) -> None:
+        """Look up every word of lower-cased texts that was not seen lately, all at once."""
+        new: set[str] = set()
+        for text in texts:
+            new.update(text.split())
         if len(self.clean) >= CACHE:
             self.older, self.clean = self.clean, set()
-        self.clean |= new
-        return found
-
-    def _search(self, word: str) -> tuple[str, float, int] | None:
-        got = self._exact(word)
-        if got is None and len(word) >= FUZZY - 1:
-            n, head = len(word), word[:2]
-            stem = head in self.stems or any(word[i : i + 2] in self.inner for i in (1, 2, 3))
-            if stem or n in self.heads.get(head, ()) or n in self.tails.get(word[-2:], ()):
-                got = self._fuzzy(word)
-        return got
-
-    def _exact(self, word: str) -> tuple[str, float, int] | None:
-        node, best = self.root, None
-        for ch in word:
-            node = node.get(ch)
-            if node is None:
-                return best
-            if "stem" in node and (best is None or node["stem"][1] > best[1]):
-                best = (*node["stem"], 0)
-        if "whole" in node and (best is None or node["whole"][1] > best[1]):
-            best = (*node["whole"], 0)
-        return best
-
-    def _fuzzy(self, word: str) -> tuple[str, float, int] | None:
-        n = len(word)
-        at: dict[str, int] = {}
-        for i, ch in enumerate(word):
-            at[ch] = at.get(ch, 0) | 1 << i
-        end, best = 1 << n, None
-        # zero and one hold, as bits, how much of the word is read with no and with one error.
-        stack = [(self.root, 1, 3, 0)]
+        if len(self.marked) >= CACHE:
+            self.marked, self.hits = set(), {}
+        new -= self.clean
+        new -= self.marked
+        again = new & self.older
+        self.clean |= again
+        new -= again
+        words_of = {token: WORD.findall(token) for token in new}
+        words = sorted({w for words in words_of.values() for w in words if len(w) >= 3 and w not in self.hits})
+        for at in range(0, len(words), CHUNK):
+            self.hits.update(self.search(words[at : at + CHUNK]))
+        for token, words in words_of.items():
+            (self.clean if self.hits.keys().isdisjoint(words) else self.marked).add(token)
+
+    def holds(self, text: str) -> bool:
+        """Whether a lower-cased text whose words were looked up holds a match."""
+        return not self.marked.isdisjoint(text.split())
+
+    def search(self, words: list[str]) -> dict[str, tuple[str, float, int]]:
+        """The best term of every word that has one: its name, weight and errors (0 or 1).
+
+        All words drive their automata along the trie together. Bit i of ``zero`` and ``one`` says
+        that the first i letters of a word are read with no and with at most one error; a branch is
+        left by the words whose bits are all gone.
+        """
+        if not words or not self.names:
+            return {}
+        n = self.reach
+        codes = np.array([w[:n] for w in words], dtype=f"<U{n}").view(np.uint32).reshape(len(words), n)
+        place = np.left_shift(np.uint64(1), np.arange(n, dtype=np.uint64))
+        masks = {ch: ((codes == ord(ch)) * place).sum(axis=1, dtype=np.uint64) for ch in self.letters}
+        length = np.array([len(w) for w in words])
+        end = np.where(length <= n, np.left_shift(np.uint64(1), np.minimum(length, n).astype(np.uint64)), np.uint64(0))
+        best = np.full((2, len(words)), -1)
+        worth = np.full((2, len(words)), -np.inf)
+
+        def note(term: int, errors: int, at: np.ndarray) -> None:
+            better = at[worth[errors, at] < self.weights[term]]
+            worth[errors, better] = self.weights[term]
+            best[errors, better] = term
+
+        one_bit = np.uint64(1)
+        start = np.ones(len(words), np.uint64)
+        stack = [(self.root, np.arange(len(words)), start, start * np.uint64(3), 0)]
         while stack:
-            node, zero, one, depth = stack.pop()
-            if depth >= FUZZY:
-                if "whole" in node and (zero | one) & end and (best is None or node["whole"][1] > best[1]):
-                    best = (*node["whole"], 1)
-                if "stem" in node and (best is None or node["stem"][1] > best[1]):
-                    best = (*node["stem"], 1)
+            node, at, zero, one, depth = stack.pop()
+            for kind, term in ((k, node[k]) for k in ("stem", "whole") if k in node):
+                ends = end[at] if kind == "whole" else ~np.uint64(0)
+                note(term, 0, at[(zero & ends) != 0])
+                if depth >= FUZZY:
+                    note(term, 1, at[((zero | one) & ends) != 0])
             for ch, child in node.items():
                 if len(ch) != 1:
                     continue
-                mask = at.get(ch, 0)
-                z = (zero & mask) << 1
-                o = ((one & mask) << 1) | (zero << 1) | zero | (z << 1)
-                o &= (end << 1) - 1
-                if z or o:
-                    stack.append((child, z, o, depth + 1))
-        return best
+                mask = masks[ch][at]
+                z = (zero & mask) << one_bit
+                o = ((one & mask) << one_bit) | (zero << one_bit) | zero | (z << one_bit)
+                o &= (end[at] << one_bit) - one_bit | np.where(length[at] > n, ~np.uint64(0), np.uint64(0))
+                left = (z | o) != 0
+                if left.any():
+                    stack.append((child, at[left], z[left], o[left], depth + 1))
+        out = {}
+        for i in np.flatnonzero((best >= 0).any(axis=0)).tolist():
+            errors = 0 if best[0, i] >= 0 else 1
+            term = int(best[errors, i])
+            out[words[i]] = (self.names[term], float(self.weights[term]), errors)
+        return out
 
 
 def features(text: str, lexicon: Lexicon) -> list[float]:
-    """Window sums of a text: direct and quoted matches, exact and misspelled, and how dense they are."""
+    """Window sums of a text whose words were looked up: direct and quoted matches, exact and misspelled, how dense."""
     low = text.lower()
     if not lexicon.holds(low):
         return [0.0] * N_FEATURES
-    words = WORD.findall(low)
-    find = lexicon.find
-    hits = [(i, got) for i, word in enumerate(words) if (got := find(word)) is not None]
-    if not hits:
-        return [0.0] * N_FEATURES
-    quoted = set()
-    if any(q in low for q in QUOTES):
-        opened, i, seen = False, 0, 0
-        places = [m.start() for m in WORD.finditer(low)]
-        for i, place in enumerate(places):
-            marks = sum(low.count(q, seen, place) for q in QUOTES)
-            opened ^= bool(marks % 2)
-            seen = place
-            if opened:
-                quoted.add(i)
+    places = list(WORD.finditer(low))
+    words = [m[0] for m in places]
+    hits = [(i, got) for i, word in enumerate(words) if (got := lexicon.hits.get(word)) is not None]
+    # Words between two marks are quoted; a last mark without partner quotes nothing.
+    marks = [m.start() for m in MARK.finditer(low)]
+    quoted = {i for i, _ in hits if (k := bisect.bisect(marks, places[i].start())) % 2 and k < len(marks)}
     direct = aside = misspelled = misspelled_aside = top = 0.0
     terms, positions = set(), []
     for i, (term, weight, errors) in hits:
@@ -213,36 +203,55 @@ def _terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def learn_lexicon(sample: DataFrame, n_toxic: int, n_clean: int) -> dict[str, float]:
-    """Terms and log-odds weights from ``sample(text, label)``; at most ``MAX_TERMS``."""
+    """Terms and log-odds weights from ``sample(text, label)``.
+
+    A term is held by toxic texts at ``ODDS`` times the odds of clean ones or more, by one in 400 toxic
+    texts or more, and by so many that none of the words counted is expected to be so by chance: the
+    number of words times the Chernoff bound of its split between the classes stays below ``DOUBT``.
+    There is no other limit on terms; the sample bounds them.
+    """
     counts = sample.mapInArrow(_terms, "term string, toxic long, clean long").groupBy("term")
-    counts = counts.agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
+    counts = counts.agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean")).persist()
+    n_terms = counts.count()
     odds = F.log(((F.col("toxic") + 0.5) / (n_toxic + 1)) / ((F.col("clean") + 0.5) / (n_clean + 1)))
-    # Words that a few copies of one text share are no terms: one in 400 toxic texts must hold a term.
-    floor = max(3, n_toxic // 400)
-    ranked = counts.where(F.col("toxic") >= floor).withColumn("odds", odds).where(F.col("odds") >= math.log(12.0))
-    rows = ranked.orderBy(F.desc(F.col("odds") * F.col("toxic")), F.desc(F.length("term")), "term").limit(40 * MAX_TERMS).collect()
+    base = max(n_toxic, 1) / max(n_toxic + n_clean, 2)
+    seen = F.col("toxic") + F.col("clean")
+    split = F.col("toxic") * F.log(F.col("toxic") / seen / base) + F.when(
+        F.col("clean") > 0, F.col("clean") * F.log(F.col("clean") / seen / (1 - base))
+    ).otherwise(0.0)
+    ranked = counts.where((F.col("toxic") >= max(3, n_toxic // 400)) & (F.length("term") <= LONGEST))
+    ranked = ranked.withColumn("odds", odds).where((F.col("odds") >= math.log(ODDS)) & (split >= math.log(max(n_terms, 1) / DOUBT)))
+    rows = ranked.orderBy(F.desc(F.col("odds") * F.col("toxic")), F.desc(F.length("term")), "term").collect()
+    counts.unpersist()
     kept: dict[str, float] = {}
     for row in rows:
         plain = row.term.rstrip("$")
-        if any(plain.startswith(t.rstrip("$")) or t.startswith(plain) for t in kept):
-            continue
-        kept[row.term] = round(float(row.odds), 6)
-        if len(kept) >= MAX_TERMS:
-            break
+        if not any(plain.startswith(t.rstrip("$")) or t.startswith(plain) for t in kept):
+            kept[row.term] = round(float(row.odds), 6)
     return kept
 
 
+def _rows(batch: pa.RecordBatch, lexicon: Lexicon) -> list[list[float]]:
+    """The features of a batch's texts, a slice at a time so that few lower-cased texts are held."""
+    out = []
+    for at in range(0, batch.num_rows, 256):
+        texts = [t or "" for t in batch.column("text").slice(at, 256).to_pylist()]
+        lexicon.learn([t.lower() for t in texts])
+        out += [features(t, lexicon) for t in texts]
+    return out
+
+
 def _featured(batches: Iterator[pa.RecordBatch], terms: dict[str, float]) -> Iterator[pa.RecordBatch]:
     lexicon = Lexicon(terms)
     for batch in batches:
-        rows = [features(text.as_py() or "", lexicon) for text in batch.column("text")]
+        rows = _rows(batch, lexicon)
         yield pa.RecordBatch.from_arrays([batch.column("label"), pa.array(rows, pa.list_(pa.float64()))], ["label", "x"])
 
 
 def _scored(batches: Iterator[pa.RecordBatch], terms: dict[str, float], model: Logistic) -> Iterator[pa.RecordBatch]:
     lexicon = Lexicon(terms)
     for batch in batches:
-        x = np.array([features(text.as_py() or "", lexicon) for text in batch.column("text")]).reshape(-1, N_FEATURES)
+        x = np.array(_rows(batch, lexicon)).reshape(-1, N_FEATURES)
         score = pa.array(model.probability(x), pa.float64())
         yield pa.RecordBatch.from_arrays(
             [batch.column("doc_id").cast(pa.int64()), batch.column("held_out"), score], ["doc_id", "held_out", "score"]
@@ -265,10 +274,10 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model:
     """Learn from ``docs(doc_id, text)`` and ``labels(doc_id, toxic)``, rows that are not held out.
 
     At most ``MAX_TOXIC`` and ``MAX_CLEAN`` rows of either class, those of least hash, are used; rows
-    with a null id, text or label are not. One row of each doc_id of ``labels`` counts.
+    with a null id, text or label are not. A doc_id with several labels counts as toxic if one of them is.
     """
     marked = labels.select("doc_id", F.col("toxic").cast("int").alias("label")).where("label in (0, 1)")
-    marked = marked.where(~held_out(F.col("doc_id"))).dropDuplicates(["doc_id"])
+    marked = marked.where(~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.max("label").alias("label"))
     order = F.xxhash64("doc_id")
     chosen = None
     for label, most in ((1, MAX_TOXIC), (0, MAX_CLEAN)):
@@ -288,6 +297,7 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model:
 def score(docs: DataFrame, model: Model) -> DataFrame:
     """``doc_id, held_out, score, predicted`` of every whole text of ``docs(doc_id, text, ...)``.
 
+    Texts of any length are read whole, in time linear in their words.
     Null and empty texts get the score of a text without any term. Rows that repeat or lack an id
     stay (without an id: held out); other columns are ignored and never inputs.
     """

@@ -400,32 +400,15 @@ def test_toxicity_finds_misspelled_and_sets_quotes_apart(spark):
     held = [i for i in truth if got[i].held_out]
     assert sum(got[i].predicted == truth[i] for i in held) >= 0.97 * len(held)
     lexicon = toxicity.Lexicon(model.terms)
-    assert lexicon.find("grobmik")[2] == 1 and lexicon.find("grobnik")[2] == 0 and lexicon.find("garden") is None
+    found = lexicon.search(["grobmik", "grobnik", "garden"])
+    assert {w: errors for w, (_, _, errors) in found.items()} == {"grobmik": 1, "grobnik": 0}
+    lexicon.learn(["he is a grobnik indeed", 'the word "grobnik" is old'])
     direct, quoted = (toxicity.features(t, lexicon) for t in ("he is a grobnik indeed", 'the word "grobnik" is old'))
     assert direct[1] > 0 and quoted[1] == 0 and quoted[3] > 0
     assert got[1001].predicted == got[1002].predicted == got[1003].predicted == 0
     assert got[None].held_out is True
 
 
-def test_automaton_equals_edit_distance():
-    def distance(a, b):
-        row = list(range(len(b) + 1))
-        for i, x in enumerate(a, 1):
-            row, last = [i], row
-            for j, y in enumerate(b, 1):
-                row.append(min(last[j] + 1, row[j - 1] + 1, last[j - 1] + (x != y)))
-        return row[-1]
-
-    terms = {"abcde$": 1.0, "bcdef$": 1.5, "aabbc$": 2.0}
-    rng = random.Random(9)
-    for _ in range(3000):
-        word = "".join(rng.choice("abcdef") for _ in range(rng.randint(4, 6)))
-        lexicon = toxicity.Lexicon(terms)
-        got = lexicon._fuzzy(word)
-        want = [w for t, w in terms.items() if distance(word, t[:-1]) <= 1]
-        assert (got[1] if got else None) == (max(want) if want else None)
-
-
 def test_quality_on_held_out_rows(spark):
     docs, labels = labelled(spark)
     model = quality.fit(docs, labels)
