@@ -1,7 +1,7 @@
 """Personal data by a skip-chain conditional random field over base patterns.
 
 Four patterns give the base spans. The field's nodes are the base spans of a document and its other
-tokens that hold a digit or an at sign; its labels are the four kinds and "none". Edges join
+tokens that hold a digit or an at sign (and the beginnings of number runs too long to be a phone); its labels are the four kinds and "none". Edges join
 consecutive nodes (the chain) and, over any distance, nodes that repeat or resemble one another: the
 same letters and digits, or the same last seven digits (the skips). Node weights look at a token's
 shape and at the word before it, edge weights at pairs of labels; all are fitted by pseudo-likelihood
@@ -35,10 +35,12 @@ SKIP_DIGITS = 7
 
 LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 DOMAIN = re.compile(r"[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
-IP = re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
+# A later start in a run of digits matches only if the first one does, so only that is tried.
+IP = re.compile(r"(?<![0-9])[0-9]++(\.[0-9]++)(\.[0-9]++)(\.[0-9]++)")
 CARD = re.compile(r"[0-9]([\x20-]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 MARK = re.compile(r"[0-9@]\S*")
+NUMBER = re.compile(r"[^\x20]+")
 NOT_DIGIT = re.compile(r"[^0-9]")
 
 
@@ -118,9 +120,9 @@ class Node:
         cue = [0.0] * CUES
         if before:
             cue[zlib.crc32(before.lower().encode("utf-8", "surrogatepass")) % CUES] = 1.0
-        self.features = features + cue
+        self.features = np.array(features + cue, np.float32)
         plain = "".join(ch for ch in token.lower() if ch.isalnum() or ch == "@")
-        self.keys = [plain[:64]] if len(plain) >= 4 else []
+        self.keys = [plain] if len(plain) >= 4 else []
         if n >= SKIP_DIGITS and not letters:
             self.keys.append("#" + digits[-SKIP_DIGITS:])
 
@@ -134,12 +136,24 @@ def nodes(text: str, base: list[tuple[int, int, int]]) -> list[Node]:
             taken.append([start, end])
         reach = max(reach, end)
         taken[-1][1] = reach
+    # A run of numbers after a plus sign that is no base span begins with what may be one.
+    heads = {}
+    for m in PHONE.finditer(text) if "+" in text else ():
+        n = 0
+        for part in NUMBER.finditer(text, m.start(), m.end()):
+            n += sum(ch.isdigit() for ch in part[0])
+            if n >= 9:
+                if n <= 15 and part.end() < m.end():
+                    heads[m.start()] = part.end()
+                break
     k, free = 0, 0
     for m in MARK.finditer(text):
         start = m.start()
+        if start < free:
+            continue
         while start > free and not text[start - 1].isspace():
             start -= 1
-        end = m.end()
+        end = max(m.end(), heads.get(start, 0))
         free = end
         while k < len(taken) and taken[k][1] <= start:
             k += 1
@@ -184,7 +198,7 @@ def _log_sum(x: np.ndarray, axis: int) -> np.ndarray:
 
 def marginals(found: list[Node], weights: Weights) -> np.ndarray:
     """Label probabilities of every node by loopy sum-product message passing."""
-    local = np.array([n.features for n in found]) @ weights.node
+    local = np.array([n.features for n in found], float) @ weights.node
     for i, node in enumerate(found):
         if node.base != NONE:
             local[i] = -40.0
@@ -228,8 +242,23 @@ def spans(text: str, weights: Weights) -> list[tuple[int, int, int, bool]]:
     return out
 
 
+def _bare(token: str, kind: int) -> str | None:
+    """A base span as it is repeated without the marks that the patterns ask for; None where it has none."""
+    if kind == KINDS.index("phone"):
+        return "-".join(re.findall("[0-9]+", token)[1:]) or None
+    if kind == KINDS.index("card"):
+        # One digit is off, so that the check sum fails.
+        return str((int(token[0]) + 1) % 10) + token[1:]
+    return token.split(".")[0] if kind == KINDS.index("email") and "@" in token.split(".")[0] else None
+
+
 def _training_rows(text: str) -> list[tuple[list[float], int, list[float], list[float]]]:
-    """Per node: features, label, and counts of the neighbours' labels along chain and skip edges."""
+    """Per node: features, label, and counts of the neighbours' labels along chain and skip edges.
+
+    The base patterns never label what they cannot match, so every base span also gives its bare form,
+    skip-linked to it, with its label: from these the field learns what a repeat is worth. Bare phones and addresses
+    count without the link too; a bare card does not, for it looks like any other long number.
+    """
     found = nodes(text, base_spans(text))
     chain, skips = edges(found)
     beside = [[[0.0] * LABELS for _ in range(2)] for _ in found]
@@ -237,12 +266,20 @@ def _training_rows(text: str) -> list[tuple[list[float], int, list[float], list[
         for a, b in links:
             beside[a][k][found[b].base] += 1
             beside[b][k][found[a].base] += 1
-    return [(n.features, n.base, *x) for n, x in zip(found, beside, strict=True)]
+    rows = [(n.features.tolist(), n.base, *x) for n, x in zip(found, beside, strict=True)]
+    for node in found:
+        if node.base != NONE and (bare := _bare(text[node.start : node.end], node.base)):
+            features = Node(bare, 0, len(bare), NONE, "").features.tolist()
+            link = [float(k == node.base) for k in range(LABELS)]
+            rows.append((features, node.base, [0.0] * LABELS, link))
+            if node.base != KINDS.index("card"):
+                rows.append((features, node.base, [0.0] * LABELS, [0.0] * LABELS))
+    return rows
 
 
 def _sampled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        rows = [r for text in batch.column("text").to_pylist() for r in _training_rows(text or "")[:200]]
+        rows = [r for text in batch.column("text").to_pylist() for r in _training_rows(text or "")]
         yield pa.RecordBatch.from_arrays(
             [pa.array([r[1] for r in rows], pa.int32()), pa.array([r[0] + r[2] + r[3] for r in rows], pa.list_(pa.float64()))],
             ["label", "x"],
@@ -279,7 +316,7 @@ def pseudo_likelihood(x: np.ndarray, label: np.ndarray, steps: int = 300, penalt
 
 
 def fit(docs: DataFrame) -> Weights:
-    """Fit on at most ``MAX_DOCS`` documents of least hash, labelled by the base patterns."""
+    """Fit on at most ``MAX_DOCS`` documents of least hash, all their nodes, labelled by the base patterns."""
     ids = docs.select("doc_id").where("doc_id is not null").distinct().orderBy(F.xxhash64("doc_id")).limit(MAX_DOCS)
     sample = docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id")
     rows = sample.select("text").mapInArrow(_sampled, "label int, x array<double>").collect()
@@ -307,7 +344,7 @@ def find(docs: DataFrame, weights: Weights) -> DataFrame:
 
     ``spans`` is an array of ``(start, kind, end, base)`` in code points, end exclusive, ordered by
     start, then kind as in ``KINDS``; ``base`` tells base spans from added ones. A null or empty text
-    has none; rows that repeat or lack an id stay; other columns are ignored.
+    has none; a text of any length is read whole, in time linear in it, and held with its nodes; rows that repeat or lack an id stay; other columns are ignored.
     """
     schema = "doc_id long, spans array<struct<start:int,kind:string,end:int,base:boolean>>"
     return docs.select("doc_id", "text").mapInArrow(functools.partial(_found, weights=weights), schema)
