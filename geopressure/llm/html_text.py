@@ -12,6 +12,7 @@ from __future__ import annotations
 import functools
 import html
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -25,9 +26,12 @@ MAX_BROADCAST = 16 << 20
 #: Copies of a host's winning path in the join by host, so that one host's pages are spread.
 SALTS = 64
 
-TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*>?|<(/?)([a-zA-Z][^\s/>]*)((?:"[^"]*"|'[^']*'|[^>"'])*)>""", re.S)
+TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*>?|<(/?)([a-zA-Z][^\s/>]*)((?:"[^"]*"|'[^']*'|[^<>"'])*+)>""", re.S)
 ATTRIBUTE = re.compile(r"""([^\s=/"'<>]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
 
+#: Open elements at once; what is nested deeper belongs to the innermost of these, as in browsers.
+DEPTH = 512
+
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style noscript template textarea title iframe noembed noframes xmp svg math select canvas".split())
 BLOCK = frozenset(
@@ -94,6 +98,7 @@ def walk(page: str, on_text, on_open, on_close) -> None:
     """Read a page: calls with each text run, each opened and each closed element."""
     stack = [Node("", "", False)]
     at, raw_end, n = 0, None, len(page)
+    flat: Counter = Counter()
 
     def close(depth: int) -> None:
         while len(stack) > depth:
@@ -115,6 +120,9 @@ def walk(page: str, on_text, on_open, on_close) -> None:
             continue
         tag = token[2].lower()
         if token[1]:
+            if flat[tag]:
+                flat[tag] -= 1
+                continue
             for depth in range(len(stack) - 1, 0, -1):
                 if stack[depth].tag == tag:
                     close(depth)
@@ -152,8 +160,10 @@ def walk(page: str, on_text, on_open, on_close) -> None:
         name = tag + ("." + classes if classes else "")
         node = Node(tag, f"{stack[-1].path}>{name}" if tag in BLOCK and tag != "br" else stack[-1].path, skipped)
         on_open(node, stack)
-        if tag not in VOID:
+        if tag not in VOID and len(stack) < DEPTH:
             stack.append(node)
+        elif tag not in VOID:
+            flat[tag] += 1
     close(1)
     on_close(stack[0], [])
 

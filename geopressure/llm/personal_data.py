@@ -266,7 +266,9 @@ def _training_rows(text: str) -> list[tuple[list[float], int, list[float], list[
         for a, b in links:
             beside[a][k][found[b].base] += 1
             beside[b][k][found[a].base] += 1
-    rows = [(n.features.tolist(), n.base, *x) for n, x in zip(found, beside, strict=True)]
+    # A node linked with a base span is left out if it is none: it may be a repeat, so its label is not known.
+    known = [n.base != NONE or not any(x[1][:NONE]) for n, x in zip(found, beside, strict=True)]
+    rows = [(n.features.tolist(), n.base, *x) for n, x, sure in zip(found, beside, known, strict=True) if sure]
     for node in found:
         if node.base != NONE and (bare := _bare(text[node.start : node.end], node.base)):
             features = Node(bare, 0, len(bare), NONE, "").features.tolist()

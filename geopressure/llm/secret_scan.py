@@ -8,6 +8,7 @@ joined back to every row that holds the blob.
 
 from __future__ import annotations
 
+import functools
 from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame, Window
@@ -45,33 +46,28 @@ def blob_id(text: Column) -> Column:
     return F.unhex(F.sha2(F.coalesce(text, F.lit("")), 256))
 
 
-def _find(texts: DataFrame, kind: str, pattern: str, least: int | None) -> DataFrame:
-    """``blob, kind, start, end`` of every match, in code points, end exclusive."""
-    hit = texts.where(F.col("text").rlike(pattern))
-    parts = hit.select(
-        "blob",
-        F.posexplode(
-            F.arrays_zip(
-                F.split("text", pattern, -1).alias("gap"),
-                F.regexp_extract_all("text", F.lit(pattern), F.lit(0)).alias("match"),
-                F.regexp_extract_all("text", F.lit(pattern), F.lit(1 if least else 0)).alias("part"),
-            )
-        ).alias("k", "x"),
-    ).where("x.match is not null")
-    before = Window.partitionBy("blob").orderBy("k")
-    placed = parts.withColumn("end", F.sum(F.length("x.gap") + F.length("x.match")).over(before))
-    if least:
-        placed = placed.where(F.length("x.part") >= least)
-    return placed.select(
-        "blob", F.lit(kind).alias("kind"), (F.col("end") - F.length("x.match")).alias("start"), "end"
-    )
+def _find(texts: DataFrame) -> DataFrame:
+    """``blob, kind, start, end`` of every match of every rule, in code points, end exclusive; one pass."""
+    def parts(kind: str, pattern: str, least: int | None) -> Column:
+        every = lambda group: F.regexp_extract_all("text", F.lit(pattern), F.lit(group))
+        zipped = F.arrays_zip(F.split("text", pattern, -1).alias("gap"), every(0).alias("match"), every(1 if least else 0).alias("part"))
+        return F.struct(F.lit(kind).alias("kind"), F.lit(least or 0).alias("least"), zipped.alias("parts"))
+
+    held = functools.reduce(lambda x, y: x | y, [F.col("text").rlike(pattern) for _, pattern, _ in RULES])
+    rules = texts.where(held).select("blob", F.explode(F.array(*[parts(*rule) for rule in RULES])).alias("rule"))
+    placed = rules.select("blob", "rule.kind", "rule.least", F.posexplode("rule.parts").alias("k", "x")).where("x.match is not null")
+    before = Window.partitionBy("blob", "kind").orderBy("k")
+    placed = placed.withColumn("end", F.sum(F.length("x.gap") + F.length("x.match")).over(before))
+    placed = placed.where(F.length("x.part") >= F.col("least"))
+    return placed.select("blob", "kind", (F.col("end") - F.length("x.match")).alias("start"), "end")
 
 
 def scan(docs: DataFrame, ledger: DataFrame | None = None, findings: DataFrame | None = None) -> Scan:
     """Scan the blobs of ``docs(doc_id, text, ...)`` that ``ledger(blob, rule_version)`` does not list.
 
     ``findings(blob, kind, start, end)`` are those of earlier runs; they come back with the new ones.
-    A null text counts as empty; rows that repeat are scanned once; other columns are ignored.
+    A null text counts as empty; rows that repeat are scanned once; texts of any
+    length are scanned whole; other columns are ignored.
     """
     scratch = Scratch(docs.sparkSession, "secrets")
     rows = docs.select("doc_id", "text").withColumn("blob", blob_id(F.col("text")))
@@ -83,11 +79,7 @@ def scan(docs: DataFrame, ledger: DataFrame | None = None, findings: DataFrame |
     unseen = scratch.save(blobs)
     skipped = scratch.save(versions.select("doc_id").subtract(unseen.select(F.col("holder").alias("doc_id"))))
     texts = without_keys(rows, skipped, "doc_id").select("blob", "text")
-    found = None
-    for rule in RULES:
-        part = _find(texts, *rule)
-        found = part if found is None else found.unionByName(part)
-    found = scratch.save(found.distinct())
+    found = scratch.save(_find(texts).distinct())
     if findings is not None:
         found = findings.select("blob", "kind", "start", "end").unionByName(found).distinct()
     entries = unseen.select("blob", F.lit(RULE_VERSION).alias("rule_version"))

@@ -90,6 +90,13 @@ def _score(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatch
             yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in out], ["query_id", "vec_id", "score"])
 
 
+def _valid(df: DataFrame) -> DataFrame:
+    """Rows with an id and a vector of finite components."""
+    value = lambda x: x.cast("double")
+    finite = F.forall("embedding", lambda x: x.isNotNull() & ~F.isnan(value(x)) & (F.abs(value(x)) < float("inf")))
+    return df.select("vec_id", "embedding").where(F.col("vec_id").isNotNull() & F.col("embedding").isNotNull() & finite)
+
+
 def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5) -> DataFrame:
     """``query_id, rank, vec_id, score``: the ``k`` vectors of highest integer inner product.
 
@@ -97,16 +104,26 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5) -> DataFrame:
     ``floor(256 * x)``. A query's own row (the same vec_id) is no candidate; ties go to the smaller
     vec_id. Vectors that are null or hold a null or non-finite component, and rows without vec_id,
     take no part; vectors meet only those of the same width. Repeated vectors are candidates one by
-    one; a repeated query gives its rows once. Other columns are ignored.
+    one; of a query id with several valid vectors the least one asks. Other columns are ignored.
     """
-    pack = lambda df, n: df.select("vec_id", "embedding").mapInArrow(functools.partial(_pack, rows=n), PACKED)
-    unique = queries.select("vec_id", "embedding").dropDuplicates(["vec_id"])
+    pack = lambda df, n: df.mapInArrow(functools.partial(_pack, rows=n), PACKED)
+    unique = _valid(queries).groupBy("vec_id").agg(F.min("embedding").alias("embedding"))
     q = pack(unique, QUERY_BLOCK).withColumnsRenamed({"ids": "q_ids", "weights": "q_weights"})
-    v = pack(vectors, BLOCK)
+    v = pack(_valid(vectors), BLOCK)
     scratch = Scratch(vectors.sparkSession, "top-k")
     q = scratch.save(q).withColumnRenamed("width", "q_width")
     size = q.agg(F.sum(F.length("q_weights"))).first()[0] or 0
-    blocks = v.crossJoin(F.broadcast(q) if size <= MAX_BROADCAST else q).where("width = q_width").drop("q_width")
+    if size <= MAX_BROADCAST:
+        blocks = v.crossJoin(F.broadcast(q)).where("width = q_width").drop("q_width")
+    else:
+        # A grid: vector blocks dealt over its columns and copied to all rows, query blocks the other way.
+        height = -(-size // MAX_BROADCAST)
+        width = int(vectors.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        deal = lambda key, n: F.pmod(F.xxhash64(key), F.lit(n)).cast("int")
+        copy = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+        across = v.withColumn("column", deal("ids", width)).withColumn("line", copy(height))
+        down = q.withColumnRenamed("q_width", "width").withColumn("line", deal("q_ids", height)).withColumn("column", copy(width))
+        blocks = across.join(down, ["width", "line", "column"]).drop("line", "column")
     found = blocks.mapInArrow(functools.partial(_score, k=k), BEST)
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return (

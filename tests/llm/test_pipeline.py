@@ -19,7 +19,7 @@ def test_stages(spark, sf_dir):
     good = frames["quality"]
     known = [i for i in labels if (i in good) == bool(labels[i])]
     assert len(known) >= 0.97 * len(labels)
-    want = components([(i, r.text) for i, r in good.items()])
+    want = components([(i, r.text) for i, r in good.items()], 5)
     assert set(frames["near_dedup"]) == {i for i, (_, root) in want.items() if root == i}
     bench = [" ".join(r.text.lower().split()) for r in spark.read.parquet(f"{sf_dir}/benchmark.parquet").collect()]
     held = {i for i, r in frames["near_dedup"].items() if any(b in " ".join(r.text.lower().split()) for b in bench)}

@@ -34,14 +34,14 @@ def texts(spark, sf_dir):
 # near duplicates
 
 
-def shingles(text):
-    words = (text or "").encode().lower().split()
-    return frozenset(zip(words, words[1:], strict=False)) if len(words) > 1 else frozenset([tuple(words)] if words else [])
+def shingles(text, width=2):
+    words = re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
+    return {tuple(words[i : i + width]) for i in range(max(1, len(words) - width + 1))} if words else set()
 
 
-def components(rows):
+def components(rows, width=2):
     """Least id reachable over links of 0.8 and more, by comparing all pairs."""
-    sets = [(i, shingles(t)) for i, t in rows]
+    sets = [(i, shingles(t, width)) for i, t in rows]
     root = {i: i for i, _ in sets}
 
     def find(x):
@@ -303,13 +303,36 @@ def test_decontamination(spark):
     ]
     bench = spark.createDataFrame([(i, t, "x") for i, t in items], "item_id long, text string, pos string")
     frame_ = frame(spark, docs)
-    want = {(100, 0), (101, 1), (102, 2), (104, 0), (105, 4), (None, 0)}
+    want = {(100, 0), (101, 1), (102, 2), (103, 3), (104, 0), (105, 4), (None, 0)}
     assert {(r.doc_id, r.item_id) for r in decontaminate.contaminated(frame_, bench).collect()} == want
     left = decontaminate.decontaminate(frame_, bench)
     assert {r.doc_id for r in left.collect()} == {i for i, _ in docs} - {i for i, _ in want}
     assert left.columns == frame_.columns
 
 
+def test_decontamination_recall_by_substitutions_and_short_items(spark):
+    """Up to a fifth of the words of an item, and one of a short item, may differ wherever they are."""
+    rng = random.Random(6)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(6))
+    cases = [(15, 0), (15, 1), (15, 2), (15, 3), (20, 4), (30, 6), (59, 11), (8, 1), (11, 1), (7, 1), (4, 1)]
+    items, docs = [], []
+    for c, (n, changed) in enumerate(cases):
+        for k in range(60):
+            words = [word() for _ in range(n)]
+            items.append((c * 100 + k, " ".join(words)))
+            for at in rng.sample(range(n), changed):
+                words[at] = word()
+            docs.append((c * 100 + k, " ".join([word() for _ in range(30)] + words + [word() for _ in range(30)])))
+    items += [(5000, "two words"), (5001, "alone")]
+    docs += [(5000, "Two, words!"), (5001, "not alone"), (5002, "these two words here")]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    got = {(r.doc_id, r.item_id) for r in decontaminate.contaminated(frame(spark, docs), bench).collect()}
+    assert all(a == b for a, b in got)
+    assert {a for a, _ in got if a >= 5000} == {5000}
+    for c, case in enumerate(cases):
+        assert sum((c * 100 + k, c * 100 + k) in got for k in range(60)) >= 57, case
+
+
 def test_decontamination_with_a_large_benchmark_side(spark, monkeypatch):
     rows = [(1, "a1 b2 c3 d4 e5 f6 g7 h8 i9 j10 k11 l12 m13 n14"), (2, "other words only")]
     bench = spark.createDataFrame([(7, rows[0][1])], "item_id long, text string")
