@@ -21,12 +21,13 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-#: Encoded words and matches that a task keeps: so many new ones, and as many older ones.
-CACHE = 250_000
+from geopressure.llm.tasks import lean
+
+#: Encoded words, and matches inside them, that a task keeps: so many new ones, and as many older ones.
+WORDS, MATCHES = 150_000, 50_000
 NONE = 1 << 62
 #: Widths of the trees that stand side by side.
 WIDTHS = (8, 16, 32, 64)
-BATCH = 512
 
 
 def load_ranks(path: str) -> bytes:
@@ -186,13 +187,14 @@ class Forest:
 class Recent:
     """A mapping of bounded size: the newest entries, and the generation before them."""
 
-    def __init__(self) -> None:
+    def __init__(self, most: int) -> None:
+        self.most = most
         self.new: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
 
     def missing(self, keys: set[str]) -> set[str]:
         """The keys that are not known; those of the older generation are taken over."""
-        if len(self.new) >= CACHE:
+        if len(self.new) >= self.most:
             self.old, self.new = self.new, {}
         rest = keys - self.new.keys()
         for key in rest & self.old.keys():
@@ -211,7 +213,7 @@ class Encoder:
         # A text may be cut before each blank unless a blank lies inside or at the end of white space.
         self.tangled = regex.compile(r"\p{White_Space} (?=\p{White_Space})|\p{White_Space} $").search
         self.letters = r" ?\p{L}+" in pattern
-        self.matches, self.words = Recent(), Recent()
+        self.matches, self.words = Recent(MATCHES), Recent(WORDS)
 
     def _learn(self, matches: set[str]) -> None:
         new = list(self.matches.missing(matches))
@@ -239,31 +241,39 @@ class Encoder:
         ]
 
 
-def _encode(batches: Iterator[pa.RecordBatch], data, pattern: str) -> Iterator[pa.RecordBatch]:
-    encoder = Encoder(data.value, pattern)
+class Decoder:
+    """Turns token ids back into bytes."""
+
+    def __init__(self, data: bytes) -> None:
+        ranks = parse_ranks(data)
+        self.tokens = np.empty(max(ranks.values()) + 1, object)
+        for token, rank in ranks.items():
+            self.tokens[rank] = token
+
+    def decode(self, ids: pa.ListArray) -> pa.Array:
+        flat, offsets = ids.flatten().to_numpy(), np.cumsum([0, *ids.value_lengths().fill_null(0).to_pylist()])
+        return pa.array([b"".join(self.tokens[flat[a:b]]) for a, b in zip(offsets[:-1], offsets[1:], strict=True)], pa.binary())
+
+
+@lean
+def _encode(batches: Iterator[pa.RecordBatch], data, pattern: str, back: bool) -> Iterator[pa.RecordBatch]:
+    encoder, decoder = Encoder(data.value, pattern), Decoder(data.value) if back else None
     for batch in batches:
-        for at in range(0, batch.num_rows, BATCH):
-            part = batch.slice(at, BATCH)
-            packed = encoder.encode([text or "" for text in part.column("text").to_pylist()])
-            offsets = np.cumsum([0, *(len(x) // 4 for x in packed)]).astype(np.int32)
-            ids = np.frombuffer(b"".join(packed), np.int32)
-            arrays = [part.column("doc_id").cast(pa.int64()), pa.ListArray.from_arrays(pa.array(offsets), pa.array(ids))]
-            yield pa.RecordBatch.from_arrays(arrays, ["doc_id", "ids"])
+        packed = encoder.encode([text or "" for text in batch.column("text").to_pylist()])
+        offsets = np.cumsum([0, *(len(x) // 4 for x in packed)]).astype(np.int32)
+        ids = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.frombuffer(b"".join(packed), np.int32)))
+        columns = {"doc_id": batch.column("doc_id").cast(pa.int64()), "ids": ids}
+        if decoder is not None:
+            columns["decoded"] = decoder.decode(ids)
+        yield pa.RecordBatch.from_pydict(columns)
 
 
+@lean
 def _decode(batches: Iterator[pa.RecordBatch], data) -> Iterator[pa.RecordBatch]:
-    ranks = parse_ranks(data.value)
-    tokens = np.empty(max(ranks.values()) + 1, object)
-    for token, rank in ranks.items():
-        tokens[rank] = token
+    decoder = Decoder(data.value)
     for batch in batches:
-        for at in range(0, batch.num_rows, 512):
-            part = batch.slice(at, 512)
-            ids = part.column("ids")
-            flat, offsets = ids.flatten().to_numpy(), np.cumsum([0, *ids.value_lengths().fill_null(0).to_pylist()])
-            texts = [b"".join(tokens[flat[a:b]]) for a, b in zip(offsets[:-1], offsets[1:], strict=True)]
-            arrays = [part.column("doc_id"), ids, pa.array(texts, pa.binary())]
-            yield pa.RecordBatch.from_arrays(arrays, ["doc_id", "ids", "decoded"])
+        ids = batch.column("ids")
+        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), ids, decoder.decode(ids)], ["doc_id", "ids", "decoded"])
 
 
 def encode(docs: DataFrame, ranks: bytes, pattern: str) -> DataFrame:
@@ -275,10 +285,17 @@ def encode(docs: DataFrame, ranks: bytes, pattern: str) -> DataFrame:
     """
     data = docs.sparkSession.sparkContext.broadcast(ranks)
     return docs.select("doc_id", "text").mapInArrow(
-        functools.partial(_encode, data=data, pattern=pattern), "doc_id long, ids array<int>"
+        functools.partial(_encode, data=data, pattern=pattern, back=False), "doc_id long, ids array<int>"
     )
 
 
+def round_trip(docs: DataFrame, ranks: bytes, pattern: str) -> DataFrame:
+    """``doc_id, ids, decoded`` of every whole text: as :func:`encode`, then :func:`decode`, in one task each."""
+    data = docs.sparkSession.sparkContext.broadcast(ranks)
+    run = functools.partial(_encode, data=data, pattern=pattern, back=True)
+    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, ids array<int>, decoded binary")
+
+
 def decode(encoded: DataFrame, ranks: bytes) -> DataFrame:
     """``doc_id, ids, decoded binary``: the bytes that the ids stand for (null ids: none)."""
     data = encoded.sparkSession.sparkContext.broadcast(ranks)

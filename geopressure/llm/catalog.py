@@ -80,8 +80,7 @@ def op7_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op8_byte_bpe(spark: SparkSession, sf_dir: str, ranks: str = "byte_bpe_multi_50k.tiktoken") -> DataFrame:
     """Token counts and digests of the ids and of the decoded bytes of all documents."""
     data = byte_bpe.load_ranks(public_tokenizers.path(ranks))
-    encoded = byte_bpe.encode(_table(spark, sf_dir, "documents"), data, public_tokenizers.PATTERN)
-    return byte_bpe.decode(encoded, data).select(
+    return byte_bpe.round_trip(_table(spark, sf_dir, "documents"), data, public_tokenizers.PATTERN).select(
         "doc_id",
         F.size("ids").cast("long").alias("n_tokens"),
         F.sha2(F.concat_ws(",", F.col("ids").cast("array<string>")), 256).alias("ids_sha256"),

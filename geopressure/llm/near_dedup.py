@@ -42,6 +42,7 @@ from pyspark.sql import functions as F
 
 from geopressure.llm.keys import only_keys, without_keys
 from geopressure.llm.store import Scratch
+from geopressure.llm.tasks import lean
 
 COORDS = 128
 #: Minwise values of each tree, drawn for it alone.
@@ -148,38 +149,37 @@ def minwise(grams: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return low
 
 
+@lean
 def _features(batches: Iterator[pa.RecordBatch], width: int, trees: int, with_sets: bool) -> Iterator[pa.RecordBatch]:
     words = WordHash()
     first = [t * TREE_COORDS + j for t in range(trees) for j in range(BRANCHES)]
     a, b = _coefficients(max(COORDS, trees * TREE_COORDS))
     for batch in batches:
-        for at in range(0, batch.num_rows, 512):
-            part = batch.slice(at, 512)
-            n, cls, lows, sets = [], [], [], []
-            for text in part.column("text").to_pylist():
-                grams = shingle_set(text, words, width)
-                n.append(len(grams))
-                cls.append(hashlib.blake2b(grams.tobytes(), digest_size=16).digest())
-                if with_sets:
-                    sets.append(grams.view(np.int64))
-                else:
-                    lows.append(minwise(grams, a, b))
-            cols = [part.column("doc_id").cast(pa.int64()), pa.array(n, pa.int64()), pa.array(cls, pa.binary())]
-            names = ["doc_id", "n_shingles", "cls"]
+        n, cls, lows, sets = [], [], [], []
+        for text in batch.column("text").to_pylist():
+            grams = shingle_set(text, words, width)
+            n.append(len(grams))
+            cls.append(hashlib.blake2b(grams.tobytes(), digest_size=16).digest())
             if with_sets:
-                flat = pa.array(np.concatenate(sets)) if sets else pa.array([], pa.int64())
-                cols.append(pa.ListArray.from_arrays(pa.array(np.cumsum([0, *n]).astype(np.int32)), flat))
-                names.append("grams")
+                sets.append(grams.view(np.int64))
             else:
-                low = np.array(lows, np.uint32).reshape(-1, len(a))
-                mixed = low[:, :COORDS] * np.uint32(0x85EBCA6B)
-                for bit in (31, 30):
-                    words_of = np.packbits(mixed >> np.uint32(bit) & np.uint32(1), axis=1, bitorder="little").view(np.int64)
-                    cols += [pa.array(words_of[:, 0]), pa.array(words_of[:, 1])]
-                cols.append(pa.array([r.tobytes() for r in low[:, first]], pa.binary()))
-                cols.append(pa.array([r.tobytes() for r in (low[:, : trees * TREE_COORDS] >> np.uint32(16)).astype(np.uint16)], pa.binary()))
-                names += [*SKETCH, "roots", "sig"]
-            yield pa.RecordBatch.from_arrays(cols, names)
+                lows.append(minwise(grams, a, b))
+        cols = [batch.column("doc_id").cast(pa.int64()), pa.array(n, pa.int64()), pa.array(cls, pa.binary())]
+        names = ["doc_id", "n_shingles", "cls"]
+        if with_sets:
+            flat = pa.array(np.concatenate(sets)) if sets else pa.array([], pa.int64())
+            cols.append(pa.ListArray.from_arrays(pa.array(np.cumsum([0, *n]).astype(np.int32)), flat))
+            names.append("grams")
+        else:
+            low = np.array(lows, np.uint32).reshape(-1, len(a))
+            mixed = low[:, :COORDS] * np.uint32(0x85EBCA6B)
+            for bit in (31, 30):
+                words_of = np.packbits(mixed >> np.uint32(bit) & np.uint32(1), axis=1, bitorder="little").view(np.int64)
+                cols += [pa.array(words_of[:, 0]), pa.array(words_of[:, 1])]
+            cols.append(pa.array([r.tobytes() for r in low[:, first]], pa.binary()))
+            cols.append(pa.array([r.tobytes() for r in (low[:, : trees * TREE_COORDS] >> np.uint32(16)).astype(np.uint16)], pa.binary()))
+            names += [*SKETCH, "roots", "sig"]
+        yield pa.RecordBatch.from_arrays(cols, names)
 
 
 def features(docs: DataFrame, width: int, trees: int, with_sets: bool = False) -> DataFrame:

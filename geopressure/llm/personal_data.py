@@ -22,6 +22,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from geopressure.llm.tasks import lean
+
 KINDS = ("email", "ip", "card", "phone")
 NONE = len(KINDS)
 LABELS = NONE + 1
@@ -279,6 +281,7 @@ def _training_rows(text: str) -> list[tuple[list[float], int, list[float], list[
     return rows
 
 
+@lean
 def _sampled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         rows = [r for text in batch.column("text").to_pylist() for r in _training_rows(text or "")]
@@ -330,6 +333,7 @@ def fit(docs: DataFrame) -> Weights:
 SPAN = pa.struct([("start", pa.int32()), ("kind", pa.string()), ("end", pa.int32()), ("base", pa.bool_())])
 
 
+@lean
 def _found(batches: Iterator[pa.RecordBatch], weights: Weights) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         rows = [
@@ -362,6 +366,7 @@ def mask(text: str, found: list[tuple[int, int, int, bool]]) -> str:
     return "".join([*out, text[at:]])
 
 
+@lean
 def _masked(batches: Iterator[pa.RecordBatch], weights: Weights) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         at = batch.schema.names.index("text")

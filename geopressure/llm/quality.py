@@ -22,6 +22,7 @@ from pyspark.sql import functions as F
 
 from geopressure.llm.keys import fresh
 from geopressure.llm.logistic import Logistic
+from geopressure.llm.tasks import lean
 from geopressure.llm.toxicity import held_out
 
 #: Bounds of what is learned from: labelled rows and unlabelled rows, those of least hash.
@@ -89,6 +90,7 @@ def metadata_view(text: str, lang: str | None, source: str | None) -> list[float
     return [*slots, n, (n - 7) ** 2, float(len(text) < 60)]
 
 
+@lean
 def _viewed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         rows = batch.to_pylist()
@@ -188,6 +190,7 @@ def fit(
 SCORES = ("content_score", "metadata_score", "score")
 
 
+@lean
 def _scored(batches: Iterator[pa.RecordBatch], model: Model, kept: list[str], prefix: str = "") -> Iterator[pa.RecordBatch]:
     for batch in batches:
         rows = batch.select(["text", "lang", "source"]).to_pylist()

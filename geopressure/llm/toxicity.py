@@ -23,6 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from geopressure.llm.logistic import Logistic
+from geopressure.llm.tasks import lean
 
 #: Bounds of the sample that is learned from: rows of each class, the least hashes of doc_id.
 MAX_TOXIC, MAX_CLEAN = 2500, 5000
@@ -241,6 +242,7 @@ def _rows(batch: pa.RecordBatch, lexicon: Lexicon) -> list[list[float]]:
     return out
 
 
+@lean
 def _featured(batches: Iterator[pa.RecordBatch], terms: dict[str, float]) -> Iterator[pa.RecordBatch]:
     lexicon = Lexicon(terms)
     for batch in batches:
@@ -248,6 +250,7 @@ def _featured(batches: Iterator[pa.RecordBatch], terms: dict[str, float]) -> Ite
         yield pa.RecordBatch.from_arrays([batch.column("label"), pa.array(rows, pa.list_(pa.float64()))], ["label", "x"])
 
 
+@lean
 def _scored(batches: Iterator[pa.RecordBatch], terms: dict[str, float], model: Logistic) -> Iterator[pa.RecordBatch]:
     lexicon = Lexicon(terms)
     for batch in batches:
