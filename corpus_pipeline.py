@@ -1,7 +1,12 @@
 """A training-corpus pipeline over the operators of :mod:`geopressure.llm`.
 
 Each stage takes ``(spark, docs, sf_dir)`` and returns a DataFrame that is written as Parquet and
-reread as the next stage's ``docs``. All stages but the last return the columns of ``documents``.
+reread as the next stage's ``docs``. All stages but the last return the columns of ``documents``, and
+any others, whatever their names.
+
+Every stage reads whole texts of any length. A null text counts as empty, is never a copy or an
+overlap, and stays null. Rows that repeat with id and text are scored alike and become one in the
+near-duplicate stage; so do ties, where the least doc_id stays. An empty table gives an empty one.
 """
 
 from __future__ import annotations
@@ -41,7 +46,7 @@ def mask_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 def encode_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of every document, and whether decoding them gives the text back."""
     ranks = byte_bpe.load_ranks(public_tokenizers.path("byte_bpe_multi_50k.tiktoken"))
-    decoded = byte_bpe.decode(byte_bpe.encode(docs, ranks, public_tokenizers.PATTERN), ranks)
+    decoded = byte_bpe.round_trip(docs, ranks, public_tokenizers.PATTERN)
     return decoded.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), "ids", F.sha2("decoded", 256).alias("text_sha256"))
 
 
