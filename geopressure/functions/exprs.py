@@ -212,8 +212,12 @@ def blend_weight(dry_b: Column | str, confidence: Column | str, weight: float =
 
 
 def blend(dry_a: Column | str, dry_b: Column | str, w_b: Column | str) -> Column:
-    """Weighted mean of two intensities; the first alone where the second is missing or has no weight."""
+    """Weighted mean of two intensities; one alone where the other is missing or the second has no weight."""
     a, b, w = col(dry_a), col(dry_b), col(w_b)
+    return F.when(a.isNull(), b).otherwise(_weighted(a, b, w))
+
+
+def _weighted(a: Column, b: Column, w: Column) -> Column:
     return F.when(b.isNull() | w.isNull() | (w <= 0), a).otherwise((a + w * b) / (1.0 + w))
 
 

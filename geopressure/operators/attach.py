@@ -34,12 +34,12 @@ def attach_cascade(
 def entity_index(panel: DataFrame, attached: DataFrame, station: str, key: str, ts: str, years: DataFrame) -> DataFrame:
     """Station scores to entities: means weighted by confidence, the greatest confidence, how many stations.
 
-    ``panel(station, ts, z, nqt)``, ``attached`` as from :func:`attach_cascade`, ``years(station, years)``.
+    A station counts in a month in which its z is known, for both means. ``panel(station, ts, z, nqt)``, ``attached`` as from :func:`attach_cascade`, ``years(station, years)``.
     """
     weight = X.confidence("years", distance=F.col("factor"))
     rows = panel.join(attached.join(years, station), station).withColumn("confidence", weight)
     z = weighted_mean(rows, [key, ts], "z", "confidence").select(key, ts, F.col("value").alias("z"))
-    q = weighted_mean(rows, [key, ts], "nqt", "confidence").select(key, ts, F.col("value").alias("nqt"))
+    q = weighted_mean(rows.where("z is not null"), [key, ts], "nqt", "confidence").select(key, ts, F.col("value").alias("nqt"))
     used = rows.where(F.col("z").isNotNull() & (F.col("confidence") > 0)).groupBy(key, ts)
     most = used.agg(F.max("confidence").alias("confidence"), F.countDistinct(station).alias("n_stations"))
     return z.join(q, [key, ts], "left").join(most, [key, ts])

@@ -36,13 +36,14 @@ def peak_severity(events: DataFrame, series: DataFrame, key: str, ts: str, z: st
     """Greatest severity ``-z`` over the months of each event's window; events without a month vanish.
 
     The window runs from the start's month to the end's month, both included, and begins at most
-    ``max_months`` before the end's month. The join is an equi-join on the entity with the band as a
-    filter.
+    ``max_months`` before the end's month. Its at most ``max_months + 1`` months are listed, so the join
+    is an equi-join on entity and month; ``series`` is dated by the first day of each month.
     """
     last = F.trunc("end", "month")
     first = F.greatest(F.trunc("start", "month"), F.add_months(last, -max_months))
-    windows = events.select(key, "order_id", first.alias("__from"), last.alias("__to"))
-    months = windows.join(series.select(key, ts, z).where(F.col(z).isNotNull()), key).where(F.col(ts).between(F.col("__from"), F.col("__to")))
+    listed = F.explode(F.sequence(F.least(first, last), last, F.expr("interval 1 month")))
+    windows = events.where(first <= last).select(key, "order_id", listed.alias(ts))
+    months = windows.join(series.select(key, ts, z).where(F.col(z).isNotNull()), [key, ts])
     return months.groupBy(key, "order_id").agg(F.max(X.severity(z)).alias("severity"))
 
 

@@ -178,14 +178,24 @@ def points_in_polygons(points: DataFrame, edges: DataFrame, point_key: str, key:
 def nearest(a: DataFrame, b: DataFrame, a_key: str, b_key: str) -> DataFrame:
     """The nearest point of ``b(b_key, x, y)`` for each of ``a``, ties to the least key, at any distance.
 
-    Meant for the few entities that nothing covers: ``a`` is the small side and is compared with all
-    of ``b`` in ``b``'s own partitions, which keep one best each before anything is shuffled.
+    The radius begins at twice the mean spacing of ``b`` and grows eightfold for those that have found nothing
+    yet, so every round is an equi-join on grid cells; the last radius spans both sides.
     """
-    left = a.select(a_key, F.col("x").alias("ax"), F.col("y").alias("ay"))
-    right = b.select(b_key, F.col("x").alias("bx"), F.col("y").alias("by"))
-    d2 = F.pow(F.col("ax") - F.col("bx"), 2) + F.pow(F.col("ay") - F.col("by"), 2)
-    best = right.crossJoin(left).groupBy(a_key).agg(F.min(F.struct(d2.alias("d2"), b_key)).alias("m"))
-    return best.select(a_key, F.col(f"m.{b_key}").alias(b_key), F.sqrt("m.d2").alias("distance"))
+    corners = [f("x" if c == "x" else "y").alias(f"{n}{c}") for c in "xy" for n, f in (("low", F.min), ("high", F.max))]
+    ends = a.select("x", "y").unionByName(b.select("x", "y")).agg(*corners).first()
+    n = b.count()
+    if ends["lowx"] is None or not n:
+        return nearest_within(a, b, a_key, b_key, 1.0).select(a_key, b_key, "distance")
+    span = max(ends["highx"] - ends["lowx"], ends["highy"] - ends["lowy"], 1e-9)
+    radius, rest, found = 2 * span / n**0.5, a, None
+    while True:
+        last = radius >= 2 * span
+        got = nearest_within(rest, b, a_key, b_key, radius).select(a_key, b_key, "distance")
+        found = got if found is None else found.unionByName(got)
+        if last:
+            return found
+        rest = rest.join(got.select(a_key), a_key, "left_anti")
+        radius *= 8
 
 
 def nearest_within(a: DataFrame, b: DataFrame, a_key: str, b_key: str, radius: float, block: str | None = None) -> DataFrame:
@@ -229,7 +239,7 @@ def zone_shares(polygons: DataFrame, zones: DataFrame, key: str, zone: str, leve
     by = part.join(levels, [zone, block]).groupBy(key).agg(*[F.sum(F.when(F.col(level) == i, F.col("area"))).alias(f"a{i}") for i in (1, 2, 3)])
     whole = polygon_area(polygons, [key, block])
     served = zones.select(block).distinct().withColumn("covered", F.lit(True))
-    out = whole.join(F.broadcast(served), block, "left").join(by, key, "left").withColumn("covered", F.coalesce("covered", F.lit(False)))
+    out = whole.join(served, block, "left").join(by, key, "left").withColumn("covered", F.coalesce("covered", F.lit(False)))
     out = out.withColumns({f"a{i}": F.coalesce(f"a{i}", F.lit(0.0)) for i in (1, 2, 3)})
     total = F.col("a1") + F.col("a2") + F.col("a3")
     dominant = (

@@ -59,6 +59,7 @@ def _anomaly(spark: SparkSession, d: str, value: str = "l_extendedprice") -> Dat
 def _exposure(spark: SparkSession, d: str) -> DataFrame:
     s = io.read_table(spark, d, "supplier")
     vulnerable = F.when(F.col("s_suppkey") % 7 != 0, (F.col("s_suppkey") % 10) / 10)
+    s = s.where("s_suppkey % 17 <> 0")
     return s.select(F.col("s_suppkey").alias("l_suppkey"), X.exposure(F.col("s_acctbal") / 10000, vulnerable).alias("e"))
 
 
@@ -68,9 +69,15 @@ def _groundwater(spark: SparkSession, d: str) -> DataFrame:
     return score.select("l_suppkey", "month", F.col("z").alias("z_b"), "nqt", known.alias("confidence"))
 
 
+def _calibration(spark: SparkSession, d: str) -> DataFrame:
+    """A share, a number of events and a pool for two of three suppliers."""
+    rows = _panel(spark, d, "l_quantity").where("l_suppkey % 3 <> 1")
+    return rows.select("l_suppkey", "month", (F.col("n") / 10).alias("h"), F.col("n").alias("n_events"), (F.col("l_suppkey") % 5).cast("string").alias("pool_level"))
+
+
 def _mart(spark: SparkSession, d: str) -> DataFrame:
     z = _anomaly(spark, d).where("z is not null")
-    return marts.monthly_mart(z, _exposure(spark, d), "l_suppkey", "month", _groundwater(spark, d))
+    return marts.monthly_mart(z, _exposure(spark, d), "l_suppkey", "month", _groundwater(spark, d), _calibration(spark, d))
 
 
 # SQL of the shared parts -----------------------------------------------------------------------
@@ -82,7 +89,7 @@ _Z = """SELECT l_suppkey, month, value, n_, CASE WHEN sd >= 1e-9 THEN (value - m
   WINDOW w AS (PARTITION BY l_suppkey, month(month)))"""
 _EXPOSURE = """SELECT s_suppkey AS l_suppkey, CASE WHEN coalesce(s_acctbal / 10000, 0) <= 0 THEN 0.0
     WHEN s_suppkey % 7 = 0 THEN least(greatest(s_acctbal / 10000, 0), 1)
-    ELSE least(greatest(0.6 * s_acctbal / 10000 + 0.4 * ((s_suppkey % 10) / 10), 0), 1) END AS e FROM supplier"""
+    ELSE least(greatest(0.6 * s_acctbal / 10000 + 0.4 * ((s_suppkey % 10) / 10), 0), 1) END AS e FROM supplier WHERE s_suppkey % 17 <> 0"""
 
 
 def _poly(x: str, coefficients) -> str:
@@ -118,9 +125,9 @@ WITH panel AS ({_PANEL.format(v="l_extendedprice")}), quantity AS ({_PANEL.forma
 a AS (SELECT * FROM ({_Z.format(p="panel")}) WHERE month >= DATE '{SERVED}' AND z IS NOT NULL),
 g AS (SELECT * FROM ({_NORMAL.format(p="quantity")}) WHERE month >= DATE '{SERVED}'),
 e AS ({_EXPOSURE}),
-j AS (SELECT a.l_suppkey, a.month, e.e, a.z, g.nqt, 1 / (1 + exp(a.z)) AS dry, 1 / (1 + exp(g.z)) AS dry_b,
+j AS (SELECT a.l_suppkey, a.month, coalesce(e.e, 0) AS e, a.z, c.n AS c_n, g.nqt, 1 / (1 + exp(a.z)) AS dry, 1 / (1 + exp(g.z)) AS dry_b,
     CASE WHEN g.z IS NULL THEN 0 ELSE 0.5 * coalesce(CASE WHEN a.l_suppkey % 3 <> 0 THEN 0.5 END, 0) END AS w_b
-  FROM a JOIN e USING (l_suppkey) LEFT JOIN g ON g.l_suppkey = a.l_suppkey AND g.month = a.month),
+  FROM a LEFT JOIN e USING (l_suppkey) LEFT JOIN quantity c ON c.l_suppkey = a.l_suppkey AND c.month = a.month AND a.l_suppkey % 3 <> 1 LEFT JOIN g ON g.l_suppkey = a.l_suppkey AND g.month = a.month),
 t AS (SELECT *, CASE WHEN dry_b IS NULL OR w_b <= 0 THEN dry ELSE (dry + w_b * dry_b) / (1 + w_b) END AS t FROM j),
 s AS (SELECT *, CAST(least(greatest(floor(100.0 * e * pow(t, 0.8) + 0.5), 0), 100) AS INTEGER) AS score FROM t),
 q AS (SELECT coalesce(round_even(quantile_cont(score, 0.2), 0), 20) AS q1, coalesce(round_even(quantile_cont(score, 0.4), 0), 40) AS q2,
@@ -225,10 +232,11 @@ def pressure_levels(spark: SparkSession, d: str) -> DataFrame:
 @query(
     _MART
     + f"""SELECT l_suppkey, month, round(e, 6) AS e, round(z, 6) AS z, round(t, 6) AS t, score, CAST(level_code AS INTEGER) AS level_code,
-  CAST({_CLASS.format(c="nqt")} AS INTEGER) AS groundwater_class FROM m"""
+  CAST({_CLASS.format(c="nqt")} AS INTEGER) AS groundwater_class, CASE WHEN e > 0 THEN round(c_n / 10, 6) END AS h,
+  CASE WHEN e > 0 THEN c_n END AS n_events, CASE WHEN e > 0 AND c_n IS NOT NULL THEN CAST(l_suppkey % 5 AS VARCHAR) END AS pool_level FROM m"""
 )
 def monthly_mart(spark: SparkSession, d: str) -> DataFrame:
-    out = _mart(spark, d).select("l_suppkey", "month", "e", "z", "t", "score", "level_code", "groundwater_class")
+    out = _mart(spark, d).select("l_suppkey", "month", "e", "z", "t", "score", "level_code", "groundwater_class", "h", "n_events", "pool_level")
     return rounded(out).withColumns({c: F.col(c).cast("int") for c in ("level_code", "groundwater_class")})
 
 
@@ -553,19 +561,19 @@ def fold_match(spark: SparkSession, d: str) -> DataFrame:
     return io.read_table(spark, d, "part").where(X.eq_fold("p_type", "Éçonomy")).select("p_partkey")
 
 
-_QUERIES = ["small ri", "red", "blue widgit", "42", "gren"]
+_QUERIES = ["small ri", "red", "blue widgit", "42", "gren", "wsmall river", "lagre part"]
 _ASKED = ", ".join(f"('{q}')" for q in _QUERIES)
 
 
 @query(f"""WITH ix AS (SELECT p_partkey, lower(p_name) AS f FROM part), q AS (SELECT * FROM (VALUES {_ASKED}) AS t(query)),
-k AS (SELECT query, p_partkey, f, 1 AS r FROM q JOIN ix ON CAST(p_partkey AS VARCHAR) = query),
-w AS (SELECT p_partkey, f, unnest(string_split(f, ' ')) AS w FROM ix),
-e AS (SELECT query, string_split(query, ' ')[-1] AS l FROM q),
-n AS (SELECT query, p_partkey, f, CASE WHEN starts_with(w, l) THEN 3 ELSE 4 END AS r FROM e JOIN w ON substr(w, 1, 2) = substr(l, 1, 2)
-  WHERE length(l) >= 2 AND length(w) >= 2 AND (starts_with(w, l) OR levenshtein(w, l) <= floor(0.2 * length(l)))),
-b AS (SELECT query, p_partkey, min(r) AS rank, min(f) AS f FROM (SELECT * FROM k UNION ALL SELECT * FROM n) GROUP BY 1, 2)
-SELECT query, p_partkey, CAST(rank AS INTEGER) AS rank, CAST(place AS INTEGER) AS place FROM (
-  SELECT *, row_number() OVER (PARTITION BY query ORDER BY rank, f, p_partkey) AS place FROM b) WHERE place <= 8""")
+t AS (SELECT DISTINCT query, unnest(string_split(query, ' ')) AS t FROM q), w AS (SELECT DISTINCT p_partkey, f, unnest(string_split(f, ' ')) AS w FROM ix),
+m AS (SELECT query, p_partkey, f, t, max(CASE WHEN starts_with(w, t) THEN 1 ELSE 0 END) AS p FROM t JOIN w
+  ON starts_with(w, t) OR (NOT regexp_full_match(t, '[0-9]+') AND levenshtein(w, t) <= least(floor(0.2 * length(t)), 2)) GROUP BY ALL),
+e AS (SELECT query, p_partkey, f, 1 AS r, 0 AS n, 0 AS p FROM q JOIN ix ON CAST(p_partkey AS VARCHAR) = query
+  UNION ALL SELECT query, p_partkey, f, 3, count(*), sum(p) FROM m GROUP BY query, p_partkey, f),
+b AS (SELECT query, p_partkey, f, min(r) AS rank, max(n) AS n, max(p) AS p FROM e GROUP BY ALL)
+SELECT query, p_partkey, CAST(rank AS INTEGER) AS rank, CAST(n AS BIGINT) AS n_words, CAST(p AS BIGINT) AS n_begins, CAST(place AS INTEGER) AS place FROM (
+  SELECT *, row_number() OVER (PARTITION BY query ORDER BY rank, n DESC, p DESC, f, p_partkey) AS place FROM b) WHERE place <= 8""")
 def entity_search(spark: SparkSession, d: str) -> DataFrame:
     index = serve.search_index(io.read_table(spark, d, "part").select("p_partkey", "p_name"), "p_partkey", "p_name", None, None, "month")
     asked = spark.createDataFrame([(q,) for q in _QUERIES], "query string")
@@ -616,27 +624,28 @@ def latest_edition(spark: SparkSession, d: str) -> DataFrame:
 
 # Geometry ------------------------------------------------------------------------------------------
 
-# A nation is a rectangle on a five by five layout, its sides varying with the key.
-_BOX = """SELECT n_nationkey AS nation, n_regionkey AS region, (n_nationkey % 5) * 1000e0 AS x0, (n_nationkey // 5) * 1000e0 AS y0,
-  (n_nationkey % 5) * 1000e0 + 600 + 16 * n_nationkey AS x1, (n_nationkey // 5) * 1000e0 + 500 + 20 * n_nationkey AS y1 FROM nation"""
-_TILE = 800.0
+# A supplier's area is a rectangle on a layout of forty by forty places, its place and sides varying with the key.
+_BOX = """SELECT s_suppkey AS area_id, s_suppkey % 5 AS region, (s_suppkey * 7919 % 1600 % 40) * 125e0 AS x0, (s_suppkey * 7919 % 1600 // 40) * 125e0 AS y0,
+  (s_suppkey * 7919 % 1600 % 40) * 125e0 + 60 + 2 * (s_suppkey % 25) AS x1, (s_suppkey * 7919 % 1600 // 40) * 125e0 + 50 + 3 * (s_suppkey % 20) AS y1 FROM supplier"""
+_TILE = 100.0
 
 
 def _boxes(spark: SparkSession, d: str) -> DataFrame:
-    n = F.col("n_nationkey")
-    x0, y0 = (n % 5) * 1000.0, F.floor(n / 5) * 1000.0
-    return io.read_table(spark, d, "nation").select(
-        n.alias("nation"),
-        F.col("n_regionkey").alias("region"),
+    n = F.col("s_suppkey")
+    place = n.cast("long") * 7919 % 1600
+    x0, y0 = (place % 40) * 125.0, F.floor(place / 40) * 125.0
+    return io.read_table(spark, d, "supplier").select(
+        n.alias("area_id"),
+        (n % 5).alias("region"),
         x0.alias("x0"),
         y0.alias("y0"),
-        (x0 + 600 + 16 * n).alias("x1"),
-        (y0 + 500 + 20 * n).alias("y1"),
+        (x0 + 60 + 2 * (n % 25)).alias("x1"),
+        (y0 + 50 + 3 * (n % 20)).alias("y1"),
     )
 
 
 def _polygons(spark: SparkSession, d: str, *more: str) -> DataFrame:
-    return G.rectangles_to_edges(_boxes(spark, d), ["nation", *more], "x0", "y0", "x1", "y1")
+    return G.rectangles_to_edges(_boxes(spark, d), ["area_id", *more], "x0", "y0", "x1", "y1")
 
 
 def _points(spark: SparkSession, d: str) -> DataFrame:
@@ -647,9 +656,9 @@ def _points(spark: SparkSession, d: str) -> DataFrame:
 _POINTS = """SELECT vec_id, round((CAST(embedding[1] AS DOUBLE) + 0.5) * 5000, 3) AS x, round((CAST(embedding[2] AS DOUBLE) + 0.5) * 5000, 3) AS y FROM embeddings"""
 
 
-@query(f"SELECT nation, round((x1 - x0) * (y1 - y0), 4) AS area, round((x0 + x1) / 2, 4) AS cx, round((y0 + y1) / 2, 4) AS cy FROM ({_BOX})")
+@query(f"SELECT area_id, round((x1 - x0) * (y1 - y0), 4) AS area, round((x0 + x1) / 2, 4) AS cx, round((y0 + y1) / 2, 4) AS cy FROM ({_BOX})")
 def polygon_area_centroid(spark: SparkSession, d: str) -> DataFrame:
-    return rounded(G.polygon_centroid(_polygons(spark, d), ["nation"]), 4)
+    return rounded(G.polygon_centroid(_polygons(spark, d), ["area_id"]), 4)
 
 
 @query(f"SELECT region, min(x0) AS xmin, min(y0) AS ymin, CAST(max(x1) AS DOUBLE) AS xmax, CAST(max(y1) AS DOUBLE) AS ymax FROM ({_BOX}) GROUP BY 1")
@@ -657,67 +666,67 @@ def extent(spark: SparkSession, d: str) -> DataFrame:
     return G.extent(_polygons(spark, d, "region"), ["region"])
 
 
-@query(f"""WITH b AS ({_BOX}), c AS (SELECT a.range AS i, b.range AS j, a.range * 10 + b.range AS cell FROM range(8) a, range(8) b)
-SELECT nation, cell, round((least(x1, i * 800 + 800.0) - greatest(x0, i * 800)) * (least(y1, j * 800 + 800.0) - greatest(y0, j * 800)), 2) AS weight
-FROM b JOIN c ON x0 < i * 800 + 800 AND x1 > i * 800 AND y0 < j * 800 + 800 AND y1 > j * 800""")
+@query(f"""WITH b AS ({_BOX}), c AS (SELECT a.range AS i, b.range AS j, a.range * 50 + b.range AS cell FROM range(50) a, range(50) b)
+SELECT area_id, cell, round((least(x1, i * 100 + 100.0) - greatest(x0, i * 100)) * (least(y1, j * 100 + 100.0) - greatest(y0, j * 100)), 2) AS weight
+FROM b JOIN c ON x0 < i * 100 + 100 AND x1 > i * 100 AND y0 < j * 100 + 100 AND y1 > j * 100""")
 def cell_overlap_weights(spark: SparkSession, d: str) -> DataFrame:
-    return rounded(G.cell_weights(_polygons(spark, d), _grid(spark, d), "nation", "cell", 400.0), 2)
+    return rounded(G.cell_weights(_polygons(spark, d), _grid(spark, d), "area_id", "cell", 50.0), 2)
 
 
-@query(f"""WITH b AS ({_BOX}), z AS (SELECT nation AS zone, region, nation % 3 + 1 AS level, x0 + 100 AS a0, y0 + 100 AS b0, x1 + 100 AS a1, y1 - 50 AS b1 FROM b WHERE region <> 4),
-o AS (SELECT b.nation, level, sum(greatest(0, least(x1, a1) - greatest(x0, a0)) * greatest(0, least(y1, b1) - greatest(y0, b0))) AS area
+@query(f"""WITH b AS ({_BOX}), z AS (SELECT area_id AS zone, region, area_id % 3 + 1 AS level, x0 + 10 AS a0, y0 + 10 AS b0, x1 + 10 AS a1, y1 - 5 AS b1 FROM b WHERE region <> 4),
+o AS (SELECT b.area_id, level, sum(greatest(0, least(x1, a1) - greatest(x0, a0)) * greatest(0, least(y1, b1) - greatest(y0, b0))) AS area
   FROM b JOIN z USING (region) GROUP BY 1, 2),
-s AS (SELECT nation, region, (x1 - x0) * (y1 - y0) AS w, coalesce(sum(area) FILTER (level = 1), 0) AS c1, coalesce(sum(area) FILTER (level = 2), 0) AS c2,
-    coalesce(sum(area) FILTER (level = 3), 0) AS c3 FROM b LEFT JOIN o USING (nation) GROUP BY 1, 2, 3)
-SELECT nation, region, region <> 4 AS covered, round(least(c2 / w, 1), 6) AS share_medium, round(least(c3 / w, 1), 6) AS share_high,
+s AS (SELECT area_id, region, (x1 - x0) * (y1 - y0) AS w, coalesce(sum(area) FILTER (level = 1), 0) AS c1, coalesce(sum(area) FILTER (level = 2), 0) AS c2,
+    coalesce(sum(area) FILTER (level = 3), 0) AS c3 FROM b LEFT JOIN o USING (area_id) GROUP BY 1, 2, 3)
+SELECT area_id, region, region <> 4 AS covered, round(least(c2 / w, 1), 6) AS share_medium, round(least(c3 / w, 1), 6) AS share_high,
   round(least((c2 + c3) / w, 1), 6) AS share_medium_high, CASE WHEN region = 4 THEN NULL WHEN c1 + c2 + c3 <= 0 THEN 'none'
     WHEN c3 >= c2 AND c3 >= c1 THEN 'high' WHEN c2 >= c1 THEN 'medium' ELSE 'low' END AS dominant, c1 + c2 + c3 > w * 1.01 AS overflow FROM s""")
 def zone_shares(spark: SparkSession, d: str) -> DataFrame:
     zones = _boxes(spark, d).where("region <> 4").select(
-        F.col("nation").alias("zone"), "region", (F.col("nation") % 3 + 1).alias("level"),
-        (F.col("x0") + 100).alias("x0"), (F.col("y0") + 100).alias("y0"), (F.col("x1") + 100).alias("x1"), (F.col("y1") - 50).alias("y1"),
+        F.col("area_id").alias("zone"), "region", (F.col("area_id") % 3 + 1).alias("level"),
+        (F.col("x0") + 10).alias("x0"), (F.col("y0") + 10).alias("y0"), (F.col("x1") + 10).alias("x1"), (F.col("y1") - 5).alias("y1"),
     )
     edges = G.rectangles_to_edges(zones, ["zone", "region", "level"], "x0", "y0", "x1", "y1")
-    return rounded(G.zone_shares(_polygons(spark, d, "region"), edges, "nation", "zone", "level", "region", _TILE))
+    return rounded(G.zone_shares(_polygons(spark, d, "region"), edges, "area_id", "zone", "level", "region", _TILE))
 
 
-@query(f"WITH b AS ({_BOX}), p AS ({_POINTS}) SELECT vec_id, min(nation) AS nation FROM p JOIN b ON x > x0 AND x < x1 AND y > y0 AND y < y1 GROUP BY 1")
+@query(f"WITH b AS ({_BOX}), p AS ({_POINTS}) SELECT vec_id, min(area_id) AS area_id FROM p JOIN b ON x > x0 AND x < x1 AND y > y0 AND y < y1 GROUP BY 1")
 def point_in_polygon(spark: SparkSession, d: str) -> DataFrame:
-    return G.points_in_polygons(_points(spark, d), _polygons(spark, d), "vec_id", "nation", _TILE)
+    return G.points_in_polygons(_points(spark, d), _polygons(spark, d), "vec_id", "area_id", _TILE)
 
 
-@query(f"""WITH p AS ({_POINTS}), c AS (SELECT n_nationkey AS nation, (n_nationkey % 5) * 1000.0 + 300 AS cx, (n_nationkey // 5) * 1000.0 + 250 AS cy FROM nation)
-SELECT nation, vec_id, round(dist, 4) AS distance FROM (SELECT nation, vec_id, sqrt(pow(x - cx, 2) + pow(y - cy, 2)) AS dist,
-  row_number() OVER (PARTITION BY nation ORDER BY pow(x - cx, 2) + pow(y - cy, 2), vec_id) AS r FROM c, p) WHERE r = 1""")
+@query(f"""WITH p AS ({_POINTS}), c AS (SELECT area_id, x0 + 30 AS cx, y0 + 25 AS cy FROM ({_BOX}))
+SELECT area_id, vec_id, round(dist, 4) AS distance FROM (SELECT area_id, vec_id, sqrt(pow(x - cx, 2) + pow(y - cy, 2)) AS dist,
+  row_number() OVER (PARTITION BY area_id ORDER BY pow(x - cx, 2) + pow(y - cy, 2), vec_id) AS r FROM c, p) WHERE r = 1""")
 def nearest_cell(spark: SparkSession, d: str) -> DataFrame:
-    centres = _boxes(spark, d).select("nation", (F.col("x0") + 300).alias("x"), (F.col("y0") + 250).alias("y"))
-    return rounded(G.nearest(centres, _points(spark, d), "nation", "vec_id"), 4)
+    centres = _boxes(spark, d).select("area_id", (F.col("x0") + 30).alias("x"), (F.col("y0") + 25).alias("y"))
+    return rounded(G.nearest(centres, _points(spark, d), "area_id", "vec_id"), 4)
 
 
-@query(f"""WITH p AS ({_POINTS}), c AS (SELECT n_nationkey AS nation, (n_nationkey % 5) * 1000.0 + 300 AS cx, (n_nationkey // 5) * 1000.0 + 250 AS cy FROM nation)
-SELECT vec_id, nation, round(dist, 4) AS distance, round(1 - dist / 400, 6) AS factor FROM (SELECT vec_id, nation, sqrt(pow(x - cx, 2) + pow(y - cy, 2)) AS dist,
-  row_number() OVER (PARTITION BY vec_id ORDER BY sqrt(pow(x - cx, 2) + pow(y - cy, 2)), nation) AS r FROM p, c) WHERE r = 1 AND dist <= 400""")
+@query(f"""WITH p AS ({_POINTS}), c AS (SELECT area_id, x0 + 30 AS cx, y0 + 25 AS cy FROM ({_BOX}))
+SELECT vec_id, area_id, round(dist, 4) AS distance, round(1 - dist / 60, 6) AS factor FROM (SELECT vec_id, area_id, sqrt(pow(x - cx, 2) + pow(y - cy, 2)) AS dist,
+  row_number() OVER (PARTITION BY vec_id ORDER BY sqrt(pow(x - cx, 2) + pow(y - cy, 2)), area_id) AS r FROM p, c) WHERE r = 1 AND dist <= 60""")
 def nearest_within_radius(spark: SparkSession, d: str) -> DataFrame:
-    centres = _boxes(spark, d).select("nation", (F.col("x0") + 300).alias("x"), (F.col("y0") + 250).alias("y"))
-    return rounded(G.nearest_within(_points(spark, d), centres, "vec_id", "nation", 400.0), distance=4)
+    centres = _boxes(spark, d).select("area_id", (F.col("x0") + 30).alias("x"), (F.col("y0") + 25).alias("y"))
+    return rounded(G.nearest_within(_points(spark, d), centres, "vec_id", "area_id", 60.0), distance=4)
 
 
 @query(f"""WITH b AS ({_BOX}), p AS (SELECT *, vec_id % 40 AS hint FROM ({_POINTS})),
-i AS (SELECT vec_id, min(nation) AS nation, 1.0 AS factor, 'inside' AS method FROM p JOIN b ON x > x0 AND x < x1 AND y > y0 AND y < y1
-  WHERE nation % 4 = 0 GROUP BY 1),
-k AS (SELECT vec_id, nation, 1.0, 'key' FROM p JOIN b ON b.nation = p.hint AND nation % 3 = 0 WHERE vec_id NOT IN (SELECT vec_id FROM i)),
+i AS (SELECT vec_id, min(area_id) AS area_id, 1.0 AS factor, 'inside' AS method FROM p JOIN b ON x > x0 AND x < x1 AND y > y0 AND y < y1
+  WHERE area_id % 4 = 0 GROUP BY 1),
+k AS (SELECT vec_id, area_id, 1.0, 'key' FROM p JOIN b ON b.area_id = p.hint AND area_id % 3 = 0 WHERE vec_id NOT IN (SELECT vec_id FROM i)),
 h AS (SELECT * FROM i UNION ALL SELECT * FROM k),
-e AS (SELECT nation, (x0 + x1) / 2 AS cx, (y0 + y1) / 2 AS cy FROM b WHERE nation NOT IN (SELECT nation FROM h)),
-r AS (SELECT vec_id, nation, 1 - dist / 500 AS factor, 'radius' AS method FROM (SELECT vec_id, nation, sqrt(pow(x - cx, 2) + pow(y - cy, 2)) AS dist,
-  row_number() OVER (PARTITION BY nation ORDER BY sqrt(pow(x - cx, 2) + pow(y - cy, 2)), vec_id) AS r FROM e, p) WHERE r = 1 AND dist <= 500)
-SELECT vec_id, nation, round(factor, 6) AS factor, method FROM (SELECT * FROM h UNION ALL SELECT * FROM r)""")
+e AS (SELECT area_id, (x0 + x1) / 2 AS cx, (y0 + y1) / 2 AS cy FROM b WHERE area_id NOT IN (SELECT area_id FROM h)),
+r AS (SELECT vec_id, area_id, 1 - dist / 60 AS factor, 'radius' AS method FROM (SELECT vec_id, area_id, sqrt(pow(x - cx, 2) + pow(y - cy, 2)) AS dist,
+  row_number() OVER (PARTITION BY area_id ORDER BY sqrt(pow(x - cx, 2) + pow(y - cy, 2)), vec_id) AS r FROM e, p) WHERE r = 1 AND dist <= 60)
+SELECT vec_id, area_id, round(factor, 6) AS factor, method FROM (SELECT * FROM h UNION ALL SELECT * FROM r)""")
 def attach_cascade(spark: SparkSession, d: str) -> DataFrame:
     boxes = _boxes(spark, d)
-    polygons = _polygons(spark, d).where("nation % 4 = 0")
+    polygons = _polygons(spark, d).where("area_id % 4 = 0")
     third = F.when(F.col("vec_id") % 40 % 3 == 0, (F.col("vec_id") % 40).cast("int"))
     stations = _points(spark, d).withColumn("key_hint", third)
-    entities = boxes.select("nation", ((F.col("x0") + F.col("x1")) / 2).alias("x"), ((F.col("y0") + F.col("y1")) / 2).alias("y"))
-    return rounded(attach.attach_cascade(stations, polygons, entities, "vec_id", "nation", 500.0, _TILE))
+    entities = boxes.select("area_id", ((F.col("x0") + F.col("x1")) / 2).alias("x"), ((F.col("y0") + F.col("y1")) / 2).alias("y"))
+    return rounded(attach.attach_cascade(stations, polygons, entities, "vec_id", "area_id", 60.0, _TILE))
 
 
 @query(f"""WITH panel AS ({_PANEL.format(v="l_quantity")}), z AS (SELECT * FROM ({_NORMAL.format(p="panel")}) WHERE month >= DATE '{SERVED}'),
@@ -725,7 +734,7 @@ a AS (SELECT s_suppkey AS l_suppkey, s_nationkey AS nation, 0.4 + (s_suppkey % 6
 r AS (SELECT nation, month, z, nqt, l_suppkey, CASE WHEN years < 15 THEN 0 WHEN years >= 30 THEN 1 ELSE 0.4 + 0.6 * (years - 15) / 15 END * factor AS c
   FROM z JOIN a USING (l_suppkey))
 SELECT nation, month, round(sum(z * c) FILTER (z IS NOT NULL AND c > 0) / sum(c) FILTER (z IS NOT NULL AND c > 0), 6) AS z,
-  round(sum(nqt * c) FILTER (nqt IS NOT NULL AND c > 0) / sum(c) FILTER (nqt IS NOT NULL AND c > 0), 6) AS nqt,
+  round(sum(nqt * c) FILTER (z IS NOT NULL AND nqt IS NOT NULL AND c > 0) / sum(c) FILTER (z IS NOT NULL AND nqt IS NOT NULL AND c > 0), 6) AS nqt,
   round(max(c) FILTER (z IS NOT NULL AND c > 0), 6) AS confidence, count(DISTINCT l_suppkey) FILTER (z IS NOT NULL AND c > 0) AS n_stations
 FROM r GROUP BY 1, 2 HAVING count(*) FILTER (z IS NOT NULL AND c > 0) > 0""")
 def entity_index(spark: SparkSession, d: str) -> DataFrame:
@@ -749,38 +758,42 @@ def reproject_roundtrip(spark: SparkSession, d: str) -> DataFrame:
     return g.select("vec_id", F.round(lon, 6).alias("lon"), F.round(lat, 6).alias("lat"), F.round("x", 3).alias("x"), F.round("y", 3).alias("y"))
 
 
-@query(f"WITH b AS ({_BOX}), p AS ({_POINTS}) SELECT vec_id, min(nation) AS nation FROM p JOIN b ON x > x0 AND x < x1 AND y > y0 AND y < y1 GROUP BY 1")
+@query(f"WITH b AS ({_BOX}), p AS ({_POINTS}) SELECT vec_id, min(area_id) AS area_id FROM p JOIN b ON x > x0 AND x < x1 AND y > y0 AND y < y1 GROUP BY 1")
 def locate(spark: SparkSession, d: str) -> DataFrame:
     """The same points given in degrees, on a layout moved into the projection's zone."""
     moved = {c: F.col(c) + by for c, by in (("x1", 600000.0), ("x2", 600000.0), ("y1", 6600000.0), ("y2", 6600000.0))}
     lon, lat = X.from_lambert93(F.col("x") + 600000.0, F.col("y") + 6600000.0)
     points = _points(spark, d).select("vec_id", lon.alias("lon"), lat.alias("lat"))
-    return serve.locate(points, _polygons(spark, d).withColumns(moved), "vec_id", "nation", _TILE)
+    return serve.locate(points, _polygons(spark, d).withColumns(moved), "vec_id", "area_id", _TILE)
 
 
 def _grid(spark: SparkSession, d: str) -> DataFrame:
-    n = io.read_table(spark, d, "nation").where("n_nationkey < 8")
-    i, j = F.col("i"), F.col("j")
-    grid = n.select(F.col("n_nationkey").cast("long").alias("i")).crossJoin(n.select(F.col("n_nationkey").cast("long").alias("j")))
-    return grid.select((i * 10 + j).alias("cell"), (i * 800.0 + 400).alias("x"), (j * 800.0 + 400).alias("y"))
+    """Cells of side 100 under the areas."""
+    under = lambda low, high: F.explode(F.sequence(F.floor(F.col(low) / 100), F.floor(F.col(high) / 100)))
+    cells = _boxes(spark, d).select(under("x0", "x1").alias("i"), "y0", "y1").select("i", under("y0", "y1").alias("j")).distinct()
+    return cells.select((F.col("i") * 50 + F.col("j")).alias("cell"), (F.col("i") * 100.0 + 50).alias("x"), (F.col("j") * 100.0 + 50).alias("y"))
 
 
 @query(f"""WITH panel AS ({_PANEL.format(v="l_extendedprice")}), z AS (SELECT * FROM ({_Z.format(p="panel")}) WHERE month >= DATE '{SERVED}' AND z IS NOT NULL),
-b AS ({_BOX}), c AS (SELECT a.range AS i, b.range AS j, a.range * 10 + b.range AS cell FROM range(8) a, range(8) b),
-w AS (SELECT nation, cell, (least(x1, i * 800 + 800.0) - greatest(x0, i * 800)) * (least(y1, j * 800 + 800.0) - greatest(y0, j * 800)) AS w
-  FROM b JOIN c ON x0 < i * 800 + 800 AND x1 > i * 800 AND y0 < j * 800 + 800 AND y1 > j * 800)
-SELECT nation, month, round(sum(z * w) / sum(w), 6) AS z, count(*) AS n FROM z JOIN w ON w.cell = z.l_suppkey GROUP BY 1, 2""")
+b AS ({_BOX}), c AS (SELECT a.range AS i, b.range AS j, a.range * 50 + b.range AS cell FROM range(50) a, range(50) b),
+w AS (SELECT area_id, cell, (least(x1, i * 100 + 100.0) - greatest(x0, i * 100)) * (least(y1, j * 100 + 100.0) - greatest(y0, j * 100)) AS w
+  FROM b JOIN c ON x0 < i * 100 + 100 AND x1 > i * 100 AND y0 < j * 100 + 100 AND y1 > j * 100)
+SELECT area_id, month, round(sum(z * w) / sum(w), 6) AS z, count(*) AS n FROM z JOIN w ON w.cell = z.l_suppkey GROUP BY 1, 2""")
 def areal_mean(spark: SparkSession, d: str) -> DataFrame:
-    weights = G.cell_weights(_polygons(spark, d), _grid(spark, d), "nation", "cell", 400.0)
+    weights = G.cell_weights(_polygons(spark, d), _grid(spark, d), "area_id", "cell", 50.0)
     cells = _anomaly(spark, d).select(F.col("l_suppkey").alias("cell"), "month", "z")
-    return rounded(attach.areal_mean(cells, weights, "cell", "nation", "month", "z"))
+    return rounded(attach.areal_mean(cells, weights, "cell", "area_id", "month", "z"))
 
 
 # Streams and files -----------------------------------------------------------------------------------
 
 
 def _shared(spark: SparkSession) -> str:
-    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-")
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        base = tempfile.mkdtemp(prefix="spark-")
     return f"{base.rstrip('/')}/stream-{uuid.uuid4().hex}"
 
 
@@ -790,20 +803,14 @@ def _landed_events(spark: SparkSession, d: str) -> DataFrame:
     return stream.read_stream(spark, f"{d}/events.[p]arquet", events.schema)
 
 
-@query("""SELECT user_id, CAST(date_trunc('day', ts) AS DATE) AS day, round(median(value), 6) AS median, count(*) AS n FROM events GROUP BY 1, 2""")
+@query("""SELECT user_id, CAST(date_trunc('day', ts) AS DATE) AS day, round(median(value), 6) AS median, count(*) AS n FROM events GROUP BY 1, 2, date_trunc('day', ts)
+HAVING date_trunc('day', ts) + INTERVAL 1 DAY <= (SELECT max(ts) FROM events) - INTERVAL 1 DAY""")
 def stream_daily_median(spark: SparkSession, d: str) -> DataFrame:
-    out = stream.stream_median(_landed_events(spark, d), "user_id", "ts", "value", "1 day", "60 days")
-    out = out.select("user_id", F.col("start").cast("date").alias("day"), "median", "n")
-    base, last = _shared(spark), {}
-
-    def keep(batch: DataFrame, epoch: int) -> None:
-        path = f"{base}/out/{epoch}"
-        batch.write.mode("overwrite").parquet(path)
-        last["path"] = path
-
-    run = out.writeStream.outputMode("complete").foreachBatch(keep).option("checkpointLocation", f"{base}/checkpoint")
-    run.trigger(availableNow=True).start().awaitTermination()
-    return rounded(spark.read.parquet(last["path"]))
+    """Days that the watermark has passed; each is written once and its state dropped."""
+    out = stream.stream_median(_landed_events(spark, d), "user_id", "ts", "value", "1 day", "1 day")
+    base = _shared(spark)
+    stream.run_available(out.select("user_id", F.col("start").cast("date").alias("day"), "median", "n"), f"{base}/out", f"{base}/checkpoint")
+    return rounded(spark.read.parquet(f"{base}/out"))
 
 
 @query("SELECT DISTINCT user_id, event_type FROM events")

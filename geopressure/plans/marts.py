@@ -40,10 +40,10 @@ def monthly_mart(
     """Tension, score, level, confidence, class and gated calibration of every entity and month.
 
     ``anomaly(key, ts, z)``, ``exposures(key, e)``, ``groundwater(key, ts, z_b, nqt, confidence)``,
-    ``calibration(key, ts, h, n_events, pool_level)``. Level and h are NULL where the exposure is not
-    positive; the score is then 0.
+    ``calibration(key, ts, h, n_events, pool_level)``. An entity without exposure counts as not exposed.
+    Level and calibration are NULL where the exposure is not positive; the score is then 0.
     """
-    rows = anomaly.select(key, ts, "z").join(exposures.select(key, "e"), key)
+    rows = anomaly.select(key, ts, "z").join(exposures.select(key, "e"), key, "left").withColumn("e", F.coalesce("e", F.lit(0.0)))
     rows = optional_left_join(rows, groundwater, [key, ts], {"z_b": "double", "nqt": "double", "confidence": "double"})
     rows = optional_left_join(rows, calibration, [key, ts], {"h": "double", "n_events": "long", "pool_level": "string"})
     rows = rows.withColumns({"dry": X.dryness("z", gain), "dry_b": X.dryness("z_b", gain)})
@@ -52,7 +52,7 @@ def monthly_mart(
     rows = rows.withColumn("score", X.pressure_score("e", "t", gamma))
     rows = rows.withColumn("confidence_t", F.col("w_b") / (1 + F.col("w_b")))
     rows = rows.withColumn("groundwater_class", X.index_class("nqt"))
-    rows = rows.withColumns({"h": F.when(F.col("e") > 0, F.col("h")), "n_events": F.when(F.col("e") > 0, F.col("n_events"))})
+    rows = rows.withColumns({c: F.when(F.col("e") > 0, F.col(c)) for c in ("h", "n_events", "pool_level")})
     out = quantile_levels(rows, "score", "e")
     return out.select(
         key, ts, "e", "z", "t", "score", "level_code", "level", "confidence_t", "groundwater_class", "h", "n_events", "pool_level"

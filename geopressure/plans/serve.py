@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from geopressure.functions import exprs as X
@@ -73,24 +73,57 @@ def search_index(entities: DataFrame, key: str, name: str, postcodes: DataFrame
     return out.join(level, key, "left").withColumn("level", F.coalesce("level", F.lit(0)))
 
 
-def search(index: DataFrame, queries: DataFrame, key: str, k: int = 8, prefix: int = 2, fuzzy: float = 0.2) -> DataFrame:
-    """Up to ``k`` entities for each row of ``queries(query)`` by class of match, then name, then key.
+MAX_ERRORS = 2
 
-    Classes: 1 exact key, 2 exact postcode, 3 a word of the name begins with the query's last word or
-    lies within an edit distance of ``fuzzy`` times its length (prefixes before fuzzy ones). Queries
-    meet words through the first ``prefix`` letters, so a batch is an equi-join.
+
+def _deletions(word: Column) -> Column:
+    """A word of four letters or more and what is left of it without one letter; from eight letters on, without two."""
+    without = lambda x: F.transform(F.sequence(F.lit(1), F.length(x)), lambda i: F.concat(F.substring(x, F.lit(1), i - 1), F.substring(x, i + 1, F.length(x))))
+    one = without(word)
+    two = F.when(F.length(word) >= 8, F.flatten(F.transform(one, without))).otherwise(F.array().cast("array<string>"))
+    return F.array_distinct(F.concat(F.array(word), one, two))
+
+
+def _near_words(terms: DataFrame, words: DataFrame, fuzzy: float) -> DataFrame:
+    """``term, w, begins``: words that begin with a term, or lie within its edit distance.
+
+    Both are equi-joins of distinct words: on every beginning of a word, and on what deletions leave of
+    both sides, which two words within the distance always share.
+    """
+    heads = F.explode(F.transform(F.sequence(F.lit(1), F.length("w")), lambda i: F.substring(F.col("w"), F.lit(1), i)))
+    begins = words.select("w", heads.alias("term")).join(terms, "term").select("term", "w", F.lit(1).alias("begins"))
+    errors = F.least(F.floor(fuzzy * F.length("term")), F.lit(MAX_ERRORS))
+    asked = terms.where((errors > 0) & ~F.col("term").rlike("^[0-9]+$")).select("term", F.explode(_deletions(F.col("term"))).alias("left"))
+    known = words.where(F.length("w") >= 4).select("w", F.explode(_deletions(F.col("w"))).alias("left"))
+    close = known.join(asked, "left").select("term", "w").distinct().where(F.levenshtein("w", "term") <= errors)
+    return begins.unionByName(close.withColumn("begins", F.lit(0))).groupBy("term", "w").agg(F.max("begins").alias("begins"))
+
+
+def search(index: DataFrame, queries: DataFrame, key: str, k: int = 8, fuzzy: float = 0.2) -> DataFrame:
+    """Up to ``k`` entities for each row of ``queries(query)``.
+
+    Best first: 1 exact key, 2 exact postcode, 3 by how many of the query's words the entity matches,
+    then how many of those as beginnings, then name, then key. A word of the query matches a word of
+    the name or a postcode that begins with it, or, unless it is a number, a word within an edit
+    distance of ``fuzzy`` times its length, at most ``MAX_ERRORS``.
     """
     asked = queries.select("query", X.fold("query").alias("f"))
-    by_key = asked.join(index.select(key, "folded", F.lower(F.col(key).cast("string")).alias("f")), "f").select("query", key, "folded", F.lit(1).alias("rank"))
+    score = [F.lit(0).cast("long").alias("n_words"), F.lit(0).cast("long").alias("n_begins")]
+    by_key = asked.join(index.select(key, "folded", F.lower(F.col(key).cast("string")).alias("f")), "f")
+    by_key = by_key.select("query", key, "folded", F.lit(1).alias("rank"), *score)
     codes = index.select(key, "folded", F.explode("postcodes").alias("f"))
-    by_code = asked.join(codes, "f").select("query", key, "folded", F.lit(2).alias("rank"))
-    words = index.select(key, "folded", F.explode(F.split("folded", " ")).alias("w")).withColumn("head", F.substring("w", 1, prefix))
-    ends = asked.withColumn("q", F.element_at(F.split("f", " "), -1)).withColumn("head", F.substring("q", 1, prefix))
-    near = ends.where(F.length("q") >= prefix).join(words.where(F.length("w") >= prefix), "head")
-    starts = F.col("w").startswith(F.col("q"))
-    close = F.levenshtein("w", "q") <= F.floor(fuzzy * F.length("q"))
-    by_word = near.where(starts | close).select("query", key, "folded", F.when(starts, 3).otherwise(4).alias("rank"))
+    by_code = asked.join(codes, "f").select("query", key, "folded", F.lit(2).alias("rank"), *score)
+    terms = asked.select("query", F.explode(F.split("f", " ")).alias("term")).where("term <> ''").distinct()
+    parts = F.explode(F.array_distinct(F.concat(F.split("folded", " "), "postcodes")))
+    words = index.select(key, "folded", parts.alias("w")).where("w <> ''")
+    near = _near_words(terms.select("term").distinct(), words.select("w").distinct(), fuzzy)
+    met = terms.join(near, "term").join(words, "w").groupBy("query", key, "term").agg(F.max("begins").alias("begins"), F.first("folded").alias("folded"))
+    by_word = met.groupBy("query", key).agg(F.first("folded").alias("folded"), F.count("*").alias("n_words"), F.sum("begins").alias("n_begins"))
+    by_word = by_word.withColumn("rank", F.lit(3))
     every = by_key.unionByName(by_code).unionByName(by_word)
-    best = every.groupBy("query", key).agg(F.min("rank").alias("rank"), F.first("folded").alias("folded"))
-    order = Window.partitionBy("query").orderBy("rank", "folded", key)
-    return best.withColumn("place", F.row_number().over(order)).where(F.col("place") <= k).select("query", key, "rank", "place")
+    best = every.groupBy("query", key).agg(
+        F.min("rank").alias("rank"), F.first("folded").alias("folded"), F.max("n_words").alias("n_words"), F.max("n_begins").alias("n_begins")
+    )
+    order = Window.partitionBy("query").orderBy("rank", F.desc("n_words"), F.desc("n_begins"), "folded", key)
+    placed = best.withColumn("place", F.row_number().over(order)).where(F.col("place") <= k)
+    return placed.select("query", key, "rank", "n_words", "n_begins", "place")

@@ -5,6 +5,7 @@ Text columns are read as strings with a fixed schema and cast later, so no read
 
 from __future__ import annotations
 
+import csv
 import struct
 from collections import defaultdict
 from collections.abc import Iterator, Sequence
@@ -46,14 +47,27 @@ def read_delimited(spark: SparkSession, path: str, sep: str = ",", columns: Sequ
     )
 
 
+def _first_lines(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """The first row of each run of one path: rows of a file's first block come in order."""
+    last = None
+    for frame in frames:
+        new = frame["path"] != frame["path"].shift(fill_value=last or "")
+        last = frame["path"].iloc[-1] if len(frame) else last
+        yield frame.loc[new, ["path", "value"]]
+
+
 def read_union_by_name(spark: SparkSession, paths: Sequence[str], sep: str = ",") -> DataFrame:
     """Files whose columns differ in order or number, united by name; absent columns are NULL.
 
-    Files of one header are read together; there are as many reads as distinct headers.
+    One job reads the first line of every file; files of one header are then read together, in as many
+    reads as there are distinct headers.
     """
+    lines = spark.read.text(list(paths)).select("value", F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("start"))
+    heads = lines.where("start = 0").mapInPandas(_first_lines, "path string, value string").collect()
     groups: dict[tuple[str, ...], list[str]] = defaultdict(list)
-    for path in paths:
-        groups[tuple(header_of(spark, path, sep))].append(path)
+    for head in sorted(heads):
+        names = next(csv.reader([head.value], delimiter=sep))
+        groups[tuple(str(c).lstrip("﻿#").strip() for c in names)].append(head.path)
     parts = [
         spark.read.schema(_strings(names)).csv(group, sep=sep, header=True, quote='"', escape='"') for names, group in groups.items()
     ]

@@ -317,7 +317,12 @@ def test_lookups_and_search(spark):
     index = serve.search_index(static, "k", "name", codes, levels, "month")
     assert values(index, "k", "postcodes", "level") == [("31555", ["31000", "31100"], 1), ("33063", [], 0), ("75056", ["75001"], 4)]
     asked = spark.createDataFrame([("tou",), ("75001",), ("33063",), ("bordaux",), ("zz",)], "query string")
-    assert values(serve.search(index, asked, "k"), "query", "k", "rank") == [("33063", "33063", 1), ("75001", "75056", 2), ("bordaux", "33063", 4), ("tou", "31555", 3)]
+    asked = asked.unionByName(spark.createDataFrame([("xbordeaux",), ("3110",), ("par tou",)], "query string"))
+    got = values(serve.search(index, asked, "k"), "query", "k", "rank", "n_words", "n_begins")
+    assert got == [
+        ("3110", "31555", 3, 1, 1), ("33063", "33063", 1, 0, 0), ("75001", "75056", 2, 1, 1), ("bordaux", "33063", 3, 1, 0),
+        ("par tou", "31555", 3, 1, 1), ("par tou", "75056", 3, 1, 1), ("tou", "31555", 3, 1, 1), ("xbordeaux", "33063", 3, 1, 0),
+    ]
 
 
 def test_checks(spark):
@@ -330,3 +335,24 @@ def test_checks(spark):
     assert watch.get == {"n_rows": 2, "missing": 1}
     with pytest.raises(ValueError):
         checks.require_rows(df.limit(0), "panel")
+
+
+def test_mart_keeps_entities_without_exposure_and_gates_calibration(spark):
+    z = spark.createDataFrame([("a", D(2024, 1, 1), -1.0), ("b", D(2024, 1, 1), -1.0)], "k string, month date, z double")
+    exposures = spark.createDataFrame([("a", 0.5)], "k string, e double")
+    known = spark.createDataFrame([(k, D(2024, 1, 1), 0.3, 40, "31") for k in "ab"], "k string, month date, h double, n_events long, pool_level string")
+    out = values(marts.monthly_mart(z, exposures, "k", "month", calibration=known), "k", "e", "h", "n_events", "pool_level")
+    assert out == [("a", 0.5, 0.3, 40, "31"), ("b", 0.0, None, None, None)]
+
+
+def test_entity_index_takes_stations_with_known_z_for_both_means(spark):
+    panel = spark.createDataFrame([("s", D(2024, 1, 1), 1.0, 0.5), ("t", D(2024, 1, 1), None, -0.5)], "s string, month date, z double, nqt double")
+    attached = spark.createDataFrame([("s", "a", 1.0), ("t", "a", 1.0)], "s string, k string, factor double")
+    years = spark.createDataFrame([("s", 30.0), ("t", 30.0)], "s string, years double")
+    out = values(attach.entity_index(panel, attached, "s", "k", "month", years), "k", "z", "nqt", "n_stations")
+    assert out == [("a", 1.0, 0.5, 1)]
+
+
+def test_blend_takes_what_is_known(spark):
+    rows = spark.createDataFrame([(None, 0.4, 0.5), (0.2, None, 0.5), (0.2, 0.8, 0.5)], "a double, b double, w double")
+    assert [r[0] for r in rows.select(F.round(X.blend("a", "b", "w"), 6)).collect()] == [0.4, 0.2, 0.4]
