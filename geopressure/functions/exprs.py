@@ -7,6 +7,8 @@ code.
 from __future__ import annotations
 
 import math
+import re
+import unicodedata
 from collections.abc import Iterable, Sequence
 from functools import reduce
 
@@ -86,14 +88,22 @@ def eq_fold(c: Column | str, text: str) -> Column:
     return F.collate(col(c), "UNICODE_CI_AI") == F.collate(F.lit(text), "UNICODE_CI_AI")
 
 
-ACCENTED = "àáâãäåçèéêëìíîïñòóôõöùúûüýÿ"
-PLAIN = "aaaaaaceeeeiiiinooooouuuuyy"
+MARKS = "\u0300-\u036f"
+
+
+def _unmarked() -> tuple[str, str]:
+    """Every character that decomposes into one character and marks, and that character."""
+    bare = {chr(i): re.sub(f"[{MARKS}]", "", unicodedata.normalize("NFD", chr(i))) for i in range(0xC0, 0xFFFE) if not 0xD800 <= i < 0xE000}
+    found = {c: to for c, to in bare.items() if len(to) == 1 and to != c}
+    return "".join(found), "".join(found.values())
+
+
+MARKED, UNMARKED = _unmarked()
 
 
 def fold(c: Column | str) -> Column:
-    """Search form of a name: lower case, no accents, blanks for marks, saint(e) written out."""
-    c = F.translate(F.lower(F.trim(col(c))), ACCENTED, PLAIN)
-    c = F.replace(F.replace(c, F.lit("œ"), F.lit("oe")), F.lit("æ"), F.lit("ae"))
+    """Search form of a name: no accents, lower case, blanks for marks, saint(e) written out."""
+    c = F.lower(F.regexp_replace(F.translate(col(c), MARKED, UNMARKED), f"[{MARKS}]", ""))
     c = F.regexp_replace(c, r"['’\-]+", " ")
     c = F.regexp_replace(c, r"\bst\b", "saint")
     c = F.regexp_replace(c, r"\bste\b", "sainte")
@@ -184,6 +194,7 @@ SHARE_WEIGHT, VULNERABLE_WEIGHT = 0.6, 0.4
 GAIN, GAMMA, GROUNDWATER_WEIGHT = 1.0, 0.8, 0.5
 CLASS_BOUNDS = (-1.282, -0.842, -0.253, 0.253, 0.842, 1.282)
 LEVELS = ("very low", "low", "moderate", "high", "very high")
+QUANTILES = (0.2, 0.4, 0.6, 0.8)
 FALLBACK_THRESHOLDS = (20.0, 40.0, 60.0, 80.0)
 MIN_YEARS, FULL_YEARS, CONFIDENCE_FLOOR = 15.0, 30.0, 0.4
 

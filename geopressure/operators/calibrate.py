@@ -47,42 +47,47 @@ def peak_severity(events: DataFrame, series: DataFrame, key: str, ts: str, z: st
     return months.groupBy(key, "order_id").agg(F.max(X.severity(z)).alias("severity"))
 
 
-def pooled_ecdf(points: DataFrame, events: DataFrame, pool: str, min_pool: int = MIN_POOL) -> DataFrame:
+def pooled_ecdf(points: DataFrame, events: DataFrame, pool: str, min_pool: int = MIN_POOL, slices: int = 64) -> DataFrame:
     """``h``, ``n_events`` and ``pool_level`` for every row of ``points(pool, s, ...)``.
 
     ``h`` is the share of the pool's event severities that ``s`` reaches (ties count). A pool with
     fewer than ``min_pool`` events, or none, is replaced by the national one; an empty distribution
     gives NULL and 0.
 
-    Event severities are first counted per pool and distinct value; a running sum over those is the
-    distribution. Points meet it in one sorted window per pool and slice of severities: a slice starts
-    from the counts below it, so the national pool is not one task.
+    Event severities are counted once per pool and distinct value; both the pools and the national
+    one come from those counts, and a running sum over them is the distribution. Points meet it in one
+    sorted window per pool and slice of severities. The edges of the slices are quantiles of the
+    distinct severities, so the national pool is spread evenly over ``slices`` tasks at any size; the
+    result does not depend on where the edges lie. A slice starts from the counts below it.
     """
-    sized = events.where("severity is not null").groupBy(pool).agg(F.count("*").alias("__n"))
-    sized = sized.where(F.col("__n") >= min_pool).select(pool)
-    own = events.where("severity is not null").join(sized, pool, "left_semi").select(pool, "severity")
-    every = events.where("severity is not null").select(F.lit(NATIONAL).alias(pool), "severity")
-    steps = own.unionByName(every).groupBy(pool, "severity").agg(F.count("*").alias("k"))
-    slice_of = lambda c: F.floor(F.col(c) * 8).cast("long")
-    steps = steps.withColumn("__slice", slice_of("severity"))
+    counts = events.where("severity is not null").groupBy(pool, "severity").agg(F.count("*").alias("k"))
+    sized = counts.groupBy(pool).agg(F.sum("k").alias("__n")).where(F.col("__n") >= min_pool).select(pool)
+    national = counts.groupBy("severity").agg(F.sum("k").alias("k")).select(F.lit(NATIONAL).alias(pool), "severity", "k")
+    steps = counts.join(sized, pool, "left_semi").unionByName(national)
+    # One row of edges: its size is the parameter's.
+    cuts = F.percentile_approx("severity", [i / slices for i in range(1, slices)], 100 * slices)
+    edges = F.broadcast(national.agg(F.array_distinct(cuts).alias("__edges")))
+    slice_of = lambda c: F.coalesce(F.size(F.filter("__edges", lambda e: e <= F.col(c))), F.lit(0)).alias("__slice")
+    steps = steps.crossJoin(edges).select(pool, "severity", "k", slice_of("severity"))
     per_slice = steps.groupBy(pool, "__slice").agg(F.sum("k").alias("__k"))
     w = Window.partitionBy(pool)
     ordered = w.orderBy("__slice")
-    # A pool has as many slices as severities span eighths: a short list whatever the events.
+    # A pool has at most that many slices, whatever its events.
     base = per_slice.select(
         pool, "__slice", (F.sum("__k").over(ordered) - F.col("__k")).alias("__below"), F.sum("__k").over(w).alias("__total")
     )
     rows = points.where("s is not null").join(sized.withColumn("__own", F.lit(True)), pool, "left")
     level = F.when(F.col("__own"), F.col(pool)).otherwise(F.lit(NATIONAL))
-    rows = rows.withColumn("pool_level", level).drop("__own").withColumn("__slice", slice_of("s"))
+    rows = rows.withColumn("pool_level", level).drop("__own")
     kept = rows.columns
-    asked = rows.select(F.struct(*kept).alias("p"), F.col("pool_level").alias("__pool"), "__slice", F.col("s").alias("v"), F.lit(0).cast("long").alias("k"))
+    placed = rows.crossJoin(edges).select(*kept, slice_of("s"))
+    asked = placed.select(F.struct(*kept).alias("p"), F.col("pool_level").alias("__pool"), "__slice", F.col("s").alias("v"), F.lit(0).cast("long").alias("k"))
     known = steps.select(F.lit(None).cast(asked.schema["p"].dataType).alias("p"), F.col(pool).alias("__pool"), "__slice", F.col("severity").alias("v"), "k")
     run = Window.partitionBy("__pool", "__slice").orderBy("v").rangeBetween(Window.unboundedPreceding, Window.currentRow)
     counted = asked.unionByName(known).withColumn("__in", F.sum("k").over(run)).where("p is not null")
     totals = base.groupBy(pool).agg(F.first("__total").alias("__total"), F.sort_array(F.collect_list(F.struct("__slice", "__below"))).alias("__base"))
     joined = counted.join(totals.withColumnRenamed(pool, "__pool"), "__pool", "left")
-    return joined.select("p.*", *_share(F.col("__in"), F.col("__base"), F.col("__total"), F.col("p.__slice"))).drop("__slice")
+    return joined.select("p.*", *_share(F.col("__in"), F.col("__base"), F.col("__total"), F.col("__slice")))
 
 
 def _share(inside: Column, base: Column, total: Column, slice_: Column) -> tuple[Column, Column]:

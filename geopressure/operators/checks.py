@@ -8,6 +8,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from geopressure.operators.panel import SIGMA_FLOOR
+
 
 def expect(df: DataFrame, table: str, **bad: Column) -> DataFrame:
     """``table, check, n_bad, n_rows``: rows for which each named condition holds, in one pass."""
@@ -27,6 +29,33 @@ def expect_no_orphans(a: DataFrame, b: DataFrame, on: str, table: str, check: st
     return expect(a.join(keys, on, "left"), table, **{check: F.col("__known").isNull()})
 
 
+def expect_one_value(df: DataFrame, c: str, table: str, check: str) -> DataFrame:
+    """Distinct values of a column beyond the first: a label that should stand for a single code."""
+    one = df.groupBy(c).agg(F.count("*").alias("n")).agg(F.count(c).alias("k"), F.coalesce(F.sum("n"), F.lit(0)).alias("n_rows"))
+    bad = F.greatest(F.col("k") - 1, F.lit(0).cast("long"))
+    return one.select(F.lit(table).alias("table"), F.lit(check).alias("check"), bad.alias("n_bad"), "n_rows")
+
+
+def expect_unique(df: DataFrame, keys: Sequence[str], table: str, check: str) -> DataFrame:
+    """Rows beyond the first of each key."""
+    sizes = df.groupBy(*keys).agg(F.count("*").alias("n"))
+    one = sizes.agg(F.coalesce(F.sum(F.col("n") - 1), F.lit(0)).alias("n_bad"), F.coalesce(F.sum("n"), F.lit(0)).alias("n_rows"))
+    return one.select(F.lit(table).alias("table"), F.lit(check).alias("check"), "n_bad", "n_rows")
+
+
+def expect_some(df: DataFrame, good: Column, table: str, check: str) -> DataFrame:
+    """Every row is bad where none is good: an input that was read but attached to nothing."""
+    one = df.agg(F.count("*").alias("n_rows"), F.count_if(good).alias("k"))
+    bad = F.when(F.col("k") > 0, F.lit(0).cast("long")).otherwise(F.col("n_rows"))
+    return one.select(F.lit(table).alias("table"), F.lit(check).alias("check"), bad.alias("n_bad"), "n_rows")
+
+
+def degenerate(sd: Column | str) -> Column:
+    """Whether a deviation is unknown or too small to divide by."""
+    c = F.col(sd) if isinstance(sd, str) else sd
+    return c.isNull() | (c < SIGMA_FLOOR)
+
+
 def all_expectations(parts: Sequence[DataFrame]) -> DataFrame:
     return reduce(DataFrame.unionByName, parts)
 

@@ -12,6 +12,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from geopressure.functions import exprs as X
+
 EDGE = ("x1", "y1", "x2", "y2")
 
 
@@ -40,6 +42,23 @@ def rings_to_edges(df: DataFrame, key: Sequence[str], rings: str) -> DataFrame:
     return edges.select(*key, "ring", *[F.col(f"e.{s}.{c}").alias(n) for n, s, c in zip(EDGE, "aabb", "xyxy", strict=True)])
 
 
+def rings_to_degrees(rings: Column | str, digits: int = 6) -> Column:
+    """Rings of metres in the national projection as rings of ``x`` longitude and ``y`` latitude."""
+
+    def point(p: Column) -> Column:
+        lon, lat = X.from_lambert93(p["x"], p["y"])
+        return F.struct(F.round(lon, digits).alias("x"), F.round(lat, digits).alias("y"))
+
+    return F.transform(rings, lambda ring: F.transform(ring, point))
+
+
+def multipolygons(parts: DataFrame, key: str, rings: str) -> DataFrame:
+    """``key, geometry``: the polygons of each entity as one GeoJSON MultiPolygon, in a fixed order."""
+    pairs = F.transform(rings, lambda ring: F.transform(ring, lambda p: F.array(p["x"], p["y"])))
+    shape = F.struct(F.lit("MultiPolygon").alias("type"), F.sort_array(F.collect_list(pairs)).alias("coordinates"))
+    return parts.groupBy(key).agg(shape.alias("geometry"))
+
+
 def exterior(edges: DataFrame) -> DataFrame:
     """The outer rings only."""
     return edges.where("ring = 0")
@@ -94,6 +113,13 @@ def extent(edges: DataFrame, key: Sequence[str]) -> DataFrame:
     )
 
 
+def extent_in_degrees(edges: DataFrame, key: Sequence[str], digits: int = 4) -> DataFrame:
+    """Bounding box, in degrees, of polygons given in metres of the national projection."""
+    lon, lat = X.from_lambert93("x1", "y1")
+    x, y = (F.round(c, digits) for c in (lon, lat))
+    return edges.groupBy(*key).agg(F.min(x).alias("xmin"), F.min(y).alias("ymin"), F.max(x).alias("xmax"), F.max(y).alias("ymax"))
+
+
 def _tiles(box: DataFrame, size: float) -> DataFrame:
     span = lambda a, b: F.explode(F.sequence(F.floor(F.col(a) / size), F.floor(F.col(b) / size)))
     return box.withColumn("tx", span("xmin", "xmax")).withColumn("ty", span("ymin", "ymax"))
@@ -155,8 +181,8 @@ def overlap_area(a: DataFrame, b: DataFrame, a_key: str, b_key: str, tile: float
     return rows.groupBy(*keys, a_key, b_key).agg(F.sum(sign * area).alias("area")).where("area > 1e-6")
 
 
-def points_in_polygons(points: DataFrame, edges: DataFrame, point_key: str, key: str, tile: float, block: str | None = None) -> DataFrame:
-    """``point_key, key`` of the polygon that holds each point (least key of several).
+def point_polygon_pairs(points: DataFrame, edges: DataFrame, point_key: str, key: str, tile: float, block: str | None = None) -> DataFrame:
+    """``point_key, key`` of every polygon that holds a point.
 
     Ray casting: a point is inside if an odd number of edges lies to its right. A point on a border
     can count in any of the polygons that meet there, or none.
@@ -171,7 +197,12 @@ def points_in_polygons(points: DataFrame, edges: DataFrame, point_key: str, key:
     # The division is only reached by edges that cross the point's height.
     risen = edges.where("y1 <> y2").select(*keys, key, *EDGE)
     hits = near.select(*keys, point_key, key, "x", "y").join(risen, [*keys, key]).where(crossing)
-    inside = hits.groupBy(point_key, key).count().where("count % 2 = 1")
+    return hits.groupBy(point_key, key).count().where("count % 2 = 1").select(point_key, key)
+
+
+def points_in_polygons(points: DataFrame, edges: DataFrame, point_key: str, key: str, tile: float, block: str | None = None) -> DataFrame:
+    """``point_key, key`` of the polygon that holds each point (least key of several)."""
+    inside = point_polygon_pairs(points, edges, point_key, key, tile, block)
     return inside.groupBy(point_key).agg(F.min(key).alias(key))
 
 

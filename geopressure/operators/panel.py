@@ -165,7 +165,7 @@ def quantile_thresholds(df: DataFrame, value: str, quantiles: Sequence[float], f
     )
 
 
-def quantile_levels(df: DataFrame, score: str, gate: str, quantiles: Sequence[float] = (0.2, 0.4, 0.6, 0.8)) -> DataFrame:
+def quantile_levels(df: DataFrame, score: str, gate: str, quantiles: Sequence[float] = X.QUANTILES) -> DataFrame:
     """Level 1 to 5 of a score by quantiles pooled over gated rows; NULL where the gate is not positive.
 
     The thresholds are a one-row table, so their broadcast does not grow with the data.
@@ -179,6 +179,14 @@ def quantile_levels(df: DataFrame, score: str, gate: str, quantiles: Sequence[fl
     return out.withColumn("level", F.get(F.array(*[F.lit(x) for x in X.LEVELS]), F.col("level_code") - 1)).drop(*names)
 
 
+def months_of(df: DataFrame, ts: str) -> list[str]:
+    """The months of a panel as ``YYYYMM``, in order; an error if there is none to pivot."""
+    found = [r[0] for r in df.where(F.col(ts).isNotNull()).select(F.date_format(ts, "yyyyMM")).distinct().collect()]
+    if not found:
+        raise ValueError("the panel has no month to pivot")
+    return sorted(found)
+
+
 def pivot_months(df: DataFrame, key: str, ts: str, measures: dict[str, str], months: Sequence[str]) -> DataFrame:
     """One row per entity, one column ``prefix_YYYYMM`` for each month and measure (prefix to column)."""
     tag = F.date_format(ts, "yyyyMM")

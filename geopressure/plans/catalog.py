@@ -10,7 +10,7 @@ import tempfile
 import uuid
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from geopressure.functions import exprs as X
@@ -500,6 +500,62 @@ def summary_meta(spark: SparkSession, d: str) -> DataFrame:
     return rounded(serve.summary(_static(spark, d), _panel(spark, d), "c_custkey", "month"), 2)
 
 
+def _manifests(spark: SparkSession, d: str) -> DataFrame:
+    """Order priorities as sources, their order dates as fetch dates."""
+    return io.read_table(spark, d, "orders").select(F.col("o_orderpriority").alias("source"), F.col("o_orderdate").cast("date").alias("fetched"))
+
+
+_SOURCES = {"1-URGENT": "a", "2-HIGH": "b", "none": "c"}
+_FRESH = ", ".join(f"(SELECT CAST(max(o_orderdate) AS DATE) FROM orders WHERE o_orderpriority = '{s}') AS fresh_{n}" for s, n in _SOURCES.items())
+
+
+def _fresh() -> list:
+    return [F.col(f"`last_updated_{s}`").alias(f"fresh_{n}") for s, n in _SOURCES.items()]
+
+
+def _supplier_static(spark: SparkSession, d: str) -> DataFrame:
+    """The static mart of suppliers with the latest month of their monthly mart."""
+    s = io.read_table(spark, d, "supplier")
+    k = F.col("s_suppkey")
+    shares = s.where(k % 17 != 0).select(k.alias("l_suppkey"), (F.col("s_acctbal") / 10000).alias("share"))
+    stock = s.where(k % 4 != 3).select(
+        k.alias("l_suppkey"), F.when(k % 7 != 0, (k % 10) / 10).alias("vulnerable_share"), (k % 50).cast("double").alias("n_exposed")
+    )
+    prices = s.where(k % 5 != 0).select(k.alias("l_suppkey"), F.lit(2000.0).alias("median_price"), F.lit(90.0).alias("median_surface"))
+    entities = s.select(k.alias("l_suppkey"), "s_name")
+    return marts.static_mart(entities, shares, stock, prices, None, None, _mart(spark, d), "l_suppkey", "month")
+
+
+_LATEST = """, st AS (SELECT s_suppkey AS l_suppkey, s_name, CASE WHEN s_suppkey % 17 = 0 OR s_acctbal <= 0 THEN 0.0
+    WHEN s_suppkey % 4 = 3 OR s_suppkey % 7 = 0 THEN least(s_acctbal / 10000, 1)
+    ELSE least(greatest(0.6 * s_acctbal / 10000 + 0.4 * ((s_suppkey % 10) / 10), 0), 1) END AS e,
+  CASE WHEN s_suppkey % 4 <> 3 AND s_suppkey % 5 <> 0 THEN (s_suppkey % 50) * 180000e0 END AS ev FROM supplier)"""
+
+
+@query(
+    _MART
+    + _LATEST
+    + f"""SELECT st.l_suppkey, s_name, round(st.e, 6) AS e, ev AS exposed_value, n.month, n.score, CAST(n.level_code AS INTEGER) AS level_code,
+  ['very low', 'low', 'moderate', 'high', 'very high'][n.level_code] AS level, round(n.t, 6) AS t, CASE WHEN n.e > 0 THEN round(n.c_n / 10, 6) END AS h, {_FRESH}
+FROM st LEFT JOIN (SELECT * FROM m WHERE month = (SELECT max(month) FROM m)) n USING (l_suppkey)"""
+)
+def static_mart_latest(spark: SparkSession, d: str) -> DataFrame:
+    out = io.attach_freshness(_supplier_static(spark, d), _manifests(spark, d), list(_SOURCES))
+    return rounded(out.select("l_suppkey", "s_name", "e", "exposed_value", "month", "score", "level_code", "level", "t", "h", *_fresh()))
+
+
+@query(
+    _MART
+    + _LATEST
+    + f"""SELECT (SELECT count(*) FROM st) AS n_entities, (SELECT count(*) FROM st WHERE e > 0) AS n_exposed, (SELECT sum(ev) FROM st) AS total_value,
+  CAST(0 AS BIGINT) AS n_reclassified, (SELECT count(ev) FROM st) AS n_with_value, (SELECT min(month) FROM m) AS first, (SELECT max(month) FROM m) AS last,
+  (SELECT count(DISTINCT month) FROM m) AS n_months, q1, q2, q3, q4, {_FRESH} FROM q"""
+)
+def metadata(spark: SparkSession, d: str) -> DataFrame:
+    out = serve.metadata(_supplier_static(spark, d), _mart(spark, d), "l_suppkey", "month", _manifests(spark, d), list(_SOURCES))
+    return out.select("n_entities", "n_exposed", "total_value", "n_reclassified", "n_with_value", "first", "last", "n_months", "q1", "q2", "q3", "q4", *_fresh())
+
+
 @query("""SELECT p_partkey, CASE WHEN p_partkey % 9 = 0 THEN p_brand END AS class_before, CASE WHEN p_partkey % 9 = 0 THEN p_type END AS class_after,
   CASE WHEN p_partkey % 9 = 0 THEN 'up' END AS kind, p_partkey % 9 = 0 AS reclassified FROM part""")
 def reclassified(spark: SparkSession, d: str) -> DataFrame:
@@ -785,6 +841,152 @@ def areal_mean(spark: SparkSession, d: str) -> DataFrame:
     return rounded(attach.areal_mean(cells, weights, "cell", "area_id", "month", "z"))
 
 
+@query(f"""WITH b AS ({_BOX}), p AS ({_POINTS}), panel AS ({_PANEL.format(v="l_quantity")}),
+hit AS (SELECT vec_id, area_id FROM p JOIN b ON x > x0 AND x < x1 AND y > y0 AND y < y1),
+w AS (SELECT DISTINCT area_id FROM b WHERE area_id % 6 <> 0),
+k AS (SELECT stddev_samp(value) AS sd FROM panel GROUP BY l_suppkey, month(month))
+SELECT 'orders' AS "table", 'codes_of_label' AS "check", greatest(count(DISTINCT o_orderpriority) - 1, 0) AS n_bad, count(*) AS n_rows FROM orders WHERE o_orderstatus = 'F'
+UNION ALL SELECT 'customer', 'codes_of_one', 0, count(*) FROM customer WHERE c_mktsegment = 'BUILDING'
+UNION ALL SELECT 'areas', 'uncovered', count(*) FILTER (area_id NOT IN (SELECT area_id FROM w)), count(*) FROM b
+UNION ALL SELECT 'customer', 'without_group', count(*) FILTER (c_nationkey IS NULL OR c_nationkey >= 20), count(*) FROM customer
+UNION ALL SELECT 'stations', 'unattached', count(*) FILTER (vec_id NOT IN (SELECT vec_id FROM hit)), count(*) FROM p
+UNION ALL SELECT 'stations', 'attached_twice', count(*) - count(DISTINCT vec_id), count(*) FROM hit
+UNION ALL SELECT 'climatology', 'degenerate', count(*) FILTER (sd IS NULL OR sd < 1e-9), count(*) FROM k
+UNION ALL SELECT 'index', 'postcodes_unmatched', CASE WHEN count(*) FILTER (c_custkey % 7 = 0) > 0 THEN 0 ELSE count(*) END, count(*) FROM customer
+UNION ALL SELECT 'index', 'postcodes_broken', count(*), count(*) FROM customer""")
+def mart_expectations(spark: SparkSession, d: str) -> DataFrame:
+    """What each build reports: ambiguous codes, gaps in coverage, unmatched groups, stations and postcodes."""
+    customer, boxes, points = io.read_table(spark, d, "customer"), _boxes(spark, d), _points(spark, d)
+    finished = io.read_table(spark, d, "orders").where("o_orderstatus = 'F'")
+    weights = G.cell_weights(_polygons(spark, d).where("area_id % 6 <> 0"), _grid(spark, d), "area_id", "cell", 50.0)
+    groups = io.read_table(spark, d, "nation").where("n_nationkey < 20")
+    hits = G.point_polygon_pairs(points, _polygons(spark, d), "vec_id", "area_id", _TILE)
+    spread = P.climatology(_panel(spark, d, "l_quantity"), "l_suppkey", "month", "value")
+    index = customer.select("c_custkey", F.when(F.col("c_custkey") % 7 == 0, F.array(F.lit("1"))).otherwise(F.array().cast("array<string>")).alias("postcodes"))
+    none = index.withColumn("postcodes", F.array().cast("array<string>"))
+    return checks.all_expectations(
+        [
+            checks.expect_one_value(finished, "o_orderpriority", "orders", "codes_of_label"),
+            checks.expect_one_value(customer.where("c_mktsegment = 'BUILDING'"), "c_mktsegment", "customer", "codes_of_one"),
+            checks.expect_no_orphans(boxes.select("area_id"), weights, "area_id", "areas", "uncovered"),
+            checks.expect_no_orphans(customer, groups, "c_nationkey", "customer", "without_group", "n_nationkey"),
+            checks.expect_no_orphans(points, hits, "vec_id", "stations", "unattached"),
+            checks.expect_unique(hits, ["vec_id"], "stations", "attached_twice"),
+            checks.expect(spread, "climatology", degenerate=checks.degenerate("sd")),
+            checks.expect_some(index, F.size("postcodes") > 0, "index", "postcodes_unmatched"),
+            checks.expect_some(none, F.size("postcodes") > 0, "index", "postcodes_broken"),
+        ]
+    )
+
+
+# The same layout moved into the projection's zone; every seventh area has a hole.
+_EAST, _NORTH = 600000.0, 6600000.0
+
+
+def _lon(x: str, y: str) -> str:
+    return f"({X.L93_LON} + degrees(atan2({x} - {X.L93_X}, {X.L93_Y} - ({y}))) / {X.L93_N})"
+
+
+def _lat(x: str, y: str, steps: int = 6) -> str:
+    iso = f"(-ln(sqrt(pow({x} - {X.L93_X}, 2) + pow({X.L93_Y} - ({y}), 2)) / {X.L93_C}) / {X.L93_N})"
+    out = f"(2 * atan(exp({iso})) - pi() / 2)"
+    for _ in range(steps):
+        out = f"(2 * atan(exp({iso} + {X.L93_E} * atanh({X.L93_E} * sin({out})))) - pi() / 2)"
+    return f"degrees({out})"
+
+
+def _rings(spark: SparkSession, d: str) -> DataFrame:
+    def ring(by: float, way: int) -> Column:
+        low_x, high_x = F.col("x0") + by + _EAST, F.col("x1") - by + _EAST
+        low_y, high_y = F.col("y0") + by + _NORTH, F.col("y1") - by + _NORTH
+        corners = [(low_x, low_y), (high_x, low_y), (high_x, high_y), (low_x, high_y), (low_x, low_y)][::way]
+        return F.array(*[F.struct(x.cast("double").alias("x"), y.cast("double").alias("y")) for x, y in corners])
+
+    rings = F.when(F.col("area_id") % 7 == 0, F.array(ring(0, 1), ring(10, -1))).otherwise(F.array(ring(0, 1)))
+    return _boxes(spark, d).select(F.col("area_id").alias("l_suppkey"), rings.alias("rings"))
+
+
+def _degree_edges(spark: SparkSession, d: str) -> DataFrame:
+    return G.rings_to_edges(_rings(spark, d), ["l_suppkey"], "rings")
+
+
+# Corners of a ring inset by a distance, in degrees as text, and rings joined from them.
+_CORNERS = f"""SELECT area_id, k, q, lon, lat, CAST(round(lon, 6) AS VARCHAR) || ' ' || CAST(round(lat, 6) AS VARCHAR) AS text FROM (
+  SELECT area_id, k, q, {_lon("x", "y")} AS lon, {_lat("x", "y")} AS lat FROM (
+    SELECT area_id, k, q, {_EAST} + CASE WHEN q IN (1, 2) THEN x1 - k ELSE x0 + k END AS x, {_NORTH} + CASE WHEN q IN (2, 3) THEN y1 - k ELSE y0 + k END AS y
+    FROM ({_BOX}), (VALUES (0), (10)) AS i(k), (VALUES (0), (1), (2), (3)) AS c(q) WHERE k = 0 OR area_id % 7 = 0))"""
+_SHAPES = f"""SELECT area_id, string_agg(ring, ';' ORDER BY k) AS shape, count(*) AS n_rings FROM (
+  SELECT area_id, k, CASE WHEN k = 0 THEN string_agg(text, ',' ORDER BY q) ELSE arg_min(text, q) || ',' || string_agg(text, ',' ORDER BY q DESC) END
+    || CASE WHEN k = 0 THEN ',' || arg_min(text, q) ELSE '' END AS ring FROM ({_CORNERS}) GROUP BY 1, 2) GROUP BY 1"""
+
+
+@query(
+    _MART
+    + f", sh AS ({_SHAPES}) SELECT s.s_suppkey AS l_suppkey, s.s_name, round(x.e, 4) AS e, "
+    + "CAST(CASE WHEN x.e <= 0 THEN 0 WHEN x.e < 0.25 THEN 1 WHEN x.e < 0.6 THEN 2 ELSE 3 END AS INTEGER) AS e_bin, "
+    + ", ".join(
+        f"max(CASE WHEN strftime(m.month, '%Y%m') = '{mm}' THEN CAST(coalesce(m.level_code, 0) AS INTEGER) END) AS n_{mm}, "
+        f"max(CASE WHEN strftime(m.month, '%Y%m') = '{mm}' THEN CAST(CASE WHEN m.t IS NULL THEN 0 WHEN m.t < 0.4 THEN 1 WHEN m.t < 0.7 THEN 2 ELSE 3 END AS INTEGER) END) AS t_{mm}, "
+        f"max(CASE WHEN strftime(m.month, '%Y%m') = '{mm}' THEN m.score END) AS s_{mm}"
+        for mm in _MONTHS
+    )
+    + ", any_value(sh.shape) AS shape, 'MultiPolygon' AS kind FROM supplier s JOIN e x ON x.l_suppkey = s.s_suppkey JOIN sh ON sh.area_id = s.s_suppkey "
+    + "LEFT JOIN m ON m.l_suppkey = s.s_suppkey GROUP BY 1, 2, 3, 4"
+)
+def map_features(spark: SparkSession, d: str) -> DataFrame:
+    """Map attributes and polygons written as GeoJSON lines and read back."""
+    names = io.read_table(spark, d, "supplier").select(F.col("s_suppkey").alias("l_suppkey"), "s_name")
+    static = _exposure(spark, d).join(names, "l_suppkey").withColumn("exposed_value", F.lit(0.0))
+    table = marts.feature_table(static, _mart(spark, d), "l_suppkey", "month", _MONTHS, ["s_name"]).drop("exposed_value")
+    out = marts.map_features(table, _rings(spark, d), "l_suppkey")
+    path = _shared(spark)
+    io.write_geojson_lines(out, path, table.columns, "geometry")
+    fields = ", ".join(f"`{n}`: {k}" for n, k in table.withColumn("e_bin", F.col("e_bin").cast("int")).dtypes)
+    lines = spark.read.schema(f"properties struct<{fields}>, geometry struct<type: string, coordinates: array<array<array<array<double>>>>>").json(path)
+    text = lambda ring: F.concat_ws(",", F.transform(ring, lambda p: F.concat_ws(" ", p.cast("array<string>"))))
+    shape = F.concat_ws(";", F.transform(F.col("geometry.coordinates")[0], text))
+    whole = [F.col(f"properties.{n}").cast("int").alias(n) for n in table.columns if n[:2] in ("n_", "t_")]
+    rest = [F.col(f"properties.{n}").alias(n) for n in table.columns if n[:2] not in ("n_", "t_")]
+    return lines.select(*rest, *whole, shape.alias("shape"), F.col("geometry.type").alias("kind"))
+
+
+_INDEX = f"""SELECT lpad(CAST(s_suppkey AS VARCHAR), 5, '0') AS code, s_suppkey, lower(s_name) AS folded, round(min(lon), 4) AS xmin, round(min(lat), 4) AS ymin,
+  round(max(lon), 4) AS xmax, round(max(lat), 4) AS ymax FROM supplier JOIN ({_CORNERS}) ON area_id = s_suppkey GROUP BY 1, 2, 3"""
+
+
+def _written_index(spark: SparkSession, d: str) -> str:
+    """Suppliers as entities with five-digit codes, two postcodes for two of three, written as a search index."""
+    code = F.lpad(F.col("l_suppkey").cast("string"), 5, "0").alias("code")
+    s = io.read_table(spark, d, "supplier").withColumnRenamed("s_suppkey", "l_suppkey")
+    postcodes = s.where("l_suppkey % 3 <> 0").select(code, F.explode(F.array((F.col("l_suppkey") % 7).cast("string"), F.lit("9"), F.lit(""))).alias("postcode"))
+    mart = _mart(spark, d).select(code, "month", "level_code")
+    edges = _degree_edges(spark, d).withColumn("code", code)
+    index = serve.search_index(s.select(code, "s_name"), "code", "s_name", postcodes, mart, "month", edges)
+    path = _shared(spark)
+    serve.write_search_index(index, "code", mart, "month", path)
+    return path
+
+
+@query(
+    _MART
+    + f"""SELECT i.code, i.folded, substr(i.code, 1, CASE WHEN substr(i.code, 1, 2) IN ('97', '98') THEN 3 ELSE 2 END) AS dept, xmin, ymin, xmax, ymax,
+  CASE WHEN s_suppkey % 3 = 0 THEN '' ELSE CAST(s_suppkey % 7 AS VARCHAR) || ',9' END AS postcodes, CAST(coalesce(l.level, 0) AS INTEGER) AS level
+FROM ({_INDEX}) i LEFT JOIN (SELECT l_suppkey, arg_max(level_code, month) AS level FROM m GROUP BY 1) l ON l.l_suppkey = i.s_suppkey"""
+)
+def search_index_sink(spark: SparkSession, d: str) -> DataFrame:
+    """The written index read back, its departments from the folders."""
+    index = spark.read.schema(
+        "code string, folded string, xmin double, ymin double, xmax double, ymax double, postcodes array<string>, level int, dept string"
+    ).parquet(f"{_written_index(spark, d)}/index")
+    return index.withColumn("postcodes", F.concat_ws(",", "postcodes"))
+
+
+@query(_MART + """SELECT month, count(*) FILTER (level_code = 1) AS l1, count(*) FILTER (level_code = 2) AS l2, count(*) FILTER (level_code = 3) AS l3,
+  count(*) FILTER (level_code = 4) AS l4, count(*) FILTER (level_code = 5) AS l5 FROM m WHERE level_code >= 1 GROUP BY 1""")
+def search_index_levels(spark: SparkSession, d: str) -> DataFrame:
+    return spark.read.parquet(f"{_written_index(spark, d)}/levels")
+
+
 # Streams and files -----------------------------------------------------------------------------------
 
 
@@ -813,6 +1015,21 @@ def stream_daily_median(spark: SparkSession, d: str) -> DataFrame:
     return rounded(spark.read.parquet(f"{base}/out"))
 
 
+@query("""WITH a AS (SELECT max(ts) - INTERVAL 1 DAY AS w FROM events WHERE user_id % 3 <> 0), z AS (SELECT max(ts) - INTERVAL 1 DAY AS w FROM events),
+r AS (SELECT user_id, value, date_trunc('day', ts) AS day FROM events, a WHERE user_id % 3 <> 0 OR date_trunc('day', ts) + INTERVAL 1 DAY > a.w)
+SELECT user_id, CAST(day AS DATE) AS day, round(median(value), 6) AS median, count(*) AS n FROM r, z WHERE day + INTERVAL 1 DAY <= z.w GROUP BY 1, day""")
+def stream_late_rows(spark: SparkSession, d: str) -> DataFrame:
+    """Two thirds of the users land first; what the others bring for days already closed is dropped."""
+    base = _shared(spark)
+    events = io.read_table(spark, d, "events")
+    for part in ("user_id % 3 <> 0", "user_id % 3 = 0"):
+        events.where(part).write.mode("append").parquet(f"{base}/in")
+        landed = stream.read_stream(spark, f"{base}/in", events.schema)
+        out = stream.stream_median(landed, "user_id", "ts", "value", "1 day", "1 day")
+        stream.run_available(out.select("user_id", F.col("start").cast("date").alias("day"), "median", "n"), f"{base}/out", f"{base}/checkpoint")
+    return rounded(spark.read.parquet(f"{base}/out"))
+
+
 @query("SELECT DISTINCT user_id, event_type FROM events")
 def stream_dedup(spark: SparkSession, d: str) -> DataFrame:
     once = stream.stream_dedup(_landed_events(spark, d), ["user_id", "event_type"], "ts", "400 days").select("user_id", "event_type")

@@ -8,7 +8,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from geopressure.functions import exprs as X
-from geopressure.operators.panel import latest_period, quantile_levels
+from geopressure.operators import geometry as G
+from geopressure.operators.panel import latest_period, pivot_months, quantile_levels
 
 
 def optional_left_join(df: DataFrame, other: DataFrame | None, on: Sequence[str], columns: dict[str, str]) -> DataFrame:
@@ -76,8 +77,8 @@ def static_mart(
     out = optional_left_join(out, prices, [key], {"median_price": "double", "median_surface": "double"})
     out = optional_left_join(out, changed, [key], {"class_before": "string", "class_after": "string", "reclassified": "boolean"})
     out = optional_left_join(out, orders, [key], {"freq": "long", "last": "date", "years": "array<int>"})
-    now = None if monthly is None else latest_period(monthly.select(key, ts, "score", "level_code", "t"), ts)
-    out = optional_left_join(out, now, [key], {ts: "date", "score": "int", "level_code": "int", "t": "double"})
+    now = None if monthly is None else latest_period(monthly, ts)
+    out = optional_left_join(out, now, [key], {ts: "date", "score": "int", "level_code": "int", "level": "string", "t": "double", "h": "double"})
     return out.withColumns(
         {
             "e": X.exposure("share", "vulnerable_share"),
@@ -96,11 +97,23 @@ def reclassified(entities: DataFrame, changes: DataFrame, key: str) -> DataFrame
     return entities.join(rows, key, "left").withColumn("reclassified", F.coalesce("reclassified", F.lit(False)))
 
 
-def feature_table(mart: DataFrame, panel: DataFrame, key: str, ts: str, months: Sequence[str]) -> DataFrame:
-    """Map attributes: rounded statics, bins, and one level, tension-bin and score column per month."""
-    from geopressure.operators.panel import pivot_months
+def feature_table(mart: DataFrame, panel: DataFrame, key: str, ts: str, months: Sequence[str], kept: Sequence[str] = ()) -> DataFrame:
+    """Map attributes: rounded statics, bins, and one level, tension-bin and score column per month.
 
+    ``kept`` names further columns of the mart to carry.
+    """
     rows = panel.withColumns({"n": F.coalesce("level_code", F.lit(0)), "tb": X.tension_bin("t"), "s": F.coalesce("score", F.lit(0))})
     wide = pivot_months(rows, key, ts, {"n": "n", "t": "tb", "s": "s"}, months)
-    statics = mart.select(key, F.round("e", 4).alias("e"), X.exposure_bin("e").alias("e_bin"), F.round("exposed_value").alias("exposed_value"))
+    statics = mart.select(
+        key, *kept, F.round("e", 4).alias("e"), X.exposure_bin("e").alias("e_bin"), F.round("exposed_value").alias("exposed_value")
+    )
     return statics.join(wide, key, "left")
+
+
+def map_features(features: DataFrame, polygons: DataFrame, key: str, rings: str = "rings") -> DataFrame:
+    """Feature rows with their geometry in degrees; entities without a polygon have no place on the map.
+
+    ``polygons(key, rings)`` are in metres, one row per part; only parts of entities in ``features`` are converted.
+    """
+    parts = polygons.join(features.select(key).distinct(), key, "left_semi").select(key, G.rings_to_degrees(rings).alias("rings"))
+    return features.join(G.multipolygons(parts, key, "rings"), key)

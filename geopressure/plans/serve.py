@@ -9,7 +9,9 @@ from pyspark.sql import functions as F
 
 from geopressure.functions import exprs as X
 from geopressure.operators import geometry as G
-from geopressure.operators.panel import latest_row, latest_value, level_histogram
+from geopressure.operators.panel import latest_row, latest_value, level_histogram, quantile_thresholds
+from geopressure.plans.marts import optional_left_join
+from geopressure.sources.io import attach_freshness
 
 
 def select_tolerant(df: DataFrame, columns: dict[str, str]) -> DataFrame:
@@ -47,6 +49,14 @@ def summary(static: DataFrame, panel: DataFrame, key: str, ts: str) -> DataFrame
     return a.crossJoin(b)
 
 
+def metadata(static: DataFrame, panel: DataFrame, key: str, ts: str, manifests: DataFrame, sources: Sequence[str]) -> DataFrame:
+    """One row: the summary, entities with a known value, freshness by source, and the level thresholds in use."""
+    known = static.agg(F.count("exposed_value").alias("n_with_value"))
+    cuts = quantile_thresholds(panel.where("e > 0"), "score", X.QUANTILES, X.FALLBACK_THRESHOLDS)
+    one = summary(static, panel, key, ts).crossJoin(known).crossJoin(cuts)
+    return attach_freshness(one, manifests, sources)
+
+
 def locate(points: DataFrame, edges: DataFrame, point_key: str, key: str, tile: float) -> DataFrame:
     """Entity that holds each point given in degrees (``lon``, ``lat``)."""
     x, y = X.to_lambert93("lon", "lat")
@@ -58,13 +68,23 @@ def count_high(panel: DataFrame, ts: str, level: str = "level_code", least: int
     return level_histogram(panel, ts, level).select(ts, sum(F.col(f"l{i}") for i in range(least, 6)).alias("n_high"))
 
 
-def search_index(entities: DataFrame, key: str, name: str, postcodes: DataFrame | None, panel: DataFrame | None, ts: str) -> DataFrame:
-    """Folded name, sorted distinct postcodes (sub-units rolled up) and latest level of each entity."""
+def search_index(
+    entities: DataFrame, key: str, name: str, postcodes: DataFrame | None, panel: DataFrame | None, ts: str, edges: DataFrame | None = None
+) -> DataFrame:
+    """Folded name, department, bounding box in degrees, sorted distinct postcodes (sub-units rolled up) and
+    latest level of each entity.
+
+    The department is read from the key unless ``entities`` has a column ``dept``; the box is NULL without ``edges``.
+    """
     out = entities.withColumn("folded", X.fold(name))
+    if "dept" not in entities.columns:
+        out = out.withColumn("dept", X.dept_of(F.col(key).cast("string")))
+    box = None if edges is None else G.extent_in_degrees(edges, [key])
+    out = optional_left_join(out, box, [key], dict.fromkeys(("xmin", "ymin", "xmax", "ymax"), "double"))
     if postcodes is None:
         out = out.withColumn("postcodes", F.array().cast("array<string>"))
     else:
-        rolled = postcodes.select(X.rollup_code(key).alias(key), "postcode")
+        rolled = postcodes.where("postcode <> ''").select(X.rollup_code(key).alias(key), "postcode")
         codes = rolled.groupBy(key).agg(F.sort_array(F.collect_set("postcode")).alias("postcodes"))
         out = out.join(codes, key, "left").withColumn("postcodes", F.coalesce("postcodes", F.array().cast("array<string>")))
     if panel is None:
@@ -73,6 +93,15 @@ def search_index(entities: DataFrame, key: str, name: str, postcodes: DataFrame
     return out.join(level, key, "left").withColumn("level", F.coalesce("level", F.lit(0)))
 
 
+def write_search_index(index: DataFrame, key: str, panel: DataFrame, ts: str, path: str, level: str = "level_code") -> None:
+    """The index, one folder per department, in ``path/index``; months with their level counts in ``path/levels``.
+
+    Rows are ranged by department and key, so a large department is written by several tasks.
+    """
+    index.repartitionByRange("dept", key).write.mode("overwrite").partitionBy("dept").parquet(f"{path}/index")
+    level_histogram(panel.where(F.col(level) >= 1), ts, level).write.mode("overwrite").parquet(f"{path}/levels")
+
+
 MAX_ERRORS = 2
 
 

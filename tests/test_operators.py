@@ -2,6 +2,7 @@
 
 import datetime as dt
 import math
+import random
 
 import pytest
 from hypothesis import given, settings
@@ -128,7 +129,7 @@ def test_codes_and_text(spark):
         n=X.bivariate(F.lit(3), F.lit(2)), o=X.bivariate(F.lit(0), F.lit(2)), p=X.exposure_bin(F.lit(0.25)), q=X.tension_bin(F.lit(0.39)),
         s=X.bin_by(F.lit(0.5), (0.5, 1.0), ("a", "b", "c")),
     )
-    assert (r.a, r.b, r.c, r.d, r.e, r.f, r.g) == ("974", "2A", "01", "75056", "31555", True, "saint etienne d oeuf")
+    assert (r.a, r.b, r.c, r.d, r.e, r.f, r.g) == ("974", "2A", "01", "75056", "31555", True, "saint etienne d œuf")
     assert (r.h, r.i, r.j, r.k, r.l, r.m, r.n, r.o, r.p, r.q, r.s) == (13, None, None, None, None, None, 8, 0, 2, 1, "a")
 
 
@@ -356,3 +357,87 @@ def test_entity_index_takes_stations_with_known_z_for_both_means(spark):
 def test_blend_takes_what_is_known(spark):
     rows = spark.createDataFrame([(None, 0.4, 0.5), (0.2, None, 0.5), (0.2, 0.8, 0.5)], "a double, b double, w double")
     assert [r[0] for r in rows.select(F.round(X.blend("a", "b", "w"), 6)).collect()] == [0.4, 0.2, 0.4]
+
+
+def test_fold_by_decomposition(spark):
+    r = one(spark, a=X.fold(F.lit("Łódź Čačak")), b=X.fold(F.lit("E\u0301te\u0301")), c=X.fold(F.lit("ṩ Ste-Foy")), d=X.fold(F.lit("")), e=X.fold(F.lit(None).cast("string")))
+    assert (r.a, r.b, r.c, r.d, r.e) == ("łodz cacak", "ete", "s sainte foy", "", None)
+
+
+def test_pooled_ecdf_at_any_number_of_slices(spark):
+    rnd = random.Random(5)
+    events = [(rnd.choice("abc"), rnd.choice([0.5, 1.0, rnd.gauss(0, 3), -2.0])) for _ in range(400)] + [("d", 9.0), ("a", None)]
+    points = [(i, rnd.choice("abcdx"), rnd.choice([0.5, -2.0, 100.0, -100.0, rnd.gauss(0, 3), None])) for i in range(200)]
+    ev = spark.createDataFrame(events, "pool string, severity double")
+    pt = spark.createDataFrame(points, "i int, pool string, s double")
+    known = [(p, v) for p, v in events if v is not None]
+    want = {}
+    for i, p, s in points:
+        own = [v for q, v in known if q == p]
+        used = own if len(own) >= 30 else [v for _, v in known]
+        if s is not None:
+            want[i] = (round(sum(v <= s for v in used) / len(used), 9), len(used), p if len(own) >= 30 else "NAT")
+    for slices in (2, 7, 64):
+        got = calibrate.pooled_ecdf(pt, ev, "pool", 30, slices).collect()
+        assert {r.i: (round(r.h, 9), r.n_events, r.pool_level) for r in got} == want
+    empty = calibrate.pooled_ecdf(pt, ev.limit(0), "pool").collect()
+    assert {(r.h, r.n_events, r.pool_level) for r in empty} == {(None, 0, "NAT")}
+
+
+def test_map_features_hold_polygons_in_degrees(spark):
+    ring = [(700000.0, 6600000.0), (701000.0, 6600000.0), (701000.0, 6601000.0), (700000.0, 6600000.0)]
+    polygons = spark.createDataFrame([("a", [ring]), ("a", [ring, ring]), ("z", [ring])], "k string, rings array<array<struct<x:double,y:double>>>")
+    table = spark.createDataFrame([("a", 0.5), ("b", 0.1)], "k string, e double")
+    (row,) = marts.map_features(table, polygons, "k").collect()
+    assert (row.k, row.geometry.type, [len(p) for p in row.geometry.coordinates]) == ("a", "MultiPolygon", [1, 2])
+    lon, lat = row.geometry.coordinates[0][0][0]
+    assert lon == 3.0 and abs(lat - 46.5) < 1e-6
+
+
+def test_feature_table_needs_months(spark):
+    rows = spark.createDataFrame([("a", D(2024, 2, 1), 3, 0.5, 30), ("a", D(2024, 1, 1), None, None, 10)], "k string, month date, level_code int, t double, score int")
+    assert panel.months_of(rows, "month") == ["202401", "202402"]
+    static = spark.createDataFrame([("a", "A", 0.31239, 10.4), ("b", "B", None, None)], "k string, name string, e double, exposed_value double")
+    got = {r.k: r for r in marts.feature_table(static, rows, "k", "month", panel.months_of(rows, "month"), ["name"]).collect()}
+    assert (got["a"].name, got["a"].e, got["a"].e_bin, got["a"].n_202401, got["a"].t_202401, got["a"].s_202402) == ("A", 0.3124, 2, 0, 0, 30)
+    assert (got["b"].e_bin, got["b"].n_202401) == (0, None)
+    with pytest.raises(ValueError):
+        panel.months_of(rows.limit(0), "month")
+
+
+def test_search_index_box_department_and_sink(spark, tmp_path):
+    entities = spark.createDataFrame([("97411", "Saint-Denis"), ("31555", "Toulouse")], "k string, name string")
+    edges = geometry.rings_to_edges(spark.createDataFrame([("31555", [[(573500.0, 6278500.0), (574500.0, 6278500.0), (574500.0, 6279500.0)]])], "k string, rings array<array<struct<x:double,y:double>>>"), ["k"], "rings")
+    codes = spark.createDataFrame([("31555", ""), ("31555", "31000"), ("31555", None)], "k string, postcode string")
+    levels = spark.createDataFrame([("31555", D(2024, 8, 1), 4), ("97411", D(2024, 8, 1), None)], "k string, month date, level_code int")
+    index = serve.search_index(entities, "k", "name", codes, levels, "month", edges)
+    serve.write_search_index(index, "k", levels, "month", str(tmp_path))
+    got = {r.k: r for r in spark.read.option("basePath", f"{tmp_path}/index").parquet(f"{tmp_path}/index").collect()}
+    assert (str(got["97411"].dept), got["97411"].xmin, got["97411"].level, got["97411"].postcodes) == ("974", None, 0, [])
+    box = got["31555"]
+    assert (box.postcodes, box.level) == (["31000"], 4) and 1.42 < box.xmin < box.xmax < 1.45 and 43.59 < box.ymin < box.ymax < 43.61
+    assert values(spark.read.parquet(f"{tmp_path}/levels"), "l4", "l1") == [(1, 0)]
+
+
+def test_metadata_row(spark):
+    static = spark.createDataFrame([("a", 0.5, 10.0, True), ("b", 0.0, None, False)], "k string, e double, exposed_value double, reclassified boolean")
+    panel = spark.createDataFrame([("a", D(2024, m, 1), 0.5, 10 * m) for m in range(1, 6)], "k string, month date, e double, score int")
+    manifests = spark.createDataFrame([("x", D(2024, 1, 1)), ("x", D(2024, 3, 1))], "source string, fetched date")
+    r = serve.metadata(static, panel, "k", "month", manifests, ["x", "y"]).first()
+    assert (r.n_entities, r.n_exposed, r.n_with_value, r.total_value, r.n_reclassified, r.n_months) == (2, 1, 1, 10.0, 1, 5)
+    assert (r.q1, r.q2, r.q3, r.q4) == (18.0, 26.0, 34.0, 42.0) and (r.last_updated_x, r.last_updated_y) == (D(2024, 3, 1), None)
+    assert serve.metadata(static, panel.limit(0), "k", "month", manifests, ["x"]).first().q1 == 20.0
+
+
+def test_named_checks(spark):
+    df = spark.createDataFrame([(1, "a"), (2, "a"), (2, "b")], "k int, c string")
+    nothing = df.limit(0)
+    rows = checks.all_expectations(
+        [
+            checks.expect_one_value(df, "c", "t", "codes"), checks.expect_one_value(nothing, "c", "t", "codes0"),
+            checks.expect_unique(df, ["k"], "t", "twice"), checks.expect_unique(nothing, ["k"], "t", "twice0"),
+            checks.expect_some(df, F.col("c") == "z", "t", "broken"), checks.expect_some(df, F.col("c") == "a", "t", "some"),
+        ]
+    )
+    got = {r.check: (r.n_bad, r.n_rows) for r in rows.collect()}
+    assert got == {"codes": (1, 3), "codes0": (0, 0), "twice": (1, 3), "twice0": (0, 0), "broken": (3, 3), "some": (0, 3)}
