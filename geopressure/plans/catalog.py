@@ -1062,6 +1062,83 @@ def io_roundtrip(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
+@query("""SELECT c_custkey, 'quoted' AS kind, c_name || ', "x"' AS name, c_mktsegment AS segment FROM customer WHERE c_custkey % 4 = 0
+UNION ALL SELECT c_custkey, 'latin', 'É' || c_name, NULLIF(trim(CASE WHEN c_custkey % 8 = 1 THEN ' ' ELSE c_mktsegment END), '') FROM customer WHERE c_custkey % 4 = 1
+UNION ALL SELECT c_custkey, 'positional', c_name, c_mktsegment FROM customer WHERE c_custkey % 4 = 2
+UNION ALL SELECT c_custkey, 'lines', c_name, c_mktsegment FROM customer WHERE c_custkey % 4 = 3""")
+def io_variants(spark: SparkSession, d: str) -> DataFrame:
+    """Customers through quoted text, Latin-1 with blanks, headerless text with comments, and lines of JSON."""
+    base = _shared(spark)
+    rows = io.read_table(spark, d, "customer").select("c_custkey", F.col("c_name").alias("name"), F.col("c_mktsegment").alias("segment"))
+    part = lambda i: rows.where(F.col("c_custkey") % 4 == i)
+    part(0).withColumn("name", F.concat("name", F.lit(', "x"'))).write.csv(f"{base}/quoted", header=True, quote='"', escape='"')
+    blank = F.when(F.col("c_custkey") % 8 == 1, " ").otherwise(F.col("segment"))
+    latin = part(1).select("c_custkey", F.concat(F.lit("É"), "name").alias("name"), blank.alias("segment"))
+    latin.write.csv(f"{base}/latin", sep=";", header=True, encoding="ISO-8859-1", ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False)
+    line = F.concat_ws(";", F.col("c_custkey").cast("string"), "name", "segment")
+    part(2).select(F.explode(F.array(F.lit("# comment"), line)).alias("value")).write.text(f"{base}/positional")
+    part(3).write.json(f"{base}/lines")
+    quoted = io.read_delimited(spark, f"{base}/quoted", ",", ["C_CUSTKEY", "Label", "Segment"])
+    quoted = io.resolve_columns(quoted, {"c_custkey": ["id", "c_custkey"], "name": ["name", "label"], "segment": ["segment"]})
+    parts = {
+        "quoted": quoted,
+        "latin": io.read_latin1(spark, f"{base}/latin", ["c_custkey", "name", "segment"]),
+        "positional": io.read_positional(spark, f"{base}/positional", ["c_custkey", "name", "segment"]),
+        "lines": io.read_ndjson(spark, f"{base}/lines", "c_custkey string, name string, segment string"),
+    }
+    kept = [
+        p.select(X.safe_cast("c_custkey", "long").alias("c_custkey"), F.lit(kind).alias("kind"), "name", X.blank_to_null("segment").alias("segment"))
+        for kind, p in parts.items()
+    ]
+    return checks.all_expectations(kept)
+
+
+@query(f"""SELECT area_id AS l_suppkey, CAST(area_id % 7 = 0 AS INTEGER) + 1 AS n_rings, round(a - h, 4) AS area, round(a, 4) AS outer_area FROM (
+  SELECT area_id, (x1 - x0) * (y1 - y0) AS a, CASE WHEN area_id % 7 = 0 THEN (x1 - x0 - 20) * (y1 - y0 - 20) ELSE 0 END AS h FROM ({_BOX}))""")
+def geometry_formats(spark: SparkSession, d: str) -> DataFrame:
+    """Polygons written as GeoJSON lines, read back, encoded as WKB and decoded to edges."""
+    path = _shared(spark)
+    io.write_geojson_lines(G.multipolygons(_rings(spark, d), "l_suppkey", "rings"), path, ["l_suppkey"], "geometry")
+    read = io.read_geojson_features(spark, path, lines=True).select(F.col("properties.l_suppkey").cast("long").alias("l_suppkey"), "rings")
+    edges = io.wkb_to_edges(io.rings_to_wkb(read, "l_suppkey", "rings"), "l_suppkey", "geom_wkb")
+    areas = G.polygon_centroid(edges, ["l_suppkey"]).select("l_suppkey", "area")
+    outer = G.polygon_centroid(G.exterior(edges), ["l_suppkey"]).select("l_suppkey", F.col("area").alias("outer_area"))
+    rings = edges.groupBy("l_suppkey").agg(F.countDistinct("ring").cast("int").alias("n_rings"))
+    return rounded(rings.join(areas, "l_suppkey").join(outer, "l_suppkey"), 4)
+
+
+@query(f"""WITH panel AS ({_PANEL.format(v="l_extendedprice")}), k AS (SELECT l_suppkey, month(month) AS cm, avg(value) AS mean, stddev_samp(value) AS sd
+  FROM panel GROUP BY 1, 2)
+SELECT panel.l_suppkey, month, round(CASE WHEN sd >= 1e-9 THEN (value - mean) / sd END, 6) AS z FROM panel JOIN k ON k.l_suppkey = panel.l_suppkey AND k.cm = month(month)""")
+def stream_scores(spark: SparkSession, d: str) -> DataFrame:
+    """Monthly values that land as files, scored against the stored climatology as they arrive."""
+    base = _shared(spark)
+    panel = _panel(spark, d)
+    io.write_table(panel, f"{base}/in")
+    io.write_table(P.climatology(panel, "l_suppkey", "month", "value"), f"{base}/climatology")
+    landed = stream.read_stream(spark, f"{base}/in", panel.schema)
+    scored = stream.stream_score(landed, spark.read.parquet(f"{base}/climatology"), "l_suppkey", "month", "value")
+    stream.run_available(scored.select("l_suppkey", "month", "z"), f"{base}/out", f"{base}/checkpoint")
+    return rounded(spark.read.parquet(f"{base}/out"))
+
+
+@query("""WITH o AS (SELECT *, CAST(date_trunc('month', o_orderdate) AS DATE) AS month FROM orders), t AS (SELECT DISTINCT month FROM o WHERE o_orderkey % 97 = 0)
+SELECT month, count(*) AS n, round(sum(o_totalprice), 2) AS total, month IN (SELECT month FROM t) AS refreshed FROM o
+WHERE o_orderstatus <> 'P' OR month IN (SELECT month FROM t) GROUP BY month""")
+def refresh_affected(spark: SparkSession, d: str) -> DataFrame:
+    """A monthly table of settled orders; the months of some landed orders are recomputed over all orders."""
+    base = _shared(spark)
+    orders = io.read_table(spark, d, "orders").withColumn("month", P.month_of("o_orderdate"))
+    totals = lambda rows, new: rows.groupBy("month").agg(F.count("*").alias("n"), F.sum("o_totalprice").alias("total")).withColumn("refreshed", F.lit(new))
+    io.write_table(totals(orders.where("o_orderstatus <> 'P'"), False).select("n", "total", "refreshed", "month"), f"{base}/out", ["month"])
+    io.write_table(orders.where("o_orderkey % 97 = 0").drop("month"), f"{base}/in")
+    landed = stream.read_stream(spark, f"{base}/in", io.read_table(spark, d, "orders").schema)
+    again = lambda periods: totals(orders.join(periods, "month", "left_semi"), True).select("n", "total", "refreshed", "month")
+    stream.refresh_affected(landed, "o_orderdate", again, f"{base}/out", f"{base}/checkpoint")
+    out = spark.read.schema("n long, total double, refreshed boolean, month date").parquet(f"{base}/out")
+    return rounded(out, 2)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     """Name to ``(spark, sf_dir) -> DataFrame``."""
     return dict(QUERIES)

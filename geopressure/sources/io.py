@@ -88,12 +88,20 @@ def read_ndjson(spark: SparkSession, path: str | Sequence[str], schema: str | T.
     return spark.read.schema(schema).json(path)
 
 
-GEOJSON = "type string, features array<struct<type:string,properties:map<string,string>,geometry:struct<type:string,coordinates:string>>>"
+FEATURE = "type string, properties map<string, string>, geometry struct<type: string, coordinates: string>"
+GEOJSON = f"type string, features array<struct<{FEATURE}>>"
 
 
-def read_geojson_features(spark: SparkSession, path: str) -> DataFrame:
-    """``properties, rings``: one row per polygon of each feature, rings as arrays of points."""
-    features = spark.read.schema(GEOJSON).json(path, multiLine=True).select(F.explode("features").alias("f"))
+def read_geojson_features(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
+    """``feature, part, properties, rings``: one row per polygon of each feature, rings as arrays of points.
+
+    A document with a collection of features is read whole by one task; with ``lines`` every line is a
+    feature, as ``write_geojson_lines`` writes them, and large files are split among tasks.
+    """
+    if lines:
+        features = spark.read.schema(FEATURE).json(path).select(F.struct("properties", "geometry").alias("f"))
+    else:
+        features = spark.read.schema(GEOJSON).json(path, multiLine=True).select(F.explode("features").alias("f"))
     rows = features.select(F.monotonically_increasing_id().alias("feature"), "f.properties", "f.geometry.type", "f.geometry.coordinates")
     single = F.from_json("coordinates", "array<array<array<double>>>")
     many = F.from_json("coordinates", "array<array<array<array<double>>>>")
@@ -220,11 +228,22 @@ def latest_edition(df: DataFrame, keys: Sequence[str], order: Sequence[str]) ->
     return df.withColumn("__r", F.row_number().over(w)).where("__r = 1").drop("__r")
 
 
-def dataset_manifest(spark: SparkSession, path: str) -> DataFrame:
-    """``name, bytes, sha256, modified`` of every file below a path."""
+def dataset_manifest(spark: SparkSession, path: str, version: str | None = None) -> DataFrame:
+    """``name, bytes, sha256, modified, version, fetched`` of every file below a path.
+
+    Contents are hashed one file at a time in the tasks, each of at most two gigabytes. ``fetched`` is
+    the time of the query, ``version`` what the source calls its edition.
+    """
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
     name = F.element_at(F.split("path", "/"), -1)
-    return files.select(name.alias("name"), F.col("length").alias("bytes"), F.sha2("content", 256).alias("sha256"), F.col("modificationTime").alias("modified"))
+    return files.select(
+        name.alias("name"),
+        F.col("length").alias("bytes"),
+        F.sha2("content", 256).alias("sha256"),
+        F.col("modificationTime").alias("modified"),
+        F.lit(version).cast("string").alias("version"),
+        F.current_timestamp().alias("fetched"),
+    )
 
 
 def row_counts(df: DataFrame) -> DataFrame:

@@ -2,6 +2,7 @@
 
 import datetime as dt
 import gzip
+import hashlib
 import json
 import struct
 
@@ -60,6 +61,11 @@ def test_geojson_and_wkb(spark, tmp_path):
     feature = spark.createDataFrame([("a", 1.5)], "k string, e double").withColumn("g", F.struct(F.lit("Point").alias("type"), F.array(F.lit(1.0), F.lit(2.0)).alias("coordinates")))
     io.write_geojson_lines(feature, str(tmp_path / "lines"), ["k", "e"], "g")
     line = json.loads(spark.read.text(str(tmp_path / "lines")).first().value)
+    square = F.array(*[F.array(F.lit(x), F.lit(y)) for x, y in ((0.0, 0.0), (1.0, 0.0), (1.0, 1.0), (0.0, 0.0))])
+    shape = F.struct(F.lit("MultiPolygon").alias("type"), F.array(F.array(square), F.array(square, square)).alias("coordinates"))
+    io.write_geojson_lines(feature.withColumn("g", shape), str(tmp_path / "shapes"), ["k"], "g")
+    parts = io.read_geojson_features(spark, str(tmp_path / "shapes"), lines=True).collect()
+    assert {(p.part, p.properties["k"], len(p.rings), p.rings[0][1].x) for p in parts} == {(0, "a", 1, 1.0), (1, "a", 2, 1.0)}
     assert line == {"type": "Feature", "properties": {"k": "a", "e": 1.5}, "geometry": {"type": "Point", "coordinates": [1.0, 2.0]}}
 
 
@@ -69,7 +75,10 @@ def test_ndjson_params_manifest_and_freshness(spark, tmp_path):
     io.write_params(spark.createDataFrame([(24.0, 0.8)], "q1 double, gamma double"), str(tmp_path / "p"))
     assert json.loads(spark.read.text(str(tmp_path / "p")).first().value) == {"q1": 24.0, "gamma": 0.8}
     m = io.dataset_manifest(spark, str(tmp_path / "r.json")).first()
-    assert m["name"] == "r.json" and m["bytes"] == 26 or m["bytes"] > 0
+    data = (tmp_path / "r.json").read_bytes()
+    assert (m["name"], m["bytes"], m["sha256"], m["version"]) == ("r.json", len(data), hashlib.sha256(data).hexdigest(), None)
+    m = io.dataset_manifest(spark, str(tmp_path / "r.json"), "2024-02").first()
+    assert m["version"] == "2024-02" and m["fetched"] is not None
     rows = spark.createDataFrame([("a", dt.date(2024, 1, 1)), ("a", dt.date(2025, 1, 1))], "source string, fetched date")
     out = io.attach_freshness(spark.range(1), rows, ["a", "b"]).first()
     assert out.last_updated_a == dt.date(2025, 1, 1) and out.last_updated_b is None

@@ -3,6 +3,7 @@
 import datetime as dt
 import math
 import random
+import statistics
 
 import pytest
 from hypothesis import given, settings
@@ -441,3 +442,21 @@ def test_named_checks(spark):
     )
     got = {r.check: (r.n_bad, r.n_rows) for r in rows.collect()}
     assert got == {"codes": (1, 3), "codes0": (0, 0), "twice": (1, 3), "twice0": (0, 0), "broken": (3, 3), "some": (0, 3)}
+
+
+def test_exact_medians_equal_sorting(spark):
+    rnd = random.Random(3)
+    rows = [(rnd.choice("aab"), rnd.choice([rnd.gauss(0, 1), float(rnd.randrange(5))]), float(rnd.randrange(50))) for _ in range(5000)]
+    rows += [("one", 2.0, None), ("two", 1.0, 4.0), ("two", 2.0, 4.0), ("none", None, None)]
+    df = spark.createDataFrame(rows, "k string, u double, s double").repartition(7)
+    want = {}
+    for k in {r[0] for r in rows}:
+        for i in (1, 2):
+            v = [r[i] for r in rows if r[0] == k and r[i] is not None]
+            want[k, i] = statistics.median(v) if v else None
+    # A coarse sketch leaves more inside its bracket; the result is the same.
+    for accuracy in (100, 100_000):
+        got = transactions.exact_medians(df, "k", ["u", "s"], accuracy).collect()
+        assert {(r.k, i): r[c] for r in got for i, c in ((1, "u"), (2, "s"))} == want
+    clash = df.withColumnsRenamed({"k": "c", "u": "v", "s": "n"})
+    assert {r.c: r.v for r in transactions.exact_medians(clash, "c", ["v", "n"]).collect()} == {k: m for (k, i), m in want.items() if i == 1}
