@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from geopressure.llm import (
     byte_bpe,
     decontaminate,
+    filter_audit,
     html_text,
     near_dedup,
     oracles,
@@ -99,6 +100,11 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score(docs, quality.fit(docs, _table(spark, sf_dir, "labels")))
 
 
+def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What five text filters remove in every order of them, by source."""
+    return filter_audit.audit(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     """Name to query."""
     return {
@@ -112,6 +118,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_byte_bpe": op8_byte_bpe,
         "op9_secrets": op9_secrets,
         "op10_quality": op10_quality,
+        "op13_filter_audit": op13_filter_audit,
     }
 
 
@@ -122,4 +129,5 @@ def oracle_sql() -> dict[str, str]:
         "op6_decontaminate": oracles.decontaminate_sql(),
         "op7_top_k": oracles.TOP_K,
         "op9_secrets": oracles.secrets_sql(),
+        "op13_filter_audit": oracles.FILTER_AUDIT,
     }

@@ -92,3 +92,34 @@ g AS (SELECT doc_id, string_agg(kind || ':' || CAST(s AS BIGINT) || ':' || CAST(
 SELECT doc_id, {", ".join(f"coalesce(n_{r[0]}, 0) AS n_{r[0]}" for r in RULES)}, sha256(coalesce(spans, '')) AS base_sha256, coalesce(spans, '') AS spans
 FROM t LEFT JOIN g USING (doc_id)
 """
+
+
+FILTER_AUDIT = r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS words FROM documents
+), e AS (SELECT text, min(doc_id) AS least FROM w GROUP BY 1),
+lab AS (SELECT doc_id, max(CASE WHEN quality = 1 THEN 1 ELSE 0 END) AS good, max(CASE WHEN toxic = 1 THEN 1 ELSE 0 END) AS toxic FROM labels GROUP BY 1),
+f AS (
+  SELECT part, coalesce(lab.good, 0) AS good, coalesce(lab.toxic, 0) AS toxic,
+    (CASE WHEN len(words) < 200 THEN 'A' ELSE '' END) || (CASE WHEN 100 * len(list_distinct(words)) < 50 * len(words) THEN 'B' ELSE '' END)
+    || (CASE WHEN 100 * length(regexp_replace(text, '[^A-Z]', '', 'g')) > 2 * length(text) THEN 'C' ELSE '' END)
+    || (CASE WHEN regexp_matches(text, '[#$%&*|]') THEN 'D' ELSE '' END) || (CASE WHEN w.doc_id > e.least THEN 'E' ELSE '' END) AS failed
+  FROM w JOIN e USING (text) LEFT JOIN lab ON lab.doc_id = w.doc_id
+), c AS (SELECT part, failed, count(*) AS n, sum(good) AS good, sum(toxic) AS toxic FROM f GROUP BY 1, 2),
+l AS (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS x),
+o AS (SELECT '' AS o UNION ALL SELECT o.o || l.x FROM o JOIN l ON position(l.x IN o.o) = 0),
+s AS (SELECT o, CAST(unnest(range(1, 6)) AS INTEGER) AS step FROM o WHERE length(o) = 5),
+r AS (
+  SELECT part, o, step, substr(o, step, 1) AS x, n, good, toxic, failed, position(substr(o, step, 1) IN failed) > 0 AS fails,
+    length(translate(failed, substr(o, 1, step - 1), '')) < length(failed) AS gone FROM c, s
+), a AS (
+  SELECT part, o, step, any_value(x) AS x, sum(CASE WHEN NOT fails AND NOT gone THEN n ELSE 0 END) AS kept, sum(CASE WHEN fails AND NOT gone THEN n ELSE 0 END) AS removed,
+    sum(CASE WHEN fails AND gone THEN n ELSE 0 END) AS redundant, sum(CASE WHEN failed = x THEN n ELSE 0 END) AS unique_fails,
+    sum(CASE WHEN fails AND NOT gone THEN good ELSE 0 END) AS good_lost, sum(CASE WHEN fails AND NOT gone THEN toxic ELSE 0 END) AS toxic_lost
+  FROM r GROUP BY 1, 2, 3
+)
+SELECT part, o AS filter_order, step, CAST(kept AS BIGINT) AS kept, CAST(removed AS BIGINT) AS removed, CAST(redundant AS BIGINT) AS redundant,
+  CAST(unique_fails AS BIGINT) AS unique_fails, CAST(good_lost AS BIGINT) AS good_lost, CAST(toxic_lost AS BIGINT) AS toxic_lost,
+  CAST(sum(removed) OVER (PARTITION BY part, x) AS BIGINT) AS shapley
+FROM a
+"""

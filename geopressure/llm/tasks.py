@@ -26,14 +26,26 @@ def _hand_back() -> None:
         return
 
 
+def whole(run: Callable) -> Callable:
+    """A batch function that leaves no freed memory behind."""
+
+    @functools.wraps(run)
+    def kept(batches: Iterator[pa.RecordBatch], **parameters):
+        _hand_back()
+        yield from run(batches, **parameters)
+        _hand_back()
+
+    return kept
+
+
 def lean(run: Callable) -> Callable:
     """A batch function that is given batches of ``ROWS`` rows and leaves no freed memory behind."""
 
     @functools.wraps(run)
-    def whole(batches: Iterator[pa.RecordBatch], **parameters):
+    def small_first(batches: Iterator[pa.RecordBatch], **parameters):
         _hand_back()
         small = (batch.slice(at, ROWS) for batch in batches for at in range(0, batch.num_rows, ROWS))
         yield from run(small, **parameters)
         _hand_back()
 
-    return whole
+    return small_first
