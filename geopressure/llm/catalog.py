@@ -17,6 +17,7 @@ from geopressure.llm import (
     oracles,
     personal_data,
     quality,
+    ranked_search,
     secret_scan,
     token_count,
     top_k,
@@ -100,6 +101,13 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score(docs, quality.fit(docs, _table(spark, sf_dir, "labels")))
 
 
+def op12_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten best documents of every benchmark item."""
+    index = ranked_search.build_index(_table(spark, sf_dir, "documents"))
+    found = ranked_search.search(index, _table(spark, sf_dir, "benchmark"), 10)
+    return found.withColumn("rank", F.col("rank").cast("int"))
+
+
 def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What five text filters remove in every order of them, by source."""
     return filter_audit.audit(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
@@ -118,6 +126,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_byte_bpe": op8_byte_bpe,
         "op9_secrets": op9_secrets,
         "op10_quality": op10_quality,
+        "op12_ranked_search": op12_ranked_search,
         "op13_filter_audit": op13_filter_audit,
     }
 
@@ -129,5 +138,6 @@ def oracle_sql() -> dict[str, str]:
         "op6_decontaminate": oracles.decontaminate_sql(),
         "op7_top_k": oracles.TOP_K,
         "op9_secrets": oracles.secrets_sql(),
+        "op12_ranked_search": oracles.RANKED_SEARCH,
         "op13_filter_audit": oracles.FILTER_AUDIT,
     }

@@ -123,3 +123,21 @@ SELECT part, o AS filter_order, step, CAST(kept AS BIGINT) AS kept, CAST(removed
   CAST(sum(removed) OVER (PARTITION BY part, x) AS BIGINT) AS shapley
 FROM a
 """
+
+
+RANKED_SEARCH = r"""
+WITH lower AS (SELECT doc_id, 'd' AS kind, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS x FROM documents
+  UNION ALL SELECT item_id, 'q', translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') FROM benchmark),
+t AS (SELECT doc_id AS id, kind, regexp_extract_all(x, '[0-9a-z\x{80}-\x{10FFFF}]+') AS w FROM lower),
+d AS (SELECT id AS doc_id, len(w) AS n, w FROM t WHERE kind = 'd' AND len(w) > 0),
+s AS (SELECT count(*) AS docs, CAST(sum(n) AS BIGINT) AS total FROM d),
+p AS (SELECT doc_id, term, count(*) AS tf FROM (SELECT doc_id, unnest(w) AS term FROM d) GROUP BY 1, 2),
+f AS (SELECT term, CAST(floor(1000 * ln(CAST(2 * (SELECT docs FROM s) + 2 AS DOUBLE) / CAST(2 * count(*) + 1 AS DOUBLE))) AS BIGINT) AS weight FROM p GROUP BY 1),
+q AS (SELECT item_id, term, count(*) AS r FROM (SELECT id AS item_id, unnest(w) AS term FROM t WHERE kind = 'q') GROUP BY 1, 2),
+m AS (SELECT doc_id, 100 - 75 + (75 * n * docs) // total AS m FROM d, s),
+c AS (
+  SELECT q.item_id, p.doc_id, CAST(sum(r * weight * ((1000000000 * tf) // (1000 * tf + 8 * m))) AS BIGINT) AS score
+  FROM q JOIN f USING (term) JOIN p USING (term) JOIN m ON m.doc_id = p.doc_id GROUP BY 1, 2
+), r AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS k FROM c WHERE score > 0)
+SELECT item_id, CAST(k AS INTEGER) AS rank, doc_id, score FROM r WHERE k <= 10
+"""

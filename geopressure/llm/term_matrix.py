@@ -33,7 +33,10 @@ BLANK_WORDS = bytes(32 if i in (32, *range(9, 14)) else i for i in range(256))
 
 
 class TermMatrix(NamedTuple):
-    """``dictionary(term, term_id, df, total)`` and ``shards(shard, rows, ends, terms, counts, columns)``."""
+    """``dictionary(term, term_id, df, total)`` and ``shards(shard, rows, filled, ends, terms, counts, columns)``.
+
+    ``filled`` is how many of a shard's rows have any entry.
+    """
 
     dictionary: DataFrame
     shards: DataFrame
@@ -122,8 +125,9 @@ def _cut(batches: Iterator[pa.RecordBatch], table: bytes, measure: Measure | Non
             total = np.bincount(found.terms, weights=found.counts, minlength=len(found.words)).astype(np.int64)
             words = pa.StructArray.from_arrays([found.words, pa.array(df.astype(np.int64)), pa.array(total)], ["term", "df", "total"])
             binary = [pa.array([x.tobytes()], pa.binary()) for x in (found.ends.astype(np.int64), found.terms, found.counts)]
-            columns = [pa.array([task << 32 | made], pa.int64()), one(pa.StructArray.from_arrays(own, names)), *binary, one(words)]
-            yield pa.RecordBatch.from_arrays(columns, ["shard", "rows", "ends", "terms", "counts", "vocabulary"])
+            filled = int(np.count_nonzero(np.diff(found.ends)))
+            columns = [pa.array([task << 32 | made], pa.int64()), one(pa.StructArray.from_arrays(own, names)), pa.array([filled], pa.int64()), *binary, one(words)]
+            yield pa.RecordBatch.from_arrays(columns, ["shard", "rows", "filled", "ends", "terms", "counts", "vocabulary"])
             made += 1
 
 
@@ -136,7 +140,7 @@ def _local(docs: DataFrame, keep: Sequence[str], table: bytes, measure: Measure
     extra = spark.createDataFrame([], measures).schema if measures else StructType()
     fields = [*docs.select(*keep).schema.fields, *extra.fields]
     struct = ", ".join(f"`{f.name}`: {f.dataType.simpleString()}" for f in fields)
-    ddl = f"shard long, rows array<struct<{struct}>>, ends binary, terms binary, counts binary, vocabulary array<struct<term: binary, df: long, total: long>>"
+    ddl = f"shard long, rows array<struct<{struct}>>, filled long, ends binary, terms binary, counts binary, vocabulary array<struct<term: binary, df: long, total: long>>"
     schema = to_arrow_schema(spark.createDataFrame([], ddl).schema)
     kinds = [to_arrow_type(f.dataType) for f in extra.fields]
     cut = functools.partial(whole(_cut), table=table, measure=measure, kinds=kinds, schema=schema)
