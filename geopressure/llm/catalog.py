@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from geopressure.llm import (
     byte_bpe,
     decontaminate,
+    embedding_dedup,
     filter_audit,
     html_text,
     near_dedup,
@@ -101,6 +102,11 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score(docs, quality.fit(docs, _table(spark, sf_dir, "labels")))
 
 
+def op11_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Near-duplicate components of all embeddings."""
+    return embedding_dedup.near_duplicates(_table(spark, sf_dir, "embeddings"))
+
+
 def op12_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The ten best documents of every benchmark item."""
     index = ranked_search.build_index(_table(spark, sf_dir, "documents"))
@@ -126,6 +132,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_byte_bpe": op8_byte_bpe,
         "op9_secrets": op9_secrets,
         "op10_quality": op10_quality,
+        "op11_embedding_dedup": op11_embedding_dedup,
         "op12_ranked_search": op12_ranked_search,
         "op13_filter_audit": op13_filter_audit,
     }
@@ -138,6 +145,7 @@ def oracle_sql() -> dict[str, str]:
         "op6_decontaminate": oracles.decontaminate_sql(),
         "op7_top_k": oracles.TOP_K,
         "op9_secrets": oracles.secrets_sql(),
+        "op11_embedding_dedup": oracles.EMBEDDING_DEDUP,
         "op12_ranked_search": oracles.RANKED_SEARCH,
         "op13_filter_audit": oracles.FILTER_AUDIT,
     }

@@ -141,3 +141,17 @@ c AS (
 ), r AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS k FROM c WHERE score > 0)
 SELECT item_id, CAST(k AS INTEGER) AS rank, doc_id, score FROM r WHERE k <= 10
 """
+
+
+EMBEDDING_DEDUP = """
+WITH RECURSIVE v AS (
+  SELECT vec_id, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS e FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), n AS (SELECT vec_id, e, sqrt(list_dot_product(e, e)) AS s FROM v WHERE len(list_filter(e, lambda x: x <> 0)) > 0),
+l AS (SELECT a.vec_id AS x, b.vec_id AS y FROM n a JOIN n b ON a.vec_id <> b.vec_id AND len(a.e) = len(b.e) WHERE list_dot_product(a.e, b.e) >= 0.95 * (a.s * b.s)),
+r AS (SELECT vec_id AS id, vec_id AS root FROM embeddings UNION SELECT l.y, r.root FROM r JOIN l ON l.x = r.id),
+m AS (SELECT id, min(root) AS root FROM r GROUP BY 1),
+c AS (SELECT x, count(*) AS k FROM l GROUP BY 1)
+SELECT e.vec_id, coalesce(c.k, 0) AS n_links, m.root AS component_id, e.vec_id = m.root AS kept
+FROM embeddings e JOIN m ON m.id = e.vec_id LEFT JOIN c ON c.x = e.vec_id
+"""
