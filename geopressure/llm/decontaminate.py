@@ -4,14 +4,14 @@ Texts are cut into lower-cased words of letters and digits. A seed looks at a fe
 through a fixed mask that selects some positions and ignores the others, so a substituted word under
 an ignored position does not break it. Seeds of the benchmark items are joined with seeds at every
 position of every document. Around each hit the two word sequences are aligned and compared:
-``ceil(min_share * w)`` of the ``w`` aligned words in reach must be equal, and ``MIN_EQUAL`` words at
+``ceil(min_share * w)`` of the ``w`` aligned words in reach must be equal, and ``min_equal`` words at
 least (all but one of a shorter item).
 
 The masks select five words of six or eight. Of random substitutions, 3 in 15 words, 5 in 20 and 8 in
 30 left a seed in all of 1,500 trials each, so the share decides; ``tests/llm`` measures the recall of
 the whole operator. Items of four to seven words are sought through one mask for each position that is
-left out, so one substitution anywhere is tolerated. Items of one to three words are matched with
-documents that hold nothing else; items without words never.
+left out, so one substitution anywhere is tolerated. Items of one to three words are matched exactly,
+wherever they stand; items without words never.
 """
 
 from __future__ import annotations
@@ -25,10 +25,8 @@ from geopressure.llm.store import Scratch
 #: Selected positions of each mask, for items of SPAN words or more.
 MASKS = ((0, 1, 3, 4, 5), (0, 1, 3, 6, 7), (0, 2, 3, 5, 7))
 SPAN = 8
-#: Items below this many words must be the whole document.
-WHOLE = 4
-#: Equal words that a match has at least, but for shorter items.
-MIN_EQUAL = 8
+#: Items below this many words are matched without a substitution.
+EXACT = 4
 #: Copies of each seed where the benchmark's side is shuffled, so that a frequent one is spread.
 SALTS = 16
 #: Seeds up to which the benchmark's side is broadcast (about 64 bytes each); beyond, it is shuffled.
@@ -46,27 +44,24 @@ def _seeds(h: str, pos: str, lengths: list[int]) -> Column:
     at = lambda k: F.get(F.col(h), F.col(pos) + k)
     out = [F.when(F.col(pos) + mask[-1] < F.size(h), F.xxhash64(F.lit(i), *[at(k) for k in mask])) for i, mask in enumerate(MASKS)]
     for n in lengths:
-        if n < WHOLE:
-            alone = (F.col(pos) == 0) & (F.size(h) == n)
-            out.append(F.when(alone, F.xxhash64(F.lit(100 * n), *[at(k) for k in range(n)])))
-            continue
-        for left in range(n):
+        # The number ``n`` leaves no word out.
+        for left in range(n) if n >= EXACT else [n]:
             mask = [at(k) for k in range(n) if k != left]
             out.append(F.when(F.col(pos) + n <= F.size(h), F.xxhash64(F.lit(100 * n + left + 1), *mask)))
     return F.array(*out)
 
 
-def _positions(df: DataFrame, ident: str, lengths: list[int]) -> DataFrame:
+def _positions(df: DataFrame, idents: list[str], lengths: list[int]) -> DataFrame:
     """One narrow row for each position and mask; the words stay inside one generated loop.
 
     The outer form keeps the optimiser from adding a filter that would cut every text twice.
     """
-    return df.select(ident, "h", F.posexplode_outer("h").alias("pos", "w")).select(
-        ident, "pos", F.explode(_seeds("h", "pos", lengths)).alias("seed")
+    return df.select(*idents, "h", F.posexplode_outer("h").alias("pos", "w")).select(
+        *idents, "pos", F.posexplode(_seeds("h", "pos", lengths)).alias("mask", "seed")
     )
 
 
-def contaminated(docs: DataFrame, benchmark: DataFrame, min_share: float = 0.6, reach: int = 4) -> DataFrame:
+def contaminated(docs: DataFrame, benchmark: DataFrame, min_share: float = 0.6, reach: int = 4, min_equal: int = 8) -> DataFrame:
     """Pairs of documents and benchmark items that overlap.
 
     ``docs(doc_id, text, ...)`` and ``benchmark(item_id, text, ...)`` give one row for each pair:
@@ -74,18 +69,19 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, min_share: float = 0.6,
     item would begin, least over hits; negative if the item's beginning is cut off) and ``matched``
     (most equal words around a hit). The comparison takes the seed's words and up to ``reach`` more
     on either side, as far as both texts go. Null or empty texts give no rows; texts of any length are
-    searched whole; rows that repeat or lack an id are grouped under that id or null; other columns are
-    ignored.
+    searched whole. Rows of one id with the same words count once, however often they repeat; different texts of one
+    id, or of none, are searched each and grouped under that id or null. Other columns are ignored.
     """
     items = benchmark.select("item_id", words(F.col("text")).alias("h")).where(F.size("h") > 0)
     size = items.agg(F.sum(F.size("h") * len(MASKS)), F.collect_set(F.when(F.size("h") < SPAN, F.size("h")))).first()
     lengths = sorted(size[1])
     numbered = items.withColumn("__item", F.xxhash64("item_id", "h"))
-    seeds = _positions(numbered.where(F.size("h") >= SPAN), "__item", [])
+    seeds = _positions(numbered.where(F.size("h") >= SPAN), ["__item"], [])
     for n in lengths:
-        seeds = seeds.unionByName(_positions(numbered.where(F.size("h") == n), "__item", [n]).where("pos = 0"))
+        seeds = seeds.unionByName(_positions(numbered.where(F.size("h") == n), ["__item"], [n]).where("pos = 0"))
     seeds = seeds.where("seed is not null").select("seed", "__item", F.col("pos").alias("bpos")).distinct()
-    found = _positions(docs.select("doc_id", words(F.col("text")).alias("h")), "doc_id", lengths)
+    text = F.xxhash64("h").alias("__text")
+    found = _positions(docs.select("doc_id", words(F.col("text")).alias("h")).select("doc_id", "h", text), ["doc_id", "__text"], lengths)
     if (size[0] or 0) <= MAX_BROADCAST_SEEDS:
         near = found.join(F.broadcast(seeds), "seed")
     else:
@@ -93,11 +89,15 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, min_share: float = 0.6,
         salt = F.pmod(F.xxhash64("doc_id", "pos"), F.lit(SALTS)).cast("int")
         near = found.where("seed is not null").withColumn("salt", salt).join(spread, ["seed", "salt"])
     scratch = Scratch(docs.sparkSession, "decontaminate")
-    diagonal = near.groupBy("doc_id", "__item", (F.col("pos") - F.col("bpos")).alias("offset"), "bpos").count()
+    # At one place there are as many masks as seeds; a row that repeats gives the same ones again.
+    masks = F.size(F.collect_set("mask")).cast("long").alias("count")
+    diagonal = near.groupBy("doc_id", "__text", "__item", (F.col("pos") - F.col("bpos")).alias("offset"), "bpos").agg(masks)
     hits = scratch.save(diagonal)
     named = only_keys(docs.select("doc_id", "text"), hits.select("doc_id"), "doc_id")
-    full = named.select(F.col("doc_id").alias("__id"), words(F.col("text")).alias("h"))
-    hits = hits.join(numbered.distinct().withColumnRenamed("h", "bh"), "__item").join(full, F.col("doc_id").eqNullSafe(F.col("__id")))
+    full = named.select(F.col("doc_id").alias("__id"), words(F.col("text")).alias("h")).withColumn("__same", F.xxhash64("h"))
+    full = full.join(hits.select("__text").distinct(), F.col("__same") == F.col("__text"), "left_semi").dropDuplicates(["__id", "__same"])
+    of = F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("__text") == F.col("__same"))
+    hits = hits.join(numbered.distinct().withColumnRenamed("h", "bh"), "__item").join(full, of)
     begin = F.greatest(F.col("bpos") - reach, F.lit(0), -F.col("offset"))
     end = F.least(F.col("bpos") + SPAN + reach, F.size("bh"), F.size("h") - F.col("offset"))
     aligned = hits.withColumn("begin", begin).withColumn("width", end - begin)
@@ -111,7 +111,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, min_share: float = 0.6,
             "doc_id", "item_id", "count", "offset", "width", F.size("bh").alias("n"), F.size(F.filter(same, lambda x: x)).alias("m")
         )
         .where(F.col("m") >= F.ceil(F.lit(min_share) * F.col("width")))
-        .where(F.col("m") >= F.when(F.col("n") < WHOLE, F.col("n")).otherwise(F.least(F.lit(MIN_EQUAL), F.col("n") - 1)))
+        .where(F.col("m") >= F.when(F.col("n") < EXACT, F.col("n")).otherwise(F.least(F.lit(min_equal), F.col("n") - 1)))
         .groupBy("doc_id", "item_id")
         .agg(
             F.sum("count").alias("n_hits"),

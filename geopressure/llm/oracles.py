@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from geopressure.llm.decontaminate import MASKS, MIN_EQUAL, SPAN, WHOLE
+from geopressure.llm.decontaminate import EXACT, MASKS, SPAN
 from geopressure.llm.secret_scan import RULES
 
 NEAR_DEDUP = r"""
@@ -46,7 +46,7 @@ def _mask_key(mask) -> str:
     return " || ' ' || ".join(f"t[p + {k + 1}]" for k in mask)
 
 
-def decontaminate_sql(min_share: float = 0.6, reach: int = 4) -> str:
+def decontaminate_sql(min_share: float = 0.6, reach: int = 4, min_equal: int = 8) -> str:
     full = lambda table, ident, least: " UNION ALL ".join(
         f"SELECT {i} AS m, {ident}, p, {_mask_key(mask)} AS k FROM "
         f"(SELECT {ident}, t, unnest(range(0, len(t) - {mask[-1]})) AS p FROM {table} WHERE len(t) >= {max(least, mask[-1] + 1)})"
@@ -54,24 +54,25 @@ def decontaminate_sql(min_share: float = 0.6, reach: int = 4) -> str:
     )
     left_out = "array_to_string(list_filter({0}, lambda x, i: i <> l.l + 1), ' ') AS k"
     return f"""
-WITH d AS (SELECT doc_id, {_words("text")} AS t FROM documents),
+WITH d AS (SELECT DISTINCT doc_id, {_words("text")} AS t FROM documents),
 b AS (SELECT DISTINCT item_id, {_words("text")} AS t FROM benchmark WHERE len({_words("text")}) > 0),
 dk AS ({full("d", "doc_id", 0)}), bk AS ({full("b", "item_id", SPAN)}),
-l AS (SELECT n, unnest(range(0, n)) AS l FROM (SELECT DISTINCT len(t) AS n FROM b WHERE len(t) >= {WHOLE} AND len(t) < {SPAN})),
+l AS (SELECT n, unnest(range(0, n)) AS l FROM (SELECT DISTINCT len(t) AS n FROM b WHERE len(t) >= {EXACT} AND len(t) < {SPAN})),
 sh AS (SELECT item_id, l.n, l.l, {left_out.format("t")} FROM b JOIN l ON len(b.t) = l.n),
 dw AS (SELECT doc_id, n, p, t[p + 1:p + n] AS w FROM
   (SELECT doc_id, t, n, unnest(range(0, len(t) - n + 1)) AS p FROM d JOIN (SELECT DISTINCT n FROM l) ON len(t) >= n)),
 ds AS (SELECT doc_id, p, l.n, l.l, {left_out.format("w")} FROM dw JOIN l ON dw.n = l.n),
 hit AS (SELECT doc_id, item_id, dk.p - bk.p AS o, bk.p AS bp FROM dk JOIN bk ON dk.m = bk.m AND dk.k = bk.k
   UNION ALL SELECT doc_id, item_id, ds.p, 0 FROM ds JOIN sh ON ds.n = sh.n AND ds.l = sh.l AND ds.k = sh.k
-  UNION ALL SELECT doc_id, item_id, 0, 0 FROM d JOIN b ON d.t = b.t AND len(b.t) < {WHOLE}),
+  UNION ALL SELECT doc_id, item_id, p, 0 FROM (SELECT doc_id, t, unnest(range(0, len(t))) AS p FROM d) e JOIN b
+    ON len(b.t) < {EXACT} AND e.t[p + 1:p + len(b.t)] = b.t),
 g AS (SELECT doc_id, item_id, o, bp, count(*) AS c FROM hit GROUP BY ALL),
 a AS (SELECT g.*, d.t AS dt, b.t AS bt, greatest(bp - {reach}, 0, -o) AS lo, least(bp + {SPAN + reach}, len(b.t), len(d.t) - o) AS hi
   FROM g JOIN d USING (doc_id) JOIN b USING (item_id)),
 v AS (SELECT doc_id, item_id, o, c, hi - lo AS w, len(bt) AS n,
   list_sum(list_transform(range(lo, hi), lambda k: CASE WHEN bt[k + 1] = dt[k + o + 1] THEN 1 ELSE 0 END)) AS m FROM a)
 SELECT doc_id, item_id, CAST(sum(c) AS BIGINT) AS n_hits, CAST(min(o) AS BIGINT) AS first_word, CAST(max(m) AS BIGINT) AS matched
-FROM v WHERE m >= ceil({min_share} * w) AND m >= CASE WHEN n < {WHOLE} THEN n ELSE least({MIN_EQUAL}, n - 1) END GROUP BY 1, 2
+FROM v WHERE m >= ceil({min_share} * w) AND m >= CASE WHEN n < {EXACT} THEN n ELSE least({min_equal}, n - 1) END GROUP BY 1, 2
 """
 
 

@@ -54,7 +54,8 @@ def _find(texts: DataFrame) -> DataFrame:
         return F.struct(F.lit(kind).alias("kind"), F.lit(least or 0).alias("least"), zipped.alias("parts"))
 
     held = functools.reduce(lambda x, y: x | y, [F.col("text").rlike(pattern) for _, pattern, _ in RULES])
-    rules = texts.where(held).select("blob", F.explode(F.array(*[parts(*rule) for rule in RULES])).alias("rule"))
+    # A holder's id can stand on several rows: of what holds a match, each blob is read once.
+    rules = texts.where(held).dropDuplicates(["blob"]).select("blob", F.explode(F.array(*[parts(*rule) for rule in RULES])).alias("rule"))
     placed = rules.select("blob", "rule.kind", "rule.least", F.posexplode("rule.parts").alias("k", "x")).where("x.match is not null")
     before = Window.partitionBy("blob", "kind").orderBy("k")
     placed = placed.withColumn("end", F.sum(F.length("x.gap") + F.length("x.match")).over(before))
@@ -66,8 +67,8 @@ def scan(docs: DataFrame, ledger: DataFrame | None = None, findings: DataFrame |
     """Scan the blobs of ``docs(doc_id, text, ...)`` that ``ledger(blob, rule_version)`` does not list.
 
     ``findings(blob, kind, start, end)`` are those of earlier runs; they come back with the new ones.
-    A null text counts as empty; rows that repeat are scanned once; texts of any
-    length are scanned whole; other columns are ignored.
+    A null text counts as empty; rows that repeat, rows without doc_id and ids with several texts are scanned once for each
+    blob; texts of any length are scanned whole; other columns are ignored.
     """
     scratch = Scratch(docs.sparkSession, "secrets")
     rows = docs.select("doc_id", "text").withColumn("blob", blob_id(F.col("text")))

@@ -327,8 +327,9 @@ def test_decontamination_recall_by_substitutions_and_short_items(spark):
     docs += [(5000, "Two, words!"), (5001, "not alone"), (5002, "these two words here")]
     bench = spark.createDataFrame(items, "item_id long, text string")
     got = {(r.doc_id, r.item_id) for r in decontaminate.contaminated(frame(spark, docs), bench).collect()}
-    assert all(a == b for a, b in got)
-    assert {a for a, _ in got if a >= 5000} == {5000}
+    assert all(a == b for a, b in got if a < 5000)
+    # One to three words are found exactly, wherever they stand.
+    assert {x for x in got if x[0] >= 5000} == {(5000, 5000), (5001, 5001), (5002, 5000)}
     for c, case in enumerate(cases):
         assert sum((c * 100 + k, c * 100 + k) in got for k in range(60)) >= 57, case
 
