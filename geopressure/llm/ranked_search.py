@@ -18,6 +18,7 @@ from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -32,24 +33,24 @@ STEP = 16
 #: Queries of a block, and bytes of packed queries up to which they are sent to every executor; beyond, blocks meet by a shuffle.
 QUERIES, MAX_BROADCAST = 1024, 32 << 20
 
-PACKED = "items binary, ends binary, asked binary, weights binary"
+PACKED = "items binary, bounds binary, asked array<binary>, lists binary, weights binary"
 
 
 class Index(NamedTuple):
-    """The matrix, the documents that hold a term, and all terms with repeats."""
+    """Shards with their own words, the dictionary, the documents that hold a term, and all terms with repeats."""
 
-    matrix: term_matrix.TermMatrix
+    shards: DataFrame
+    dictionary: DataFrame
     documents: int
     terms: int
 
 
 def build_index(docs: DataFrame) -> Index:
     """Index ``docs(doc_id, text, ...)``: every row is a document; a null or empty text holds no term."""
-    scratch = Scratch(docs.sparkSession, "ranked")
     built = term_matrix.build(docs.select("doc_id", "text"), ["doc_id"], TERMS)
-    built = built._replace(shards=scratch.save(built.shards), dictionary=scratch.save(built.dictionary))
-    n = built.shards.agg(F.sum("filled")).first()[0] or 0
-    return Index(built, n, built.dictionary.agg(F.sum("total")).first()[0] or 0)
+    n = built.local.agg(F.sum("filled")).first()[0] or 0
+    shards = built.local.select("shard", "rows", "ends", "terms", "counts", F.col("vocabulary.term").alias("words"))
+    return Index(shards, built.dictionary, n, built.dictionary.agg(F.sum("total")).first()[0] or 0)
 
 
 class Lists:
@@ -58,10 +59,8 @@ class Lists:
     Entries stand twice: in order of list and falling impact for reading, and of list and document for direct access.
     """
 
-    def __init__(self, asked: np.ndarray, columns: np.ndarray, ends: np.ndarray, terms: np.ndarray, counts: np.ndarray, documents: int, total: int) -> None:
-        number = np.searchsorted(asked, columns)
-        number[number == len(asked)] = 0
-        number = np.where(asked[number] == columns, number, -1) if len(asked) else np.full(len(columns), -1)
+    def __init__(self, asked: pa.Array, words: pa.Array, ends: np.ndarray, terms: np.ndarray, counts: np.ndarray, documents: int, total: int) -> None:
+        number = pc.fill_null(pc.index_in(words, value_set=asked), -1).to_numpy(zero_copy_only=False).astype(np.int64)
         before = np.concatenate(([0], np.cumsum(counts, dtype=np.int64)))
         length = before[ends[1:]] - before[ends[:-1]]
         if len(length) and int(length.max()) * 75 * documents < 1 << 63:
@@ -145,10 +144,9 @@ def _search(batches: Iterator[pa.RecordBatch], k: int, documents: int, total: in
     for batch in batches:
         for i in range(batch.num_rows):
             ints = lambda name, kind=np.int64: np.frombuffer(batch.column(name)[i].as_py(), kind)  # noqa: E731, B023
-            columns = batch.column("columns")[i].values.to_numpy(zero_copy_only=False)
-            items, bounds, wanted, weights = ints("items"), ints("bounds"), ints("asked"), ints("weights")
-            asked, lists = np.unique(wanted, return_inverse=True)
-            held = Lists(asked, columns, ints("ends"), ints("terms", np.int32), ints("counts", np.int32), documents, total)
+            items, bounds, lists, weights = ints("items"), ints("bounds"), ints("lists"), ints("weights")
+            asked, words = batch.column("asked")[i].values, batch.column("words")[i].values
+            held = Lists(asked, words, ints("ends"), ints("terms", np.int32), ints("counts", np.int32), documents, total)
             ids = batch.column("rows")[i].values.field("doc_id")
             out: list[list] = [[], [], []]
             for q, item in enumerate(items.tolist()):
@@ -176,10 +174,13 @@ def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for at in range(0, batch.num_rows, QUERIES):
             part = batch.slice(at, QUERIES)
             rows = part.column("terms").to_pylist()
-            ends = np.cumsum([0, *map(len, rows)])
-            flat = [x for row in rows for x in row]
-            parts = part.column("item").to_numpy(), ends, [x["term_id"] for x in flat], [x["weight"] for x in flat]
-            yield pa.RecordBatch.from_arrays([pa.array([np.array(x, np.int64).tobytes()], pa.binary()) for x in parts], ["items", "ends", "asked", "weights"])
+            bounds, flat, number = np.cumsum([0, *map(len, rows)]), [x for row in rows for x in row], {}
+            lists = [number.setdefault(x["term"], len(number)) for x in flat]
+            items, bounds, lists, weights = (
+                pa.array([np.array(x, np.int64).tobytes()], pa.binary()) for x in (part.column("item").to_numpy(), bounds, lists, [x["weight"] for x in flat])
+            )
+            asked = pa.array([list(number)], pa.list_(pa.binary()))
+            yield pa.RecordBatch.from_arrays([items, bounds, asked, lists, weights], ["items", "bounds", "asked", "lists", "weights"])
 
 
 def search(index: Index, items: DataFrame, k: int = 10) -> DataFrame:
@@ -195,11 +196,12 @@ def search(index: Index, items: DataFrame, k: int = 10) -> DataFrame:
     named = scratch.save(items.select("item_id", "text").distinct().withColumn("item", F.monotonically_increasing_id()))
     terms = named.select("item", "text").mapInArrow(_item_terms, "item long, term binary, repeats long")
     ratio = F.lit(2.0 * index.documents + 2) / (2 * F.col("df") + 1)
-    known = terms.join(index.matrix.dictionary, "term").withColumn("weight", F.floor(1000 * F.log(ratio)) * F.col("repeats"))
-    queries = known.where("weight > 0").groupBy("item").agg(F.collect_list(F.struct("term_id", "weight")).alias("terms"))
-    packed = scratch.save(queries.mapInArrow(_pack, PACKED)).withColumnRenamed("ends", "bounds")
-    size = packed.agg(F.sum(F.length("asked"))).first()[0] or 0
-    shards = index.matrix.shards.drop("filled")
+    known = index.dictionary.join(terms, "term").withColumn("weight", F.floor(1000 * F.log(ratio)) * F.col("repeats"))
+    queries = known.where("weight > 0").groupBy("item").agg(F.collect_list(F.struct("term", "weight")).alias("terms"))
+    packed = scratch.save(queries.mapInArrow(_pack, PACKED))
+    letters = F.aggregate("asked", F.lit(0), lambda n, term: n + F.length(term) + 8)
+    size = packed.agg(F.sum(letters + F.length("lists") * 2)).first()[0] or 0
+    shards = index.shards
     if size <= MAX_BROADCAST:
         met = shards.crossJoin(F.broadcast(packed))
     else:

@@ -23,9 +23,11 @@ from geopressure.llm.store import Scratch
 from geopressure.llm.tasks import whole
 
 #: Bytes of text at which a shard is closed, and documents of one. A single longer document is a shard of its own.
-BYTES, ROWS = 12 << 20, 1 << 14
+BYTES, ROWS = 8 << 20, 1 << 14
 #: Bytes of a word that are compared as numbers; longer words are looked up one by one.
 WIDE = 16
+#: Words that are looked at at once.
+PART = 1 << 17
 
 Measure = Callable[[bytes], tuple]
 #: A table for ``bytes.translate`` that leaves every byte of a word and turns all others into a blank.
@@ -33,12 +35,14 @@ BLANK_WORDS = bytes(32 if i in (32, *range(9, 14)) else i for i in range(256))
 
 
 class TermMatrix(NamedTuple):
-    """``dictionary(term, term_id, df, total)`` and ``shards(shard, rows, filled, ends, terms, counts, columns)``.
+    """``dictionary(term, term_id, df, total)``, ``local`` and ``shards``.
 
-    ``filled`` is how many of a shard's rows have any entry.
+    ``local(shard, rows, filled, ends, terms, counts, vocabulary)`` are the shards as they were cut, each with its own words; ``filled`` is how many of a shard's
+    rows have any entry. ``shards`` has the dictionary's numbers of these words, ``columns``, in their place.
     """
 
     dictionary: DataFrame
+    local: DataFrame
     shards: DataFrame
 
 
@@ -54,9 +58,11 @@ class Entries(NamedTuple):
 def _keys(raw: np.ndarray, starts: np.ndarray, lens: np.ndarray) -> np.ndarray:
     """Two numbers for each word that differ between any two words: its bytes, or a number given to a longer one."""
     window = np.lib.stride_tricks.sliding_window_view(np.append(raw, np.zeros(WIDE, np.uint8)), WIDE)
-    held = window[starts]
-    held[np.arange(WIDE) >= np.minimum(lens, WIDE)[:, None]] = 0
-    keys = held.view(np.uint64)
+    keys = np.empty((len(starts), 2), np.uint64)
+    for at in range(0, len(starts), PART):
+        held = window[starts[at : at + PART]]
+        held[np.arange(WIDE) >= np.minimum(lens[at : at + PART], WIDE)[:, None]] = 0
+        keys[at : at + PART] = held.view(np.uint64)
     given: dict[bytes, int] = {}
     for i in np.flatnonzero(lens > WIDE).tolist():
         word = raw[starts[i] : starts[i] + lens[i]].tobytes()
@@ -70,16 +76,21 @@ def _numbered(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     mixed = (keys[:, 0] * np.uint64(0x9E3779B97F4A7C15)) ^ (keys[:, 1] * np.uint64(0xC2B2AE3D27D4EB4F))
     mixed ^= mixed >> np.uint64(31)
     order = np.argsort(mixed, kind="stable")
-    ordered, same = keys[order], mixed[order]
+    mixed = mixed[order]
     new = np.ones(len(keys), bool)
-    new[1:] = same[1:] != same[:-1]
-    if (~new[1:] & (ordered[1:] != ordered[:-1]).any(axis=1)).any():
-        # Two keys share a mixed value; order by the keys themselves.
-        order = np.lexsort((keys[:, 1], keys[:, 0]))
-        ordered = keys[order]
-        new[1:] = (ordered[1:] != ordered[:-1]).any(axis=1)
-    number = np.empty(len(keys), np.int64)
-    number[order] = np.cumsum(new) - 1
+    np.not_equal(mixed[1:], mixed[:-1], out=new[1:])
+    del mixed
+    order = order.astype(np.int32 if len(keys) < 1 << 31 else np.int64)
+    for at in range(1, len(keys), PART):
+        last = min(at + PART, len(keys))
+        unlike = (keys[order[at:last]] != keys[order[at - 1 : last - 1]]).any(axis=1)
+        if (unlike & ~new[at:last]).any():
+            # Two keys share a mixed value; order by the keys themselves.
+            order = np.lexsort((keys[:, 1], keys[:, 0]))
+            new[1:] = (keys[order[1:]] != keys[order[:-1]]).any(axis=1)
+            break
+    number = np.empty(len(keys), np.int32)
+    number[order] = np.cumsum(new, dtype=np.int32) - 1
     return number, order[new]
 
 
@@ -88,18 +99,27 @@ def entries(texts: list[bytes], table: bytes) -> Entries:
     raw = np.frombuffer(b" ".join(texts).translate(table) + b" ", np.uint8)
     bounds = np.cumsum([len(t) + 1 for t in texts])
     gap = np.ones(len(raw) + 1, bool)
-    gap[1:] = raw == 32
+    np.equal(raw, 32, out=gap[1:])
     edges = np.flatnonzero(gap[1:] != gap[:-1])
-    starts, lens = edges[0::2], np.diff(edges)[0::2]
+    del gap
+    starts, lens = edges[0::2].copy(), np.diff(edges)[0::2].astype(np.int32)
+    del edges
     if not len(starts):
         return Entries(np.zeros(len(texts) + 1, np.int64), np.empty(0, np.int32), np.empty(0, np.int32), pa.array([], pa.binary()))
     number, holder = _numbered(_keys(raw, starts, lens))
-    cells, counts = np.unique(np.searchsorted(bounds, starts, side="right") << 32 | number, return_counts=True)
-    ends = np.searchsorted(cells >> 32, np.arange(len(texts) + 1))
-    at = np.concatenate(([0], np.cumsum(lens[holder])))
+    at = np.concatenate(([0], np.cumsum(lens[holder], dtype=np.int64)))
     letters = raw[np.repeat(starts[holder] - at[:-1], lens[holder]) + np.arange(at[-1])]
     words = pa.Array.from_buffers(pa.binary(), len(holder), [None, pa.py_buffer(at.astype(np.int32)), pa.py_buffer(letters)])
-    return Entries(ends, (cells & 0xFFFFFFFF).astype(np.int32), counts.astype(np.int32), words)
+    cells = np.searchsorted(bounds, starts, side="right") << 32
+    del starts, lens
+    cells |= number
+    del number
+    cells.sort()
+    first = np.flatnonzero(np.concatenate(([True], cells[1:] != cells[:-1])))
+    counts = np.diff(first, append=len(cells)).astype(np.int32)
+    cells = cells[first]
+    ends = np.searchsorted(cells >> 32, np.arange(len(texts) + 1))
+    return Entries(ends, (cells & 0xFFFFFFFF).astype(np.int32), counts, words)
 
 
 def _cut(batches: Iterator[pa.RecordBatch], table: bytes, measure: Measure | None, kinds: list[pa.DataType], schema: pa.Schema):
@@ -177,12 +197,12 @@ def build(
     scratch = Scratch(docs.sparkSession, "terms")
     local = scratch.save(_local(docs, keep, table, measure, measures))
     words = local.select("shard", F.posexplode("vocabulary").alias("k", "word"))
-    dictionary = scratch.save(_dictionary(words.select("word.*"), scratch))
+    dictionary = _dictionary(words.select("word.*"), scratch)
     named = words.select("shard", "k", F.col("word.term").alias("term")).join(dictionary.select("term", "term_id"), "term")
     # A shard's words are bounded by its entries.
     columns = named.groupBy("shard").agg(F.array_sort(F.collect_list(F.struct("k", "term_id"))).alias("columns"))
     shards = local.drop("vocabulary").join(columns, "shard", "left").withColumn("columns", F.coalesce("columns.term_id", F.array().cast("array<long>")))
-    return TermMatrix(dictionary, shards)
+    return TermMatrix(dictionary, local, shards)
 
 
 def _sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -198,6 +218,6 @@ def _sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def row_sums(matrix: TermMatrix) -> DataFrame:
     """The rows' own columns, with ``n_terms`` (sum of the row) and ``n_distinct`` (entries that are not zero)."""
-    fields = matrix.shards.schema["rows"].dataType.elementType.fields
+    fields = matrix.local.schema["rows"].dataType.elementType.fields
     ddl = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in fields) + ", n_terms long, n_distinct long"
-    return matrix.shards.select("rows", "ends", "counts").mapInArrow(_sums, ddl)
+    return matrix.local.select("rows", "ends", "counts").mapInArrow(_sums, ddl)

@@ -7,6 +7,7 @@ from collections import Counter, defaultdict
 from fractions import Fraction
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from geopressure.llm import catalog, embedding_dedup, filter_audit, ranked_search, term_matrix
@@ -40,8 +41,9 @@ def test_numbered_tells_apart_keys_of_one_mixed_value():
     # Keys a and b with the same mixed value: the second part undoes the first's difference.
     a, m, n = np.array([5, 9], np.uint64), np.uint64(0x9E3779B97F4A7C15), pow(0xC2B2AE3D27D4EB4F, -1, 1 << 64)
     b0 = np.uint64(77)
-    target = int((a[0] * m) ^ (a[1] * np.uint64(0xC2B2AE3D27D4EB4F)))
-    b1 = np.uint64(((target ^ int(b0 * m)) * n) % (1 << 64))
+    product = lambda x, y: int(x) * int(y) % (1 << 64)
+    target = product(a[0], m) ^ product(a[1], 0xC2B2AE3D27D4EB4F)
+    b1 = np.uint64(product(target ^ product(b0, m), n))
     number, holder = term_matrix._numbered(np.array([a, [b0, b1], a], np.uint64))
     assert number[0] == number[2] != number[1] and len(holder) == 2
 
@@ -174,9 +176,8 @@ def test_search_stops_before_the_ends_of_lists():
     texts = [b" ".join(words[i] for i in rng.zipf(1.3, 60) % 400) for _ in range(3000)]
     texts[77] = b" ".join(words[300:330])
     found = term_matrix.entries(texts, ranked_search.TERMS)
-    place = {w: i for i, w in enumerate(found.words.to_pylist())}
-    asked = np.sort(np.array([place[w] for w in words[300:330]]))
-    lists = ranked_search.Lists(asked, np.arange(len(place)), found.ends, found.terms, found.counts, len(texts), int(found.counts.sum()))
+    asked = pa.array(words[300:330], pa.binary())
+    lists = ranked_search.Lists(asked, found.words, found.ends, found.terms, found.counts, len(texts), int(found.counts.sum()))
     met, direct = [], ranked_search.Lists.direct
     lists.direct = lambda *a: (met.append(len(a[2])), direct(lists, *a))[1]
     docs, scores = lists.best(np.arange(len(asked)), np.full(len(asked), 1000), 1)
