@@ -1,8 +1,10 @@
-"""Polygons as tables of edges, and spatial joins as equi-joins on tiles.
+"""Polygons as tables of edges, and spatial joins as equi-joins on tiles, stripes and cells.
 
 A polygon table is ``(id, ring, x1, y1, x2, y2)``: one row per directed edge, ring 0 the exterior,
-others holes. Measures are sums over edges. Every spatial join first finds candidate pairs through
-tiles of the bounding boxes (an equi-join), then works on the edges of those pairs only.
+others holes. Measures are sums over edges. An overlay finds candidate pairs through tiles of the
+bounding boxes and cuts the edges of both sides at the borders of stripes that follow the density of
+their edges, so edges meet only where their ranges do. Points are answered by cells that lie inside a
+polygon; only those in a border cell meet edges, and only edges at their height.
 """
 
 from __future__ import annotations
@@ -143,7 +145,55 @@ def candidate_pairs(a: DataFrame, b: DataFrame, a_key: str, b_key: str, tile: fl
     )
     x, y = F.greatest("xmin", "xmin_b"), F.greatest("ymin", "ymin_b")
     once = (F.floor(x / tile) == F.col("tx")) & (F.floor(y / tile) == F.col("ty"))
-    return pairs.where(meet & once).select(*keys, a_key, b_key, F.least("xmin", "xmin_b").alias("ox"), F.least("ymin", "ymin_b").alias("oy"))
+    origin = (F.least("xmin", "xmin_b").alias("ox"), F.least("ymin", "ymin_b").alias("oy"))
+    shared = (x.alias("from_x"), F.least("xmax", "xmax_b").alias("to_x"))
+    return pairs.where(meet & once).select(*keys, a_key, b_key, *origin, *shared)
+
+
+#: Edges of one polygon that a stripe of a tile's column holds on average.
+STRIPE_EDGES = 8
+
+
+def _columns(edges: DataFrame, key: str, keys: list[str], tile: float) -> DataFrame:
+    """Non-vertical edges with the part ``lo`` to ``hi`` of their x-range in each tile's column ``tx``."""
+    low, high = F.least("x1", "x2"), F.greatest("x1", "x2")
+    rows = edges.where("x1 <> x2").select(*keys, key, *EDGE, low.alias("lo"), high.alias("hi"))
+    last = F.greatest(F.ceil(F.col("hi") / tile) - 1, F.floor(F.col("lo") / tile))
+    rows = rows.withColumn("tx", F.explode(F.sequence(F.floor(F.col("lo") / tile), last)))
+    return rows.withColumns({"lo": F.greatest("lo", F.col("tx") * tile), "hi": F.least("hi", (F.col("tx") + 1) * tile)})
+
+
+def edge_pairs(a: DataFrame, b: DataFrame, a_key: str, b_key: str, tile: float, block: str | None = None) -> DataFrame:
+    """Edges of both sides of each candidate pair that share a stretch ``lo`` to ``hi`` of a stripe.
+
+    A tile's column is cut for each pair into stripes, as many as its denser side's edges there ask for, so an edge meets
+    the few edges of the same stripe and the rows follow the number of edges, not its square. Columns: the
+    keys, the ends of both edges (``ax1`` to ``by2``), ``lo``, ``hi``, and the pair's origin ``ox, oy``.
+    """
+    keys = [block] if block else []
+    pairs = candidate_pairs(a, b, a_key, b_key, tile, block)
+    last = F.greatest(F.ceil(F.col("to_x") / tile) - 1, F.floor(F.col("from_x") / tile))
+    columns = pairs.withColumn("tx", F.explode(F.sequence(F.floor(F.col("from_x") / tile), last)))
+    sides = {}
+    for tag, edges, key in (("a", a, a_key), ("b", b, b_key)):
+        sides[tag] = _columns(edges, key, keys, tile)
+        columns = columns.join(sides[tag].groupBy(*keys, key, "tx").agg(F.count("*").alias(f"n{tag}")), [*keys, key, "tx"])
+    columns = columns.withColumn("stripe", tile / F.ceil(F.greatest("na", "nb") / STRIPE_EDGES))
+
+    def cut(tag: str, key: str) -> DataFrame:
+        rows = columns.join(sides[tag], [*keys, key, "tx"])
+        rows = rows.withColumns({"lo": F.greatest("lo", "from_x"), "hi": F.least("hi", "to_x")}).where("lo < hi")
+        base = F.col("tx") * tile
+        first = F.floor((F.col("lo") - base) / F.col("stripe"))
+        final = F.greatest(F.ceil((F.col("hi") - base) / F.col("stripe")) - 1, first)
+        rows = rows.withColumn("__s", F.explode(F.sequence(first, final)))
+        low, high = F.greatest("lo", base + F.col("__s") * F.col("stripe")), F.least("hi", base + (F.col("__s") + 1) * F.col("stripe"))
+        ends = [(F.col(c) - F.col("ox" if c[0] == "x" else "oy")).alias(tag + c) for c in EDGE]
+        moved = [(c - F.col("ox")).alias(f"{tag}{n}") for c, n in ((low, "lo"), (high, "hi"))]
+        return rows.select(*keys, a_key, b_key, "tx", "__s", "ox", "oy", *ends, *moved)
+
+    met = cut("a", a_key).join(cut("b", b_key).drop("ox", "oy"), [*keys, a_key, b_key, "tx", "__s"])
+    return met.withColumns({"lo": F.greatest("alo", "blo"), "hi": F.least("ahi", "bhi")}).where("lo < hi")
 
 
 def overlap_area(a: DataFrame, b: DataFrame, a_key: str, b_key: str, tile: float, block: str | None = None) -> DataFrame:
@@ -154,18 +204,7 @@ def overlap_area(a: DataFrame, b: DataFrame, a_key: str, b_key: str, tile: float
     the integral of the lower of two lines: two pieces where they cross.
     """
     keys = [block] if block else []
-    pairs = candidate_pairs(a, b, a_key, b_key, tile, block)
-
-    def sides(edges: DataFrame, key: str, tag: str) -> DataFrame:
-        rows = edges.where("x1 <> x2")
-        return rows.select(*keys, key, *[F.col(c).alias(tag + c) for c in EDGE])
-
-    rows = pairs.join(sides(a, a_key, "a"), [*keys, a_key]).join(sides(b, b_key, "b"), [*keys, b_key])
-    for tag in "ab":
-        rows = rows.withColumns({tag + c: F.col(tag + c) - F.col("ox" if c[0] == "x" else "oy") for c in EDGE})
-    low = F.greatest(F.least("ax1", "ax2"), F.least("bx1", "bx2"))
-    high = F.least(F.greatest("ax1", "ax2"), F.greatest("bx1", "bx2"))
-    rows = rows.withColumns({"lo": low, "hi": high}).where("lo < hi")
+    rows = edge_pairs(a, b, a_key, b_key, tile, block)
     at = lambda tag, x: F.col(tag + "y1") + (F.col(x) - F.col(tag + "x1")) * (
         (F.col(tag + "y2") - F.col(tag + "y1")) / (F.col(tag + "x2") - F.col(tag + "x1"))
     )
@@ -181,23 +220,94 @@ def overlap_area(a: DataFrame, b: DataFrame, a_key: str, b_key: str, tile: float
     return rows.groupBy(*keys, a_key, b_key).agg(F.sum(sign * area).alias("area")).where("area > 1e-6")
 
 
+#: Sizes of cells and stripes are the tile's times a power of two between these.
+LOW_LEVEL, HIGH_LEVEL = -40, 40
+
+
+def _level(size: Column, tile: float) -> Column:
+    """Least power of two whose multiple of the tile is at least ``size``."""
+    fit = F.ceil(F.log2(F.greatest(size, F.lit(tile * 2.0**LOW_LEVEL)) / tile))
+    return F.least(F.greatest(fit, F.lit(LOW_LEVEL)), F.lit(HIGH_LEVEL)).cast("int")
+
+
+def _sizes(edges: DataFrame, key: str, keys: list[str], tile: float) -> DataFrame:
+    """Each polygon's cell level (cells along a side about twice the root of its edges) and stripe level (a stripe for each edge)."""
+    box = edges.groupBy(*keys, key).agg(
+        F.count("*").alias("__n"),
+        (F.max(F.greatest("x1", "x2")) - F.min(F.least("x1", "x2"))).alias("__wide"),
+        (F.max(F.greatest("y1", "y2")) - F.min(F.least("y1", "y2"))).alias("__tall"),
+    )
+    side = F.greatest("__wide", "__tall") / F.ceil(2 * F.sqrt("__n"))
+    return box.select(*keys, key, _level(side, tile).alias("level"), _level(F.col("__tall") / F.col("__n"), tile).alias("stripe"))
+
+
+def classify_cells(edges: DataFrame, key: str, tile: float, block: str | None = None) -> DataFrame:
+    """``[block,] key, level, stripe, gx, gy, border``: the cells that a polygon fills (border false) or whose inside or rim an edge meets.
+
+    A cell of ``level`` has the side ``tile * 2**level``. A cell that no edge meets is inside if its centre is,
+    which the crossings of its row's centre line tell: the cells between each odd crossing and the next one are.
+    """
+    keys = [block] if block else []
+    rows = edges.select(*keys, key, *EDGE).join(_sizes(edges, key, keys, tile), [*keys, key])
+    rows = rows.withColumn("__size", tile * F.pow(F.lit(2.0), "level"))
+    named = [*keys, key, "level", "stripe"]
+    # Rounding moves no edge as far as this margin.
+    margin = F.col("__size") * 1e-6
+    low, high = F.least("y1", "y2"), F.greatest("y1", "y2")
+    lines = F.explode(F.sequence(F.floor((low - margin) / F.col("__size")), F.floor((high + margin) / F.col("__size"))))
+    crossed = rows.withColumn("gy", lines)
+    at = lambda y: F.when(
+        F.col("y1") != F.col("y2"), F.col("x1") + (F.least(F.greatest(y, low), high) - F.col("y1")) * (F.col("x2") - F.col("x1")) / (F.col("y2") - F.col("y1"))
+    )
+    ends = (at(F.col("gy") * F.col("__size") - margin), at((F.col("gy") + 1) * F.col("__size") + margin))
+    left, right = F.coalesce(F.least(*ends), F.least("x1", "x2")), F.coalesce(F.greatest(*ends), F.greatest("x1", "x2"))
+    across = F.explode(F.sequence(F.floor((left - margin) / F.col("__size")), F.floor((right + margin) / F.col("__size"))))
+    border = crossed.select(*named, "gy", across.alias("gx"), F.lit(True).alias("border"))
+    centre = (F.col("gy") + 0.5) * F.col("__size")
+    risen = crossed.where((F.col("y1") > centre) != (F.col("y2") > centre))
+    x = F.col("x1") + (centre - F.col("y1")) * (F.col("x2") - F.col("x1")) / (F.col("y2") - F.col("y1"))
+    line = Window.partitionBy(*named, "gy").orderBy("__x")
+    spans = risen.select(*named, "gy", "__size", x.alias("__x")).withColumns({"__k": F.row_number().over(line), "__end": F.lead("__x").over(line)})
+    spans = spans.where("__k % 2 = 1 and __end is not null")
+    first, last = F.ceil(F.col("__x") / F.col("__size") - 0.5), F.floor(F.col("__end") / F.col("__size") - 0.5)
+    inside = spans.where(first <= last).select(*named, "gy", F.explode(F.sequence(first, last)).alias("gx"), F.lit(False).alias("border"))
+    return border.unionByName(inside).groupBy(*named, "gx", "gy").agg(F.bool_or("border").alias("border"))
+
+
+def _in_cells(points: DataFrame, edges: DataFrame, point_key: str, key: str, tile: float, keys: list[str]) -> DataFrame:
+    """Points with the polygons that fill or cross their cells."""
+    # There are at most as many levels as powers of two between the bounds.
+    levels = F.broadcast(_sizes(edges, key, keys, tile).select("level").distinct())
+    size = tile * F.pow(F.lit(2.0), "level")
+    located = points.select(*keys, point_key, "x", "y").where("x is not null and y is not null").crossJoin(levels)
+    located = located.withColumns({"gx": F.floor(F.col("x") / size), "gy": F.floor(F.col("y") / size)})
+    return located.join(classify_cells(edges, key, tile, keys[0] if keys else None), [*keys, "level", "gx", "gy"])
+
+
+def edges_at_height(near: DataFrame, edges: DataFrame, key: str, tile: float, keys: list[str]) -> DataFrame:
+    """Rows of ``near(key, stripe, y, ...)`` with the polygon's edges in the stripe of their height."""
+    height = tile * F.pow(F.lit(2.0), "stripe")
+    risen = edges.where("y1 <> y2").select(*keys, key, *EDGE).join(_sizes(edges, key, keys, tile).drop("level"), [*keys, key])
+    lines = F.sequence(F.floor(F.least("y1", "y2") / height), F.floor(F.greatest("y1", "y2") / height))
+    cut = risen.select(*keys, key, *EDGE, F.explode(lines).alias("__line"))
+    return near.withColumn("__line", F.floor(F.col("y") / height)).join(cut, [*keys, key, "__line"])
+
+
 def point_polygon_pairs(points: DataFrame, edges: DataFrame, point_key: str, key: str, tile: float, block: str | None = None) -> DataFrame:
     """``point_key, key`` of every polygon that holds a point.
 
-    Ray casting: a point is inside if an odd number of edges lies to its right. A point on a border
-    can count in any of the polygons that meet there, or none.
+    A point in a cell that the polygon fills is inside. In a border cell ray casting decides: a point is inside if an odd number
+    of edges lies to its right. A point on a border can count in any of the polygons that meet there, or none.
     """
     keys = [block] if block else []
-    tiles = _tiles(extent(edges, [key, *keys]), tile).select(*keys, key, "tx", "ty", "xmin", "ymin", "xmax", "ymax")
-    located = points.select(*keys, point_key, "x", "y", F.floor(F.col("x") / tile).alias("tx"), F.floor(F.col("y") / tile).alias("ty"))
-    near = located.join(tiles, [*keys, "tx", "ty"]).where("x between xmin and xmax and y between ymin and ymax")
+    near = _in_cells(points, edges, point_key, key, tile, keys)
     crossing = ((F.col("y1") > F.col("y")) != (F.col("y2") > F.col("y"))) & (
         F.col("x") < F.col("x1") + (F.col("y") - F.col("y1")) * (F.col("x2") - F.col("x1")) / (F.col("y2") - F.col("y1"))
     )
     # The division is only reached by edges that cross the point's height.
-    risen = edges.where("y1 <> y2").select(*keys, key, *EDGE)
-    hits = near.select(*keys, point_key, key, "x", "y").join(risen, [*keys, key]).where(crossing)
-    return hits.groupBy(point_key, key).count().where("count % 2 = 1").select(point_key, key)
+    hits = edges_at_height(near.where("border").select(*keys, point_key, key, "stripe", "x", "y"), edges, key, tile, keys).where(crossing)
+    odd = hits.groupBy(point_key, key).count().where("count % 2 = 1").select(point_key, key)
+    return near.where("not border").select(point_key, key).unionByName(odd)
 
 
 def points_in_polygons(points: DataFrame, edges: DataFrame, point_key: str, key: str, tile: float, block: str | None = None) -> DataFrame:
@@ -206,27 +316,47 @@ def points_in_polygons(points: DataFrame, edges: DataFrame, point_key: str, key:
     return inside.groupBy(point_key).agg(F.min(key).alias(key))
 
 
+#: Steps of the descent and bits of both axes that each takes; the finest grid has ``2**(STEPS * BITS)`` cells along a side.
+STEPS, BITS = 4, 3
+#: Cells of a grid up to which it is broadcast: all of the first two.
+FEW_CELLS = 4096
+
+
 def nearest(a: DataFrame, b: DataFrame, a_key: str, b_key: str) -> DataFrame:
     """The nearest point of ``b(b_key, x, y)`` for each of ``a``, ties to the least key, at any distance.
 
-    The radius begins at twice the mean spacing of ``b`` and grows eightfold for those that have found nothing
-    yet, so every round is an equi-join on grid cells; the last radius spans both sides.
+    Places of ``b`` are laid on a space-filling order of nested grids, a cell's number beginning with its parent's. Every point of ``a`` descends it: of
+    the occupied cells below those it still looks at, the least distance within which one surely has a place bounds the search, and cells that
+    begin beyond it are left. The places of the last cells are then compared exactly. The depth is fixed, so this is one plan, and building it starts no job.
     """
-    corners = [f("x" if c == "x" else "y").alias(f"{n}{c}") for c in "xy" for n, f in (("low", F.min), ("high", F.max))]
-    ends = a.select("x", "y").unionByName(b.select("x", "y")).agg(*corners).first()
-    n = b.count()
-    if ends["lowx"] is None or not n:
-        return nearest_within(a, b, a_key, b_key, 1.0).select(a_key, b_key, "distance")
-    span = max(ends["highx"] - ends["lowx"], ends["highy"] - ends["lowy"], 1e-9)
-    radius, rest, found = 2 * span / n**0.5, a, None
-    while True:
-        last = radius >= 2 * span
-        got = nearest_within(rest, b, a_key, b_key, radius).select(a_key, b_key, "distance")
-        found = got if found is None else found.unionByName(got)
-        if last:
-            return found
-        rest = rest.join(got.select(a_key), a_key, "left_anti")
-        radius *= 8
+    spots = b.where("x is not null and y is not null").groupBy("x", "y").agg(F.min(b_key).alias(b_key))
+    ends = [f(c).alias(f"{n}_{c}") for c in "xy" for n, f in (("low", F.min), ("high", F.max))]
+    span = F.greatest(F.col("high_x") - F.col("low_x"), F.col("high_y") - F.col("low_y"))
+    frame = spots.agg(*ends).select("low_x", "low_y", F.when(span > 0, span).otherwise(1.0).alias("span"))
+    most = (1 << (STEPS * BITS)) - 1
+    place = lambda c: F.least(F.floor((F.col(c) - F.col(f"low_{c}")) / F.col("span") * most), F.lit(most)).cast("int")
+    leaves = spots.crossJoin(F.broadcast(frame)).select("x", "y", b_key, place("x").alias("cx"), place("y").alias("cy"))
+    left = a.where("x is not null and y is not null").select(a_key, F.col("x").alias("ax"), F.col("y").alias("ay"))
+    left = left.withColumns({"cx": F.lit(0), "cy": F.lit(0)}).repartition(a_key)
+    each = Window.partitionBy(a_key)
+    for step in range(1, STEPS + 1):
+        up = BITS * (STEPS - step)
+        cells = leaves.groupBy(F.shiftright("cx", up).alias("gx"), F.shiftright("cy", up).alias("gy")).agg(
+            *[f(c).alias(f"{n}{c}") for c in "xy" for n, f in (("l", F.min), ("h", F.max))]
+        )
+        cells = cells.withColumns({"cx": F.shiftright("gx", BITS), "cy": F.shiftright("gy", BITS)})
+        if 1 << (2 * BITS * step) <= FEW_CELLS:
+            cells = F.broadcast(cells)
+        below = left.join(cells, ["cx", "cy"])
+        off = lambda c: F.greatest(F.col(f"l{c}") - F.col(f"a{c}"), F.col(f"a{c}") - F.col(f"h{c}"), F.lit(0.0))
+        far = lambda c: F.greatest(F.abs(F.col(f"l{c}") - F.col(f"a{c}")), F.abs(F.col(f"h{c}") - F.col(f"a{c}")))
+        least, sure = (off("x") * off("x") + off("y") * off("y")), (far("x") * far("x") + far("y") * far("y"))
+        below = below.select(a_key, "ax", "ay", "gx", "gy", least.alias("least"), F.min(sure).over(each).alias("bound"))
+        # The margin is above what rounding moves.
+        left = below.where(F.col("least") <= F.col("bound") * (1 + 1e-9)).select(a_key, "ax", "ay", F.col("gx").alias("cx"), F.col("gy").alias("cy"))
+    d = F.sqrt(F.pow(F.col("ax") - F.col("x"), 2) + F.pow(F.col("ay") - F.col("y"), 2))
+    best = left.join(leaves, ["cx", "cy"]).groupBy(a_key).agg(F.min(F.struct(d.alias("d"), b_key)).alias("m"))
+    return best.select(a_key, F.col(f"m.{b_key}").alias(b_key), F.col("m.d").alias("distance"))
 
 
 def nearest_within(a: DataFrame, b: DataFrame, a_key: str, b_key: str, radius: float, block: str | None = None) -> DataFrame:
