@@ -49,7 +49,7 @@ def build_index(docs: DataFrame) -> Index:
     """Index ``docs(doc_id, text, ...)``: every row is a document; a null or empty text holds no term."""
     built = term_matrix.build(docs.select("doc_id", "text"), ["doc_id"], TERMS)
     n = built.local.agg(F.sum("filled")).first()[0] or 0
-    shards = built.local.select("shard", "rows", "ends", "terms", "counts", F.col("vocabulary.term").alias("words"))
+    shards = built.local.select("shard", "rows", "ends", "terms", "counts", "letters", F.col("bounds").alias("word_bounds"))
     return Index(shards, built.dictionary, n, built.dictionary.agg(F.sum("total")).first()[0] or 0)
 
 
@@ -145,7 +145,8 @@ def _search(batches: Iterator[pa.RecordBatch], k: int, documents: int, total: in
         for i in range(batch.num_rows):
             ints = lambda name, kind=np.int64: np.frombuffer(batch.column(name)[i].as_py(), kind)  # noqa: E731, B023
             items, bounds, lists, weights = ints("items"), ints("bounds"), ints("lists"), ints("weights")
-            asked, words = batch.column("asked")[i].values, batch.column("words")[i].values
+            asked = batch.column("asked")[i].values
+            words = term_matrix.shard_words(batch.column("letters")[i].as_py(), batch.column("word_bounds")[i].as_py())
             held = Lists(asked, words, ints("ends"), ints("terms", np.int32), ints("counts", np.int32), documents, total)
             ids = batch.column("rows")[i].values.field("doc_id")
             out: list[list] = [[], [], []]
@@ -198,7 +199,9 @@ def search(index: Index, items: DataFrame, k: int = 10) -> DataFrame:
     ratio = F.lit(2.0 * index.documents + 2) / (2 * F.col("df") + 1)
     known = index.dictionary.join(terms, "term").withColumn("weight", F.floor(1000 * F.log(ratio)) * F.col("repeats"))
     queries = known.where("weight > 0").groupBy("item").agg(F.collect_list(F.struct("term", "weight")).alias("terms"))
-    packed = scratch.save(queries.mapInArrow(_pack, PACKED))
+    # As few blocks as hold the queries: every block meets every shard.
+    blocks = max(1, -(-named.count() // QUERIES))
+    packed = scratch.save(queries.repartition(blocks).mapInArrow(_pack, PACKED))
     letters = F.aggregate("asked", F.lit(0), lambda n, term: n + F.length(term) + 8)
     size = packed.agg(F.sum(letters + F.length("lists") * 2)).first()[0] or 0
     shards = index.shards

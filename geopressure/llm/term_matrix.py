@@ -37,8 +37,9 @@ BLANK_WORDS = bytes(32 if i in (32, *range(9, 14)) else i for i in range(256))
 class TermMatrix(NamedTuple):
     """``dictionary(term, term_id, df, total)``, ``local`` and ``shards``.
 
-    ``local(shard, rows, filled, ends, terms, counts, vocabulary)`` are the shards as they were cut, each with its own words; ``filled`` is how many of a shard's
-    rows have any entry. ``shards`` has the dictionary's numbers of these words, ``columns``, in their place.
+    ``local(shard, rows, filled, ends, terms, counts, letters, bounds)`` are the shards as they were cut, each with its own words (see :func:`shard_words`);
+    ``filled`` is how many of a shard's rows have any entry. ``shards`` has the dictionary's numbers of these words, ``columns``, in their place.
+    All but ``rows`` and ``columns`` are packed, so that a shard passes through Spark as a few blocks of bytes.
     """
 
     dictionary: DataFrame
@@ -141,16 +142,36 @@ def _cut(batches: Iterator[pa.RecordBatch], table: bytes, measure: Measure | Non
             measured = [measure(raw) for raw in held] if measure else []
             own = [c.slice(begin, at - begin).cast(row_type.field(i).type) for i, c in enumerate(kept)]
             own += [pa.array([m[i] for m in measured], kind) for i, kind in enumerate(kinds)]
-            df = np.bincount(found.terms, minlength=len(found.words))
-            total = np.bincount(found.terms, weights=found.counts, minlength=len(found.words)).astype(np.int64)
-            words = pa.StructArray.from_arrays([found.words, pa.array(df.astype(np.int64)), pa.array(total)], ["term", "df", "total"])
             binary = [pa.array([x.tobytes()], pa.binary()) for x in (found.ends.astype(np.int64), found.terms, found.counts)]
             filled = int(np.count_nonzero(np.diff(found.ends)))
-            columns = [pa.array([task << 32 | made], pa.int64()), one(pa.StructArray.from_arrays(own, names)), pa.array([filled], pa.int64()), *binary, one(words)]
-            yield pa.RecordBatch.from_arrays(columns, ["shard", "rows", "filled", "ends", "terms", "counts", "vocabulary"])
+            _, bounds, letters = found.words.buffers()
+            binary += [pa.array([x.to_pybytes() if x else b""], pa.binary()) for x in (letters, bounds)]
+            columns = [pa.array([task << 32 | made], pa.int64()), one(pa.StructArray.from_arrays(own, names)), pa.array([filled], pa.int64()), *binary]
+            yield pa.RecordBatch.from_arrays(columns, ["shard", "rows", "filled", "ends", "terms", "counts", "letters", "bounds"])
             made += 1
 
 
+def shard_words(letters: bytes, bounds: bytes) -> pa.Array:
+    """The words of a shard in order of their columns."""
+    return pa.Array.from_buffers(pa.binary(), max(len(bounds) // 4 - 1, 0), [None, pa.py_buffer(bounds or bytes(4)), pa.py_buffer(letters)])
+
+
+def _words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """``shard, k, term, df, total`` of every column of every shard."""
+    for batch in batches:
+        for i in range(batch.num_rows):
+            terms, counts = (np.frombuffer(batch.column(c)[i].as_py(), np.int32) for c in ("terms", "counts"))
+            words = shard_words(batch.column("letters")[i].as_py(), batch.column("bounds")[i].as_py())
+            df = np.bincount(terms, minlength=len(words))
+            total = np.bincount(terms, weights=counts, minlength=len(words)).astype(np.int64)
+            for at in range(0, len(words), PART // 4):
+                part = slice(at, min(at + PART // 4, len(words)))
+                k = np.arange(part.start, part.stop, dtype=np.int32)
+                shard = pa.array(np.full(len(k), batch.column("shard")[i].as_py()), pa.int64())
+                columns = [shard, pa.array(k), words[part], pa.array(df[part].astype(np.int64)), pa.array(total[part])]
+                yield pa.RecordBatch.from_arrays(columns, ["shard", "k", "term", "df", "total"])
+
+
 def _local(docs: DataFrame, keep: Sequence[str], table: bytes, measure: Measure | None, measures: str) -> DataFrame:
     """Shards with columns numbered inside each, and the words of these."""
     from pyspark.sql.pandas.types import to_arrow_schema, to_arrow_type
@@ -160,7 +181,7 @@ def _local(docs: DataFrame, keep: Sequence[str], table: bytes, measure: Measure
     extra = spark.createDataFrame([], measures).schema if measures else StructType()
     fields = [*docs.select(*keep).schema.fields, *extra.fields]
     struct = ", ".join(f"`{f.name}`: {f.dataType.simpleString()}" for f in fields)
-    ddl = f"shard long, rows array<struct<{struct}>>, filled long, ends binary, terms binary, counts binary, vocabulary array<struct<term: binary, df: long, total: long>>"
+    ddl = f"shard long, rows array<struct<{struct}>>, filled long, ends binary, terms binary, counts binary, letters binary, bounds binary"
     schema = to_arrow_schema(spark.createDataFrame([], ddl).schema)
     kinds = [to_arrow_type(f.dataType) for f in extra.fields]
     cut = functools.partial(whole(_cut), table=table, measure=measure, kinds=kinds, schema=schema)
@@ -196,12 +217,12 @@ def build(
     """
     scratch = Scratch(docs.sparkSession, "terms")
     local = scratch.save(_local(docs, keep, table, measure, measures))
-    words = local.select("shard", F.posexplode("vocabulary").alias("k", "word"))
-    dictionary = _dictionary(words.select("word.*"), scratch)
-    named = words.select("shard", "k", F.col("word.term").alias("term")).join(dictionary.select("term", "term_id"), "term")
+    words = local.select("shard", "terms", "counts", "letters", "bounds").mapInArrow(whole(_words), "shard long, k int, term binary, df long, total long")
+    dictionary = _dictionary(words.select("term", "df", "total"), scratch)
+    named = words.select("shard", "k", "term").join(dictionary.select("term", "term_id"), "term")
     # A shard's words are bounded by its entries.
     columns = named.groupBy("shard").agg(F.array_sort(F.collect_list(F.struct("k", "term_id"))).alias("columns"))
-    shards = local.drop("vocabulary").join(columns, "shard", "left").withColumn("columns", F.coalesce("columns.term_id", F.array().cast("array<long>")))
+    shards = local.drop("letters", "bounds").join(columns, "shard", "left").withColumn("columns", F.coalesce("columns.term_id", F.array().cast("array<long>")))
     return TermMatrix(dictionary, local, shards)
 
 
