@@ -16,10 +16,11 @@ from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from geopressure.llm.store import Scratch
+from geopressure.llm.tasks import lean
 
 #: Winning paths up to this many bytes are sent to every executor; beyond, pages are joined by host.
 MAX_BROADCAST = 16 << 20
@@ -33,16 +34,17 @@ ATTRIBUTE = re.compile(r"""([^\s=/"'<>]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"
 DEPTH = 512
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style noscript template textarea title iframe noembed noframes xmp svg math select canvas".split())
+RAW = frozenset("script style noscript template textarea title iframe noembed noframes xmp select".split())
 BLOCK = frozenset(
-    "address article aside blockquote body br caption center dd details dialog div dl dt fieldset figcaption figure footer "
+    "address article aside blockquote body caption center dd details dialog div dl dt fieldset figcaption figure footer "
     "form h1 h2 h3 h4 h5 h6 header hr html legend li main menu nav ol p pre section summary table tbody td tfoot th thead "
     "tr ul".split()
 )
 CONTAINERS = frozenset("article body div main section td".split())
 TEXTUAL = frozenset("blockquote dd dt figcaption h1 h2 h3 h4 h5 h6 li p pre".split())
-SKIPPED = frozenset("nav footer aside form button menu dialog head object audio video label input".split())
-ENDS_P = BLOCK - {"br", "body", "html", "caption", "tbody", "td", "tfoot", "th", "thead", "tr", "legend", "summary"}
+#: Menus, footers, sidebars and forms, and what is never shown: parts of a drawing or formula that describe it.
+SKIPPED = frozenset("nav footer aside form button menu head input desc metadata annotation annotation-xml".split())
+ENDS_P = BLOCK - {"body", "html", "caption", "tbody", "td", "tfoot", "th", "thead", "tr", "legend", "summary"}
 #: Start tag to the open tags that it closes, and the tags that shield those further out.
 IMPLIED = {
     "li": ({"li"}, {"ul", "ol", "menu"}),
@@ -155,10 +157,11 @@ def walk(page: str, on_text, on_open, on_close) -> None:
         classes, marked = _names(token[3])
         inside = any(x.tag in ("article", "main") for x in stack)
         skipped = stack[-1].skipped or marked or tag in SKIPPED or (tag == "header" and not inside)
+        skipped |= tag == "dialog" and not re.search(r"(?:^|\s)open(?:[\s=/]|$)", token[3], re.I)
         if tag in ("html", "body"):
             skipped = False
         name = tag + ("." + classes if classes else "")
-        node = Node(tag, f"{stack[-1].path}>{name}" if tag in BLOCK and tag != "br" else stack[-1].path, skipped)
+        node = Node(tag, f"{stack[-1].path}>{name}" if tag in BLOCK else stack[-1].path, skipped)
         on_open(node, stack)
         if tag not in VOID and len(stack) < DEPTH:
             stack.append(node)
@@ -223,6 +226,9 @@ def extract(page: str, path: str) -> list[str]:
     def on_open(node: Node, stack: list[Node]) -> None:
         if node.tag in BLOCK:
             flush()
+        elif node.tag == "br" and inside:
+            # A line break is white space inside its block; it ends none.
+            run.append(" ")
         if not inside and node.path == path and node.tag in CONTAINERS and not node.skipped:
             inside.append(node)
 
@@ -237,6 +243,7 @@ def extract(page: str, path: str) -> list[str]:
     return blocks
 
 
+@lean
 def _vote(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         found = [best_path(page.as_py() or "") for page in batch.column("html")]
@@ -246,6 +253,7 @@ def _vote(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         )
 
 
+@lean
 def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         texts = []
@@ -271,14 +279,16 @@ def winning_paths(pages: DataFrame) -> DataFrame:
     rows = pages.select(host_of(F.col("url")).alias("host"), "html").where("html is not null")
     votes = rows.mapInArrow(_vote, "host string, path string, score double").where("score > 0")
     votes = votes.groupBy("host", "path").agg(F.count("*").alias("n"), F.sum("score").alias("score"))
-    best = Window.partitionBy("host").orderBy(F.desc("n"), F.desc(F.round("score")), "path")
-    return votes.withColumn("r", F.row_number().over(best)).where("r = 1").select("host", "path")
+    # The least struct: most votes, most text, least path. It combines early, so a host's paths never meet in one task.
+    best = F.min(F.struct((-F.col("n")).alias("n"), (-F.round("score")).alias("score"), "path"))
+    return votes.groupBy("host").agg(best.alias("best")).select("host", "best.path")
 
 
 def main_texts(pages: DataFrame) -> DataFrame:
     """``page_id, url, text`` of every row of ``pages(page_id, url, html, ...)``.
 
-    The blocks of the main text are joined by one newline; white space inside a block is one space. A
+    The blocks of the main text are joined by one newline; white space inside a block, a ``br`` included, is one space. Formulas, drawings'
+    words, labels, captions and fallback text inside the article are kept; menus, forms, notices and what a browser never shows are not. A
     null or empty html has an empty text. A page without a host votes and is read with the other
     pages without one. Rows that repeat stay; other columns are ignored.
     """

@@ -22,13 +22,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from geopressure.llm.store import Scratch
 from geopressure.llm.tasks import lean
 
 KINDS = ("email", "ip", "card", "phone")
 NONE = len(KINDS)
 LABELS = NONE + 1
-#: Bound of the sample that the weights are fitted on: documents of least hash.
-MAX_DOCS = 4000
 #: Least certainty of an added span, and rounds of message passing.
 CERTAIN, ROUNDS, DAMPING = 0.9, 12, 0.3
 CUES = 32
@@ -291,8 +290,8 @@ def _sampled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         )
 
 
-def pseudo_likelihood(x: np.ndarray, label: np.ndarray, steps: int = 300, penalty: float = 0.02) -> Weights:
-    """Fit all weights by gradient steps on the sum of each node's likelihood given its neighbours.
+def pseudo_likelihood(x: np.ndarray, label: np.ndarray, steps: int = 300, penalty: float = 0.02, times: np.ndarray | None = None) -> Weights:
+    """Fit all weights by gradient steps on the sum of each node's likelihood given its neighbours, row ``i`` counted ``times[i]`` times.
 
     A skip joins nodes that look alike, so its weights start from a preference for equal labels, which
     the penalty pulls towards: a sample with few skips keeps it.
@@ -305,8 +304,9 @@ def pseudo_likelihood(x: np.ndarray, label: np.ndarray, steps: int = 300, penalt
     target = np.eye(LABELS)[label]
     scale = np.maximum(1.0, np.abs(x).max(axis=0)) if len(x) else 1.0
     z = x / scale
-    share = np.maximum(target.sum(axis=0), 1.0)
-    weight = (1 / np.sqrt(share))[label][:, None]
+    times = np.ones(len(x)) if times is None else times
+    share = np.maximum((times[:, None] * target).sum(axis=0), 1.0)
+    weight = (times / np.sqrt(share)[label])[:, None]
     weight = weight / weight.sum() if len(x) else weight
     speed = np.zeros_like(w)
     for _ in range(steps if len(x) else 0):
@@ -320,14 +320,21 @@ def pseudo_likelihood(x: np.ndarray, label: np.ndarray, steps: int = 300, penalt
     return Weights(w[:N_FEATURES], (chain + chain.T) / 2, (skip + skip.T) / 2)
 
 
-def fit(docs: DataFrame) -> Weights:
-    """Fit on at most ``MAX_DOCS`` documents of least hash, all their nodes, labelled by the base patterns."""
-    ids = docs.select("doc_id").where("doc_id is not null").distinct().orderBy(F.xxhash64("doc_id")).limit(MAX_DOCS)
+def fit(docs: DataFrame, max_docs: int = 4000, max_nodes: int = 50_000) -> Weights:
+    """Fit on at most ``max_docs`` documents of least hash, labelled by the base patterns.
+
+    Equal nodes of these are counted in Spark and come as one row; of the distinct ones a share by hash, about ``max_nodes`` if there are more, reaches the
+    driver, so texts of any length send a bounded amount there.
+    """
+    ids = docs.select("doc_id").where("doc_id is not null").distinct().orderBy(F.xxhash64("doc_id")).limit(max_docs)
     sample = docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id")
-    rows = sample.select("text").mapInArrow(_sampled, "label int, x array<double>").collect()
-    rows = sorted((r.label, tuple(r.x)) for r in rows)
+    nodes_ = sample.select("text").mapInArrow(_sampled, "label int, x array<double>").groupBy("label", "x").agg(F.count("*").alias("times"))
+    nodes_ = Scratch(docs.sparkSession, "field").save(nodes_)
+    share = F.pmod(F.xxhash64("label", "x"), F.lit(max(1, -(-nodes_.count() // max_nodes)))) == 0
+    rows = nodes_.where(share).collect()
+    rows = sorted((r.label, tuple(r.x), r.times) for r in rows)
     x = np.array([r[1] for r in rows], float).reshape(-1, N_FEATURES + 2 * LABELS)
-    return pseudo_likelihood(x, np.array([r[0] for r in rows], int))
+    return pseudo_likelihood(x, np.array([r[0] for r in rows], int), times=np.array([r[2] for r in rows], float))
 
 
 SPAN = pa.struct([("start", pa.int32()), ("kind", pa.string()), ("end", pa.int32()), ("base", pa.bool_())])
