@@ -47,18 +47,33 @@ def peak_severity(events: DataFrame, series: DataFrame, key: str, ts: str, z: st
     return months.groupBy(key, "order_id").agg(F.max(X.severity(z)).alias("severity"))
 
 
-def pooled_ecdf(points: DataFrame, events: DataFrame, pool: str, min_pool: int = MIN_POOL, slices: int = 64) -> DataFrame:
+#: Copies of the packed distribution, so that the points of one pool and range are spread.
+SALTS = 8
+
+
+def _reached(values: Column, v: Column) -> Column:
+    """How many entries of a sorted array are at most ``v``, by bisection."""
+    mid = lambda x: F.floor((x["lo"] + x["hi"]) / 2).cast("int")
+    below = lambda x: (x["lo"] < x["hi"]) & (F.get(values, mid(x)) <= v)
+    halve = lambda x, _: F.struct(
+        F.when(below(x), mid(x) + 1).otherwise(x["lo"]).alias("lo"), F.when(below(x), x["hi"]).otherwise(mid(x)).alias("hi")
+    )
+    start = F.struct(F.lit(0).alias("lo"), F.size(values).alias("hi"))
+    rounds = F.sequence(F.lit(1), F.ceil(F.log2(F.size(values) + F.lit(1))).cast("int") + 1)
+    return F.aggregate(rounds, start, halve, lambda x: x["lo"])
+
+
+def pooled_ecdf(points: DataFrame, events: DataFrame, pool: str, min_pool: int = MIN_POOL, slices: int = 256) -> DataFrame:
     """``h``, ``n_events`` and ``pool_level`` for every row of ``points(pool, s, ...)``.
 
     ``h`` is the share of the pool's event severities that ``s`` reaches (ties count). A pool with
     fewer than ``min_pool`` events, or none, is replaced by the national one; an empty distribution
     gives NULL and 0.
 
-    Event severities are counted once per pool and distinct value; both the pools and the national
-    one come from those counts, and a running sum over them is the distribution. Points meet it in one
-    sorted window per pool and slice of severities. The edges of the slices are quantiles of the
-    distinct severities, so the national pool is spread evenly over ``slices`` tasks at any size; the
-    result does not depend on where the edges lie. A slice starts from the counts below it.
+    Events are counted once per pool and distinct severity, and these counts are cut into ranges at quantiles of the
+    severities. A range is one packed row: its severities, their running counts and what lies below it. Points are
+    neither sorted nor gathered by range: each joins the packed row of its pool and range, of which there are copies for skew, and finds its place there by
+    bisection. So the tasks follow the points evenly, whatever values or pools they share.
     """
     counts = events.where("severity is not null").groupBy(pool, "severity").agg(F.count("*").alias("k"))
     sized = counts.groupBy(pool).agg(F.sum("k").alias("__n")).where(F.col("__n") >= min_pool).select(pool)
@@ -66,36 +81,33 @@ def pooled_ecdf(points: DataFrame, events: DataFrame, pool: str, min_pool: int =
     steps = counts.join(sized, pool, "left_semi").unionByName(national)
     # One row of edges: its size is the parameter's.
     cuts = F.percentile_approx("severity", [i / slices for i in range(1, slices)], 100 * slices)
-    edges = F.broadcast(national.agg(F.array_distinct(cuts).alias("__edges")))
-    slice_of = lambda c: F.coalesce(F.size(F.filter("__edges", lambda e: e <= F.col(c))), F.lit(0)).alias("__slice")
-    steps = steps.crossJoin(edges).select(pool, "severity", "k", slice_of("severity"))
-    per_slice = steps.groupBy(pool, "__slice").agg(F.sum("k").alias("__k"))
-    w = Window.partitionBy(pool)
-    ordered = w.orderBy("__slice")
-    # A pool has at most that many slices, whatever its events.
-    base = per_slice.select(
-        pool, "__slice", (F.sum("__k").over(ordered) - F.col("__k")).alias("__below"), F.sum("__k").over(w).alias("__total")
+    edges = F.broadcast(national.agg(F.coalesce(F.array_distinct(cuts), F.array().cast("array<double>")).alias("__edges")))
+    ranges = steps.crossJoin(edges).select(F.col(pool).alias("__pool"), "severity", "k", _reached(F.col("__edges"), F.col("severity")).alias("__range"))
+    sorted_steps = F.array_sort(F.collect_list(F.struct("severity", "k")))
+    packed = ranges.groupBy("__pool", "__range").agg(sorted_steps.alias("__steps"), F.sum("k").alias("__k"))
+    # A pool has at most ``slices`` ranges, whatever its events; every one gets a row, so that a point finds what lies below it.
+    every = packed.select("__pool").distinct().crossJoin(edges).select("__pool", F.explode(F.sequence(F.lit(0), F.size("__edges"))).alias("__range"))
+    w = Window.partitionBy("__pool")
+    running = lambda acc, x: F.array_append(acc, F.coalesce(F.get(acc, F.size(acc) - 1), F.lit(0)) + x["k"])
+    table = every.join(packed, ["__pool", "__range"], "left").select(
+        "__pool",
+        "__range",
+        F.coalesce("__steps.severity", F.array().cast("array<double>")).alias("__at"),
+        F.aggregate(F.coalesce("__steps", F.array().cast(packed.schema["__steps"].dataType)), F.array().cast("array<bigint>"), running).alias("__sum"),
+        F.coalesce(F.sum("__k").over(w.orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("__below"),
+        F.sum("__k").over(w).alias("__total"),
     )
-    rows = points.where("s is not null").join(sized.withColumn("__own", F.lit(True)), pool, "left")
+    table = table.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    own = sized.select(F.col(pool), F.lit(True).alias("__own"))
     level = F.when(F.col("__own"), F.col(pool)).otherwise(F.lit(NATIONAL))
-    rows = rows.withColumn("pool_level", level).drop("__own")
-    kept = rows.columns
-    placed = rows.crossJoin(edges).select(*kept, slice_of("s"))
-    asked = placed.select(F.struct(*kept).alias("p"), F.col("pool_level").alias("__pool"), "__slice", F.col("s").alias("v"), F.lit(0).cast("long").alias("k"))
-    known = steps.select(F.lit(None).cast(asked.schema["p"].dataType).alias("p"), F.col(pool).alias("__pool"), "__slice", F.col("severity").alias("v"), "k")
-    run = Window.partitionBy("__pool", "__slice").orderBy("v").rangeBetween(Window.unboundedPreceding, Window.currentRow)
-    counted = asked.unionByName(known).withColumn("__in", F.sum("k").over(run)).where("p is not null")
-    totals = base.groupBy(pool).agg(F.first("__total").alias("__total"), F.sort_array(F.collect_list(F.struct("__slice", "__below"))).alias("__base"))
-    joined = counted.join(totals.withColumnRenamed(pool, "__pool"), "__pool", "left")
-    return joined.select("p.*", *_share(F.col("__in"), F.col("__base"), F.col("__total"), F.col("__slice")))
-
-
-def _share(inside: Column, base: Column, total: Column, slice_: Column) -> tuple[Column, Column]:
-    """Counts at or below a point: those in its slice so far and all of the slices before."""
-    reached = F.filter(base, lambda x: x["__slice"] <= slice_)
-    at = F.when(F.size(reached) > 0, F.element_at(reached, -1))
-    lower = F.when(at["__slice"] == slice_, at["__below"])
-    full = F.get(base, F.size(reached))["__below"]
-    below = F.coalesce(lower, full, F.when(F.size(reached) > 0, total), F.lit(0))
-    share = F.try_divide((below + F.coalesce(inside, F.lit(0))).cast("double"), total.cast("double"))
-    return share.alias("h"), F.coalesce(total, F.lit(0)).alias("n_events")
+    rows = points.where("s is not null").join(own, pool, "left").withColumn("pool_level", level).drop("__own")
+    placed = rows.crossJoin(edges).select(
+        *rows.columns,
+        _reached(F.col("__edges"), F.col("s")).alias("__range"),
+        F.col("pool_level").alias("__pool"),
+        F.pmod(F.xxhash64(*points.columns), F.lit(SALTS)).cast("int").alias("__salt"),
+    )
+    joined = placed.join(table, ["__pool", "__range", "__salt"], "left")
+    inside = F.coalesce(F.get("__sum", _reached(F.col("__at"), F.col("s")) - 1), F.lit(0))
+    share = F.try_divide((F.col("__below") + inside).cast("double"), F.col("__total").cast("double"))
+    return joined.select(*rows.columns, share.alias("h"), F.coalesce("__total", F.lit(0)).alias("n_events"))
