@@ -21,7 +21,7 @@ from geopressure.operators import geometry as G
 from geopressure.operators import panel as P
 from geopressure.operators import transactions as TX
 from geopressure.plans import marts, serve
-from geopressure.sources import io
+from geopressure.sources import commits, io
 from geopressure.streaming import stream
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -1030,6 +1030,38 @@ def stream_late_rows(spark: SparkSession, d: str) -> DataFrame:
     return rounded(spark.read.parquet(f"{base}/out"))
 
 
+def _counted(spark: SparkSession, d: str) -> DataFrame:
+    """Two thirds of the users land first, then the others; medians of counted values, and what came too late."""
+    base = _shared(spark)
+    events = io.read_table(spark, d, "events")
+    with stream.keyed_state(spark):
+        for part in ("user_id % 3 <> 0", "user_id % 3 = 0"):
+            events.where(part).write.mode("append").parquet(f"{base}/in")
+            landed = stream.read_stream(spark, f"{base}/in", events.schema)
+            out = stream.stream_counted_median(landed, "user_id", "ts", "value", 86_400, "1 day")
+            stream.run_available(out, f"{base}/out", f"{base}/checkpoint")
+    return spark.read.parquet(f"{base}/out").withColumn("day", F.col("start").cast("date"))
+
+
+_CLOSED = """WITH a AS (SELECT max(ts) - INTERVAL 1 DAY AS w FROM events WHERE user_id % 3 <> 0), z AS (SELECT max(ts) - INTERVAL 1 DAY AS w FROM events),
+r AS (SELECT user_id, value, date_trunc('day', ts) AS day, user_id % 3 = 0 AND date_trunc('day', ts) + INTERVAL 1 DAY <= a.w AS late FROM events, a WHERE value IS NOT NULL)
+"""
+
+
+@query(_CLOSED + """SELECT user_id, CAST(day AS DATE) AS day, round(median(value), 6) AS median, count(*) AS n FROM r, z
+WHERE NOT late AND day + INTERVAL 1 DAY <= z.w GROUP BY 1, day""")
+def stream_counted_median(spark: SparkSession, d: str) -> DataFrame:
+    closed = _counted(spark, d).where("not late")
+    return rounded(closed.select("user_id", "day", F.col("value").alias("median"), "n"))
+
+
+@query(_CLOSED + "SELECT user_id, CAST(day AS DATE) AS day, round(value, 6) AS value, count(*) AS n FROM r WHERE late GROUP BY 1, day, round(value, 6)")
+def stream_late_output(spark: SparkSession, d: str) -> DataFrame:
+    """Late rows, delivered and counted."""
+    late = rounded(_counted(spark, d).where("late").select("user_id", "day", "value", "n"))
+    return late.groupBy("user_id", "day", "value").agg(F.sum("n").alias("n"))
+
+
 @query("SELECT DISTINCT user_id, event_type FROM events")
 def stream_dedup(spark: SparkSession, d: str) -> DataFrame:
     once = stream.stream_dedup(_landed_events(spark, d), ["user_id", "event_type"], "ts", "400 days").select("user_id", "event_type")
@@ -1139,6 +1171,22 @@ def refresh_affected(spark: SparkSession, d: str) -> DataFrame:
     return rounded(out, 2)
 
 
+@query("""WITH o AS (SELECT *, CAST(date_trunc('month', o_orderdate) AS DATE) AS month FROM orders), t AS (SELECT DISTINCT month FROM o WHERE o_orderkey % 97 = 0)
+SELECT month, count(*) AS n, round(sum(o_totalprice), 2) AS total, month IN (SELECT month FROM t) AS refreshed FROM o
+WHERE o_orderstatus <> 'P' OR month IN (SELECT month FROM t) GROUP BY month""")
+def refresh_committed(spark: SparkSession, d: str) -> DataFrame:
+    """The same refresh as a table with a commit log: one entry for the first state, one for each batch."""
+    base = _shared(spark)
+    orders = io.read_table(spark, d, "orders").withColumn("month", P.month_of("o_orderdate"))
+    totals = lambda rows, new: rows.groupBy("month").agg(F.count("*").alias("n"), F.sum("o_totalprice").alias("total")).withColumn("refreshed", F.lit(new))
+    commits.commit(totals(orders.where("o_orderstatus <> 'P'"), False), f"{base}/table", "month")
+    io.write_table(orders.where("o_orderkey % 97 = 0").drop("month"), f"{base}/in")
+    landed = stream.read_stream(spark, f"{base}/in", io.read_table(spark, d, "orders").schema)
+    again = lambda periods: totals(orders.join(periods, "month", "left_semi"), True)
+    stream.refresh_committed(landed, "o_orderdate", again, f"{base}/table", f"{base}/checkpoint")
+    return rounded(commits.read(spark, f"{base}/table", "month date, n long, total double, refreshed boolean"), 2)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     """Name to ``(spark, sf_dir) -> DataFrame``."""
     return dict(QUERIES)

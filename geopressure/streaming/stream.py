@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections import Counter
+from collections.abc import Callable, Iterator, Sequence
+from contextlib import contextmanager
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
 from pyspark.sql.types import StructType
 
 from geopressure.operators.panel import anomaly_against
+from geopressure.sources import commits
 
 
 def read_stream(spark: SparkSession, path: str, schema: StructType, kind: str = "parquet", max_files: int | None = None) -> DataFrame:
@@ -66,3 +70,115 @@ def refresh_affected(
     query = df.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     query.awaitTermination()
     return query
+
+
+def refresh_committed(
+    df: DataFrame, ts: str, recompute: Callable[[DataFrame], DataFrame], base: str, checkpoint: str, by: str = "month", source: str = "refresh"
+) -> StreamingQuery:
+    """As :func:`refresh_affected`, into a table with a commit log.
+
+    A batch is one commit with its epoch: if the stream repeats a batch after a failure the table takes it once, and a reader sees
+    the periods of a batch replaced all together or not at all.
+    """
+
+    def write(batch: DataFrame, epoch: int) -> None:
+        periods = batch.select(F.trunc(F.col(ts).cast("date"), "month").alias(by)).distinct()
+        commits.commit(recompute(periods), base, by, source, epoch)
+
+    query = df.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    query.awaitTermination()
+    return query
+
+
+STATE_STORE = "spark.sql.streaming.stateStore.providerClass"
+
+
+@contextmanager
+def keyed_state(spark: SparkSession) -> Iterator[None]:
+    """A session whose new streams keep state in the store that single entries of a key can be read from."""
+    before = spark.conf.get(STATE_STORE, None)
+    spark.conf.set(STATE_STORE, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(STATE_STORE)
+        else:
+            spark.conf.set(STATE_STORE, before)
+
+
+def counted_median(counts: list[tuple[float, int]]) -> float:
+    """Median of values given with how often each stands."""
+    total = sum(n for _, n in counts)
+    below, low = 0, None
+    for value, n in sorted(counts):
+        below += n
+        if low is None and 2 * below >= total:
+            if 2 * below > total:
+                return value
+            low = value
+        elif low is not None:
+            return (low + value) / 2
+    return float("nan")
+
+
+class CountedMedian(StatefulProcessor):
+    """State of a key: how often each value stands in each open window; a timer closes a window at its end."""
+
+    def __init__(self, width: int) -> None:
+        self.width = width
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.counts = handle.getMapState("counts", "start long, value double", "n long")
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        closed, late = timerValues.getCurrentWatermarkInMs(), Counter()
+        arrived: Counter = Counter()
+        for frame in rows:
+            arrived.update(zip(frame["start"].tolist(), frame["value"].tolist(), strict=True))
+        for (start, value), n in arrived.items():
+            if start + self.width <= closed:
+                late[start, value] += n
+                continue
+            at = (start, value)
+            before = self.counts.getValue(at)[0] if self.counts.containsKey(at) else 0
+            self.counts.updateValue(at, (int(before) + n,))
+        for start in {s for s, _ in arrived} - {s for s, _ in late}:
+            self.handle.registerTimer(start + self.width)
+        if late:
+            yield self._rows(key, [(start, value, n, True) for (start, value), n in sorted(late.items())])
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        start = expiredTimerInfo.getExpiryTimeInMs() - self.width
+        held = [(at[1], n[0]) for at, n in self.counts.iterator() if at[0] == start]
+        for value, _ in held:
+            self.counts.removeKey((start, value))
+        if held:
+            yield self._rows(key, [(start, counted_median(held), sum(n for _, n in held), False)])
+
+    def _rows(self, key, rows: list[tuple]) -> pd.DataFrame:
+        frame = pd.DataFrame(rows, columns=["start", "value", "n", "late"])
+        frame.insert(0, "key", key[0])
+        return frame
+
+    def close(self) -> None:
+        """Nothing is held outside the state."""
+
+
+def stream_counted_median(df: DataFrame, key: str, ts: str, value: str, seconds: int, delay: str) -> DataFrame:
+    """``key, start, value, n, late``: exact medians of closed windows of ``seconds``, and late rows beside them.
+
+    Where ``late`` is false, ``value`` is the median of the window's ``n`` rows, given once, when the watermark has passed its end. Where it is true the row came for a window
+    already closed: ``value`` is its value and ``n`` how many such rows came at once. State is one entry for each open window and distinct
+    value, not for each row. Null values take no part. The session must keep keyed state (:func:`keyed_state`).
+    """
+    width = seconds * 1000
+    rows = event_time(df, ts).withWatermark(ts, delay).where(F.col(value).isNotNull() & F.col(ts).isNotNull())
+    start = (F.floor(F.unix_millis(ts) / width) * width).cast("long")
+    # The time itself is left out, or rows would be dropped before the operator sees that they are late.
+    rows = rows.select(F.col(key).alias("key"), start.alias("start"), F.col(value).cast("double").alias("value"))
+    kind = rows.schema["key"].dataType.simpleString()
+    schema = f"key {kind}, start long, value double, n long, late boolean"
+    found = rows.groupBy("key").transformWithStateInPandas(CountedMedian(width), schema, "append", "eventtime")
+    return found.select(F.col("key").alias(key), F.timestamp_millis("start").alias("start"), "value", "n", "late")
