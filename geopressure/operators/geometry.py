@@ -336,15 +336,13 @@ def nearest(a: DataFrame, b: DataFrame, a_key: str, b_key: str) -> DataFrame:
     most = (1 << (STEPS * BITS)) - 1
     place = lambda c: F.least(F.floor((F.col(c) - F.col(f"low_{c}")) / F.col("span") * most), F.lit(most)).cast("int")
     leaves = spots.crossJoin(F.broadcast(frame)).select("x", "y", b_key, place("x").alias("cx"), place("y").alias("cy"))
-    left = a.where("x is not null and y is not null").select(a_key, F.col("x").alias("ax"), F.col("y").alias("ay"))
-    left = left.withColumns({"cx": F.lit(0), "cy": F.lit(0)}).repartition(a_key)
+    root = [F.lit(0).alias("cx"), F.lit(0).alias("cy")]
+    left = a.where("x is not null and y is not null").select(a_key, F.col("x").alias("ax"), F.col("y").alias("ay"), *root).repartition(a_key)
     each = Window.partitionBy(a_key)
     for step in range(1, STEPS + 1):
         up = BITS * (STEPS - step)
-        cells = leaves.groupBy(F.shiftright("cx", up).alias("gx"), F.shiftright("cy", up).alias("gy")).agg(
-            *[f(c).alias(f"{n}{c}") for c in "xy" for n, f in (("l", F.min), ("h", F.max))]
-        )
-        cells = cells.withColumns({"cx": F.shiftright("gx", BITS), "cy": F.shiftright("gy", BITS)})
+        at = [F.shiftright(c, by).alias(n) for by, names in ((up, ("gx", "gy")), (up + BITS, ("cx", "cy"))) for c, n in zip(("cx", "cy"), names, strict=True)]
+        cells = leaves.groupBy(*at).agg(*[f(c).alias(f"{n}{c}") for c in "xy" for n, f in (("l", F.min), ("h", F.max))])
         if 1 << (2 * BITS * step) <= FEW_CELLS:
             cells = F.broadcast(cells)
         below = left.join(cells, ["cx", "cy"])

@@ -77,7 +77,15 @@ def _calibration(spark: SparkSession, d: str) -> DataFrame:
 
 def _mart(spark: SparkSession, d: str) -> DataFrame:
     z = _anomaly(spark, d).where("z is not null")
-    return marts.monthly_mart(z, _exposure(spark, d), "l_suppkey", "month", _groundwater(spark, d), _calibration(spark, d))
+    rows = (z, _exposure(spark, d), "l_suppkey", "month", _groundwater(spark, d), _calibration(spark, d))
+    return marts.monthly_mart(*rows, store=lambda scored: _written(spark, scored))
+
+
+def _written(spark: SparkSession, df: DataFrame) -> DataFrame:
+    """A working table in the shared folder in place of its plan."""
+    path = _shared(spark)
+    io.write_table(df, path)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 # SQL of the shared parts -----------------------------------------------------------------------
@@ -746,6 +754,43 @@ def zone_shares(spark: SparkSession, d: str) -> DataFrame:
     return rounded(G.zone_shares(_polygons(spark, d, "region"), edges, "area_id", "zone", "level", "region", _TILE))
 
 
+# An area of four columns of unlike height, with a hole in the first; its zone is the same outline, moved.
+_STEPS = f"""c AS (SELECT area_id, region, i, x0 + i * (x1 - x0) / 4 AS xa, x0 + (i + 1) * (x1 - x0) / 4 AS xb, y0 AS ya, y0 + (y1 - y0) * ((area_id + i) % 3 + 1) / 3 AS yb
+  FROM ({_BOX}), (SELECT unnest([0, 1, 2, 3]) AS i)),
+part AS (SELECT area_id, region, xa, xb, ya, yb, 1 AS sign FROM c UNION ALL SELECT area_id, region, x0 + 5, x0 + 12, y0 + 3, y0 + 8, -1 FROM ({_BOX}))"""
+
+
+def _stepped(spark: SparkSession, d: str, key: str, dx: float, dy: float, hole: bool, *more: str) -> DataFrame:
+    low, high = F.col("x0") + dx, F.col("x1") + dx
+    base, tall = F.col("y0") + dy, F.col("y1") - F.col("y0")
+    at = lambda x, y: F.struct(F.round(x, 9).alias("x"), F.round(y, 9).alias("y"))
+    side = lambda i: low + i * (high - low) / 4
+    top = lambda i: base + tall * ((F.col("area_id") + i) % 3 + 1) / 3
+    outline = [at(low, base), at(high, base), *[at(side(k), top(i)) for i in (3, 2, 1, 0) for k in (i + 1, i)]]
+    inner = [at(low + x, base + y) for x, y in ((5, 3), (5, 8), (12, 8), (12, 3))]
+    rings = F.array(F.array(*outline), F.array(*inner)) if hole else F.array(F.array(*outline))
+    return G.rings_to_edges(_boxes(spark, d).select(F.col("area_id").alias(key), *more, rings.alias("rings")), [key, *more], "rings")
+
+
+@query(f"""WITH {_STEPS}, z AS (SELECT area_id AS zone, region, area_id % 3 + 1 AS level, xa + 10 AS za, xb + 10 AS zb, ya + 4 AS wa, yb + 4 AS wb FROM c WHERE region <> 4),
+o AS (SELECT part.area_id, level, sum(sign * greatest(0, least(xb, zb) - greatest(xa, za)) * greatest(0, least(yb, wb) - greatest(ya, wa))) AS area
+  FROM part JOIN z USING (region) GROUP BY 1, 2),
+w AS (SELECT area_id, region, sum(sign * (xb - xa) * (yb - ya)) AS w FROM part GROUP BY 1, 2),
+s AS (SELECT area_id, region, w, coalesce(sum(area) FILTER (level = 1), 0) AS c1, coalesce(sum(area) FILTER (level = 2), 0) AS c2,
+  coalesce(sum(area) FILTER (level = 3), 0) AS c3 FROM w LEFT JOIN o USING (area_id) GROUP BY 1, 2, 3)
+SELECT area_id, region, round(c1, 3) AS area_low, round(c2, 3) AS area_medium, round(c3, 3) AS area_high, round(w, 3) AS area FROM s""")
+def zone_overlap_rings(spark: SparkSession, d: str) -> DataFrame:
+    """Overlays of outlines with steps and holes, by level of the zones."""
+    areas = _stepped(spark, d, "area_id", 0.0, 0.0, True, "region")
+    level = (F.col("area_id") % 3 + 1).alias("level")
+    zones = _stepped(spark, d, "zone", 10.0, 4.0, False, "region").where("region <> 4")
+    levels = _boxes(spark, d).select(F.col("area_id").alias("zone"), level)
+    shared = G.overlap_area(areas, zones, "area_id", "zone", _TILE, "region").join(levels, "zone")
+    by = shared.groupBy("area_id").agg(*[F.sum(F.when(F.col("level") == i, F.col("area"))).alias(f"area_{n}") for i, n in enumerate(("low", "medium", "high"), 1)])
+    out = G.polygon_area(areas, ["area_id", "region"]).join(by, "area_id", "left").fillna(0.0)
+    return rounded(out.select("area_id", "region", "area_low", "area_medium", "area_high", "area"), 3)
+
+
 @query(f"WITH b AS ({_BOX}), p AS ({_POINTS}) SELECT vec_id, min(area_id) AS area_id FROM p JOIN b ON x > x0 AND x < x1 AND y > y0 AND y < y1 GROUP BY 1")
 def point_in_polygon(spark: SparkSession, d: str) -> DataFrame:
     return G.points_in_polygons(_points(spark, d), _polygons(spark, d), "vec_id", "area_id", _TILE)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -37,12 +37,14 @@ def monthly_mart(
     calibration: DataFrame | None = None,
     gamma: float = X.GAMMA,
     gain: float = X.GAIN,
+    store: Callable[[DataFrame], DataFrame] | None = None,
 ) -> DataFrame:
     """Tension, score, level, confidence, class and gated calibration of every entity and month.
 
     ``anomaly(key, ts, z)``, ``exposures(key, e)``, ``groundwater(key, ts, z_b, nqt, confidence)``,
     ``calibration(key, ts, h, n_events, pool_level)``. An entity without exposure counts as not exposed.
-    Level and calibration are NULL where the exposure is not positive; the score is then 0.
+    Level and calibration are NULL where the exposure is not positive; the score is then 0. The scores are read twice, for the
+    thresholds and for the levels: ``store`` may write them and return what reads them back, so that they are computed once.
     """
     rows = anomaly.select(key, ts, "z").join(exposures.select(key, "e"), key, "left").withColumn("e", F.coalesce("e", F.lit(0.0)))
     rows = optional_left_join(rows, groundwater, [key, ts], {"z_b": "double", "nqt": "double", "confidence": "double"})
@@ -54,7 +56,7 @@ def monthly_mart(
     rows = rows.withColumn("confidence_t", F.col("w_b") / (1 + F.col("w_b")))
     rows = rows.withColumn("groundwater_class", X.index_class("nqt"))
     rows = rows.withColumns({c: F.when(F.col("e") > 0, F.col(c)) for c in ("h", "n_events", "pool_level")})
-    out = quantile_levels(rows, "score", "e")
+    out = quantile_levels(store(rows) if store else rows, "score", "e")
     return out.select(
         key, ts, "e", "z", "t", "score", "level_code", "level", "confidence_t", "groundwater_class", "h", "n_events", "pool_level"
     )
