@@ -1170,6 +1170,48 @@ def io_variants(spark: SparkSession, d: str) -> DataFrame:
     return checks.all_expectations(kept)
 
 
+@query("SELECT c_mktsegment, count(*) AS n_rows, true AS whole FROM customer GROUP BY 1")
+def manifest_rows(spark: SparkSession, d: str) -> DataFrame:
+    """Customers written as one set of files a segment; the manifest's rows, digests and sizes of each set."""
+    base = _shared(spark)
+    rows = io.read_table(spark, d, "customer").select("c_custkey", "c_name", F.col("c_mktsegment").alias("segment"), "c_mktsegment")
+    rows.repartition("segment").write.partitionBy("segment").csv(f"{base}/in")
+    read = spark.read.schema("c_custkey string, c_name string, c_mktsegment string, segment string").csv(f"{base}/in")
+    parts = [
+        io.dataset_manifest(spark, f"{base}/in/segment={name}", "1", read).withColumn("c_mktsegment", F.lit(name))
+        for name in ("AUTOMOBILE", "BUILDING", "FURNITURE", "HOUSEHOLD", "MACHINERY")
+    ]
+    whole = F.bool_and((F.length("sha256") == 64) & (F.col("bytes") > 0) & (F.col("n_rows") > 0)).alias("whole")
+    return checks.all_expectations(parts).groupBy("c_mktsegment").agg(F.sum("n_rows").alias("n_rows"), whole)
+
+
+@query("SELECT count(*) AS n, round(min(o_totalprice), 2) AS low, round(max(o_totalprice), 2) AS high FROM orders")
+def params_sink(spark: SparkSession, d: str) -> DataFrame:
+    """Parameters of a run written beside its tables as JSON, and read back."""
+    path = f"{_shared(spark)}/params"
+    price = F.col("o_totalprice")
+    orders = checks.require_rows(io.read_table(spark, d, "orders"), "orders")
+    io.write_params(orders.agg(F.count("*").alias("n"), F.round(F.min(price), 2).alias("low"), F.round(F.max(price), 2).alias("high")), path)
+    return io.read_ndjson(spark, path, "n long, low double, high double")
+
+
+@query("""SELECT c_custkey, n_name, r_name, CAST(NULL AS VARCHAR) AS remark FROM customer LEFT JOIN (
+  SELECT n_nationkey, n_name, r_name FROM nation LEFT JOIN region ON r_regionkey = n_regionkey WHERE n_nationkey % 5 <> 0) ON n_nationkey = c_nationkey""")
+def enriched_card(spark: SparkSession, d: str) -> DataFrame:
+    """Customers joined with two tables on one key, an absent one passed over, an absent column typed."""
+    nation = io.read_table(spark, d, "nation").where("n_nationkey % 5 <> 0").withColumn("c_nationkey", F.col("n_nationkey"))
+    region = io.read_table(spark, d, "region").withColumnRenamed("r_regionkey", "n_regionkey")
+    names = nation.select("c_nationkey", "n_name")
+    regions = nation.join(region, "n_regionkey").select("c_nationkey", "r_name")
+    joined = marts.enrich(io.read_table(spark, d, "customer"), [names, None, regions], "c_nationkey")
+    return serve.select_tolerant(joined, {"c_custkey": "long", "n_name": "string", "r_name": "string", "remark": "string"})
+
+
+@query("SELECT DISTINCT o_orderpriority FROM orders")
+def distinct_list(spark: SparkSession, d: str) -> DataFrame:
+    return P.distinct_values(io.read_table(spark, d, "orders"), "o_orderpriority")
+
+
 @query(f"""SELECT area_id AS l_suppkey, CAST(area_id % 7 = 0 AS INTEGER) + 1 AS n_rings, round(a - h, 4) AS area, round(a, 4) AS outer_area FROM (
   SELECT area_id, (x1 - x0) * (y1 - y0) AS a, CASE WHEN area_id % 7 = 0 THEN (x1 - x0 - 20) * (y1 - y0 - 20) ELSE 0 END AS h FROM ({_BOX}))""")
 def geometry_formats(spark: SparkSession, d: str) -> DataFrame:

@@ -12,7 +12,7 @@ from collections.abc import Iterator, Sequence
 from functools import reduce
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -228,15 +228,18 @@ def latest_edition(df: DataFrame, keys: Sequence[str], order: Sequence[str]) ->
     return df.withColumn("__r", F.row_number().over(w)).where("__r = 1").drop("__r")
 
 
-def dataset_manifest(spark: SparkSession, path: str, version: str | None = None) -> DataFrame:
-    """``name, bytes, sha256, modified, version, fetched`` of every file below a path.
+def dataset_manifest(spark: SparkSession, path: str, version: str | None = None, rows: DataFrame | None = None) -> DataFrame:
+    """``name, bytes, sha256, modified, version, fetched, n_rows`` of every file below a path.
 
     Contents are hashed one file at a time in the tasks, each of at most two gigabytes. ``fetched`` is
-    the time of the query, ``version`` what the source calls its edition.
+    the time of the query, ``version`` what the source calls its edition, ``n_rows`` what ``rows``, a frame that reads these files, got from
+    each (0 where it got none; null without such a frame). Files without a byte are not listed.
     """
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
     name = F.element_at(F.split("path", "/"), -1)
-    return files.select(
+    counted = None if rows is None else row_counts(rows)
+    found = files.select(
+        _one_form(F.col("path")).alias("path"),
         name.alias("name"),
         F.col("length").alias("bytes"),
         F.sha2("content", 256).alias("sha256"),
@@ -244,11 +247,22 @@ def dataset_manifest(spark: SparkSession, path: str, version: str | None = None)
         F.lit(version).cast("string").alias("version"),
         F.current_timestamp().alias("fetched"),
     )
+    if counted is None:
+        return found.drop("path").withColumn("n_rows", F.lit(None).cast("long"))
+    joined = found.join(counted.drop("name"), "path", "left").drop("path")
+    return joined.withColumn("n_rows", F.coalesce("n_rows", F.lit(0)).cast("long"))
+
+
+def _one_form(path: Column) -> Column:
+    """A local path with one slash after its scheme, however it was given."""
+    return F.regexp_replace(path, "^file:/+", "file:/")
 
 
 def row_counts(df: DataFrame) -> DataFrame:
-    """Rows read from each file of a file-based frame."""
-    return df.groupBy(F.col("_metadata.file_name").alias("name")).count()
+    """``path, name, n_rows`` of each file that a file-based frame reads; files of unlike folders can share a name."""
+    path = F.url_decode(F.replace(F.col("_metadata.file_path"), F.lit("+"), F.lit("%2B")))
+    counted = df.groupBy(_one_form(path).alias("path")).agg(F.count("*").alias("n_rows"))
+    return counted.withColumn("name", F.element_at(F.split("path", "/"), -1))
 
 
 def attach_freshness(df: DataFrame, manifests: DataFrame, sources: Sequence[str]) -> DataFrame:

@@ -6,7 +6,8 @@ import statistics
 import pytest
 from pyspark.sql import functions as F
 
-from geopressure.sources import commits
+from geopressure.operators import checks
+from geopressure.sources import commits, io
 from geopressure.streaming import stream
 
 SCHEMA = "month date, v long"
@@ -102,3 +103,19 @@ def test_counted_medians_and_late_rows(spark, tmp_path):
             stream.run_available(out, f"{base}/out", f"{base}/c")
     got = sorted((r.k, r.start, r.value, r.n, r.late) for r in spark.read.parquet(f"{base}/out").collect())
     assert got == [(1, at(1, 0), 5.0, 4, False), (1, at(1, 0), 100.0, 2, True), (1, at(6, 0), 2.0, 1, False), (2, at(1, 0), 3.0, 1, False), (2, at(6, 0), 6.0, 2, False)]
+
+
+def test_manifest_counts_rows_of_files_that_share_a_name(spark, tmp_path):
+    for folder, lines in (("a b", 3), ("c+d", 2), ("e", 0)):
+        (tmp_path / folder).mkdir()
+        (tmp_path / folder / "part.csv").write_text("x\n" * lines)
+    read = spark.read.schema("v string").csv(str(tmp_path / "*"))
+    found = io.dataset_manifest(spark, str(tmp_path), "7", read)
+    assert sorted((r.name, r.bytes, r.n_rows, r.version) for r in found.collect()) == [("part.csv", 4, 2, "7"), ("part.csv", 6, 3, "7")]
+    assert io.dataset_manifest(spark, str(tmp_path)).where("n_rows is null").count() == 2
+
+
+def test_an_empty_table_is_an_error(spark):
+    with pytest.raises(ValueError, match="panel has no rows"):
+        checks.require_rows(spark.range(0), "panel")
+    assert checks.require_rows(spark.range(2), "panel").count() == 2
