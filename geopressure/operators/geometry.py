@@ -285,12 +285,12 @@ def _in_cells(points: DataFrame, edges: DataFrame, point_key: str, key: str, til
 
 
 def edges_at_height(near: DataFrame, edges: DataFrame, key: str, tile: float, keys: list[str]) -> DataFrame:
-    """Rows of ``near(key, stripe, y, ...)`` with the polygon's edges in the stripe of their height."""
+    """Rows of ``near(key, stripe, y, border, ...)`` with the polygon's edges in the stripe of their height; inside, one row without an edge."""
     height = tile * F.pow(F.lit(2.0), "stripe")
     risen = edges.where("y1 <> y2").select(*keys, key, *EDGE).join(_sizes(edges, key, keys, tile).drop("level"), [*keys, key])
     lines = F.sequence(F.floor(F.least("y1", "y2") / height), F.floor(F.greatest("y1", "y2") / height))
     cut = risen.select(*keys, key, *EDGE, F.explode(lines).alias("__line"))
-    return near.withColumn("__line", F.floor(F.col("y") / height)).join(cut, [*keys, key, "__line"])
+    return near.withColumn("__line", F.when(F.col("border"), F.floor(F.col("y") / height))).join(cut, [*keys, key, "__line"], "left")
 
 
 def point_polygon_pairs(points: DataFrame, edges: DataFrame, point_key: str, key: str, tile: float, block: str | None = None) -> DataFrame:
@@ -305,9 +305,9 @@ def point_polygon_pairs(points: DataFrame, edges: DataFrame, point_key: str, key
         F.col("x") < F.col("x1") + (F.col("y") - F.col("y1")) * (F.col("x2") - F.col("x1")) / (F.col("y2") - F.col("y1"))
     )
     # The division is only reached by edges that cross the point's height.
-    hits = edges_at_height(near.where("border").select(*keys, point_key, key, "stripe", "x", "y"), edges, key, tile, keys).where(crossing)
-    odd = hits.groupBy(point_key, key).count().where("count % 2 = 1").select(point_key, key)
-    return near.where("not border").select(point_key, key).unionByName(odd)
+    met = edges_at_height(near.select(*keys, point_key, key, "stripe", "border", "x", "y"), edges, key, tile, keys)
+    found = met.groupBy(point_key, key).agg(F.bool_or(~F.col("border")).alias("__filled"), F.count_if(crossing).alias("__crossed"))
+    return found.where("__filled or __crossed % 2 = 1").select(point_key, key)
 
 
 def points_in_polygons(points: DataFrame, edges: DataFrame, point_key: str, key: str, tile: float, block: str | None = None) -> DataFrame:

@@ -96,7 +96,7 @@ def test_points_meet_few_edges_however_many_a_ring_has(spark):
         got = {(r.p, r.k) for r in G.point_polygon_pairs(points, edges, "p", "k", 64.0).collect()}
         assert got == {(i, k) for i, x, y in where for k, e in a.items() if inside(x, y, e)}
         near = G._in_cells(points, edges, "p", "k", 64.0, [])
-        border = near.where("border").select("p", "k", "stripe", "x", "y")
+        border = near.where("border").select("p", "k", "stripe", "border", "x", "y")
         sure = near.where("not border").count()
         assert sure > 0.6 * len(got)
         per_point[n] = G.edges_at_height(border, edges, "k", 64.0, []).count() / max(border.count(), 1)
