@@ -287,7 +287,7 @@ def _in_cells(points: DataFrame, edges: DataFrame, point_key: str, key: str, til
 def edges_at_height(near: DataFrame, edges: DataFrame, key: str, tile: float, keys: list[str]) -> DataFrame:
     """Rows of ``near(key, stripe, y, border, ...)`` with the polygon's edges in the stripe of their height; inside, one row without an edge."""
     height = tile * F.pow(F.lit(2.0), "stripe")
-    risen = edges.where("y1 <> y2").select(*keys, key, *EDGE).join(_sizes(edges, key, keys, tile).drop("level"), [*keys, key])
+    risen = edges.select(*keys, key, *EDGE).join(_sizes(edges, key, keys, tile).drop("level"), [*keys, key])
     lines = F.sequence(F.floor(F.least("y1", "y2") / height), F.floor(F.greatest("y1", "y2") / height))
     cut = risen.select(*keys, key, *EDGE, F.explode(lines).alias("__line"))
     return near.withColumn("__line", F.when(F.col("border"), F.floor(F.col("y") / height))).join(cut, [*keys, key, "__line"], "left")
@@ -297,17 +297,22 @@ def point_polygon_pairs(points: DataFrame, edges: DataFrame, point_key: str, key
     """``point_key, key`` of every polygon that holds a point.
 
     A point in a cell that the polygon fills is inside. In a border cell ray casting decides: a point is inside if an odd number
-    of edges lies to its right. A point on a border can count in any of the polygons that meet there, or none.
+    of edges lies to its right and none holds it. A polygon does not hold the points of its border.
     """
     keys = [block] if block else []
     near = _in_cells(points, edges, point_key, key, tile, keys)
+    rise, run = F.col("y2") - F.col("y1"), F.col("x2") - F.col("x1")
+    # A level edge has no height to cross.
     crossing = ((F.col("y1") > F.col("y")) != (F.col("y2") > F.col("y"))) & (
-        F.col("x") < F.col("x1") + (F.col("y") - F.col("y1")) * (F.col("x2") - F.col("x1")) / (F.col("y2") - F.col("y1"))
+        F.col("x") < F.col("x1") + F.try_divide((F.col("y") - F.col("y1")) * run, rise)
     )
-    # The division is only reached by edges that cross the point's height.
+    beside = F.col("x").between(F.least("x1", "x2"), F.greatest("x1", "x2")) & F.col("y").between(F.least("y1", "y2"), F.greatest("y1", "y2"))
+    on = beside & ((F.col("x") - F.col("x1")) * rise == (F.col("y") - F.col("y1")) * run)
     met = edges_at_height(near.select(*keys, point_key, key, "stripe", "border", "x", "y"), edges, key, tile, keys)
-    found = met.groupBy(point_key, key).agg(F.bool_or(~F.col("border")).alias("__filled"), F.count_if(crossing).alias("__crossed"))
-    return found.where("__filled or __crossed % 2 = 1").select(point_key, key)
+    found = met.groupBy(point_key, key).agg(
+        F.bool_or(~F.col("border")).alias("__filled"), F.count_if(crossing).alias("__crossed"), F.count_if(on).alias("__on")
+    )
+    return found.where("__filled or (__crossed % 2 = 1 and __on = 0)").select(point_key, key)
 
 
 def points_in_polygons(points: DataFrame, edges: DataFrame, point_key: str, key: str, tile: float, block: str | None = None) -> DataFrame:

@@ -57,9 +57,13 @@ def metadata(static: DataFrame, panel: DataFrame, key: str, ts: str, manifests:
     return attach_freshness(one, manifests, sources)
 
 
-def locate(points: DataFrame, edges: DataFrame, point_key: str, key: str, tile: float) -> DataFrame:
-    """Entity that holds each point given in degrees (``lon``, ``lat``)."""
-    x, y = X.to_lambert93("lon", "lat")
+def locate(points: DataFrame, edges: DataFrame, point_key: str, key: str, tile: float, digits: int = 6) -> DataFrame:
+    """Entity that holds each point given in degrees (``lon``, ``lat``).
+
+    The projection moves a point by about 1e-9 metres, which would put a point of a border on either side of it, so metres
+    are rounded to ``digits``.
+    """
+    x, y = (F.round(c, digits) for c in X.to_lambert93("lon", "lat"))
     return G.points_in_polygons(points.withColumns({"x": x, "y": y}), edges, point_key, key, tile)
 
 

@@ -7,7 +7,9 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from geopressure.functions import exprs as X
 from geopressure.operators import geometry as G
+from geopressure.plans import serve
 
 
 def star(n, cx, cy, inner, outer, seed, turn=1):
@@ -156,3 +158,20 @@ def test_building_nearest_starts_no_job(spark):
     assert not spark.sparkContext.statusTracker().getJobIdsForGroup("plan only")
     assert plan.count() == 100
     spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+
+
+def test_points_of_a_border_are_in_no_polygon(spark):
+    # A square, a triangle with a slanting side, and a level edge through no stripe's border.
+    corners = {"S": [(125.0, 125.0), (185.0, 125.0), (185.0, 175.0), (125.0, 175.0)], "T": [(300.0, 100.0), (340.0, 100.0), (300.0, 140.0)]}
+    rings = [(k, (x1, y1), p[(i + 1) % len(p)]) for k, p in corners.items() for i, (x1, y1) in enumerate(p)]
+    edges = spark.createDataFrame([(k, 0, *a, *b) for k, a, b in rings], "k string, ring int, x1 double, y1 double, x2 double, y2 double")
+    rim = [*corners["S"], *corners["T"], (125.0, 150.0), (185.0, 150.0), (150.0, 125.0), (150.0, 175.0), (320.0, 120.0), (320.0, 100.0)]
+    within = [(125.001, 125.001), (184.999, 174.999), (310.0, 110.0), (319.999, 120.0)]
+    points = spark.createDataFrame([(i, x, y) for i, (x, y) in enumerate(rim + within)], "p int, x double, y double")
+    want = {len(rim) + i: k for i, k in enumerate("SSTT")}
+    for tile in (7.0, 64.0, 1000.0):
+        assert {r.p: r.k for r in G.points_in_polygons(points, edges, "p", "k", tile).collect()} == want
+    # The same points in degrees, on edges moved into the projection's zone.
+    moved = edges.withColumns({c: F.col(c) + by for c, by in (("x1", 600000.0), ("x2", 600000.0), ("y1", 6600000.0), ("y2", 6600000.0))})
+    lon, lat = X.from_lambert93(F.col("x") + 600000.0, F.col("y") + 6600000.0)
+    assert {r.p: r.k for r in serve.locate(points.select("p", lon.alias("lon"), lat.alias("lat")), moved, "p", "k", 64.0).collect()} == want
