@@ -73,12 +73,20 @@ def count_high(panel: DataFrame, ts: str, level: str = "level_code", least: int
 
 
 def search_index(
-    entities: DataFrame, key: str, name: str, postcodes: DataFrame | None, panel: DataFrame | None, ts: str, edges: DataFrame | None = None
+    entities: DataFrame,
+    key: str,
+    name: str,
+    postcodes: DataFrame | None,
+    panel: DataFrame | None,
+    ts: str,
+    edges: DataFrame | None = None,
+    sub_units: Sequence[tuple[str, str, str]] = X.SUB_UNITS,
 ) -> DataFrame:
     """Folded name, department, bounding box in degrees, sorted distinct postcodes (sub-units rolled up) and
     latest level of each entity.
 
     The department is read from the key unless ``entities`` has a column ``dept``; the box is NULL without ``edges``.
+    Keys that are not codes of municipalities have no ``sub_units``.
     """
     out = entities.withColumn("folded", X.fold(name))
     if "dept" not in entities.columns:
@@ -88,7 +96,7 @@ def search_index(
     if postcodes is None:
         out = out.withColumn("postcodes", F.array().cast("array<string>"))
     else:
-        rolled = postcodes.where("postcode <> ''").select(X.rollup_code(key).alias(key), "postcode")
+        rolled = postcodes.where("postcode <> ''").select(X.rollup_code(key, sub_units).alias(key), "postcode")
         codes = rolled.groupBy(key).agg(F.sort_array(F.collect_set("postcode")).alias("postcodes"))
         out = out.join(codes, key, "left").withColumn("postcodes", F.coalesce("postcodes", F.array().cast("array<string>")))
     if panel is None:

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from geopressure.functions import exprs as X
 from geopressure.operators import allocate, attach, calibrate, checks, geometry, panel, transactions
-from geopressure.plans import marts, serve
+from geopressure.plans import catalog, marts, serve
 
 D = dt.date
 
@@ -420,6 +420,18 @@ def test_search_index_box_department_and_sink(spark, tmp_path):
     assert values(spark.read.parquet(f"{tmp_path}/levels"), "l4", "l1") == [(1, 0)]
 
 
+def test_search_index_sink_of_many_suppliers(spark, sf_dir, tmp_path):
+    # Numbers that read as sub-units of a city, and one whose code is cut to another's.
+    suppliers = spark.createDataFrame([(k, f"S{k}", 1, 100.0) for k in (13055, 13201, 13202, 13216, 1320100)], "s_suppkey long, s_name string, s_nationkey int, s_acctbal double")
+    suppliers.write.parquet(f"{tmp_path}/supplier.parquet")
+    spark.read.parquet(f"{sf_dir}/lineitem.parquet").withColumn("l_suppkey", F.lit(13201).cast("long")).write.parquet(f"{tmp_path}/lineitem.parquet")
+    got = [(r.code, r.folded, r.dept, r.postcodes, r.level > 0) for r in catalog.QUERIES["search_index_sink"](spark, str(tmp_path)).collect()]
+    assert sorted(got) == [
+        ("13055", "s13055", "13", "0,9", False), ("13201", "s13201", "13", "6,9", True), ("13201", "s1320100", "13", "5,9", False),
+        ("13202", "s13202", "13", "0,9", False), ("13216", "s13216", "13", "0,9", False),
+    ]
+
+
 def test_metadata_row(spark):
     static = spark.createDataFrame([("a", 0.5, 10.0, True), ("b", 0.0, None, False)], "k string, e double, exposed_value double, reclassified boolean")
     panel = spark.createDataFrame([("a", D(2024, m, 1), 0.5, 10 * m) for m in range(1, 6)], "k string, month date, e double, score int")
