@@ -3,6 +3,7 @@
 import datetime as dt
 import statistics
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -105,6 +106,73 @@ def test_counted_medians_and_late_rows(spark, tmp_path):
     assert got == [(1, at(1, 0), 5.0, 4, False), (1, at(1, 0), 100.0, 2, True), (1, at(6, 0), 2.0, 1, False), (2, at(1, 0), 3.0, 1, False), (2, at(6, 0), 6.0, 2, False)]
 
 
+class Calls:
+    """A handle of one key's state that counts the messages it would send."""
+
+    def __init__(self):
+        self.n, self.held, self.timers = 0, {}, set()
+
+    def getValueState(self, *_):  # noqa: N802
+        return self
+
+    getMapState = getValueState  # noqa: N815
+
+    def get(self):
+        self.n += 1
+        return self.held.get("value")
+
+    def update(self, value):
+        self.n += 1
+        self.held["value"] = value
+
+    def clear(self):
+        self.n += 1
+        self.held.clear()
+
+    def containsKey(self, at):  # noqa: N802
+        self.n += 1
+        return at in self.held
+
+    def getValue(self, at):  # noqa: N802
+        self.n += 1
+        return self.held[at]
+
+    def updateValue(self, at, value):  # noqa: N802
+        self.n += 1
+        self.held[at] = value
+
+    def registerTimer(self, at):  # noqa: N802
+        self.n += 1
+        self.timers.add(at)
+
+
+class At:
+    """The watermark and, of a timer, the time that it was set for."""
+
+    def __init__(self, at):
+        self.getCurrentWatermarkInMs = self.getExpiryTimeInMs = lambda: at
+
+
+def test_a_batch_reads_and_writes_a_keys_state_once():
+    calls, median = Calls(), stream.CountedMedian(10)
+    median.init(calls)
+    frames = [pd.DataFrame({"start": [w * 10 for w in range(50) for _ in range(20)], "value": [float(v % 5) for v in range(1000)]}) for _ in range(2)]
+    assert list(median.handleInputRows((7,), iter(frames), At(0))) == [] and calls.n <= 3
+    (closed,) = list(median.handleExpiredTimer((7,), At(300), At(10)))
+    assert calls.n <= 6 and closed.values.tolist() == [[7, w * 10, 2.0, 40, False] for w in range(30)] and 310 in calls.timers
+
+
+def test_late_rows_leave_the_state_alone():
+    calls, median = Calls(), stream.CountedMedian(10)
+    median.init(calls)
+    frame = pd.DataFrame({"start": [10, 0, 10, 20], "value": [2.0, 1.0, 2.0, 4.0]})
+    (late,) = list(median.handleInputRows((7,), iter([frame]), At(30)))
+    assert late.values.tolist() == [[7, 0, 1.0, 1, True], [7, 10, 2.0, 2, True], [7, 20, 4.0, 1, True]] and calls.n == 0
+    many = pd.DataFrame({"start": [0] * 500 + [40] * 500, "value": [float(i) for i in range(1000)]})
+    (late,) = list(median.handleInputRows((7,), iter([many]), At(30)))
+    assert len(late) == 500 and late["late"].all() and calls.n <= 3
+
+
 def test_manifest_counts_rows_of_files_that_share_a_name(spark, tmp_path):
     for folder, lines in (("a b", 3), ("c+d", 2), ("e", 0)):
         (tmp_path / folder).mkdir()
