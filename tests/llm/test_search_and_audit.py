@@ -122,6 +122,13 @@ def test_audit_on_odd_rows(spark, monkeypatch):
     assert len(got.columns) == 10
 
 
+def test_audit_builds_no_dictionary(spark, monkeypatch):
+    monkeypatch.setattr(term_matrix, "_dictionary", lambda *_: pytest.fail("nothing of the audit reads it"))
+    docs = [(1, "a " * 250, "s"), (2, "b # b", None)]
+    got = filter_audit.audit(frame(spark, docs, "doc_id long, text string, source string"), frame(spark, [(2, 1, 1)], "doc_id long, quality int, toxic int", "x y"))
+    assert audited(got) == audit_by_hand(docs, [(2, 1, 1)])
+
+
 def test_audit_of_no_rows(spark):
     docs = spark.createDataFrame([], "doc_id long, text string, source string")
     assert filter_audit.audit(docs, spark.createDataFrame([], "doc_id long, quality int, toxic int")).count() == 0
