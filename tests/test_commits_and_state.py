@@ -194,6 +194,22 @@ def test_keys_share_a_buckets_state(spark, tmp_path):
     assert got == want
 
 
+def test_nan_is_the_largest_value_and_comes_back(spark, tmp_path):
+    nan, at = float("nan"), lambda day: dt.datetime(2020, 1, day, 5)
+    base, kind = str(tmp_path), "k int, ts timestamp, v double"
+    batches = [
+        [(1, at(1), 1.0), (1, at(1), 2.0), (1, at(1), nan), (2, at(1), nan), (2, at(1), 1.0), (3, at(1), nan), (3, at(1), None), (9, at(9), 0.0)],
+        [(1, at(1), nan), (1, at(1), nan), (1, at(1), None)],
+    ]
+    for rows in batches:
+        with stream.keyed_state(spark):
+            spark.createDataFrame(rows, kind).write.mode("append").parquet(f"{base}/in")
+            landed = stream.read_stream(spark, f"{base}/in", spark.createDataFrame([], kind).schema)
+            stream.run_available(stream.stream_counted_median(landed, "k", "ts", "v", 86_400, "1 day"), f"{base}/out", f"{base}/c")
+    got = sorted((r.k, r.late, str(r.value), r.n) for r in spark.read.parquet(f"{base}/out").collect())
+    assert got == [(1, False, "2.0", 3), (1, True, "nan", 2), (2, False, "nan", 2), (3, False, "nan", 1)]
+
+
 @pytest.mark.parametrize("keys", [[3, 1, None], ["b", "a", None], [dt.date(2020, 1, 2), dt.date(2020, 1, 1), None]])
 def test_packed_counts_hold_every_row(keys):
     rows = [(i % 5 - 1, keys[i % 3], i % 7 * 10, float(i % 11)) for i in range(stream.AT_ONCE + 5000)]
