@@ -4,12 +4,14 @@ import datetime as dt
 import statistics
 from collections import Counter
 
+import duckdb
 import pandas as pd
 import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from geopressure.operators import checks
+from geopressure.plans import catalog
 from geopressure.sources import commits, io
 from geopressure.streaming import stream
 
@@ -233,6 +235,35 @@ def test_counted_medians_of_many_windows():
     assert got == {at: (statistics.median(vs), len(vs)) for at, vs in every.items()}
 
 
+@pytest.fixture
+def unset(spark):
+    """The session without a number of shuffle partitions of its own."""
+    held = spark.conf.get(stream.PARTITIONS)
+    spark.conf.unset(stream.PARTITIONS)
+    yield spark
+    spark.conf.set(stream.PARTITIONS, held)
+
+
+def as_its_sql(spark, sf_dir, name):
+    got = catalog.QUERIES[name](spark, sf_dir)
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW events AS SELECT * FROM '{sf_dir}/events.parquet'")
+    want = con.execute(f"SELECT {', '.join(got.columns)} FROM ({catalog.oracle_sql()[name]})").fetchall()
+    return Counter(map(tuple, got.collect())) == Counter(want) and len(want) > 0
+
+
+def test_keyed_state_where_the_session_sets_no_partitions(unset):
+    default = unset.conf.get(stream.PARTITIONS)
+    for asked, held in ((3, "3"), (10_000, default), (None, default)):
+        with stream.keyed_state(unset, asked):
+            assert unset.conf.get(stream.PARTITIONS) == held
+        assert unset.conf.get(stream.PARTITIONS, None) is None
+
+
+def test_counted_median_where_the_session_sets_no_partitions(unset, sf_dir):
+    assert as_its_sql(unset, sf_dir, "stream_counted_median")
+
+
 def test_manifest_counts_rows_of_files_that_share_a_name(spark, tmp_path):
     for folder, lines in (("a b", 3), ("c+d", 2), ("e", 0)):
         (tmp_path / folder).mkdir()
