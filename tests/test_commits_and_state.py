@@ -264,6 +264,10 @@ def test_counted_median_where_the_session_sets_no_partitions(unset, sf_dir):
     assert as_its_sql(unset, sf_dir, "stream_counted_median")
 
 
+def test_late_output_where_the_session_sets_no_partitions(unset, sf_dir):
+    assert as_its_sql(unset, sf_dir, "stream_late_output")
+
+
 def test_manifest_counts_rows_of_files_that_share_a_name(spark, tmp_path):
     for folder, lines in (("a b", 3), ("c+d", 2), ("e", 0)):
         (tmp_path / folder).mkdir()
