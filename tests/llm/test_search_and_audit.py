@@ -129,6 +129,17 @@ def test_audit_builds_no_dictionary(spark, monkeypatch):
     assert audited(got) == audit_by_hand(docs, [(2, 1, 1)])
 
 
+def test_audit_tells_apart_words_that_end_in_nul(spark):
+    ends = ["", "\0", "\0\0"]
+    words = [w + e for w in ("x", "1234567890123456", "é") for e in ends] + ["\0", "\0\0", "\0x"]
+    found = term_matrix.entries([" ".join(words * 2).encode(), b"x x"], term_matrix.BLANK_WORDS)
+    assert np.diff(found.ends).tolist() == [len(words), 1] and set(found.counts.tolist()) == {2}
+    assert sorted(found.words.to_pylist()) == sorted(w.encode() for w in words)
+    docs = [(1, " ".join(words * 2), "s"), (2, " ".join(words * 3), "s"), (3, "x x\0 x\0\0 x", None)]
+    got = filter_audit.audit(frame(spark, docs, "doc_id long, text string, source string"), frame(spark, [(1, 1, 0)], "doc_id long, quality int, toxic int", "x y"))
+    assert audited(got) == audit_by_hand(docs, [(1, 1, 0)])
+
+
 def test_audit_of_no_rows(spark):
     docs = spark.createDataFrame([], "doc_id long, text string, source string")
     assert filter_audit.audit(docs, spark.createDataFrame([], "doc_id long, quality int, toxic int")).count() == 0
